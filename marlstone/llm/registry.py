@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup
+from marlstone.llm import exact_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
