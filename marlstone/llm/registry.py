@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, mixing
+from marlstone.llm import exact_dedup, mixing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_url_filter": op3_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
