@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, language_id, mixing, near_dedup, url_filter
+from marlstone.llm import exact_dedup, language_id, mixing, near_dedup, token_store, url_filter
+
+#: Where the tokenizer's file is; not part of the repository.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,10 +38,16 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=4)
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write_store(table(spark, sf_dir, "documents"), TOKENIZER)
+    return token_store.read_digests(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_url_filter": op3_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_token_store": op7_token_store,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
 }
