@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, language_id, mixing, near_dedup, token_store, url_filter
+from marlstone.llm import exact_dedup, language_id, license_scan, mixing, near_dedup, token_store, url_filter
 
 #: Where the tokenizer's file is; not part of the repository.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -43,10 +43,15 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_url_filter": op3_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_token_store": op7_token_store,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
