@@ -128,3 +128,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("h"))
     mixed = mixed.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("each") + F.when(rank <= extra, 1).otherwise(0)).cast("long"))
     return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it. Rows that share an id (or have none) are taken equally often."""
+    copies = mix(docs, id_col=id_col, **how).groupBy(F.col("doc_id").alias("mixed_id_")).agg(F.max("copies").alias("copies_")).where("copies_ > 0")
+    taken = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("mixed_id_")))
+    return taken.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)

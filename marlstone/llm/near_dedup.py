@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import hashes, mix, slices, text_of, words, written
@@ -181,3 +181,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Rows that share an id are one vertex even if they are of different sets.
     out = signed.select("doc_id", "n_shingles", "set_key").join(joined, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each component. Of rows that repeat an id the one whose text has the smallest hash stays; rows with a null id all stay."""
+    kept = near_dedup(docs, id_col, text_col, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.join(kept, F.col(id_col).cast("long") == F.col("kept_id"), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(text_col, F.lit("")))))
+    return named.withColumn("row_of_id_", first).where("row_of_id_ = 1").drop("row_of_id_").unionByName(docs.where(F.col(id_col).isNull()))
