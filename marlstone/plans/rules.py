@@ -14,6 +14,7 @@ SCHEMA = "paper36_explicit_variable_rdl_v1"
 OPS = ("==", "!=", "<", "<=", ">", ">=")
 RELATIONS = ("eq", "subset", "strict_subset")
 TEXT_ATTRS = ("cnt", "ttl", "mtd")
+PREDICATES = {"match": "MatchPredicate", "freq": "FreqPredicate", "cooccur": "CooccurPredicate", "before": "BeforePredicate"}
 FLAG_BITS = {re.IGNORECASE.value: "i", re.MULTILINE.value: "m", re.DOTALL.value: "s"}
 NAMED = re.compile(r"mtd\.[A-Za-z_][A-Za-z_0-9]*")
 
@@ -126,12 +127,13 @@ def _predicate_from(d: dict) -> Predicate:
         raise ValueError("similarity text predicates are not allowed in rules")
     p = lambda k: Pattern(d[k]["raw"], int(d[k].get("flags", 32))) if isinstance(d.get(k), dict) else Pattern(d[k]) if d.get(k) else None
     first = p("r") or p("r1")
-    return Predicate(d["type"], d["attr"], first, p("r2"), d.get("op", ">="), float(d.get("eta", 1)), bool(d.get("negate", False)))
+    kinds = {v: k for k, v in PREDICATES.items()}
+    return Predicate(kinds.get(d["type"], d["type"]), d["attr"], first, p("r2"), d.get("op", ">="), float(d.get("eta", 1)), bool(d.get("negate", False)))
 
 
 def _predicate_to(p: Predicate) -> dict:
     pat = lambda x: {"raw": x.raw, "flags": x.flags}
-    out: dict = {"type": p.type, "attr": p.attr}
+    out: dict = {"type": PREDICATES[p.type], "attr": p.attr}
     out |= {"r1": pat(p.pattern), "r2": pat(p.other)} if p.other else {"r": pat(p.pattern)}
     if p.type == "freq":
         out |= {"op": p.op, "eta": p.eta}
