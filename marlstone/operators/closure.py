@@ -1,9 +1,10 @@
-"""Fixpoint of a rule program: semi-naive rounds of DataFrame plans, under one of four conflict policies.
+"""Fixpoint of a rule program: semi-naive rounds of DataFrame plans, under a conflict policy.
 
 halt        a cell with both signs ends the run with status `conflict`
 protect     a derivation opposite to a validated fact is blocked and counted; other clashes are conflicts
 quarantine  clashing cells become unknown, and the run starts again from the roots without them
 retain      clashing cells become unknown, what was derived from them stays
+retain_protect  the same, but validated facts win as in protect
 Each round is one action over all rules whose premises changed, written to the shared folder.
 """
 
@@ -46,7 +47,7 @@ def clashes(facts: DataFrame) -> DataFrame:
 
 def close_program(cat: Catalog, rules: list[Rule], policy: str = "halt", unknown: DataFrame | None = None, roots: DataFrame | None = None, max_rounds: int = 100) -> Closure:
     """Run the program to its fixpoint. roots: further facts that are not validated. unknown: cells that take no fact."""
-    if policy not in ("halt", "protect", "quarantine", "retain"):
+    if policy not in ("halt", "protect", "quarantine", "retain", "retain_protect"):
         raise ValueError(f"unknown policy {policy}")
     spark = cat.docs.sparkSession
     none = spark.createDataFrame([], "doc_id bigint, label string")
@@ -54,7 +55,7 @@ def close_program(cat: Catalog, rules: list[Rule], policy: str = "halt", unknown
     gamma = cat.gamma.select("doc_id", "label", F.col("sign").cast("int").alias("sign")).distinct()
     start = gamma if roots is None else gamma.unionByName(roots.select("doc_id", "label", F.col("sign").cast("int").alias("sign"))).distinct()
     related = cat.relations is not None or any(isinstance(r.head, LabelCompare) for r in rules)
-    if policy in ("quarantine", "retain"):
+    if policy in ("quarantine", "retain", "retain_protect"):
         unknown = unknown.unionByName(clashes(start)).distinct()
     restarts = 0
     while True:
@@ -111,7 +112,7 @@ def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma:
             found = found.unionByName(copied.select(F.lit(-1).alias("rule_id"), "doc_id", "label", "sign"))
         found = found.groupBy("doc_id", "label", "sign").agg(F.min("rule_id").alias("rule_id")).join(unknown, CELL, "left_anti").join(facts, [*CELL, "sign"], "left_anti")
         found = written(found.select("rule_id", "doc_id", "label", "sign"), "found")
-        if policy in ("protect", "retain"):
+        if policy in ("protect", "retain_protect"):
             stopped = found.join(opposite, [*CELL, "sign"], "left_semi").select("doc_id", "label", "sign")
             blocked = written(blocked.unionByName(stopped).distinct(), "blocked")
             found = found.join(opposite, [*CELL, "sign"], "left_anti").select("rule_id", "doc_id", "label", "sign")
@@ -121,7 +122,7 @@ def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma:
         delta = found.select("doc_id", "label", "sign")
         fired = fired.unionByName(found)
         facts = written(facts.unionByName(delta), "facts")
-        if policy == "retain":
+        if policy.startswith("retain"):
             bad = clashes(facts)
             if not bad.isEmpty():
                 unknown = written(unknown.unionByName(bad).distinct(), "unknown")
