@@ -122,6 +122,6 @@ def kappa(scores: DataFrame, grid: list[float], old: float = 0.5, least: int = 1
     cuts = F.array(*map(F.lit, sorted({*grid, old})))
     e = scores.select("label", "p", "target", "weight", F.explode(cuts).alias("cut"))
     right = F.when((F.col("p") >= F.col("cut")) == (F.col("target") == 1), F.col("weight")).otherwise(0.0)
-    acc = e.groupBy("label", "cut").agg(F.round(F.sum(right), 9).alias("acc"), F.count_if("target = 1").alias("pos"), F.count_if("target = 0").alias("neg"))
+    acc = e.groupBy("label", "cut").agg(F.round(F.sum(right), 9).alias("acc"), F.count_if(F.col("target") == 1).alias("pos"), F.count_if(F.col("target") == 0).alias("neg"))
     per = acc.groupBy("label").agg(F.max_by("cut", F.struct("acc", "cut")).alias("best"), F.max("acc").alias("top"), F.max(F.when(F.col("cut") == old, F.col("acc"))).alias("was"), F.max("pos").alias("pos"), F.max("neg").alias("neg"))
     return per.select("label", F.when((F.col("top") > F.col("was")) & (F.col("pos") >= least) & (F.col("neg") >= least), F.col("best")).otherwise(old).alias("cut"))
