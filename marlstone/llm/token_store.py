@@ -14,13 +14,16 @@ different documents are cut alike.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,57 +31,123 @@ from marlstone.llm.common import drop_path, mix, new_path, slices, text_of, writ
 
 #: Any blank of Unicode; two in a row keep a text from being cut at its spaces before encoding.
 _BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
-_CACHE: dict[str, dict[str, bytes]] = {}
-_TOKENIZERS: dict[str, object] = {}
-CACHE_WORDS = 300_000
+_TOKENIZERS: dict[str, _Encoder] = {}
+CACHE_WORDS = 150_000  # of each of the two generations of the cache
 FAN = 1024
+#: The byte-level pre-tokenizer's own pattern, and its characters for the 256 bytes. Fixed values.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PLAIN = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+_BYTE_CHARS = [_CHARS[b] for b in range(256)]
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class _Encoder:
+    """A tokenizer file, with the ids of words met before. Two generations bound the cache and keep frequent words."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            d = json.load(f)
+        pre = d.get("pre_tokenizer") or {}
+        #: Whether texts may be cut into the pre-tokenizer's pieces here and each distinct piece encoded once.
+        self.cut = d["model"].get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not d.get("normalizer") and not d.get("post_processor")
+        self.added = [t["content"] for t in d.get("added_tokens", [])]
+        self.model = self.whole.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def texts(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch(strings, add_special_tokens=False)]
+
+    def words(self, strings: list[str]) -> list[bytes]:
+        """Ids of single pieces of the pre-tokenizer."""
+        out = [*map(self.young.get, strings)]
+        get, tokenize = self.old.get, self.model.tokenize
+        fresh: dict[str, bytes] = {}
+        for i, got in enumerate(out):
+            if got is None:
+                s = strings[i]
+                got = get(s) or fresh.get(s)
+                if got is None:
+                    mapped = s.replace(" ", _BYTE_CHARS[32]) if s.isascii() and s.isprintable() else "".join([_BYTE_CHARS[b] for b in s.encode()])
+                    got = array("I", [t.id for t in tokenize(mapped)]).tobytes()
+                fresh[s] = out[i] = got
+        self.young |= fresh
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        return out
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = _Encoder(path)
     return _TOKENIZERS[path]
 
 
-def _encode_strings(path: str, strings: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch(strings, add_special_tokens=False)]
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the ranges [begin, begin + size), one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _pool(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    return np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size, size
+
+
+def _spaced(encoder: _Encoder, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of each name with a space before it. A name starts with a non-blank or is empty, so the pieces of all names in a row are those of each."""
+    names = dictionary.to_pylist()
+    # Letters only: one piece. The others are cut by the pattern, all at once.
+    single = pc.match_substring_regex(dictionary, "^[A-Za-zÀ-ÖØ-öø-ÿ]+$").to_numpy(zero_copy_only=False) | pc.equal(dictionary, "").to_numpy(zero_copy_only=False)
+    mixed = np.flatnonzero(~single)
+    full = [" " + names[i] for i in mixed.tolist()]
+    joined = "".join(full)
+    if any(x in joined for x in encoder.added):
+        return _pool(encoder.texts([" " + x for x in names]))
+    plain = np.flatnonzero(single)
+    pool, begin, size = _pool(encoder.words([" " + names[i] for i in plain.tolist()]))
+    found = pa.array(_PIECES.findall(joined), pa.string()).dictionary_encode()
+    pieces = found.dictionary.to_pylist()
+    pool2, begin2, size2 = _pool(encoder.words(pieces))
+    code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    letters = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    owner = np.searchsorted(np.cumsum(np.fromiter(map(len, full), np.int64, len(full))), np.cumsum(letters[code]))
+    ids = pool2[_spread(begin2[code], size2[code])]
+    n = np.bincount(owner, size2[code], len(full)).astype(np.int64)
+    begins, sizes = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+    begins[plain], sizes[plain] = begin, size
+    begins[mixed], sizes[mixed] = len(pool) + np.cumsum(n) - n, n
+    return np.concatenate([pool, ids]), begins, sizes
 
 
 def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts (each followed by end_id) and the number of ids of each.
 
     The byte-level pre-tokenizer never joins characters across a single space between two non-blank ones,
-    so a text without two blanks in a row is cut there and each distinct piece is encoded once.
+    so a text without two blanks in a row is cut there and each distinct word is encoded once. Other texts,
+    and all texts under another kind of tokenizer, are encoded whole.
     """
-    cache = _CACHE.setdefault(path, {})
-    odd = pc.match_substring_regex(texts, _BLANKS).to_numpy(zero_copy_only=False)
+    encoder = _encoder(path)
+    odd = pc.match_substring_regex(texts, _BLANKS).to_numpy(zero_copy_only=False) | (not encoder.cut)
     lists = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts), " ")
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    starts = np.cumsum(counts) - counts
+    # Words after a space, words at a text's start, the end id, whole odd texts: in one numbering.
     heads = codes[starts[counts > 0]]
-    names = coded.dictionary.to_pylist()
-    # Pieces after a space, pieces at a text's start, and whole odd texts, in one numbering.
-    first = {c: len(names) + i for i, c in enumerate(dict.fromkeys(heads.tolist()))}
-    pieces = [" " + x for x in names] + [names[c] for c in first]
+    first = {c: len(coded.dictionary) + i for i, c in enumerate(dict.fromkeys(heads.tolist()))}
+    pool, begin, size = _spaced(encoder, coded.dictionary)
+    more = encoder.texts([coded.dictionary[c].as_py() for c in first]) + [np.array([end_id], "<u4").tobytes()] + encoder.texts(texts.filter(pa.array(odd)).to_pylist())
+    pool2, begin2, size2 = _pool(more)
+    pool, begin, size = np.concatenate([pool, pool2]), np.concatenate([begin, begin2 + len(pool)]), np.concatenate([size, size2])
     codes = codes.copy()
     codes[starts[counts > 0]] = [first[c] for c in heads.tolist()]
-    whole = texts.filter(pa.array(odd)).to_pylist()
-    missing = [p for p in pieces if p not in cache]
-    fresh = dict(zip(missing, _encode_strings(path, missing), strict=True))
-    got = [fresh[p] if p in fresh else cache[p] for p in pieces]
-    if len(cache) + len(fresh) > CACHE_WORDS:
-        cache.clear()
-    cache.update(fresh if len(fresh) <= CACHE_WORDS else {})
-    got += [np.array([end_id], "<u4").tobytes(), *(_encode_strings(path, whole) if whole else [])]
-    end = len(pieces)
-    # Sequence of pieces: each text's pieces (or the whole odd text), then the end id.
-    per_text = np.where(odd, 1, counts)
-    total = per_text + 1
+    end = len(coded.dictionary) + len(first)
+    total = np.where(odd, 1, counts) + 1
     at = np.concatenate([[0], np.cumsum(total)])
     seq = np.full(int(at[-1]), end, np.int64)
     inner = np.ones(len(seq), bool)
@@ -86,15 +155,11 @@ def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndar
     owner = np.repeat(np.arange(len(total)), total)
     fill = np.empty(int(inner.sum()), np.int64)
     from_odd = odd[owner[inner]]
-    fill[from_odd] = end + 1 + np.arange(len(whole))
-    fill[~from_odd] = codes[np.repeat(~odd, counts)] if odd.any() else codes
+    fill[from_odd] = end + 1 + np.arange(int(odd.sum()))
+    fill[~from_odd] = codes[np.repeat(~odd, counts)]
     seq[inner] = fill
-    pool = np.frombuffer(b"".join(got), "<u4")
-    size = np.array([len(g) // 4 for g in got], np.int64)
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
     n = size[seq]
-    shift = np.repeat(begin[seq] - np.concatenate([[0], np.cumsum(n)])[:-1], n)
-    return pool[shift + np.arange(int(n.sum()))], np.add.reduceat(n, at[:-1]) if len(total) else n
+    return pool[_spread(begin[seq], n)], np.add.reduceat(n, at[:-1]) if len(total) else n
 
 
 def cuts(ids: np.ndarray, mean_bits: int, least: int, most: int) -> list[int]:
@@ -161,7 +226,7 @@ def _rows(path: str, end_id: int, mean_bits: int, least: int, most: int):
     return run
 
 
-def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, mean_bits: int = 9, least: int = 128, most: int = 4096) -> str:
+def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, mean_bits: int = 10, least: int = 256, most: int = 8192) -> str:
     """Encode whole texts and write the store; returns its folder.
 
     A null text is empty: its document has the end id alone. Rows that share an id follow each other, in
