@@ -140,17 +140,18 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 def _count_anchors(gram: int, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            hs, rows, places, kinds = [], [], [], []
+            hs, rows, places, sizes, kinds = [], [], [], [], []
             for i, data in _each(b):
                 h, at, first, last = anchors(data, gram, span)
                 raw = data.tobytes()
                 hs.append(h.view(np.int64))
                 rows.append(np.full(len(h), i))
                 places.append(first)
+                sizes.append(last + span - first)
                 kinds += [int.from_bytes(hashlib.blake2b(raw[s:e + span] + (int(p - s)).to_bytes(2, "little"), digest_size=8).digest(), "little", signed=True) for s, e, p in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)]
             row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             k = b.column("k").to_numpy()[row.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(kinds, pa.int64()), pa.array(k, pa.int64()), pa.array(np.concatenate(places) if places else [], pa.int32())], ["h", "kind", "k", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(kinds, pa.int64()), pa.array(k, pa.int64()), *(pa.array(np.concatenate(x) if x else [], pa.int32()) for x in (places, sizes))], ["h", "kind", "k", "place", "size"])
 
     return run
 
@@ -281,7 +282,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
-    found = base.select("k", "text").mapInArrow(_count_anchors(gram, span), "h long, kind long, k long, place int")
+    found = base.select("k", "text").mapInArrow(_count_anchors(gram, span), "h long, kind long, k long, place int, size int")
     # Counts by kind, then by anchor, with partial sums; single anchors end here.
     found = written(found, "anchors")
     free_shuffles(spark)
@@ -304,29 +305,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Back to the places: kinds that occur twice are covered as a whole, the others where their strings repeat.
     marked = kinds.join(ranges, ["h", "kind"], "left").where("n > 1 or ranges is not null").select("h", "kind", "n", "ranges")
     last = found.join(marked, ["h", "kind"])
-    whole = F.array(F.struct(F.col("place").alias("s"), F.lit(-1).alias("e")))
+    whole = F.array(F.struct(F.col("place").alias("s"), (F.col("place") + F.col("size")).alias("e")))
     shifted = F.transform("ranges", lambda r: F.struct((r["s"] + F.col("place")).cast("int").alias("s"), (r["e"] + F.col("place")).cast("int").alias("e")))
-    by_text = last.select("k", F.explode(F.when(F.col("n") > 1, whole).otherwise(shifted)).alias("r")).groupBy("k").agg(F.collect_set("r").alias("ranges"))
-    return base.join(by_text, "k", "left").select("doc_id", "text", "ranges").mapInArrow(_cover(gram, span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def _cover(gram: int, span: int):
-    """Ends of whole cut-outs are found again from the text, then the ranges are removed."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def filled() -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-            for b in slices(batches):
-                out = []
-                found = b.column("ranges").to_pylist()
-                for i, data in _each(b):
-                    if found[i] and any(r["e"] < 0 for r in found[i]):
-                        _, _, first, last = anchors(data, gram, span)
-                        end = dict(zip(first.tolist(), (last + span).tolist(), strict=True))
-                        out.append([{"s": r["s"], "e": r["e"] if r["e"] >= 0 else end[r["s"]]} for r in found[i]])
-                    else:
-                        out.append(found[i])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(out, kind)], ["doc_id", "text", "ranges"])
-
-        yield from _remove(filled())
-
-    return run
+    by_text = written(last.select("k", F.explode(F.when(F.col("n") > 1, whole).otherwise(shifted)).alias("r")).groupBy("k").agg(F.collect_set("r").alias("ranges")), "by_text")
+    free_shuffles(spark)
+    return base.join(by_text, "k", "left").select("doc_id", "text", "ranges").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
