@@ -64,6 +64,8 @@ def with_sql(body: str, *names: str, recursive: str = "") -> str:
             break
         need = more
     parts = [f"{n} AS ({SQL[n]})" for n in _ORDER if n in need] + ([recursive] if recursive else [])
+    if parts and body.startswith("WITH "):
+        return f"WITH {', '.join(parts)}, {body.removeprefix('WITH ')}"
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {body}" if parts else body
 
 
@@ -500,7 +502,7 @@ def rule_precision_laplace(spark, d):
     return review.rule_precision(c, gamma_of(spark, d)).withColumnRenamed("rule_id", "pattern").withColumn("q", F.round("q", 9))
 
 
-@query("direct_rule_weight", "WITH q AS (SELECT pattern, (count(*) FILTER (WHERE toxic = 1) + 1) * 1.0 / (count(*) + 2) AS q FROM hits h JOIN labels l USING (doc_id) GROUP BY 1) SELECT doc_id, label, sign, round(weight, 9)::DOUBLE AS weight FROM (SELECT doc_id, 'toxic' AS label, 1 AS sign, max(q) AS weight FROM hits JOIN q USING (pattern) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1 UNION ALL SELECT doc_id, label, sign, 1.0 FROM gamma)".replace("WITH q AS", "WITH hits AS (" + SQL["hits"] + "), gamma AS (" + SQL["gamma"] + "), q AS"))
+@query("direct_rule_weight", "WITH q AS (SELECT pattern, (count(*) FILTER (WHERE toxic = 1) + 1) * 1.0 / (count(*) + 2) AS q FROM hits h JOIN labels l USING (doc_id) GROUP BY 1) SELECT doc_id, label, sign, round(weight, 9)::DOUBLE AS weight FROM (SELECT doc_id, 'toxic' AS label, 1 AS sign, max(q) AS weight FROM hits JOIN q USING (pattern) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1 UNION ALL SELECT doc_id, label, sign, 1.0 FROM gamma)")
 def direct_rule_weight(spark, d):
     c = _hits(spark, d).select(F.col("pattern").alias("rule_id"), "doc_id", F.lit("toxic").alias("label"), F.lit(1).alias("sign"))
     g = gamma_of(spark, d)
