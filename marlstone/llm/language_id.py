@@ -99,8 +99,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for at, k in zip(np.concatenate([[0], np.cumsum(n)])[:-1], n, strict=True):
             u, c = np.unique(ids[at:at + k], return_counts=True)
-            rows.append((u.astype(np.int32), (c / max(1, k)).astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["h", "lang", "ids", "tf"])
+            rows.append((u.astype(np.int32).tobytes(), (c / max(1, k)).astype(np.float32).tobytes()))
+        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1))], ["h", "lang", "ids", "tf"])
 
 
 def fit(labelled: DataFrame, most_rows: int = 3000, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, epochs: int = 4) -> Model:
@@ -114,9 +114,11 @@ def fit(labelled: DataFrame, most_rows: int = 3000, alpha: float = 0.5, beta: fl
     for k, n in kinds:
         part = F.when(F.col("lang") == k, min(1.0, each / n)).otherwise(part)
     # h is uniform over 32 bits; a share of it is a sample of rows that does not depend on their order.
-    taken = labelled.where(F.col("h") < part * float(2**32)).select("h", "lang", "text").mapInArrow(_counts, "h long, lang string, ids array<int>, tf array<float>").collect()
+    taken = labelled.where(F.col("h") < part * float(2**32)).select("h", "lang", "text").mapInArrow(_counts, "h long, lang string, ids binary, tf binary").collect()
     taken.sort(key=lambda r: (r["h"], r["lang"], r["ids"]))
-    rows = [(np.array(r["ids"], np.int64), np.array(r["tf"], np.float64), langs.index(r["lang"])) for r in taken if r["ids"]]
+    # Eight bytes a distinct n-gram of the sampled texts is what the driver holds.
+    rows = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["tf"], np.float32), langs.index(r["lang"])) for r in taken if r["ids"]]
+    del taken
     df = np.zeros(DIM)
     for ids, _, _ in rows:
         df[ids] += 1
@@ -133,7 +135,7 @@ def fit(labelled: DataFrame, most_rows: int = 3000, alpha: float = 0.5, beta: fl
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(train)):
             ids, tf, y = train[i]
-            at, x = np.append(ids, bias_at), np.append(tf * idf[ids] * scale, 1.0)
+            at, x = np.append(ids, bias_at), np.append(tf.astype(np.float64) * idf[ids] * scale, 1.0)
             w = weights(z[at], n[at])
             s = x @ w
             p = np.exp(s - s.max())
@@ -147,7 +149,7 @@ def fit(labelled: DataFrame, most_rows: int = 3000, alpha: float = 0.5, beta: fl
     table = (w[:DIM] * idf[:, None] * scale).astype(np.float32)
     model = Model(langs, table, w[DIM], 1.0)
     if held and k > 1:
-        logits = np.array([tf @ table[ids].astype(np.float64) for ids, tf, _ in held]) + w[DIM]
+        logits = np.array([tf.astype(np.float64) @ table[ids].astype(np.float64) for ids, tf, _ in held]) + w[DIM]
         y = np.array([r[2] for r in held])
         loss = {}
         for t in np.geomspace(0.05, 20, 61):
