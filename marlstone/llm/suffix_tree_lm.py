@@ -1,29 +1,30 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Words of at least `p_symbol` of the training tokens are symbols of their own, all others one symbol OTHER;
-a rare word's probability is that of OTHER in the state times its share of OTHER's words. Contexts of up to
-three symbols with at least `p_context` of the tokens are candidates; one is kept as a state if its next
-symbols diverge from those of its longest kept suffix. A state has its own probabilities, less a discount,
-for next symbols with at least `p_next` of the tokens and leaves the others to its suffix. A token is scored
-in the longest state that its predecessors in the text end with. All three limits are shares of the corpus,
-so the tree has at most 1 / p_symbol symbols, 1 / p_context states and 1 / p_next probabilities a depth
-however large the corpus is, which bounds the broadcast. Counts of all words are kept in a table and joined.
+Every word is a symbol. Contexts of up to three words that the training texts have at least `least_context` times
+are candidates; one is kept as a state if its next words diverge from those of its longest kept suffix. A state
+has its own probabilities, less a discount, for next words seen at least `least_next` times after it and leaves the
+others to its suffix. A token is scored in the longest state that its predecessors in the text end with. Both
+limits are fixed counts, so the tree grows with the corpus. It is never held as a whole: runs of one to four words
+are rows of written tables, joined by 64-bit hashes. A text's score is a sum over its runs (see `Tree.adds`), so one
+join scores all. The most frequent runs (at most 1 / `p_head` a length) are added up where the text is
+instead, and bitmaps of hashes leave runs out that cannot be in a table; neither changes a result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import free_shuffles, hashes, slices, text_of, words, written
+from marlstone.llm.common import drop_path, free_shuffles, hashes, mix, slices, text_of, words, written
 
 END = np.uint64(0x5EED)
-OTHER, DEPTH, BITS = 0, 3, 16
+DEPTH, BITS, PAGE = 3, 26, 14
 
 
 class Tally:
@@ -86,175 +87,231 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emit(tally.rest(), "w")
 
 
+def follow(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of runs with one more word at their end."""
+    return mix(run.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)).view(np.int64)
+
+
+def runs(h: np.ndarray, counts: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length, the places at which a run of that length within one text ends, and the runs' hashes at all places."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = [(np.arange(len(h)), h)]
+    for size in range(2, longest + 1):
+        key = h.copy()
+        key[1:] = follow(out[-1][1][:-1], h[1:])
+        out.append((np.flatnonzero(place >= size - 1), key))
+    return out
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits set at the keys' lowest bits: a key whose bit is not set is not in the table."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))
+    words_ = keys.select(F.shiftright(slot, 6).alias("i"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    pages = words_.repartition(F.shiftright("i", PAGE)).mapInArrow(_pages, "page long, bits binary")
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    for r in pages.toLocalIterator():
+        at = r["page"] << PAGE
+        out[at:at + (1 << PAGE)] = np.frombuffer(r["bits"], np.uint64)
+    return out
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bitmap's words as pages, so that the driver gets bytes and not rows."""
+    pages: dict[int, np.ndarray] = {}
+    for b in batches:
+        i, bits = (b.column(c).to_numpy() for c in ("i", "b"))
+        for page in np.unique(i >> PAGE).tolist():
+            mine = i >> PAGE == page
+            pages.setdefault(page, np.zeros(1 << PAGE, np.int64))[i[mine] & ((1 << PAGE) - 1)] = bits[mine]
+    if pages:
+        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int64()), pa.array([v.tobytes() for v in pages.values()], pa.binary())], ["page", "bits"])
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & ((1 << BITS) - 1)
+    return bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) == 1
+
+
 @dataclass
 class Tree:
-    """Sorted word hashes of the symbols (symbol i + 1 is hash i) and the states, root excluded."""
+    """Written tables: words (key, c), and by length of the context its next words and its states.
+
+    steps: key and up (the hashes of context and word, and of the same without the context's first word), x (the
+    context), c, lp (log10 of the word's probability after the context), add. states: x, beta, c.
+    """
 
-    symbol_hash: np.ndarray
-    root: np.ndarray  # log10 probability of each symbol, OTHER first
+    words: DataFrame
     rate: float  # log10 of 1 / (N + V + 1)
-    keys: list[np.ndarray]  # by depth, sorted contexts
-    node: list[np.ndarray]  # by depth, the state of each
-    parent: np.ndarray
-    beta: np.ndarray
-    entry: np.ndarray  # state << 16 | symbol, sorted
-    value: np.ndarray
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.symbol_hash, h)
-        at[at == len(self.symbol_hash)] = 0
-        return np.where(self.symbol_hash[at] == h, at + 1, OTHER) if len(self.symbol_hash) else np.zeros(len(h), np.int64)
-
-    def states(self, contexts: list[np.ndarray]) -> np.ndarray:
-        """The longest state for each place; contexts by depth, -1 where the text is too young."""
-        out = np.full(len(contexts[0]), -1, np.int64)
-        for keys, node, c in zip(self.keys, self.node, contexts, strict=False):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-                out = np.where(keys[at] == c, node[at], out)
-        return out
+    steps: list[DataFrame]
+    states: list[DataFrame]
+
+    def adds(self) -> DataFrame:
+        """(key, c, known, base, add): what a run in a text adds to its scores beyond `rate` a word.
+
+        A word adds what it has at the root. A context that is a state adds its beta, as if the next word were
+        none of its own. A word after it that is one of its own takes beta back and adds its log10
+        probability less that in the suffix, which the shorter run has added.
+        """
+        lp = F.log10((F.col("c") + 1).cast("double"))
+        zero = F.lit(0.0)
+        parts = [self.words.select("key", "c", F.lit(1).alias("known"), lp.alias("base"), lp.alias("add"))]
+        parts += [t.where("add != 0").select("key", "c", F.lit(0), zero, "add") for t in self.steps]
+        parts += [t.select(F.col("x").alias("key"), "c", F.lit(0), zero, F.col("beta").alias("add")) for t in self.states]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.union(part)
+        return out.groupBy("key").agg(F.max("c").alias("c"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("add").alias("add"))
+
+    # What follows collects the tree, which only a small one allows.
+    @cached_property
+    def _small(self) -> tuple[np.ndarray, dict[int, float], dict[int, int], dict[int, float], list[int]]:
+        w = self.words.orderBy("key").toPandas()
+        lp, up, beta = {}, {}, {}
+        for steps, states in zip(self.steps, self.states, strict=True):
+            beta |= {r["x"]: r["beta"] for r in states.collect()}
+            for r in steps.collect():
+                up[r["key"]] = r["up"]
+                if r["x"] in beta:
+                    lp[r["key"]] = r["lp"]
+        return w, lp, up, beta, sorted(beta)
+
+    @cached_property
+    def root(self) -> np.ndarray:
+        """log10 probability of all unknown words together, then of each known word."""
+        return np.log10(np.concatenate([[1.0], self._small[0]["c"].to_numpy() + 1.0])) + self.rate
+
+    @cached_property
+    def parent(self) -> np.ndarray:
+        """The state of the longest kept suffix of each state, -1 for the root."""
+        _, _, up, beta, order = self._small
+        number = {x: i for i, x in enumerate(order)}
+        out = []
+        for x in order:
+            x = up.get(x)
+            while x is not None and x not in beta:
+                x = up.get(x)
+            out.append(-1 if x is None else number[x])
+        return np.array(out, np.int64)
 
     def log10(self, state: np.ndarray, sym: np.ndarray) -> np.ndarray:
-        out, state = np.zeros(len(sym)), state.copy()
-        left = np.arange(len(sym))
-        for _ in range(DEPTH + 1):
-            s, w = state[left], sym[left]
-            top = s < 0
-            out[left[top]] += self.root[w[top]]
-            left, s, w = left[~top], s[~top], w[~top]
-            if not len(left):
-                break
-            key = s << BITS | w
-            at = np.minimum(np.searchsorted(self.entry, key), len(self.entry) - 1)
-            own = self.entry[at] == key
-            out[left[own]] += self.value[at[own]]
-            left = left[~own]
-            out[left] += self.beta[s[~own]]
-            state[left] = self.parent[s[~own]]
+        w, lp, _, beta, order = self._small
+        keys, out = w["key"].to_numpy(np.int64), np.zeros(len(sym))
+        for i, (s, y) in enumerate(zip(state.tolist(), sym.tolist(), strict=True)):
+            while s >= 0:
+                key = int(follow(np.array([order[s]]), keys[y - 1:y])[0]) if y else None
+                if key in lp:
+                    out[i] += lp[key]
+                    break
+                out[i] += beta[order[s]]
+                s = self.parent[s]
+            else:
+                out[i] += self.root[y]
         return out
 
 
-def contexts(sym: np.ndarray, counts: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each place and depth the symbols before it, the last in the lowest bits; -1 where the text has fewer."""
-    starts = np.repeat(np.cumsum(counts) - counts, counts)
-    place = np.arange(len(sym)) - starts
-    out, key = [], np.zeros(len(sym), np.int64)
-    for d in range(1, depth + 1):
-        shifted = np.concatenate([np.zeros(min(d, len(sym)), np.int64), sym[:-d]]) if d < len(sym) else np.zeros(len(sym), np.int64)
-        key = key | shifted << (BITS * (d - 1))
-        out.append(np.where(place >= d, key, -1))
-    return out
-
-
-def _count_next(shared, depth: int):
+def _count_runs(shared, size: int):
+    """(key, up, x, c) of the runs of `size` words whose words but the last may be a candidate."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, wanted = shared.value
-        tally = Tally()
-        for b in slices(batches):
-            h, counts = tokens(b.column("text"))
-            sym = tree.symbols(h)
-            c = contexts(sym, counts, depth)[-1]
-            at = np.minimum(np.searchsorted(wanted, c), len(wanted) - 1)
-            hit = wanted[at] == c
-            yield from _emit(tally.add(at[hit] << BITS | sym[hit]), "k")
-        yield from _emit(tally.rest(), "k")
+        bits = shared.value
+        for b in slices(batches, most=16 << 20):
+            got = runs(*tokens(b.column("text")), size)
+            at, key = got[-1]
+            x, up = got[-2][1], got[-2][1]
+            at = at[maybe(bits, x[at - 1])]
+            keys, first, c = np.unique(key[at], return_index=True, return_counts=True)
+            at = at[first]
+            for i in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[i:i + 50_000], pa.int64()) for v in (keys, up[at], x[at - 1], c)], ["key", "up", "x", "c"])
 
     return run
 
 
-def train(docs: DataFrame, p_symbol: float = 5e-5, p_context: float = 2e-5, p_next: float = 2e-6, gain: float = 0.01, discount: float = 0.75) -> tuple[Tree, DataFrame, int]:
-    """Learn from docs (text). Returns the tree, the table of counts (w, c) of all words and the number of tokens."""
-    if 1 / p_symbol >= (1 << BITS) - 1:
-        raise ValueError("p_symbol is too small for 16-bit symbols")
-    counts = written(docs.select("text").mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
-    free_shuffles(docs.sparkSession)
+def train(docs: DataFrame, least_context: int = 4, least_next: int = 2, gain: float = 0.01, discount: float = 0.75) -> tuple[Tree, DataFrame, int]:
+    """Learn from docs (text). Returns the tree, the table of counts (key, c) of all words and the number of tokens."""
+    spark = docs.sparkSession
+    counts = written(docs.select("text").mapInArrow(_count_words, "w long, c long").groupBy(F.col("w").alias("key")).agg(F.sum("c").alias("c")), "words")
+    free_shuffles(spark)
     r = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = r["n"], r["v"]
-    top = counts.where(F.col("c") >= max(1.0, p_symbol * n)).orderBy("w").toPandas() if n else None
-    sym_hash, sym_c = (top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64)) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    # OTHER: the rare known words, one more for each, and one for all unknown words together.
-    other = float(n - sym_c.sum() + (v - len(sym_c)) + 1)
-    rate = -np.log10(float(n) + v + 1)
-    root = np.log10(np.concatenate([[other], sym_c + 1.0])) + rate
-    tree = Tree(sym_hash, root, float(rate), [], [], np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
-    if not n:
-        return tree, counts, 0
-    wanted = np.flatnonzero(np.concatenate([[n - sym_c.sum()], sym_c]) >= max(4.0, p_context * n))
-    wanted = wanted[wanted != np.searchsorted(sym_hash, END.view(np.int64)) + 1] if END.view(np.int64) in sym_hash else wanted
+    # One more for each known word, and one for all unknown words together.
+    tree = Tree(counts, float(-np.log10(float(n) + v + 1)), [], [])
+    before = counts.select("key", "c", (F.log10((F.col("c") + 1).cast("double")) + tree.rate).alias("lp"))
     for depth in range(1, DEPTH + 1):
-        if not len(wanted):
+        contexts = before.where((F.col("c") >= least_context) & (F.col("key") != int(END.view(np.int64))))
+        bits = bitmap(contexts)
+        if not bits.any():
             break
-        shared = docs.sparkSession.sparkContext.broadcast((tree, wanted))
-        table = written(docs.select("text").mapInArrow(_count_next(shared, depth), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "next")
-        free_shuffles(docs.sparkSession)
-        totals = table.groupBy(F.shiftright("k", BITS).alias("s")).agg(F.sum("c").alias("c")).toPandas()
-        often = table.where(F.col("c") >= max(2.0, p_next * n)).orderBy("k").toPandas()
-        shared.unpersist()
-        total = np.zeros(len(wanted), np.int64)
-        total[totals["s"].to_numpy(np.int64)] = totals["c"].to_numpy(np.int64)
-        k, c = often["k"].to_numpy(np.int64), often["c"].to_numpy(np.int64)
-        s, w = k >> BITS, k & ((1 << BITS) - 1)
-        # The longest kept suffix of each context, and what it says of the next symbols.
-        suffixes = [wanted & ((1 << BITS * d) - 1) for d in range(1, depth)]
-        parent = tree.states(suffixes) if suffixes else np.full(len(wanted), -1, np.int64)
-        q = 10 ** tree.log10(parent[s], w)
-        p = (c - discount) / total[s]
-        size = len(wanted)
-        rest_p, rest_q = 1 - np.bincount(s, p, size), np.maximum(1 - np.bincount(s, q, size), 1e-12)
-        kl = np.bincount(s, p * np.log(p / q), size) + rest_p * np.log(np.maximum(rest_p, 1e-12) / rest_q)
-        kept = (total > 0) & (kl - np.bincount(s, minlength=size) / (2 * np.maximum(total, 1)) > gain)
-        number = np.where(kept, len(tree.parent) + np.cumsum(kept) - 1, -1)
-        own = kept[s]
-        order = np.argsort(wanted[kept])
-        tree.keys.append(wanted[kept][order])
-        tree.node.append(number[kept][order])
-        tree.parent = np.concatenate([tree.parent, parent[kept]])
-        tree.beta = np.concatenate([tree.beta, np.log10(np.maximum(rest_p, 1e-12) / rest_q)[kept]])
-        entry, value = np.concatenate([tree.entry, number[s][own] << BITS | w[own]]), np.concatenate([tree.value, np.log10(p[own])])
-        order = np.argsort(entry)
-        tree.entry, tree.value = entry[order], value[order]
-        longer = (c >= max(4.0, p_context * n)) & (sym_hash[np.maximum(w - 1, 0)] != END.view(np.int64)) if len(sym_hash) else c >= max(4.0, p_context * n)
-        wanted = np.sort(wanted[s[longer]] << BITS | w[longer]) if depth < DEPTH else wanted[:0]
+        shared = spark.sparkContext.broadcast(bits)
+        found = docs.select("text").mapInArrow(_count_runs(shared, depth + 1), "key long, up long, x long, c long").groupBy("key").agg(F.first("up").alias("up"), F.first("x").alias("x"), F.sum("c").alias("c"))
+        found = written(found.where(F.col("c") >= least_next), "runs")
+        shared.destroy()
+        del bits, shared
+        free_shuffles(spark)
+        # A run's context and its suffix are at least as frequent as it is, so both are in the table before.
+        rows = found.join(contexts.select(F.col("key").alias("x"), F.col("c").alias("total")), "x").join(before.select(F.col("key").alias("up"), F.col("lp").alias("q")), "up")
+        rows = written(rows.withColumn("p", F.log10((F.col("c") - discount) / F.col("total"))), "steps")
+        p, q = F.pow(F.lit(10.0), "p"), F.pow(F.lit(10.0), "q")
+        rest_p, rest_q = F.greatest(F.col("rest_p"), F.lit(1e-12)), F.greatest(F.col("rest_q"), F.lit(1e-12))
+        states = rows.groupBy("x").agg(F.max("total").alias("c"), F.count(F.lit(1)).alias("m"), (1 - F.sum(p)).alias("rest_p"), (1 - F.sum(q)).alias("rest_q"), F.sum(p * (F.col("p") - F.col("q")) * float(np.log(10))).alias("kl"))
+        kl = F.col("kl") + F.col("rest_p") * F.log(rest_p / rest_q)
+        states = written(states.where(kl - F.col("m") / (2 * F.col("c")) > gain).select("x", F.log10(rest_p / rest_q).alias("beta"), "c"), "states")
+        own = F.col("beta").isNotNull()
+        steps = rows.join(states.select("x", "beta"), "x", "left").select("key", "up", "x", "c", F.when(own, F.col("p")).otherwise(F.col("q")).alias("lp"), F.when(own, F.col("p") - F.col("q") - F.col("beta")).otherwise(0.0).alias("add"))
+        before = written(steps, "steps")
+        for done in (found, rows):
+            for path in {f.rpartition("/")[0] for f in done.inputFiles()}:
+                drop_path(spark, path)
+        free_shuffles(spark)
+        tree.steps.append(before)
+        tree.states.append(states)
     return tree, counts, n
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        (keys, known, base, add), bits = shared.value
         for b in slices(batches):
             h, counts = tokens(b.column("text"))
-            sym = tree.symbols(h)
-            lp = tree.log10(tree.states(contexts(sym, counts, DEPTH)), sym)
-            rare = sym == OTHER
-            at = np.cumsum(counts) - counts
-            sums = lambda x: np.add.reduceat(x.astype(np.float64), at)  # noqa: E731, B023
+            begin = np.cumsum(counts) - counts
+            sums = [np.zeros(len(h)) for _ in range(4)]
+            for at, key in runs(h, counts, DEPTH + 1):
+                key = key[at]
+                i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                own = keys[i] == key if len(keys) else np.zeros(len(key), bool)
+                sums[0][at[~own]] += maybe(bits, key[~own])
+                for total, value in zip(sums[1:], (known, base, add), strict=True):
+                    total[at[own]] += value[i[own]]
+            left, often, base_sum, add_sum = (np.add.reduceat(x, begin) for x in sums)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), b.column("k"), pa.array(counts, pa.int64()), pa.array(sums(~rare), pa.float64()).cast(pa.int64()), pa.array(sums(np.where(rare, 0.0, tree.root[sym]))), pa.array(sums(np.where(rare, lp - tree.root[OTHER], lp)))],
-                ["doc_id", "held_out", "k", "n_tokens", "often", "base", "lp"])
+                [b.column("doc_id"), b.column("held_out"), b.column("k"), pa.array(counts, pa.int64()), pa.array(left.astype(np.int64)), pa.array(often.astype(np.int64)), pa.array(base_sum), pa.array(add_sum)],
+                ["doc_id", "held_out", "k", "n_tokens", "left", "often", "base0", "add0"])
 
     return run
 
 
-def _rare(shared):
-    """(k, w, n) of the rare words of each text, and one row with w null for each text that has any."""
+def _rest(shared):
+    """(k, key, n) of the runs of each text that may be in the table and are not among the most frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        (keys, *_), bits = shared.value
         for b in slices(batches):
             h, counts = tokens(b.column("text"))
-            rare = tree.symbols(h) == OTHER
-            owner = np.repeat(np.arange(len(counts)), counts)[rare]
-            h = h[rare]
-            order = np.lexsort((h, owner))
-            owner, h = owner[order], h[order]
-            at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.append(at, len(h)))
+            owners = np.repeat(np.arange(len(counts)), counts)
             k = b.column("k").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(k[owner[at]], pa.int64()), pa.array(h[at], pa.int64()), pa.array(n, pa.int32())], ["k", "w", "n"])
+            for at, key in runs(h, counts, DEPTH + 1):
+                at = at[maybe(bits, key[at])]
+                if len(keys):
+                    at = at[keys[np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)] != key[at]]
+                owner, own = owners[at], key[at]
+                order = np.lexsort((own, owner))
+                owner, own = owner[order], own[order]
+                first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])])) if len(own) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(k[owner[first]], pa.int64()), pa.array(own[first], pa.int64()), pa.array(n, pa.int32())], ["k", "key", "n"])
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, **how) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, p_head: float = 5e-6, **how) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(id as text) mod folds is not `fold`; a null id is held out. A null or empty
@@ -265,17 +322,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     spark = docs.sparkSession
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(crc % folds == fold, F.lit(True)).alias("held_out"), text_of(docs, text_col).alias("text"))
-    tree, counts, n = train(base.where(~F.col("held_out")), **how)
-    shared = spark.sparkContext.broadcast(tree)
+    tree, _, n = train(base.where(~F.col("held_out")), **how)
+    table = written(tree.adds(), "adds")
+    free_shuffles(spark)
+    head = table.where(F.col("c") >= max(1.0, p_head * n)).toPandas().sort_values("key")
+    rest = table.where(F.col("c") < max(1.0, p_head * n))
+    shared = spark.sparkContext.broadcast(([head[c].to_numpy(t) for c, t in (("key", np.int64), ("known", np.int64), ("base", np.float64), ("add", np.float64))], bitmap(rest)))
     base = base.withColumn("k", F.xxhash64("doc_id", "text"))
-    scored = base.mapInArrow(_score(shared), "doc_id long, held_out boolean, k long, n_tokens long, often long, base double, lp double")
-    rare = base.select("k", "text").mapInArrow(_rare(shared), "k long, w long, n int")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    sums = rare.join(counts, "w", "left").groupBy("k").agg(F.sum(F.col("n") * (F.log10((c + 1).cast("double")) + tree.rate)).alias("rare_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum("n").alias("rare_n"))
+    scored = base.mapInArrow(_score(shared), "doc_id long, held_out boolean, k long, n_tokens long, left long, often long, base0 double, add0 double")
+    found = base.select("k", "text").mapInArrow(_rest(shared), "k long, key long, n int").join(rest, "key", "left")
+    total = lambda c: F.sum(F.col("n") * F.coalesce(F.col(c), F.lit(0)))
+    sums = found.groupBy("k").agg(F.sum("n").alias("rest_n"), total("known").alias("rest_known"), total("base").alias("rest_base"), total("add").alias("rest_add"))
     # Rows that repeat an id and a text add up under one k: their share is what one row has.
     out = scored.join(sums, "k", "left")
-    share = F.coalesce((F.col("n_tokens") - F.col("often")) / F.col("rare_n"), F.lit(0.0))
-    extra = F.coalesce(F.col("rare_base") * share, F.lit(0.0))
+    share = F.coalesce(F.col("left") / F.col("rest_n"), F.lit(0.0))
+    more = lambda c: F.coalesce(F.col(c) * share, F.lit(0.0))
+    rate = F.col("n_tokens") * tree.rate
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("often") + F.round(F.coalesce(F.col("rare_known") * share, F.lit(0.0)))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("lp") + extra).alias("score"))
+        "doc_id", "held_out", "n_tokens", (F.col("often") + F.round(more("rest_known"))).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), (rate + F.col("base0") + more("rest_base")).alias("base_score"), (rate + F.col("add0") + more("rest_add")).alias("score"))

@@ -341,3 +341,29 @@ def test_lcs():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert decontaminate.lcs(np.array(a), np.array(b)) == t[-1][-1]
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Rare words are contexts however large the corpus is, and no state is lost to the share of the corpus."""
+    rnd = random.Random(8)
+    often = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(400))) for i in range(400)]  # 160,000 tokens
+    rare = [(1000 + i, f"rareone raretwo rare{i}") for i in range(6)]  # 6 of them: below 5e-5 of all
+    docs = spark.createDataFrame(often + rare + [(2000, "rareone raretwo"), (2001, "raretwo rareone")], "doc_id long, text string")
+    got = {g.doc_id: g for g in suffix_tree_lm.score(docs, fold=7).collect()}
+    assert got[2000].base_score == pytest.approx(got[2001].base_score, abs=1)
+    assert got[2000].score > got[2001].score + 1
+    tree, _, _ = suffix_tree_lm.train(docs.select("text"))
+    joined = {g.doc_id: g for g in suffix_tree_lm.score(docs, fold=7, p_head=1.0).collect()}  # nothing in place
+    assert all(abs(joined[i].score - got[i].score) < 1e-6 and joined[i].n_known == got[i].n_known for i in got)
+    # The sum over runs is what the walk through the states gives.
+    w = tree._small[0]["key"].tolist()
+    index = {x: i for i, x in enumerate(tree._small[4])}
+    for i, t in often[:2] + rare[:2]:
+        h, want = suffix_tree_lm.tokens(pa.array([t]))[0], 0.0
+        for at in range(len(h)):
+            state = -1
+            for d in range(1, min(3, at) + 1):
+                key = suffix_tree_lm.runs(h[at - d:at], np.array([d]), d)[-1][1][-1]
+                state = index.get(int(key), state)
+            want += tree.log10(np.array([state]), np.array([w.index(int(h[at])) + 1]))[0]
+        assert got[i].score == pytest.approx(want, abs=1e-6)
