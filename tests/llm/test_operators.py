@@ -367,3 +367,46 @@ def test_suffix_tree_grows_with_the_corpus(spark):
                 state = index.get(int(key), state)
             want += tree.log10(np.array([state]), np.array([w.index(int(h[at])) + 1]))[0]
         assert got[i].score == pytest.approx(want, abs=1e-6)
+
+
+def generated(pattern, rnd):
+    """A string that the pattern matches, alternatives and repeats by chance."""
+    from re import _parser
+
+    def of(items):
+        out = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "ANY":
+                out += "n"
+            elif name == "IN":
+                k, v = rnd.choice(arg)
+                out += chr(v if str(k) == "LITERAL" else rnd.randint(*v)) if str(k) != "CATEGORY" else "1"
+            elif name == "BRANCH":
+                out += of(rnd.choice(arg[1]))
+            elif name == "SUBPATTERN":
+                out += of(arg[3])
+            else:
+                out += "".join(of(arg[2]) for _ in range(rnd.randint(arg[0], min(int(arg[1]), arg[0] + 1))))
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_gates_pass_generated_strings():
+    """Whole strings of each frame and name pass both gates, also with underscores between words."""
+    rnd = random.Random(5)
+    for r in license_scan.rules():
+        for _ in range(12):
+            sample = generated(r.pattern, rnd)
+            assert re.fullmatch(r.pattern, sample), (r, sample)
+            assert license_scan.FIRST.search(sample) and license_scan.FIRST.search(f"_{sample.replace(' ', '_')}_"), (r, sample)
+            assert license_scan.detect(f" {sample} "), (r, sample)
+
+
+@pytest.mark.parametrize("text,label", [("Released under the MIT", "mit"), ("distributed under the terms of the ISC", "isc"), ("provided under the Boost Software", "bsl-1"), ("available under Elastic 2", "elastic-2"), ("shared under Vim", "vim"), ("x cc_by_nc x", "cc-by-nc")])
+def test_license_frames_without_the_word(spark, text, label):
+    got = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert label in got.labels.split(",") and got.score > 0
