@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all run in one process, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/") + "/marlstone"
@@ -53,7 +56,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Remove tables that written() returned, once nothing reads them any more, and the shuffle files of finished plans."""
+    for t in tables:
+        drop_path(t.sparkSession, t.written_to)
+    if tables:
+        free_shuffles(tables[0].sparkSession)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each half-round is one aggregation by vertex and one join back, which adaptive execution can split where
     a vertex has very many edges; each round is written to the shared folder. Nothing is collected but two
-    numbers that tell whether a round changed the edges.
+    numbers that tell whether a round changed the edges. Running out of rounds is an error.
     """
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -36,5 +36,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     roots = now.select(F.col("b").alias("v")).distinct()
     return now.select(F.col("a").alias("v"), F.col("b").alias("component")).unionByName(roots.select("v", F.col("v").alias("component")))

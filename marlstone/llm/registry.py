@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, near_dedup, suffix_dedup, suffix_tree_lm, token_store, url_filter
 
 #: Where the tokenizer's file is; not part of the repository.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import free_shuffles, mix, slices, text_of, written
+from marlstone.llm.common import done, free_shuffles, mix, slices, text_of, written
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -271,7 +271,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, removed, spans)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, gram: int = 64, batch: int = 200_000, hot: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, gram: int = 64, batch: int = 200_000, hot: int = 400, share: int = 5000) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte covered by a string of `span` UTF-8 bytes that also starts elsewhere, in the same or another
@@ -302,11 +302,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = strings.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     many = strings.join(twice.select("h", "d"), ["h", "d"]).groupBy("h", "kind").agg(F.collect_list(F.struct("s", (F.col("s") + span).alias("e"))).alias("ranges"))
     ranges = written(usual.unionByName(many), "ranges")
+    done(cuts)
     # Back to the places: kinds that occur twice are covered as a whole, the others where their strings repeat.
-    marked = kinds.join(ranges, ["h", "kind"], "left").where("n > 1 or ranges is not null").select("h", "kind", "n", "ranges")
-    last = found.join(marked, ["h", "kind"])
+    marked = written(kinds.join(ranges, ["h", "kind"], "left").where("n > 1 or ranges is not null").select("h", "kind", "n", "ranges"), "marked")
+    done(kinds, ranges)
+    # Kinds of more than a `share`-th of all places are few (fewer than `share`), so they are broadcast; the others are joined by shuffle.
+    least = max(1000, found.count() // share)
+    hot_kinds = marked.where(F.col("n") > least)
+    rest = found
+    if not hot_kinds.isEmpty():
+        rest = found.join(F.broadcast(hot_kinds.select("h", "kind")), ["h", "kind"], "left_anti")
+    last = rest.join(marked.where(F.col("n") <= least), ["h", "kind"]).unionByName(found.join(F.broadcast(hot_kinds), ["h", "kind"]))
     whole = F.array(F.struct(F.col("place").alias("s"), (F.col("place") + F.col("size")).alias("e")))
     shifted = F.transform("ranges", lambda r: F.struct((r["s"] + F.col("place")).cast("int").alias("s"), (r["e"] + F.col("place")).cast("int").alias("e")))
     by_text = written(last.select("k", F.explode(F.when(F.col("n") > 1, whole).otherwise(shifted)).alias("r")).groupBy("k").agg(F.collect_set("r").alias("ranges")), "by_text")
-    free_shuffles(spark)
+    done(found, marked)
     return base.join(by_text, "k", "left").select("doc_id", "text", "ranges").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

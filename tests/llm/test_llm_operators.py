@@ -170,10 +170,44 @@ def test_language(spark, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def grams(texts, most=1 << 20):
+    ids, n = [[] for _ in texts], [0] * len(texts)
+    for first, got, counts in language_id.ngrams(pa.array(texts), most):
+        at = 0
+        for i, c in enumerate(counts.tolist()):
+            ids[first + i] += got[at:at + c].tolist()
+            n[first + i] += c
+            at += c
+    assert [len(x) for x in ids] == n
+    return [sorted(x) for x in ids]
+
+
 def test_ngrams_do_not_cross_texts():
-    ids, n = language_id.ngrams(pa.array(["ab", "", "a b", "é", "!!"]))
-    one = [language_id.ngrams(pa.array([t])) for t in ["ab", "", "a b", "é", "!!"]]
-    assert n.tolist() == [int(x[1][0]) for x in one] and ids.tolist() == [i for x in one for i in x[0].tolist()]
+    texts = ["ab", "", "a b", "é", "!!", "one  two", "x" * 50]
+    assert grams(texts) == [grams([t])[0] for t in texts] == grams(texts, 3)
+
+
+def test_language_stage_scores_every_text(spark):
+    rnd = random.Random(2)
+    kinds = {"en": "the of and river stone with that", "de": "der und straße nicht für über haus"}
+    make = lambda x: " ".join(rnd.choice(kinds[x].split()) for _ in range(40))
+    rows = [(i, make(x), x) for i in range(200) for x in [list(kinds)[i % 2]]]
+    rows += [(500, "это совсем другой язык " * 20, None), (501, "日本語の文章です " * 20, None), (502, "12 34", "en"), (503, None, None), (504, make("de") * 40, None)]
+    left = {r.doc_id for r in language_id.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert left == {*range(200), 504}  # 500 and 501 have letters, but no language that was learnt
+
+
+def test_long_text_in_pieces():
+    """A text of 50 MB is scored in bounded pieces, as its parts are."""
+    import resource
+
+    part = "the river and the stone " * 1000
+    model = language_id.Model(["a", "b"], np.random.default_rng(0).standard_normal((language_id.DIM, 3)).astype(np.float32), np.zeros(2), 1.0)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    long = model.logits(pa.array([part * 2100], pa.large_string()))[0]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_200_000  # kB
+    assert np.allclose(long, model.logits(pa.array([part * 20]))[0], atol=1e-3)
+
 
 
 def test_license(docs, rows, empty):
