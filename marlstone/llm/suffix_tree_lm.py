@@ -4,10 +4,14 @@ Every word is a symbol. Contexts of up to three words that the training texts ha
 are candidates; one is kept as a state if its next words diverge from those of its longest kept suffix. A state
 has its own probabilities, less a discount, for next words seen at least `least_next` times after it and leaves the
 others to its suffix. A token is scored in the longest state that its predecessors in the text end with. Both
-limits are fixed counts, so the tree grows with the corpus. It is never held as a whole: runs of one to four words
-are rows of written tables, joined by 64-bit hashes. A text's score is a sum over its runs (see `Tree.adds`), so one
-join scores all. The most frequent runs (at most 1 / `p_head` a length) are added up where the text is
-instead, and bitmaps of hashes leave runs out that cannot be in a table; neither changes a result.
+limits are fixed counts, so the tree grows with the corpus.
+
+The tree is never held as a whole: runs of one to four words are rows of written tables, named by 64-bit hashes that
+NumPy and Spark's xxhash64 compute alike. Texts are cut into words once and written as slices of word hashes.
+What many tasks ask of one table (how often is this run, what does it add to a score) travels as packed hashes, dealt
+out by hash: a run that is very frequent is one entry of each task that has it, so no key is hot. A text's
+score is a sum over its runs (see `Tree.adds`). Bitmaps of hashes leave out runs that cannot be in a table, which
+saves traffic on small corpora and changes no result.
 """
 
 from __future__ import annotations
@@ -18,78 +22,94 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import drop_path, free_shuffles, hashes, mix, slices, text_of, words, written
+from marlstone.llm.common import done, free_shuffles, hashes, slices, text_of, words, written
 
 END = np.uint64(0x5EED)
 DEPTH, BITS, PAGE = 3, 26, 14
+#: Of xxHash64, as Spark computes it for longs.
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+SLICES = "slice long, ids binary, nulls binary, held binary, counts binary, words binary, at binary"
 
 
-class Tally:
-    """Sums counts by 64-bit key; what it holds is bounded by flushing."""
+def _xx(value: np.ndarray, seed) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        k = value * P2
+        h = (seed + P5 + np.uint64(8)) ^ ((k << np.uint64(31) | k >> np.uint64(33)) * P1)
+        h = (h << np.uint64(27) | h >> np.uint64(37)) * P1 + P4
+        h ^= h >> np.uint64(33)
+        h *= P2
+        h ^= h >> np.uint64(29)
+        h *= P3
+        return h ^ h >> np.uint64(32)
 
-    def __init__(self, most: int = 1_500_000):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size, self.most = 0, most
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
-        if not len(keys):
-            return None
-        self.parts.append(_sums(keys, counts))
-        self.size += len(self.parts[-1][0])
-        if self.size > 2 * self.most:
-            k, c = self.rest()
-            if len(k) > self.most:
-                return k, c
-            self.parts, self.size = [(k, c)], len(k)
-        return None
-
-    def rest(self) -> tuple[np.ndarray, np.ndarray]:
-        parts, self.parts, self.size = self.parts, [], 0
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+def follow(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of runs with one more word at their end; F.xxhash64(run, word) is the same."""
+    return _xx(word.view(np.uint64), _xx(run.view(np.uint64), np.uint64(42))).view(np.int64)
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts, at)
+def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, held_out, text) -> slices of a few MB of text each: the documents, their counts of tokens, the distinct words' hashes and each token's place among them."""
+    task = TaskContext.get().partitionId()
+    for k, b in enumerate(slices(batches)):
+        at, dictionary, counts = words(b.column("text"))
+        token = np.full(len(at) + len(counts), len(dictionary), np.int32)  # the end of a text, unless a word is put there
+        inner = np.ones(len(token), bool)
+        inner[np.cumsum(counts + 1) - 1] = False
+        token[inner] = at
+        ids = b.column("doc_id")
+        cols = (ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), b.column("held_out").to_numpy(zero_copy_only=False), counts + 1, np.append(hashes(dictionary), END), token)
+        yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in cols)], ["slice", "ids", "nulls", "held", "counts", "words", "at"])
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the texts' tokens, the end of each text included, as signed 64-bit, and the number of tokens of each."""
-    ids, dictionary, counts = words(texts)
-    h = np.empty(len(ids) + len(counts), np.uint64)
-    ends = np.cumsum(counts + 1) - 1
-    inner = np.ones(len(h), bool)
-    inner[ends] = False
-    h[inner] = hashes(dictionary)[ids]
-    h[~inner] = END
-    return h.view(np.int64), counts + 1
+def sliced(docs: DataFrame) -> DataFrame:
+    """The written slices of docs (doc_id long, held_out boolean, text)."""
+    return written(docs.mapInArrow(_slice, SLICES), "slices")
 
 
-def _emit(got: tuple[np.ndarray, np.ndarray] | None, name: str) -> Iterator[pa.RecordBatch]:
-    if got is not None:
-        for at in range(0, len(got[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 50_000], pa.int64()) for x in got], [name, "c"])
+@dataclass
+class Slice:
+    number: int
+    ids: np.ndarray
+    nulls: np.ndarray
+    held: np.ndarray
+    counts: np.ndarray  # of tokens of each document
+    words: np.ndarray  # distinct hashes
+    at: np.ndarray  # of each token in words
+
+    @property
+    def tokens(self) -> np.ndarray:
+        return self.words[self.at]
+
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens, and their number in each document, of the training documents."""
+        return self.tokens[np.repeat(~self.held, self.counts)], self.counts[~self.held]
+
+
+def _slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Slice]]:
+    kinds = (("ids", np.int64), ("nulls", bool), ("held", bool), ("counts", np.int64), ("words", np.int64), ("at", np.int32))
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b, i, Slice(b.column("slice")[i].as_py(), *(np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in kinds))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = Tally()
-    for b in slices(batches):
-        yield from _emit(tally.add(tokens(b.column("text"))[0]), "w")
-    yield from _emit(tally.rest(), "w")
+def _sums(keys: np.ndarray, counts: np.ndarray, *first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, their counts added up, and what else goes with a key."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0], *(x[order[at]] for x in first)
 
 
-def follow(run: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashes of runs with one more word at their end."""
-    return mix(run.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)).view(np.int64)
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, s in _slices_of(batches):
+        n = np.bincount(s.at[np.repeat(~s.held, s.counts)], minlength=len(s.words))
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(s.words[own]), pa.array(n[own].astype(np.int64))], ["key", "c"])
 
 
 def runs(h: np.ndarray, counts: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -103,6 +123,23 @@ def runs(h: np.ndarray, counts: np.ndarray, longest: int) -> list[tuple[np.ndarr
     return out
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(20)).astype(np.int64) % buckets
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that brings the keys of a bucket together, and (bucket, from, to) of those that have any."""
+    bucket = bucket_of(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    n = np.bincount(bucket, minlength=1)
+    to = np.cumsum(n)
+    return order, [(i, int(to[i] - n[i]), int(to[i])) for i in np.flatnonzero(n).tolist()]
+
+
+def _dealt_rows(df: DataFrame, buckets: int, order: str = "bucket") -> DataFrame:
+    """Rows of packed hashes by bucket, sorted; so that a task holds one bucket at a time."""
+    return df.repartitionById(min(buckets, 20_000), F.col("bucket") % min(buckets, 20_000)).sortWithinPartitions(*order.split())
+
 def bitmap(keys: DataFrame) -> np.ndarray:
     """Bits set at the keys' lowest bits: a key whose bit is not set is not in the table."""
     slot = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))
@@ -144,23 +181,23 @@ class Tree:
     rate: float  # log10 of 1 / (N + V + 1)
     steps: list[DataFrame]
     states: list[DataFrame]
+    buckets: int = 1
 
     def adds(self) -> DataFrame:
-        """(key, c, known, base, add): what a run in a text adds to its scores beyond `rate` a word.
+        """(key, known, base, add): what a run in a text adds to its scores beyond `rate` a word.
 
         A word adds what it has at the root. A context that is a state adds its beta, as if the next word were
         none of its own. A word after it that is one of its own takes beta back and adds its log10
         probability less that in the suffix, which the shorter run has added.
         """
         lp = F.log10((F.col("c") + 1).cast("double"))
-        zero = F.lit(0.0)
-        parts = [self.words.select("key", "c", F.lit(1).alias("known"), lp.alias("base"), lp.alias("add"))]
-        parts += [t.where("add != 0").select("key", "c", F.lit(0), zero, "add") for t in self.steps]
-        parts += [t.select(F.col("x").alias("key"), "c", F.lit(0), zero, F.col("beta").alias("add")) for t in self.states]
-        out = parts[0]
-        for part in parts[1:]:
+        zero, none = F.lit(0.0), F.lit(0)
+        out = self.words.select("key", F.lit(1).alias("known"), lp.alias("base"), lp.alias("add"))
+        parts = [t.where("add != 0").select("key", none, zero, "add") for t in self.steps]
+        parts += [t.select(F.col("x").alias("key"), none, zero, F.col("beta").alias("add")) for t in self.states]
+        for part in parts:
             out = out.union(part)
-        return out.groupBy("key").agg(F.max("c").alias("c"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("add").alias("add"))
+        return out.groupBy("key").agg(F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("add").alias("add"))
 
     # What follows collects the tree, which only a small one allows.
     @cached_property
@@ -209,47 +246,92 @@ class Tree:
         return out
 
 
-def _count_runs(shared, size: int):
-    """(key, up, x, c) of the runs of `size` words whose words but the last may be a candidate."""
+def _count_runs(shared, size: int, buckets: int, most: int = 3_000_000):
+    """Packed (context, next word, count) of the training texts' runs of `size` words, by bucket of the run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for b in slices(batches, most=16 << 20):
-            got = runs(*tokens(b.column("text")), size)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            key, x, w, c = (np.concatenate(v) for v in zip(*held, strict=True))
+            _, c, x, w = _sums(key, c, x, w)
+            order, parts = _dealt(follow(x, w), buckets)
+            x, w, c = x[order], w[order], c[order].astype(np.int32)
+            for bucket, at, to in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([v[at:to].tobytes()], pa.binary()) for v in (x, w, c))], ["bucket", "x", "w", "c"])
+
+        for _, _, s in _slices_of(batches):
+            h, counts = s.training()
+            got = runs(h, counts, size)
             at, key = got[-1]
-            x, up = got[-2][1], got[-2][1]
-            at = at[maybe(bits, x[at - 1])]
-            keys, first, c = np.unique(key[at], return_index=True, return_counts=True)
+            x = got[-2][1]
+            if shared is not None:
+                at = at[maybe(shared.value, x[at - 1])]
+            own, first, c = np.unique(key[at], return_index=True, return_counts=True)
             at = at[first]
-            for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[i:i + 50_000], pa.int64()) for v in (keys, up[at], x[at - 1], c)], ["key", "up", "x", "c"])
+            held.append((own, x[at - 1], h[at], c))
+            if sum(len(v[0]) for v in held) > most:
+                yield from packed()
+                held = []
+        if held:
+            yield from packed()
 
     return run
 
 
-def train(docs: DataFrame, least_context: int = 4, least_next: int = 2, gain: float = 0.01, discount: float = 0.75) -> tuple[Tree, DataFrame, int]:
-    """Learn from docs (text). Returns the tree, the table of counts (key, c) of all words and the number of tokens."""
-    spark = docs.sparkSession
-    counts = written(docs.select("text").mapInArrow(_count_words, "w long, c long").groupBy(F.col("w").alias("key")).agg(F.sum("c").alias("c")), "words")
+def _often(least: int):
+    """The runs of each bucket that are as frequent as `least` in all: key, x, w, c."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches, ("x", np.int64), ("w", np.int64), ("c", np.int32)):
+            x, w, c = (np.concatenate(v) for v in rows)
+            key, c, x, w = _sums(follow(x, w), c.astype(np.int64), x, w)
+            own = c >= least
+            yield pa.RecordBatch.from_arrays([pa.array(v[own]) for v in (key, x, w, c)], ["key", "x", "w", "c"])
+
+    return run
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], *kinds: tuple[str, type]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
+    """The packed columns of each bucket; batches are sorted by bucket."""
+    now, held = None, [[] for _ in kinds]
+    for b in batches:
+        for i, bucket in enumerate(b.column("bucket").to_pylist()):
+            if bucket != now:
+                if now is not None:
+                    yield now, held
+                now, held = bucket, [[] for _ in kinds]
+            for out, (c, t) in zip(held, kinds, strict=True):
+                out.append(np.frombuffer(b.column(c)[i].as_buffer(), t))
+    if now is not None:
+        yield now, held
+
+
+def train(cut: DataFrame, least_context: int = 2, least_next: int = 2, gain: float = 0.01, discount: float = 0.75, per_bucket: int = 3_000_000) -> tuple[Tree, DataFrame, int]:
+    """Learn from the training documents of slices. Returns the tree, the table of counts (key, c) of all words and the number of tokens."""
+    spark = cut.sparkSession
+    counts = written(cut.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
     free_shuffles(spark)
     r = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = r["n"], r["v"]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_bucket))
     # One more for each known word, and one for all unknown words together.
-    tree = Tree(counts, float(-np.log10(float(n) + v + 1)), [], [])
-    before = counts.select("key", "c", (F.log10((F.col("c") + 1).cast("double")) + tree.rate).alias("lp"))
+    tree = Tree(counts, float(-np.log10(float(n) + v + 1)), [], [], buckets)
+    before = counts.select("key", "c", F.lit(0).cast("long").alias("up"), (F.log10((F.col("c") + 1).cast("double")) + tree.rate).alias("lp"))
     for depth in range(1, DEPTH + 1):
-        contexts = before.where((F.col("c") >= least_context) & (F.col("key") != int(END.view(np.int64))))
-        bits = bitmap(contexts)
-        if not bits.any():
+        contexts = before.where((F.col("c") >= least_context) & (F.col("key") != int(END.view(np.int64)))).select(F.col("key").alias("x"), F.col("c").alias("total"), F.col("up").alias("x_up"))
+        if contexts.isEmpty():
             break
-        shared = spark.sparkContext.broadcast(bits)
-        found = docs.select("text").mapInArrow(_count_runs(shared, depth + 1), "key long, up long, x long, c long").groupBy("key").agg(F.first("up").alias("up"), F.first("x").alias("x"), F.sum("c").alias("c"))
-        found = written(found.where(F.col("c") >= least_next), "runs")
-        shared.destroy()
-        del bits, shared
+        # Nearly every word is a context; of longer runs few are.
+        shared = spark.sparkContext.broadcast(bitmap(contexts.select(F.col("x").alias("key")))) if depth > 1 else None
+        packed = cut.mapInArrow(_count_runs(shared, depth + 1, buckets), "bucket int, x binary, w binary, c binary")
+        found = written(_dealt_rows(packed, buckets).mapInArrow(_often(least_next), "key long, x long, w long, c long"), "runs")
+        if shared is not None:
+            shared.destroy()
         free_shuffles(spark)
         # A run's context and its suffix are at least as frequent as it is, so both are in the table before.
-        rows = found.join(contexts.select(F.col("key").alias("x"), F.col("c").alias("total")), "x").join(before.select(F.col("key").alias("up"), F.col("lp").alias("q")), "up")
-        rows = written(rows.withColumn("p", F.log10((F.col("c") - discount) / F.col("total"))), "steps")
+        up = F.col("w") if depth == 1 else F.xxhash64("x_up", "w")
+        rows = found.join(contexts, "x").withColumn("up", up).join(before.select(F.col("key").alias("up"), F.col("lp").alias("q")), "up")
+        rows = written(rows.select("key", "up", "x", "c", "total", "q", F.log10((F.col("c") - discount) / F.col("total")).alias("p")), "rows")
+        done(found)
         p, q = F.pow(F.lit(10.0), "p"), F.pow(F.lit(10.0), "q")
         rest_p, rest_q = F.greatest(F.col("rest_p"), F.lit(1e-12)), F.greatest(F.col("rest_q"), F.lit(1e-12))
         states = rows.groupBy("x").agg(F.max("total").alias("c"), F.count(F.lit(1)).alias("m"), (1 - F.sum(p)).alias("rest_p"), (1 - F.sum(q)).alias("rest_q"), F.sum(p * (F.col("p") - F.col("q")) * float(np.log(10))).alias("kl"))
@@ -258,86 +340,146 @@ def train(docs: DataFrame, least_context: int = 4, least_next: int = 2, gain: fl
         own = F.col("beta").isNotNull()
         steps = rows.join(states.select("x", "beta"), "x", "left").select("key", "up", "x", "c", F.when(own, F.col("p")).otherwise(F.col("q")).alias("lp"), F.when(own, F.col("p") - F.col("q") - F.col("beta")).otherwise(0.0).alias("add"))
         before = written(steps, "steps")
-        for done in (found, rows):
-            for path in {f.rpartition("/")[0] for f in done.inputFiles()}:
-                drop_path(spark, path)
-        free_shuffles(spark)
+        done(rows)
         tree.steps.append(before)
         tree.states.append(states)
     return tree, counts, n
 
 
-def _score(shared):
+def asked(s: Slice, bits: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The slice's distinct words and longer runs that may be in the table; by length, the places of runs and their numbers among those."""
+    out, keys, base = [(np.arange(len(s.at)), s.at.astype(np.int64))], [s.words], len(s.words)
+    for at, key in runs(s.tokens, s.counts, DEPTH + 1)[1:]:
+        at = at[maybe(bits, key[at])]
+        own, number = np.unique(key[at], return_inverse=True)
+        out.append((at, number + base))
+        keys.append(own)
+        base += len(own)
+    return np.concatenate(keys), out
+
+
+def _ask(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, known, base, add), bits = shared.value
-        for b in slices(batches):
-            h, counts = tokens(b.column("text"))
-            begin = np.cumsum(counts) - counts
-            sums = [np.zeros(len(h)) for _ in range(4)]
-            for at, key in runs(h, counts, DEPTH + 1):
-                key = key[at]
-                i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                own = keys[i] == key if len(keys) else np.zeros(len(key), bool)
-                sums[0][at[~own]] += maybe(bits, key[~own])
-                for total, value in zip(sums[1:], (known, base, add), strict=True):
-                    total[at[own]] += value[i[own]]
-            left, often, base_sum, add_sum = (np.add.reduceat(x, begin) for x in sums)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), b.column("k"), pa.array(counts, pa.int64()), pa.array(left.astype(np.int64)), pa.array(often.astype(np.int64)), pa.array(base_sum), pa.array(add_sum)],
-                ["doc_id", "held_out", "k", "n_tokens", "left", "often", "base0", "add0"])
+        for _, _, s in _slices_of(batches):
+            keys, _ = asked(s, shared.value)
+            order, parts = _dealt(keys, buckets)
+            keys = keys[order]
+            for at in range(0, len(parts), 64):
+                some = parts[at:at + 64]
+                none = pa.nulls(len(some), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in some], pa.int32()), pa.array([1] * len(some), pa.int32()), pa.array([s.number] * len(some), pa.int64()), pa.array([keys[a:b].tobytes() for _, a, b in some], pa.binary()), none, none, none], TABLE)
+
+    return run
+
+
+TABLE = ["bucket", "kind", "slice", "keys", "known", "base", "add"]
+TABLE_DDL = "bucket int, kind int, slice long, keys binary, known binary, base binary, add binary"
+
+
+def _table(buckets: int, most: int = 500_000):
+    """Rows (key, known, base, add) packed by bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            cols = [np.concatenate(v) for v in zip(*held, strict=True)]
+            order, parts = _dealt(cols[0], buckets)
+            cols = [c[order] for c in cols]
+            for bucket, a, b in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), *(pa.array([c[a:b].tobytes()], pa.binary()) for c in cols)], TABLE)
+
+        for b in batches:
+            held.append((b.column("key").to_numpy(), b.column("known").to_numpy().astype(np.uint8), b.column("base").to_numpy(), b.column("add").to_numpy()))
+            if sum(len(v[0]) for v in held) > most:
+                yield from packed()
+                held = []
+        if held:
+            yield from packed()
 
     return run
 
 
-def _rest(shared):
-    """(k, key, n) of the runs of each text that may be in the table and are not among the most frequent."""
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each slice's question what the bucket's table has: which keys, which of them are words, and their sums. Sorted by bucket and kind: the table comes first."""
+    now, parts, table = None, [], None
+    kinds = (("keys", np.int64), ("known", np.uint8), ("base", np.float64), ("add", np.float64))
+    for b in batches:
+        for i, (bucket, kind) in enumerate(zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), strict=True)):
+            if bucket != now:
+                now, parts, table = bucket, [], None
+            if kind == 0:
+                parts.append([np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in kinds])
+                continue
+            if table is None:
+                table = [np.concatenate(v) for v in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for _, t in kinds]
+                order = np.argsort(table[0])
+                table, parts = [v[order] for v in table], []
+            keys = np.frombuffer(b.column("keys")[i].as_buffer(), np.int64)
+            at = np.searchsorted(table[0], keys)
+            at[at == len(table[0])] = 0
+            own = table[0][at] == keys if len(table[0]) else np.zeros(len(keys), bool)
+            at = at[own]
+            known = table[1][at] > 0
+            cols = (np.packbits(own), np.packbits(known), table[2][at][known], table[3][at])
+            yield pa.RecordBatch.from_arrays([b.column("slice").slice(i, 1), pa.array([bucket], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], ["slice", "bucket", "own", "known", "base", "add"])
+
+
+def _score(shared, buckets: int):
+    """Each document's sums from its slice's answers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, *_), bits = shared.value
-        for b in slices(batches):
-            h, counts = tokens(b.column("text"))
-            owners = np.repeat(np.arange(len(counts)), counts)
-            k = b.column("k").to_numpy()
-            for at, key in runs(h, counts, DEPTH + 1):
-                at = at[maybe(bits, key[at])]
-                if len(keys):
-                    at = at[keys[np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)] != key[at]]
-                owner, own = owners[at], key[at]
-                order = np.lexsort((own, owner))
-                owner, own = owner[order], own[order]
-                first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])])) if len(own) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(k[owner[first]], pa.int64()), pa.array(own[first], pa.int64()), pa.array(n, pa.int32())], ["k", "key", "n"])
+        for b, i, s in _slices_of(batches):
+            keys, places = asked(s, shared.value)
+            order, parts = _dealt(keys, buckets)
+            value = np.zeros((3, len(keys)))
+            answers = b.column("answers")[i].values
+            got = {k: j for j, k in enumerate(answers.field("bucket").to_pylist())} if answers is not None else {}
+            of = lambda c, j, t: np.frombuffer(answers.field(c)[j].as_buffer(), t)
+            for bucket, at, to in parts:
+                if bucket not in got:
+                    continue
+                j = got[bucket]
+                own = order[at:to][np.unpackbits(of("own", j, np.uint8), count=to - at) > 0]
+                known = own[np.unpackbits(of("known", j, np.uint8), count=len(own)) > 0]
+                value[0, known] = 1
+                value[1, known] = of("base", j, np.float64)
+                value[2, own] = of("add", j, np.float64)
+            sums = [np.zeros(len(s.at)) for _ in value]
+            for at, number in places:
+                for total, v in zip(sums, value, strict=True):
+                    total[at] += v[number]
+            begin = np.cumsum(s.counts) - s.counts
+            known, base, add = (np.add.reduceat(x, begin) for x in sums)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s.ids, mask=s.nulls), pa.array(s.held), pa.array(s.counts), pa.array(known.astype(np.int64)), pa.array(base), pa.array(add)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base", "add"])
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, p_head: float = 5e-6, **how) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, **how) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, gain.
 
     Learns from rows whose crc32(id as text) mod folds is not `fold`; a null id is held out. A null or empty
     text has one token, its end. With no row to learn from all words are unknown, N and V are 0 and both
-    scores are 0. Rows that repeat the same id and text have the same result. An empty table gives an empty
-    result; other columns are ignored.
+    scores are 0. gain is what the tree adds to a token's log10 probability on average: texts that the corpus
+    repeats have a high one. Rows that repeat an id and a text have the same result. An empty table gives an
+    empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(crc % folds == fold, F.lit(True)).alias("held_out"), text_of(docs, text_col).alias("text"))
-    tree, _, n = train(base.where(~F.col("held_out")), **how)
+    cut = sliced(base)
+    tree, counts, n = train(cut, **how)
+    buckets = tree.buckets
     table = written(tree.adds(), "adds")
-    free_shuffles(spark)
-    head = table.where(F.col("c") >= max(1.0, p_head * n)).toPandas().sort_values("key")
-    rest = table.where(F.col("c") < max(1.0, p_head * n))
-    shared = spark.sparkContext.broadcast(([head[c].to_numpy(t) for c, t in (("key", np.int64), ("known", np.int64), ("base", np.float64), ("add", np.float64))], bitmap(rest)))
-    base = base.withColumn("k", F.xxhash64("doc_id", "text"))
-    scored = base.mapInArrow(_score(shared), "doc_id long, held_out boolean, k long, n_tokens long, left long, often long, base0 double, add0 double")
-    found = base.select("k", "text").mapInArrow(_rest(shared), "k long, key long, n int").join(rest, "key", "left")
-    total = lambda c: F.sum(F.col("n") * F.coalesce(F.col(c), F.lit(0)))
-    sums = found.groupBy("k").agg(F.sum("n").alias("rest_n"), total("known").alias("rest_known"), total("base").alias("rest_base"), total("add").alias("rest_add"))
-    # Rows that repeat an id and a text add up under one k: their share is what one row has.
-    out = scored.join(sums, "k", "left")
-    share = F.coalesce(F.col("left") / F.col("rest_n"), F.lit(0.0))
-    more = lambda c: F.coalesce(F.col(c) * share, F.lit(0.0))
+    done(counts, *tree.steps, *tree.states)
+    shared = spark.sparkContext.broadcast(bitmap(table.where("known = 0")))
+    questions = cut.mapInArrow(_ask(shared, buckets), TABLE_DDL).unionByName(table.mapInArrow(_table(buckets), TABLE_DDL))
+    answers = written(_dealt_rows(questions, buckets, "bucket kind").mapInArrow(_answer, "slice long, bucket int, own binary, known binary, base binary, add binary"), "answers")
+    done(table)
+    by_slice = answers.groupBy("slice").agg(F.collect_list(F.struct("bucket", "own", "known", "base", "add")).alias("answers"))
+    out = cut.join(by_slice, "slice", "left").mapInArrow(_score(shared, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, add double")
     rate = F.col("n_tokens") * tree.rate
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("often") + F.round(more("rest_known"))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (rate + F.col("base0") + more("rest_base")).alias("base_score"), (rate + F.col("add0") + more("rest_add")).alias("score"))
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (rate + F.col("base")).alias("base_score"),
+        (rate + F.col("add")).alias("score"), ((F.col("add") - F.col("base")) / F.col("n_tokens")).alias("gain"))

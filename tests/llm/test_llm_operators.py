@@ -104,6 +104,70 @@ def test_mixing(docs, rows, empty):
     assert mixing.mixed(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).columns == docs.columns
 
 
+def sliced(docs):
+    return suffix_tree_lm.sliced(docs.select("doc_id", F.lit(False).alias("held_out"), "text"))
+
+
+def brute_scores(train, texts, least=2, gain=0.01, discount=0.75, depth=3):
+    """The tree and the scores by dictionaries of word tuples."""
+    tokens = lambda t: [*map(lower, words(t)), b"<end>"]
+    c = Counter()
+    for t in train:
+        w = tokens(t)
+        c.update(tuple(w[i:i + k]) for k in range(1, depth + 2) for i in range(len(w) - k + 1))
+    n, v = sum(x for k, x in c.items() if len(k) == 1), sum(len(k) == 1 for k in c)
+    root = lambda w: math.log10((c[(w,)] + 1) / (n + v + 1))
+    lp, beta, own = {k: root(k[0]) for k in c if len(k) == 1}, {}, {}
+    for d in range(1, depth + 1):
+        nexts = {}
+        for k, x in c.items():
+            if len(k) == d + 1 and x >= least and c[k[:-1]] >= least:
+                nexts.setdefault(k[:-1], []).append(k)
+        for x, ks in nexts.items():
+            p, q = {k: (c[k] - discount) / c[x] for k in ks}, {k: 10 ** lp[k[1:]] for k in ks}
+            rp, rq = max(1 - sum(p.values()), 1e-12), max(1 - sum(q.values()), 1e-12)
+            kl = sum(p[k] * math.log(p[k] / q[k]) for k in ks) + rp * math.log(rp / rq)
+            if kl - len(ks) / (2 * c[x]) > gain:
+                beta[x], own[x] = math.log10(rp / rq), set(ks)
+            lp |= {k: math.log10(p[k] if x in beta else q[k]) for k in ks}
+    out = []
+    for t in texts:
+        w, total = tokens(t), 0.0
+        for i in range(len(w)):
+            add = 0.0
+            for d in range(min(depth, i), 0, -1):
+                x = tuple(w[i - d:i])
+                if x in beta:
+                    if (*x, w[i]) in own[x]:
+                        add += lp[(*x, w[i])]
+                        break
+                    add += beta[x]
+            else:
+                add += root(w[i])
+            total += add
+        out.append(total)
+    return out
+
+
+def test_suffix_tree_against_brute_force(spark, docs, rows):
+    rnd = random.Random(12)
+    more = [(2000 + i, " ".join(rnd.choice("abcdefg") for _ in range(rnd.randint(0, 60)))) for i in range(80)]
+    more += [(3000, "twice seen words in this order only here"), (3001, "twice seen words in this order only here"), (3002, "only here in this order seen words twice")]
+    texts = [(r[0], r[1]) for r in rows] + more
+    got = suffix_tree_lm.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), per_bucket=500).collect()
+    train = [t for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    want = {(i, t): s for (i, t), s in zip(texts, brute_scores(train, [t for _, t in texts]), strict=True)}
+    assert Counter((g.doc_id, round(g.score, 6)) for g in got) == Counter((i, round(s, 6)) for (i, t) in texts for s in [want[i, t]])
+    by = {g.doc_id: g.gain for g in got}
+    assert by[3000] > by[3002] + 0.5
+
+
+def test_run_hashes_are_sparks(spark):
+    x, w = np.array([0, -5, 2**62, 123456789]), np.array([7, -1, 3, 2**40])
+    got = spark.createDataFrame([*zip(x.tolist(), w.tolist(), strict=True)], "x long, w long").select(F.xxhash64("x", "w").alias("h")).collect()
+    assert [r.h for r in got] == suffix_tree_lm.follow(x, w).tolist()
+
+
 def test_suffix_tree(docs, rows, empty):
     got = suffix_tree_lm.score(docs).collect()
     train = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 != 2]
@@ -115,7 +179,7 @@ def test_suffix_tree(docs, rows, empty):
         want.append((str(r[0]), r not in train, len(t), sum(c[x] > 0 for x in t), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), 6)))
     assert Counter((str(g.doc_id), g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 6)) for g in got) == Counter(want)
     assert all(g.score <= 0 for g in got) and suffix_tree_lm.score(empty).count() == 0
-    tree, _, _ = suffix_tree_lm.train(docs.select("text"))
+    tree, _, _ = suffix_tree_lm.train(sliced(docs))
     for s in range(-1, len(tree.parent)):  # every state's next-symbol probabilities add up
         assert abs((10 ** tree.log10(np.full(len(tree.root), s), np.arange(len(tree.root)))).sum() - 1) < 1e-9
 
@@ -386,21 +450,6 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     got = {g.doc_id: g for g in suffix_tree_lm.score(docs, fold=7).collect()}
     assert got[2000].base_score == pytest.approx(got[2001].base_score, abs=1)
     assert got[2000].score > got[2001].score + 1
-    tree, _, _ = suffix_tree_lm.train(docs.select("text"))
-    joined = {g.doc_id: g for g in suffix_tree_lm.score(docs, fold=7, p_head=1.0).collect()}  # nothing in place
-    assert all(abs(joined[i].score - got[i].score) < 1e-6 and joined[i].n_known == got[i].n_known for i in got)
-    # The sum over runs is what the walk through the states gives.
-    w = tree._small[0]["key"].tolist()
-    index = {x: i for i, x in enumerate(tree._small[4])}
-    for i, t in often[:2] + rare[:2]:
-        h, want = suffix_tree_lm.tokens(pa.array([t]))[0], 0.0
-        for at in range(len(h)):
-            state = -1
-            for d in range(1, min(3, at) + 1):
-                key = suffix_tree_lm.runs(h[at - d:at], np.array([d]), d)[-1][1][-1]
-                state = index.get(int(key), state)
-            want += tree.log10(np.array([state]), np.array([w.index(int(h[at])) + 1]))[0]
-        assert got[i].score == pytest.approx(want, abs=1e-6)
 
 
 def generated(pattern, rnd):
