@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import drop_path, new_path
+from marlstone.llm.common import drop_path, new_path, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges (a, b) -> (v, component), component being the smallest vertex reachable; for vertices of edges with a <> b.
+    """edges (a, b) -> (v, component), component being the smallest vertex reachable; for vertices of edges with a <> b. The result is a written table.
 
     Each half-round is one aggregation by vertex and one join back, which adaptive execution can split where
     a vertex has very many edges; each round is written to the shared folder. Nothing is collected but two
@@ -39,4 +39,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components are not complete after {rounds} rounds")
     roots = now.select(F.col("b").alias("v")).distinct()
-    return now.select(F.col("a").alias("v"), F.col("b").alias("component")).unionByName(roots.select("v", F.col("v").alias("component")))
+    out = written(now.select(F.col("a").alias("v"), F.col("b").alias("component")).unionByName(roots.select("v", F.col("v").alias("component"))), "components")
+    drop_path(spark, last)
+    return out

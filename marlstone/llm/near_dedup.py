@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import hashes, mix, slices, text_of, words, written
+from marlstone.llm.common import done, hashes, mix, slices, text_of, words, written
 from marlstone.llm.graph import components
 
 _MASKS = np.random.default_rng(20).integers(1, 2**63, size=(256, 2), dtype=np.uint64) | np.uint64(1)
@@ -130,7 +130,7 @@ def _verify(width: int, coords: int, matches: int, percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, coords: int = 48, matches: int = 24, block: int = 256, sure: int = 1_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, coords: int = 48, matches: int = 24, block: int = 256, few: int = 32 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when the Jaccard index of their word-shingle sets is at least percent / 100; a
@@ -151,8 +151,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = tokens.join(common, "tok").groupBy("rep", "th", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks")).where(F.size("toks") >= matches)
     posted = written(mine.select("rep", "th", "n_shingles", F.explode(F.slice("toks", F.lit(1), F.size("toks") - (matches - 1))).alias("t")).select("rep", "th", "n_shingles", F.col("t.tok").alias("tok")), "posted")
+    done(tokens)
     leaders = posted.groupBy("tok").agg(F.min("rep").alias("lead"))
-    groups = written(components(posted.join(leaders, "tok").select(F.col("rep").alias("a"), F.col("lead").alias("b")).where("a <> b").distinct()), "groups")
+    groups = components(posted.join(leaders, "tok").select(F.col("rep").alias("a"), F.col("lead").alias("b")).where("a <> b").distinct())
     # Bands of set size: linked sets differ in size by a factor of 100 / percent at most, so by one band at most.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent * 1.0001))).cast("int")
     members = posted.select("rep", "th", "n_shingles").distinct().join(groups.select(F.col("v").alias("rep"), F.col("component").alias("g")), "rep").withColumn("band", band)
@@ -161,31 +162,40 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = per_band.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).select("g", "band", "parts")
     nxt, prv = parts.select("g", (F.col("band") - 1).alias("band"), F.col("parts").alias("up")), parts.select("g", (F.col("band") + 1).alias("band"), F.col("parts").alias("down"))
     plan = written(parts.join(nxt, ["g", "band"], "left").join(prv, ["g", "band"], "left").join(per_group, "g"), "plan")
-    members = members.join(plan, ["g", "band"]).withColumn("part", F.pmod(F.xxhash64("rep", "th"), F.col("parts").cast("long")).cast("int"))
+    part = F.pmod(F.xxhash64("rep", "th"), F.col("parts").cast("long")).cast("int")
+    chosen = written(members.join(plan, ["g", "band"]).select("rep", "th", "g", "band", part.alias("part"), "parts", "up", "down", "all"), "chosen")
+    done(posted, groups, plan)
+    # Rows of fixed size: at most `few` bytes of them are broadcast, more are joined by shuffle.
+    small = chosen.count() * 64 <= few
+    with_text = base if small else base.dropDuplicates(["doc_id", "th"])
+    texts = with_text.join(F.broadcast(chosen) if small else chosen, (with_text["doc_id"] == chosen["rep"]) & (with_text["th"] == chosen["th"])).drop(with_text["th"], with_text["doc_id"])
+    # A set of a large group meets its own band's parts and those of the bands beside it.
     name = lambda b1, p1, b2, p2: F.concat_ws("/", F.col("g"), b1, p1, b2, p2)
-    whole = F.array(F.struct(F.concat_ws("/", F.col("g")).alias("task"), F.lit(0).alias("side")))
     p, b = F.col("part"), F.col("band")
-    same = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(name(b, F.least(p, q), b, F.greatest(p, q)).alias("task"), F.when(q < p, 1).otherwise(0).alias("side")))
-    up = F.when(F.col("up").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("up") - 1), lambda q: F.struct(name(b, p, b + 1, q).alias("task"), F.lit(0).alias("side"))))
-    down = F.when(F.col("down").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda q: F.struct(name(b - 1, q, b, p).alias("task"), F.lit(1).alias("side"))))
-    none = F.array().cast("array<struct<task:string,side:int>>")
-    tasks = F.when(F.col("all") <= block, whole).otherwise(F.concat(same, F.coalesce(up, none), F.coalesce(down, none)))
-    chosen = written(members.select("rep", "th", tasks.alias("tasks")), "chosen")
-    few = chosen.count() <= sure
-    with_text = base.dropDuplicates(["doc_id", "th"]) if not few else base
-    texts = with_text.join(F.broadcast(chosen) if few else chosen, (with_text["doc_id"] == chosen["rep"]) & (with_text["th"] == chosen["th"])).select("rep", "text", F.explode("tasks").alias("x")).select("rep", "text", "x.task", "x.side")
+    span = lambda n: F.when(n.isNotNull(), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    same = F.transform(span(F.col("parts")), lambda q: F.struct(name(b, F.least(p, q), b, F.greatest(p, q)).alias("task"), F.when(q < p, 1).otherwise(0).alias("side")))
+    above = F.transform(span(F.col("up")), lambda q: F.struct(name(b, p, b + 1, q).alias("task"), F.lit(0).alias("side")))
+    below = F.transform(span(F.col("down")), lambda q: F.struct(name(b - 1, q, b, p).alias("task"), F.lit(1).alias("side")))
+    whole = F.array(F.struct(F.concat_ws("/", F.col("g")).alias("task"), F.lit(0).alias("side")))
+    tasks = F.when(F.col("all") <= block, whole).otherwise(F.concat(same, above, below))
+    texts = texts.select("rep", "text", F.explode(tasks).alias("x")).select("rep", "text", "x.task", "x.side")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = written(texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify(width, coords, matches, percent), "a long, b long"), "links")
-    parts_of = components(links)
+    # An id that has several sets links their classes.
+    several = sets.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
+    of_id = sets.join(several, "doc_id", "left_semi").join(classes, "set_key").select("doc_id", "rep")
+    same_id = of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
+    parts_of = components(links.unionByName(same_id))
     joined = written(classes.join(parts_of, classes["rep"] == parts_of["v"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "components")
-    # Rows that share an id are one vertex even if they are of different sets.
+    done(classes, chosen, links, parts_of)
     out = signed.select("doc_id", "n_shingles", "set_key").join(joined, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, all columns, that stay: one of each component. Of rows that repeat an id the one whose text has the smallest hash stays; rows with a null id all stay."""
-    kept = near_dedup(docs, id_col, text_col, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col(id_col).cast("long") == F.col("kept_id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(text_col, F.lit("")))))
-    return named.withColumn("row_of_id_", first).where("row_of_id_ = 1").drop("row_of_id_").unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs, all columns, that stay: one of each component. Of rows that repeat an id one stays, by a hash of all columns; rows with a null id all stay."""
+    id_ = "near_dedup_id_"
+    kept = near_dedup(docs, id_col, text_col, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_)).distinct()
+    named = docs.withColumn("near_dedup_row_", F.xxhash64(*docs.columns)).withColumn(id_, F.col(id_col).cast("long")).join(kept, id_, "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_).orderBy("near_dedup_row_"))
+    return named.withColumn("near_dedup_first_", first).where("near_dedup_first_ = 1").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

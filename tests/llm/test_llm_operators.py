@@ -411,6 +411,17 @@ def test_near(docs, rows, empty, width, block):
     assert kept.columns == docs.columns and kept.where("doc_id is not null").count() == sum(comp[i] == i for i in ids)
 
 
+def test_near_rows_of_one_id_are_one_vertex(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (9, "else entirely " * 9, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id long")
+    got = near_dedup.near_dedup(docs).collect()
+    assert sorted((g.doc_id, g.component_id, g.kept) for g in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True)]
+    left = near_dedup.keep_one(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 9]
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs, few=0).collect()) == [3, 9]
+
+
 def test_decontaminate(spark, docs, empty):
     rnd = random.Random(9)
     item = lambda: " ".join("q" + "".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(30)) + ". the answer is here now"
