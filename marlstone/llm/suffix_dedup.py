@@ -31,8 +31,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array of an array of small non-negative integers by two-stage sorting.
 
-    Suffixes smaller than their successors (and the last one's predecessors by that rule) are sorted directly,
-    by doubling of ranks; all others follow from them in one scan of the buckets from the smallest suffix on.
+    Suffixes smaller than their successors are sorted directly, by doubling of ranks from seven characters on; all
+    others follow from them in one scan of the buckets, from the smallest suffix on. A bucket's scan takes what
+    stands in it at once, then what that has put into the same bucket, then its directly sorted suffixes.
     """
     n = len(text)
     if n < 2:
@@ -43,9 +44,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     rises = np.concatenate([t[change[:-1]] < t[change[:-1] + 1], [False]])
     smaller = np.repeat(rises, np.diff(np.concatenate([[-1], change])))
     direct = np.flatnonzero(smaller)
-    # Direct sort: order of the wanted suffixes by rank doubling over the whole text, comparing as many characters as needed.
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
+    width = 7 if t.max() < 511 else 1
+    padded = np.concatenate([t + 1, np.zeros(width, np.int64)])
+    rank = padded[:n].copy()
+    for k in range(1, width):
+        rank = rank << 9 | padded[k:n + k]
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64) + 1
     while len(direct):
         second = np.zeros(n, np.int64)
         second[:-width or None] = rank[width:] if width < n else 0
@@ -57,25 +61,35 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
         width *= 2
     # Buckets by first character: the induced suffixes stand before the direct ones.
-    count = np.bincount(t)
-    head = np.cumsum(count) - count
-    tail = np.cumsum(count) - 1
+    count, own = np.bincount(t), np.bincount(t[direct], minlength=int(t.max()) + 1)
+    start = np.cumsum(count) - count
+    head, middle = start.copy(), start + count - own
     sa = np.full(n, -1, np.int64)
-    tails, first = tail.tolist(), t.tolist()
-    for i in direct[::-1].tolist():
-        sa[tails[first[i]]] = i
-        tails[first[i]] -= 1
-    out, heads, flags = sa.tolist(), head.tolist(), smaller.tolist()
+    first = t[direct]
+    sa[middle[first] + np.arange(len(direct)) - (np.cumsum(own) - own)[first]] = direct
     # The last suffix is smaller than all that begin with its character.
-    out[heads[first[n - 1]]] = n - 1
-    heads[first[n - 1]] += 1
-    for k in range(n):
-        j = out[k] - 1
-        if j >= 0 and not flags[j]:
-            c = first[j]
-            out[heads[c]] = j
-            heads[c] += 1
-    return np.array(out, np.int64)
+    sa[head[t[-1]]] = n - 1
+    head[t[-1]] += 1
+    small = t.astype(np.int16) if t.max() < 1 << 15 else t
+
+    def induce(from_: np.ndarray) -> None:
+        j = from_ - 1
+        j = j[(j >= 0) & ~smaller[j]]
+        if len(j):
+            j = j[np.argsort(small[j], kind="stable")]
+            c = t[j]
+            begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            many = np.diff(np.append(begin, len(c)))
+            sa[np.repeat(head[c[begin]] - begin, many) + np.arange(len(c))] = j
+            head[c[begin]] += many
+
+    for c in np.flatnonzero(count).tolist():
+        at = start[c]
+        while at < head[c]:
+            at, wave = head[c], sa[at:head[c]]
+            induce(wave)
+        induce(sa[middle[c]:start[c] + count[c]])
+    return sa
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
@@ -271,7 +285,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, removed, spans)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, gram: int = 64, batch: int = 200_000, hot: int = 400, share: int = 5000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, gram: int = 64, batch: int = 500_000, hot: int = 400, share: int = 5000) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte covered by a string of `span` UTF-8 bytes that also starts elsewhere, in the same or another
@@ -286,10 +300,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Counts by kind, then by anchor, with partial sums; single anchors end here.
     found = written(found, "anchors")
     free_shuffles(spark)
-    kinds = found.groupBy("h", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("one"))
-    per = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
-    kinds = written(kinds.join(per, "h").select("h", "kind", "n", "one", "kinds"), "kinds")
+    each = written(found.groupBy("h", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("one")), "each")
     free_shuffles(spark)
+    per = each.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1").select("h", "kinds")
+    kinds = written(each.join(per, "h").select("h", "kind", "n", "one", "kinds"), "kinds")
+    done(each)
     # One text of each kind of those anchors that have several gives the bytes.
     wanted = kinds.where("kinds > 1").groupBy(F.col("one.k").alias("k")).agg(F.collect_list(F.struct(F.col("one.place").alias("place"), "kind")).alias("wanted"))
     texts = base.select("k", "text").join(wanted, "k").select("k", "text", "wanted")
