@@ -45,7 +45,7 @@ def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return c[keep], np.where(ends > 0, place[np.maximum(ends, 1) - 1], 0)
 
 
-def ngrams(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def ngrams(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Hashed n-grams of the texts in pieces of `most` places, so that a long text takes no more memory than short ones.
 
     Each piece: the number of its first text, the n-grams, and how many of them each text from that one on has.
@@ -78,7 +78,7 @@ class Model:
     def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of each text by language, and the share of its n-grams that the sample has."""
         out, total = np.zeros((len(texts), len(self.langs) + 1)), np.zeros(len(texts), np.int64)
-        for first, ids, counts in ngrams(texts, max(1 << 14, (4 << 20) // max(1, len(self.langs)))):
+        for first, ids, counts in ngrams(texts, max(1 << 14, (1 << 20) // max(1, len(self.langs)))):
             own = np.flatnonzero(counts)
             if len(own):
                 out[first + own] += np.add.reduceat(self.weights[ids], (np.cumsum(counts) - counts)[own], axis=0, dtype=np.float64)
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, "text_"):
+        for b in slices(batches, "text_", 1 << 20):
             names, score, _ = m.best(pc.fill_null(b.column("text_"), ""))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in kept), "lang_pred", "score"])
 
@@ -233,7 +233,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, 1 << 20):
             names, score, seen = m.best(pc.fill_null(b.column(text_col), ""))
             yield b.filter(pa.array((names != "und") & (score >= least) & (seen >= known)))
 
