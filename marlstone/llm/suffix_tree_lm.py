@@ -305,7 +305,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], *kinds: tuple[str, type]) -> I
         yield now, held
 
 
-def train(cut: DataFrame, least_context: int = 2, least_next: int = 2, gain: float = 0.01, discount: float = 0.75, per_bucket: int = 3_000_000) -> tuple[Tree, DataFrame, int]:
+def train(cut: DataFrame, least_context: int = 4, least_next: int = 2, gain: float = 0.01, discount: float = 0.75, per_bucket: int = 3_000_000) -> tuple[Tree, DataFrame, int]:
     """Learn from the training documents of slices. Returns the tree, the table of counts (key, c) of all words and the number of tokens."""
     spark = cut.sparkSession
     counts = written(cut.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
