@@ -53,9 +53,10 @@ def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, a lost executor costs nothing."""
+    """Write df to the shared folder and read it back: lineage ends there, a lost executor costs nothing. Shuffle files and driver memory of finished plans go."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    free_shuffles(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

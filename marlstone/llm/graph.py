@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import drop_path, new_path, written
+from marlstone.llm.common import drop_path, free_shuffles, new_path, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if last:
             drop_path(spark, last)
         last = path
+        free_shuffles(spark)
         if state == before:
             break
         before = state
