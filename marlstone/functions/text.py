@@ -46,27 +46,76 @@ def digest(c: Column) -> Column:
     return F.sha2(normalized(c), 256)
 
 
-def surface(c: Column) -> Column:
-    """Lower case if ASCII only."""
-    return F.when(F.regexp_like(c, F.lit(r"^[\x00-\x7F]*$")), F.lower(c)).otherwise(c)
+def _let(value: Column, then) -> Column:
+    """then(value) with the value computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
-def title_ngrams(c: Column, most: int = 3) -> Column:
-    """Word n-grams of 1 to `most` letter-only words of two letters or more, side by side in the title."""
-    w = F.split(F.lower(c), r"\s+")
-    one = lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.slice(w, i, n)), lambda g: (F.size(g) == n) & F.forall(g, lambda x: F.regexp_like(x, F.lit("^[a-z]{2,}$"))))
-    return F.transform(F.concat(*[one(n) for n in range(1, most + 1)]), lambda g: F.array_join(g, " "))
+def title_words(c: Column) -> Column:
+    """The title's letter-only words in order, as struct(word, gap): gap is what stands between the word before and this one."""
+    parts = F.split(F.regexp_replace(c, r"(\p{L}+)", "\u0001$1\u0002"), "\u0001")  # what stands before the first word, then word + U+0002 + what follows
+    pairs = F.transform(parts, lambda x: F.split(x, "\u0002"))
+    made = lambda q: F.transform(q, lambda x, i: F.struct(x[0].alias("word"), F.when(i > 1, F.get(F.get(q, i - 1), F.lit(1))).otherwise(F.lit("")).alias("gap")))
+    return F.slice(_let(pairs, made), 2, 1 << 30)
+
+
+def _starts(stop: tuple[str, ...]):
+    return lambda x: (F.length(x["word"]) >= 2) & ~F.lower(x["word"]).isin(*(stop or ("",)))
+
+
+def title_terms(c: Column, stop: tuple[str, ...] = (), most: int = 3) -> Column:
+    """Lower-case word n-grams of 1 to `most` words with nothing but white space between them, that begin with a word of two letters or more outside `stop`."""
+    starts = _starts(stop)
+
+    def of(w: Column, n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.slice(w, i, n))
+        close = lambda g: F.forall(F.slice(g, 2, n), lambda x: F.regexp_like(x["gap"], F.lit(r"^\s+$")))
+        return F.filter(runs, lambda g: (F.size(g) == n) & starts(F.get(g, F.lit(0))) & close(g))
+
+    return _let(title_words(c), lambda w: F.transform(F.concat(*[of(w, n) for n in range(1, most + 1)]), lambda g: F.array_join(F.transform(g, lambda x: F.lower(x["word"])), " ")))
+
+
+def title_pairs(c: Column, stop: tuple[str, ...] = ()) -> Column:
+    """struct(family, a, b) of neighbouring single terms: Cooccur in alphabetical order, Before in the title's; equal words make none."""
+    pair = lambda family, a, b: F.struct(F.lit(family).alias("family"), a.alias("a"), b.alias("b"))
+
+    def made(w: Column) -> Column:
+        two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.slice(w, i, 2))
+        both = lambda g: F.array(pair("Cooccur", F.least(g[0], g[1]), F.greatest(g[0], g[1])), pair("Before", g[0], g[1]))
+        return F.array_distinct(F.flatten(F.transform(F.filter(two, lambda g: (F.size(g) == 2) & (F.get(g, F.lit(0)) != F.get(g, F.lit(1)))), both)))
+
+    return _let(F.transform(F.filter(title_words(c), _starts(stop)), lambda x: F.lower(x["word"])), made)
+
+
+_W = "[A-Za-z0-9_]"
+#: A word boundary of ASCII words, whatever the regex engine's own is.
+BOUND = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 
 def number_spans(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"[0-9]+(?:[.,:/-][0-9]+)*"), 0)
+    """Numbers with inner separators and a unit of up to three letters or a percent sign that a word follows, as whole words."""
+    return F.regexp_extract_all(c, F.lit(BOUND + r"[0-9]+(?:[.,:/-][0-9]+)*(?:%|[A-Za-z]{1,3})?" + BOUND), 0)
+
+
+def literal_count(c: Column, words: tuple[str, ...]) -> Column:
+    """How many of the text's ASCII words are one of `words`, case kept."""
+    return F.size(F.filter(F.regexp_extract_all(c, F.lit(f"{_W}+"), 0), lambda x: x.isin(*words))).cast("long")
+
 
+def term_offsets(c: Column) -> Column:
+    """struct(term, start, end) of lower-case ASCII tokens of two letters or more, and of neighbouring two; offsets in characters of the text."""
+    parts = F.split(F.regexp_replace(c, "([A-Za-z]{2,})", "\u0001$1\u0001"), "\u0001")  # odd places hold the tokens
+    kind = "array<struct<term:string,start:int,end:int>>"
+    one = lambda a, x: F.array(F.struct(F.lower(x).alias("term"), a["n"].alias("start"), (a["n"] + F.length(x)).alias("end")))
+    step = lambda a, x: F.struct((a["n"] + F.length(x)).alias("n"), F.when(a["i"] % 2 == 1, F.concat(a["out"], one(a, x))).otherwise(a["out"]).alias("out"), (a["i"] + 1).alias("i"))
+    at = F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.array().cast(kind).alias("out"), F.lit(0).alias("i")), step, lambda a: a["out"])
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 when a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
+    def made(t: Column) -> Column:
+        two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.slice(t, i, 2))
+        joined = F.transform(F.filter(two, lambda g: F.size(g) == 2), lambda g: F.struct(F.concat_ws(" ", g[0]["term"], g[1]["term"]).alias("term"), g[0]["start"].alias("start"), g[1]["end"].alias("end")))
+        return F.concat(t, joined)
+
+    return _let(at, made)
 
 
 def logit(p: Column, clip: float = 1e-6) -> Column:
@@ -82,10 +131,3 @@ def xml_field(c: Column, tag: str) -> Column:
     """First content of the tag, with the five named entities resolved."""
     found = F.regexp_extract(c, f"(?s)<{tag}>(.*?)</{tag}>", 1)
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")], found)
-
-
-def literal_regex(phrase: list[list[str]]) -> str:
-    """A regex of words in order, each with alternatives (longest first), separated by white space."""
-    import re
-
-    return r"\b" + r"\s+".join("(?:" + "|".join(re.escape(a) for a in sorted(alts, key=lambda a: (-len(a), a))) + ")" for alts in phrase) + r"\b"

@@ -10,15 +10,15 @@ Each round is one action over all rules whose premises changed, written to the s
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.relations import close, copy_labels, violations
+from marlstone.operators.relations import close, copy_labels, infeasible, violations
 from marlstone.plans.compile import EDGES, FACTS, Catalog, fire
-from marlstone.plans.rules import Label, LabelCompare, Rule
+from marlstone.plans.rules import ML, Label, LabelCompare, Rule
 from marlstone.plans.store import written
 
 CELL = ["doc_id", "label"]
@@ -26,7 +26,7 @@ CELL = ["doc_id", "label"]
 
 @dataclass
 class Closure:
-    """status: fixpoint, conflict or max_rounds. firings: rule_id with each fact's first witness."""
+    """status: fixpoint, conflict or max_rounds. firings: rule_id and round of each derived fact; see operators.proof for its premises."""
 
     status: str
     rounds: int
@@ -45,8 +45,12 @@ def clashes(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*CELL).agg(F.count_distinct("sign").alias("n")).where("n > 1").select(*CELL)
 
 
-def close_program(cat: Catalog, rules: list[Rule], policy: str = "halt", unknown: DataFrame | None = None, roots: DataFrame | None = None, max_rounds: int = 100) -> Closure:
-    """Run the program to its fixpoint. roots: further facts that are not validated. unknown: cells that take no fact."""
+def close_program(cat: Catalog, rules: list[Rule], policy: str = "halt", unknown: DataFrame | None = None, roots: DataFrame | None = None, max_rounds: int = 100, first: set[int] | None = None) -> Closure:
+    """Run the program to its fixpoint. roots: further facts that are not validated. unknown: cells that take no fact.
+
+    first: the rules of the first round, if the roots are closed under all others. With cat.labels a strict inclusion
+    that no label can make strict, or no completion of the facts can meet, is a conflict.
+    """
     if policy not in ("halt", "protect", "quarantine", "retain", "retain_protect"):
         raise ValueError(f"unknown policy {policy}")
     spark = cat.docs.sparkSession
@@ -59,7 +63,7 @@ def close_program(cat: Catalog, rules: list[Rule], policy: str = "halt", unknown
         unknown = unknown.unionByName(clashes(start)).distinct()
     restarts = 0
     while True:
-        out = _run(cat, rules, policy, start, gamma, unknown, related, max_rounds)
+        out = _run(cat, rules, policy, start, gamma, unknown, related, max_rounds, first)
         if policy != "quarantine" or out.status != "conflict":
             return out
         bad = clashes(out.facts)
@@ -72,7 +76,7 @@ def close_program(cat: Catalog, rules: list[Rule], policy: str = "halt", unknown
             return out
 
 
-def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma: DataFrame, unknown: DataFrame, related: bool, max_rounds: int) -> Closure:
+def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma: DataFrame, unknown: DataFrame, related: bool, max_rounds: int, first: set[int] | None = None) -> Closure:
     spark = cat.docs.sparkSession
     opposite = gamma.select("doc_id", "label", (-F.col("sign")).cast("int").alias("sign"))
     facts = written(start.join(unknown, CELL, "left_anti"), "facts")
@@ -81,17 +85,18 @@ def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma:
     if related:
         facts = written(copy_labels(facts, edges).join(unknown, CELL, "left_anti"), "facts")
     empty = spark.createDataFrame([], FACTS)
-    fired = spark.createDataFrame([], "rule_id int, " + FACTS)
+    fired = spark.createDataFrame([], "rule_id int, round int, " + FACTS)
+    n_labels = len(cat.labels) if cat.labels else None
     blocked = empty
     state = lambda status, n: Closure(status, n, facts, edges, unknown, blocked.distinct(), fired)
     if policy in ("halt", "protect", "quarantine") and not clashes(facts).isEmpty():
         return state("conflict", 0)
-    if related and not violations(edges, facts).isEmpty():
+    if related and not violations(edges, facts, n_labels).isEmpty():
         return state("conflict", 0)
     delta: DataFrame | None = None
     changed: set[str] | None = None  # None: all rules run
     for n in range(1, max_rounds + 1):
-        todo = [(i, r) for i, r in enumerate(rules) if changed is None or r.reads() & changed]
+        todo = [(i, r) for i, r in enumerate(rules) if (first is None or i in first if changed is None else r.reads() & changed)]
         label_rules = [(i, r) for i, r in todo if isinstance(r.head, Label)]
         edge_rules = [(i, r) for i, r in todo if isinstance(r.head, LabelCompare)]
         parts = []
@@ -118,9 +123,11 @@ def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma:
             found = found.join(opposite, [*CELL, "sign"], "left_anti").select("rule_id", "doc_id", "label", "sign")
         names = [r["label"] for r in found.select("label").distinct().collect()]  # the program's labels at most
         if not names and not new_edges:
+            if related and cat.labels and not edges.where("strict").isEmpty() and not infeasible(edges, facts, cat.labels).isEmpty():
+                return state("conflict", n)
             return state("fixpoint", n)
         delta = found.select("doc_id", "label", "sign")
-        fired = fired.unionByName(found)
+        fired = fired.unionByName(found.withColumn("round", F.lit(n)))
         facts = written(facts.unionByName(delta), "facts")
         if policy.startswith("retain"):
             bad = clashes(facts)
@@ -130,7 +137,7 @@ def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma:
                 delta = delta.join(unknown, CELL, "left_anti")
         elif not clashes(facts).isEmpty():
             return state("conflict", n)
-        if related and not violations(edges, facts).isEmpty():
+        if related and not violations(edges, facts, n_labels).isEmpty():
             return state("conflict", n)
         changed = {*names} | ({"="} if new_edges else set())
     return state("max_rounds", max_rounds)
@@ -138,12 +145,74 @@ def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma:
 
 def insert_roots(cat: Catalog, rules: list[Rule], before: Closure, added: DataFrame, policy: str = "halt") -> Closure:
     """Incremental closure after new validated facts: starts from what was derived, which stays valid in a conflict-free run."""
-    grown = Catalog(cat.docs, cat.gamma.unionByName(added).distinct(), cat.model_prob, cat.relations)
+    grown = replace(cat, gamma=cat.gamma.unionByName(added).distinct())
     if before.status != "fixpoint":
         return close_program(grown, rules, policy)
     return close_program(grown, rules, policy, unknown=before.unknown, roots=before.facts)
 
 
+def extend(cat: Catalog, rules: list[Rule], before: Closure, candidate: Rule, policy: str = "halt") -> Closure:
+    """The closure of rules and one more, from the fixpoint of rules: only the candidate runs at first, then what reads its conclusions."""
+    grown = [*rules, candidate]
+    if before.status != "fixpoint" or before.edges is not None:
+        return close_program(cat, grown, policy)
+    return close_program(cat, grown, policy, unknown=before.unknown, roots=before.facts, first={len(rules)})
+
+
+def withdraw(old: Catalog, new: Catalog, rules: list[Rule], before: Closure, policy: str = "halt") -> Closure:
+    """The closure after model probabilities changed, from the one before: over-delete, then derive again.
+
+    Facts of instances that no longer hold go, and all that some rule can conclude from facts that went (not
+    roots). What is left is rooted again and the program runs from there, which brings back what has another
+    derivation and what the new probabilities add. Runs with a conflict, unknown cells or relations start anew.
+    """
+    if before.status != "fixpoint" or before.edges is not None or not before.unknown.isEmpty():
+        return close_program(new, rules, policy, unknown=before.unknown)
+    fact = [*CELL, "sign"]
+    roots = old.gamma.select(*CELL, F.col("sign").cast("int").alias("sign"))
+    heads = lambda cat, facts, some: [fire(r, cat, facts).select(*fact) for r in some if isinstance(r.head, Label)]
+    model = [r for r in rules if any(isinstance(a, ML) for a in r.body)]
+    gone = None
+    for r in model:  # a fact goes if the rule concluded it and does not any more
+        if isinstance(r.head, Label):
+            lost = fire(r, old, before.facts).select(*fact).join(fire(r, new, before.facts).select(*fact), fact, "left_anti")
+            gone = lost if gone is None else gone.unionByName(lost)
+    if gone is None:
+        return close_program(new, rules, policy, roots=before.facts)
+    gone = written(gone.join(roots, fact, "left_anti").distinct(), "gone")
+    front = gone
+    while not front.isEmpty():
+        left = before.facts.select(*fact).join(gone, fact, "left_anti")
+        touched = {r["label"] for r in front.select("label").distinct().collect()}
+        parts = []
+        for r in (r for r in rules if r.reads() & touched):
+            if sum(isinstance(a, Label) for a in r.body) == 1:
+                parts += heads(old, front, [r])
+            else:
+                parts += [h.join(k, fact, "left_anti") for h, k in zip(heads(old, before.facts, [r]), heads(old, left, [r]), strict=True)]
+        if not parts:
+            break
+        front = written(reduce(DataFrame.unionByName, parts).distinct().join(before.facts, fact, "left_semi").join(roots, fact, "left_anti").join(gone, fact, "left_anti"), "front")
+        gone = written(gone.unionByName(front), "gone")
+    left = written(before.facts.select(*fact).join(gone, fact, "left_anti"), "left")
+    return close_program(new, rules, policy, roots=left)
+
+
+def local_check(cat: Catalog, rules: list[Rule], seeds: DataFrame, depth: int = 2, policy: str = "halt") -> Closure:
+    """The program on the documents that seeds (doc_id) reach in `depth` steps along its attribute links, and only with their roots."""
+    links = {(a.left_attr, a.right_attr) for r in rules for a in r.body if type(a).__name__ == "AttrEqual" and a.left_var != a.right_var}
+    near = seeds.select("doc_id").distinct()
+    col = lambda x: x.replace(".", "_")
+    for _ in range(depth):
+        more = [near]
+        for a, b in links | {(b, a) for a, b in links}:
+            values = cat.docs.join(near, "doc_id", "left_semi").where(F.col(col(a)) != "").select(F.col(col(a)).alias("v_")).distinct()
+            more.append(cat.docs.join(values, F.col(col(b)) == F.col("v_"), "left_semi").select("doc_id"))
+        near = written(reduce(DataFrame.unionByName, more).distinct(), "near")
+    part = replace(cat, docs=cat.docs.join(near, "doc_id", "left_semi"), gamma=cat.gamma.join(near, "doc_id", "left_semi"))
+    return close_program(part, rules, policy)
+
+
 def influence(cat: Catalog, rules: list[Rule], before: Closure, hypotheses: DataFrame) -> DataFrame:
     """For each hypothetical fact (doc_id, label) how many uncovered documents one firing of the rules would reach."""
     covered = before.predictions().select("doc_id").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.plans.store import written
+
 
 def attribute_pairs(docs: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     """x, y for all pairs (self pairs too) with left attribute = right attribute for every key pair; missing never matches."""
@@ -41,7 +43,7 @@ def _similarities(vectors: DataFrame, queries: DataFrame, least: float, k: int |
     """Cosines of a stated set of query vectors against all vectors, a block of queries at a time, by Arrow batches.
 
     Each block of at most `block` queries is broadcast: its size is bounded whatever the tables hold. With k,
-    each batch keeps a query's k best, which loses none of the k best overall.
+    each batch keeps a query's k best, which loses none of the k best overall. Vectors with a scope meet those of their own.
     """
     import numpy as np
     import pyarrow as pa
@@ -49,23 +51,26 @@ def _similarities(vectors: DataFrame, queries: DataFrame, least: float, k: int |
     spark = vectors.sparkSession
     n = queries.count()
     parts = max(1, -(-n // block))
+    scope = [F.xxhash64("scope").alias("scope")] if "scope" in vectors.columns else []
     tagged = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     out = None
     for p in range(parts):
-        rows = tagged.where(F.col("part") == p).select("id", "v").orderBy("id").toArrow()
+        rows = tagged.where(F.col("part") == p).select("id", "v", *scope).orderBy("id").toArrow()
         if not rows.num_rows:
             continue
         ids, q = rows.column("id").to_numpy(), np.stack(rows.column("v").to_pylist())
-        shared = spark.sparkContext.broadcast((ids, q))
+        shared = spark.sparkContext.broadcast((ids, q, rows.column("scope").to_numpy() if scope else None))
 
         def run(batches, shared=shared):
-            ids, q = shared.value
+            ids, q, scopes = shared.value
             for b in batches:
                 if not b.num_rows:
                     continue
                 own = b.column("id").to_numpy()
                 sims = np.stack(b.column("v").to_pylist()) @ q.T
                 sims[own[:, None] == ids[None, :]] = -2.0
+                if scopes is not None:
+                    sims[b.column("scope").to_numpy()[:, None] != scopes[None, :]] = -2.0
                 hit = np.round(sims, 9) >= least
                 if k is not None and len(own) > k:
                     order = np.lexsort((np.broadcast_to(own[:, None], sims.shape), -np.round(sims, 9)), axis=0)[:k]
@@ -75,7 +80,7 @@ def _similarities(vectors: DataFrame, queries: DataFrame, least: float, k: int |
                 i, j = np.nonzero(hit)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(own[i]), pa.array(np.round(sims[i, j], 9))], ["x", "y", "sim"])
 
-        found = vectors.mapInArrow(run, "x long, y long, sim double")
+        found = vectors.select("id", "v", *scope).mapInArrow(run, "x long, y long, sim double")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "x long, y long, sim double")
 
@@ -86,14 +91,81 @@ def similarity_quorum(vectors: DataFrame, queries: DataFrame, threshold: float,
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, mode: str = "directed", least: float = -1.0) -> DataFrame:
-    """x, y, sim: the k nearest of each query, ties to the smaller id. mode: directed, mutual or symmetric_union."""
+    """x, y, sim: the k nearest of each query, ties to the smaller id. mode: directed, mutual (x is among y's k nearest too) or symmetric_union.
+
+    A column `scope` in both tables keeps neighbours to the query's own scope.
+    """
     w = Window.partitionBy("x").orderBy(F.desc("sim"), "y")
     near = _similarities(vectors, queries, least, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("x", "y", "sim")
     if mode == "directed":
         return near
     back = near.select(F.col("y").alias("x"), F.col("x").alias("y"), "sim")
     if mode == "mutual":
-        return near.join(back.select("x", "y"), ["x", "y"], "left_semi")
+        other = written(near, "near")
+        theirs = _similarities(vectors, vectors.join(other.select(F.col("y").alias("id")).distinct(), "id", "left_semi"), least, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return other.join(theirs.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_semi")
     if mode == "symmetric_union":
         return near.unionByName(back).groupBy("x", "y").agg(F.max("sim").alias("sim"))
     raise ValueError(f"unknown mode {mode}")
+
+
+def neighbour_sources(edges: DataFrame, facts: DataFrame, gamma: DataFrame, policy: str = "validated", least: int = 1, validated: int = 1) -> DataFrame:
+    """doc_id, label, sources: documents with `least` neighbours that have the label, by edges x -> y.
+
+    policy: validated (only roots of gamma count), recursive (any positive fact) or anchored_recursive (any, of which
+    `validated` are roots).
+    """
+    if policy not in ("validated", "recursive", "anchored_recursive"):
+        raise ValueError(f"unknown source policy {policy}")
+    roots = gamma.where("sign > 0").select("doc_id", "label").distinct().withColumn("root", F.lit(1))
+    have = roots if policy == "validated" else facts.where("sign > 0").select("doc_id", "label").distinct().join(roots, ["doc_id", "label"], "left")
+    e = edges.select("x", "y").distinct().join(have.withColumnRenamed("doc_id", "y"), "y")
+    n = e.groupBy(F.col("x").alias("doc_id"), "label").agg(F.count(F.lit(1)).alias("sources"), F.count("root").alias("roots")).where(F.col("sources") >= least)
+    return (n.where(F.col("roots") >= validated) if policy == "anchored_recursive" else n).drop("roots")
+
+
+def sentence_hits(sentences: DataFrame, patterns: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, pattern, n, first: how many of a document's sentences (doc_id, place, v) are as near to a pattern (pattern, v) as `threshold`, and the first of them.
+
+    Vectors are of length 1 (or 0, which is near to nothing). patterns are a program's and are broadcast.
+    """
+    dot = F.aggregate(F.zip_with("v", "pv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    near = sentences.crossJoin(F.broadcast(patterns.select("pattern", F.col("v").alias("pv")))).where(F.round(dot, 9) >= threshold)
+    return near.groupBy("doc_id", "pattern").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+
+
+def similar_before(hits: DataFrame, a: str, b: str) -> DataFrame:
+    """Documents in which a sentence like pattern a comes before the first like pattern b; similar_cooccur without the order."""
+    both = hits.where(F.col("pattern") == a).select("doc_id", F.col("first").alias("fa")).join(hits.where(F.col("pattern") == b).select("doc_id", F.col("first").alias("fb")), "doc_id")
+    return both.where("fa < fb").select("doc_id")
+
+
+def similar_cooccur(hits: DataFrame, a: str, b: str) -> DataFrame:
+    """Documents with a sentence like pattern a and one like pattern b."""
+    return hits.where(F.col("pattern") == a).select("doc_id").join(hits.where(F.col("pattern") == b).select("doc_id"), "doc_id", "left_semi")
+
+
+def complements(masks: DataFrame, docs: DataFrame, a: str, b: str) -> bool:
+    """Whether patterns a and b hold on disjoint sets that make up all documents: a missing attribute, on which neither holds, prevents it."""
+    m = masks.where(F.col("pattern").isin(a, b)).select("doc_id", "pattern").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    r = docs.select("doc_id").distinct().join(m, "doc_id", "left").agg(F.count_if(F.col("n") == 1).alias("one"), F.count(F.lit(1)).alias("all")).first()
+    return r["one"] == r["all"]
+
+
+def equal_components(edges: DataFrame) -> DataFrame:
+    """doc_id, component of documents that are equal by edges (src, dst), directly or not; the component is the smallest document.
+
+    An equality closure of n documents has n squared edges; this has n rows, and copy_equal works on it.
+    """
+    from marlstone.operators.splits import connected_groups
+
+    by = lambda c: F.concat(F.lit("v"), F.col(c).cast("string"))
+    ends = edges.select(F.col("src").alias("id"), by("src").alias("a"), by("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("id"), by("dst").alias("a"), by("dst").alias("b")))
+    return connected_groups(ends, ["a", "b"], "id").select(F.col("id").alias("doc_id"), F.col("group").alias("component")).distinct()
+
+
+def copy_equal(facts: DataFrame, components: DataFrame) -> DataFrame:
+    """Positive labels go to all documents of a component: distinct (component, label) first, so no pair of documents is made."""
+    own = facts.where("sign > 0").join(components, "doc_id").select("component", "label", "sign").distinct()
+    moved = own.join(components, "component").select("doc_id", "label", "sign")
+    return facts.select("doc_id", "label", "sign").unionByName(moved).distinct()

@@ -96,6 +96,11 @@ def top_by(scored: DataFrame, group: str, order: list[Column], quota: int) -> Da
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= quota)
 
 
+def frequent_picks(scored: DataFrame, group: str, name: str, order: list[Column], k: int) -> DataFrame:
+    """name, picks: the k names that are most often among a group's k best; ties by name."""
+    return top_by(scored, group, order, k).groupBy(name).agg(F.count(F.lit(1)).alias("picks")).orderBy(F.desc("picks"), name).limit(k)
+
+
 def shortlist(scored: DataFrame, limit: int) -> DataFrame:
     """Union of the top `limit` by gain and the top half by tp / sqrt(tp + fp) of each label."""
     a = Window.partitionBy("label").orderBy(F.desc("gain"), "pattern")
@@ -121,11 +126,19 @@ def residual_gain(hits: DataFrame, pred: DataFrame, truth: DataFrame, docs: Data
 
 def tfidf_top(docs: DataFrame, cluster: str, text: str, top: int) -> DataFrame:
     """cluster, token, score: mean TF-IDF of ASCII word tokens a cluster, the `top` best, ties by token."""
-    tok = docs.select("doc_id", F.col(cluster).alias("cluster"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), 0)).alias("token"))
-    tf = tok.groupBy("doc_id", "cluster", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # A document counts a token once for df and as often as it has it for tf: both come from one aggregation by (cluster, token).
+    one = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), 0)
+    tf = docs.select(F.col(cluster).alias("cluster"), F.explode(one).alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("tf"))
+    by = docs.select(F.col(cluster).alias("cluster"), F.explode(F.array_distinct(one)).alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("d"))
+    both = tf.join(by, ["cluster", "token"]).withColumn("df", F.sum("d").over(Window.partitionBy("token")))  # a row a cluster and token
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     size = docs.groupBy(F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
-    score = F.sum(F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)) / F.max("size")
-    s = tf.join(df, "token").crossJoin(F.broadcast(n)).join(size, "cluster").groupBy("cluster", "token").agg(F.round(score, 6).alias("score"))
+    score = F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) / F.col("size")
+    s = both.crossJoin(F.broadcast(n)).join(size, "cluster").select("cluster", "token", F.round(score, 6).alias("score"))
     return top_by(s, "cluster", [F.desc("score"), F.col("token")], top)
+
+
+def mask_bits(hits: DataFrame) -> DataFrame:
+    """pattern, bucket, bits: the documents of a pattern as bitmaps of 32,768 ids each; the union of rows is bitmap_or_agg, their number bitmap_count."""
+    h = hits.select("pattern", "doc_id").distinct()
+    return h.groupBy("pattern", F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits"))

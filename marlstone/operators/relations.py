@@ -19,9 +19,9 @@ def close(edges: DataFrame, rounds: int = 40) -> DataFrame:
         grown = after.agg(F.count(F.lit(1)), F.count_if("strict")).first()
         now = after
         if grown == size:
-            break
+            return now
         size = grown
-    return now
+    raise RuntimeError(f"the relation is not closed after {rounds} rounds")
 
 
 def copy_labels(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -92,3 +92,35 @@ def feasible(pos: set[tuple[int, str]], neg: set[tuple[int, str]], edges: list[t
         return False
 
     return search(have)
+
+
+def infeasible(edges: DataFrame, facts: DataFrame, labels: tuple[str, ...], most_edges: int = 10_000) -> DataFrame:
+    """v: the documents of groups of linked documents, with a strict edge, whose strict inclusions no completion of the facts can meet.
+
+    Each group is one row of a group's edges and facts and is searched where it is; a group of more than
+    `most_edges` edges is an error, as the search is exponential.
+    """
+    import pandas as pd
+
+    from marlstone.operators.splits import connected_groups
+
+    spark = edges.sparkSession
+    e = edges.select("src", "dst", "strict").distinct()
+    by_src, by_dst = F.concat(F.lit("v"), F.col("src").cast("string")), F.concat(F.lit("v"), F.col("dst").cast("string"))
+    ends = e.select(F.col("src").alias("id"), by_src.alias("a"), by_dst.alias("b")).unionByName(e.select(F.col("dst").alias("id"), by_dst.alias("a"), by_dst.alias("b")))
+    group = connected_groups(ends, ["a", "b"], "id").distinct()
+    of = e.join(group.select(F.col("id").alias("src"), "group"), "src")
+    bad = of.groupBy("group").agg(F.max("strict").alias("s"), F.count(F.lit(1)).alias("n")).where("s")
+    if not bad.where(F.col("n") > most_edges).isEmpty():
+        raise ValueError(f"a group of strict inclusions has more than {most_edges} edges")
+    rows = of.join(bad.select("group"), "group").select("group", F.struct("src", "dst", "strict").alias("edge"), F.lit(None).cast("struct<doc_id:bigint,label:string,sign:int>").alias("fact"))
+    own = facts.join(group.join(bad.select("group"), "group").select(F.col("id").alias("doc_id"), "group"), "doc_id").select("group", F.lit(None).cast("struct<src:bigint,dst:bigint,strict:boolean>").alias("edge"), F.struct("doc_id", "label", F.col("sign").cast("int").alias("sign")).alias("fact"))
+
+    def check(part: pd.DataFrame) -> pd.DataFrame:
+        got = [(x["src"], x["dst"], x["strict"]) for x in part["edge"] if x is not None]
+        have = [x for x in part["fact"] if x is not None]
+        pos, neg = ({(x["doc_id"], x["label"]) for x in have if x["sign"] == s} for s in (1, -1))
+        ok = feasible(pos, neg, got, list(labels))
+        return pd.DataFrame({"v": [] if ok else sorted({v for a, b, _ in got for v in (a, b)})}, dtype="int64")
+
+    return rows.unionByName(own).groupBy("group").applyInPandas(check, "v long") if labels else spark.createDataFrame([], "v long")

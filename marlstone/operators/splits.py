@@ -28,10 +28,13 @@ def hash_split(rows: DataFrame, unit: str, fractions: tuple[float, float, float]
     return rows.join(ranked.select(F.col("u").alias(unit), role.alias("role")), unit)
 
 
-def text_role(text: Column, seed: str, train: int, dev: int) -> Column:
-    """Role by the first 16 hex digits of SHA-256 of seed, NUL and the text's group; the limits are shares out of 256 of the hash's first byte."""
+def text_role(text: Column, seed: str, train: float, dev: float) -> Column:
+    """Role by the first 64 bits of SHA-256 of seed, NUL and the text's group, as a share of 2^64: train below `train`, dev below train + dev, else test.
+
+    The group is the SHA-256 of the text in lower case with white space collapsed, so equal texts share a role.
+    """
     group = F.sha2(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), 256)
-    u = F.conv(F.substring(F.sha2(F.concat(F.lit(seed + "|"), group), 256), 1, 2), 16, 10).cast("int")
+    u = F.conv(F.substring(F.sha2(F.concat(F.lit(seed + "\0"), group), 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
     return F.when(u < train, "train").when(u < train + dev, "dev").otherwise("test")
 
 
@@ -47,10 +50,13 @@ def known_rows(rows: DataFrame, key: str, num: int, den: int, dataset: str = "d"
 
 
 def group_folds(rows: DataFrame, group: str, folds: int, seed: int = 0) -> DataFrame:
-    """rows with fold: groups in hash order, dealt in turn."""
-    g = rows.select(F.col(group).alias("g")).distinct()
-    w = Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}|"), F.col("g").cast("string")), 256))
-    return rows.join(g.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int")).withColumnRenamed("g", group), group)
+    """rows with fold: groups in hash order, dealt in turn; ranks come from counts by hash prefix and a rank inside each prefix."""
+    g = rows.select(F.col(group).alias("g")).distinct().withColumn("h", F.sha2(F.concat(F.lit(f"{seed}|"), F.col("g").cast("string")), 256)).withColumn("b", F.substring("h", 1, 3))
+    sizes = g.groupBy("b").agg(F.count(F.lit(1)).alias("c"))  # 4096 rows at most
+    before = sizes.select("b", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("h", "g")) - 1
+    dealt = g.join(F.broadcast(before), "b").withColumn("fold", (place % folds).cast("int"))
+    return rows.join(dealt.select(F.col("g").alias(group), "fold"), group)
 
 
 def latest(rows: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
@@ -83,37 +89,52 @@ def holdout_audit(parts: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return x.agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("r").isNull()).alias("unknown"), F.count_if(F.col("n") > 1).alias("repeated"))
 
 
-def coverage_sample(truth: DataFrame, n: int, batch: int | None = None) -> list[int]:
-    """Greedy sample of n ids that evens out label counts: each batch takes the documents of the largest total label deficit, ties by id."""
+def random_sample(rows: DataFrame, key: str, n: int, seed: str = "sample") -> DataFrame:
+    """n rows by hash."""
+    return stable_cap(rows, key, n, seed)
+
+
+def dominant_sample(probs: DataFrame, n: int, seed: str = "dominant") -> DataFrame:
+    """doc_id, label of n documents or so, as many of each dominant (most probable) label as its share, at least one, by hash."""
+    best = probs.groupBy("doc_id").agg(F.max_by("label", F.struct(F.col("p").cast("double"), F.col("label"))).alias("label"))
+    sizes = best.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    total = best.count()
+    h = F.sha2(F.concat(F.lit(seed + "|"), F.col("doc_id").cast("string")), 256)
+    x = best.join(F.broadcast(sizes), "label").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(h)))  # labels
+    return x.where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("c") / max(total, 1)))).select("doc_id", "label")
+
+
+def coverage_sample(truth: DataFrame, n: int, batch: int | None = None) -> DataFrame:
+    """doc_id of a greedy sample of n documents that evens out label counts: each batch takes the documents of the largest total label deficit, ties by id."""
     size = batch or max(8, min(128, -(-n // 50)))
-    taken: list[int] = []
-    spark = truth.sparkSession
-    target = max(1, n // max(1, truth.select("label").distinct().count()))
-    while len(taken) < n:
-        got = spark.createDataFrame([(i,) for i in taken], "doc_id long")
-        have = truth.join(F.broadcast(got), "doc_id", "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("c"))
-        need = truth.select("label").distinct().join(have, "label", "left").select("label", F.greatest(F.lit(target) - F.coalesce("c", F.lit(0)), F.lit(0)).alias("need"))
-        best = truth.join(F.broadcast(got), "doc_id", "left_anti").join(F.broadcast(need), "label").groupBy("doc_id").agg(F.sum("need").alias("s")).orderBy(F.desc("s"), "doc_id").limit(min(size, n - len(taken))).collect()
-        if not best:
+    t = truth.select("doc_id", "label").distinct()
+    labels = t.select("label").distinct()
+    target = max(1, n // max(1, labels.count()))
+    taken = written(t.select("doc_id").where("false"), "taken")
+    count = 0
+    while count < n:
+        have = t.join(taken, "doc_id", "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+        need = labels.join(have, "label", "left").select("label", F.greatest(F.lit(target) - F.coalesce("c", F.lit(0)), F.lit(0)).alias("need"))
+        best = t.join(taken, "doc_id", "left_anti").join(F.broadcast(need), "label").groupBy("doc_id").agg(F.sum("need").alias("s")).orderBy(F.desc("s"), "doc_id").limit(min(size, n - count)).select("doc_id")
+        taken = written(taken.unionByName(best), "taken")
+        now = taken.count()
+        if now == count:
             break
-        taken += [r["doc_id"] for r in best]
+        count = now
     return taken
 
 
-def stratified_folds(rows: list[tuple[str, set[str]]], folds: int, seed: int = 0) -> dict[str, int]:
-    """Driver-side multilabel folds of exact sizes: rare labels first, to the fold that needs the label most, then by hash."""
-    import hashlib
-    from collections import Counter
-
-    n, total = len(rows), Counter(x for _, s in rows for x in s)
-    room = [n // folds + (i < n % folds) for i in range(folds)]
-    need = [{x: c / folds for x, c in total.items()} for _ in range(folds)]
-    h = lambda *a: hashlib.sha256("|".join(map(str, a)).encode()).hexdigest()
-    out: dict[str, int] = {}
-    for i, s in sorted(rows, key=lambda r: (min((total[x] for x in r[1]), default=n + 1), h(seed, r[0]))):
-        f = min((k for k in range(folds) if room[k]), key=lambda k: (-sum(need[k][x] / total[x] for x in s), -room[k], h(seed, i, k)))
-        out[i] = f
-        room[f] -= 1
-        for x in s:
-            need[f][x] -= 1
-    return out
+def stratified_folds(truth: DataFrame, rows: DataFrame, folds: int, seed: int = 0) -> DataFrame:
+    """doc_id, fold: multilabel folds. Documents are grouped by their rarest label (none last) and dealt in turn within it, in the order
+    of their other labels and a hash, from a fold that the label's hash names; every fold has its share of each rarest label within one."""
+    count = truth.select("doc_id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    per = truth.select("doc_id", "label").distinct().join(count, "label").groupBy("doc_id").agg(F.min(F.struct("c", "label")).alias("rare"), F.array_join(F.array_sort(F.collect_set("label")), "|").alias("all"))
+    x = rows.select("doc_id").distinct().join(per, "doc_id", "left").select("doc_id", F.coalesce("rare.label", F.lit("")).alias("rare"), F.coalesce("all", F.lit("")).alias("all"))
+    h = F.sha2(F.concat(F.lit(f"{seed}|"), F.col("doc_id").cast("string")), 256)
+    x = x.withColumn("h", h).withColumn("b", F.substring("h", 1, 2))
+    # Documents of one rarest label and label set are ranked by hash prefix, then inside the prefix.
+    sizes = x.groupBy("rare", "all", "b").agg(F.count(F.lit(1)).alias("c"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("rare").orderBy("all", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("rare", "all", "b").orderBy("h", "doc_id")) - 1
+    start = F.pmod(F.xxhash64("rare", F.lit(seed)), F.lit(folds))
+    return x.join(before, ["rare", "all", "b"]).select("doc_id", ((place + start) % folds).cast("int").alias("fold"))

@@ -20,13 +20,15 @@ class Catalog:
 
     docs: doc_id, cnt, ttl, mtd and one column `mtd_<key>` for each named attribute; an optional boolean
     column `<attribute>__present` certifies presence. model_prob: doc_id, alias, label, p, is_static.
-    gamma: doc_id, label, sign. relations: src, dst, strict (roots of the label-set relation).
+    gamma: doc_id, label, sign. relations: src, dst, strict (roots of the label-set relation). labels: the whole
+    label axis, if it is declared; without it a strict inclusion is never known to lack a witness.
     """
 
     docs: DataFrame
     gamma: DataFrame
     model_prob: DataFrame | None = None
     relations: DataFrame | None = None
+    labels: tuple[str, ...] | None = None
 
 
 def column(attr: str) -> str:

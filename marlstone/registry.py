@@ -203,11 +203,11 @@ def group_semi_join(spark, d):
     return joins.group_reach(docs_of(spark, d), read(spark, d, "labels").where("toxic = 1"), "mtd_source")
 
 
-@query("set_group_join", "SELECT a.o_custkey AS doc_id, count(DISTINCT b.o_custkey) AS sources FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 200) a JOIN (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 50) b USING (l_partkey) GROUP BY 1 HAVING count(DISTINCT b.o_custkey) >= 2")
+@query("set_group_join", "SELECT a.o_custkey AS doc_id, count(DISTINCT b.o_custkey) AS sources FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) a JOIN (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) b USING (l_partkey) JOIN customer c ON c.c_custkey = b.o_custkey AND c.c_mktsegment = 'BUILDING' GROUP BY 1 HAVING count(DISTINCT b.o_custkey) >= 2")
 def set_group_join(spark, d):
     o = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    m = o.where("o_custkey < 200").select(F.col("o_custkey").alias("doc_id"), F.col("l_partkey").cast("string").alias("member"))
-    return joins.set_groups(m, m.where("doc_id < 50").select("doc_id").distinct(), 2)
+    m = o.select(F.col("o_custkey").alias("doc_id"), F.col("l_partkey").cast("string").alias("member"))
+    return joins.set_groups(m, read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("doc_id")), 2)
 
 
 def _vec(spark, d):
@@ -224,7 +224,10 @@ def knn_directed(spark, d):
     return joins.top_k(*_vec(spark, d), 5).withColumn("sim", F.round("sim", 6))
 
 
-@query("knn_mutual", f"SELECT n.x, n.y, n.sim FROM ({_near}) n JOIN ({_near}) m ON n.x = m.y AND n.y = m.x")
+_theirs = _near.replace("WHERE a.vec_id % 100 = 0", "").replace("a.vec_id <> b.vec_id", "a.vec_id <> b.vec_id")
+
+
+@query("knn_mutual", f"SELECT n.x, n.y, n.sim FROM ({_near}) n JOIN ({_theirs}) m ON n.x = m.y AND n.y = m.x")
 def knn_mutual(spark, d):
     return joins.top_k(*_vec(spark, d), 5, "mutual").withColumn("sim", F.round("sim", 6))
 
@@ -258,9 +261,9 @@ def closure_label_chain(spark, d):
     return close_program(catalog(spark, d, none), [one("b", "c"), one("a", "b"), start]).facts
 
 
-@query("closure_two_rule_mutual", f"SELECT doc_id, label, sign FROM r", recursive="r AS (SELECT doc_id, 'toxic' AS label, 1 AS sign FROM labels WHERE toxic = 1 AND doc_id % 10 = 0 UNION SELECT a.doc_id, CASE r.label WHEN 'toxic' THEN 'flag' ELSE 'toxic' END, 1 FROM r JOIN docs b ON b.doc_id = r.doc_id JOIN docs a ON (r.label = 'toxic' AND a.ttl = b.ttl AND a.ttl <> '') OR (r.label = 'flag' AND a.cnt = b.cnt))")
+@query("closure_two_rule_mutual", f"SELECT doc_id, label, sign FROM r", recursive="r AS (SELECT doc_id, 'toxic' AS label, 1 AS sign FROM labels WHERE toxic = 1 UNION SELECT a.doc_id, CASE r.label WHEN 'toxic' THEN 'flag' ELSE 'toxic' END, 1 FROM r JOIN docs b ON b.doc_id = r.doc_id JOIN docs a ON (r.label = 'toxic' AND a.ttl = b.ttl AND a.ttl <> '') OR (r.label = 'flag' AND a.cnt = b.cnt))")
 def closure_two_rule_mutual(spark, d):
-    g = gamma_of(spark, d).where("label = 'toxic' and sign = 1 and doc_id % 10 = 0")
+    g = gamma_of(spark, d).where("label = 'toxic' and sign = 1")
     up = Rule((Doc("x"), Doc("y"), AttrEqual("x", "ttl", "y", "ttl"), Label("y", "toxic")), Label("x", "flag"))
     back = Rule((Doc("x"), Doc("y"), AttrEqual("x", "cnt", "y", "cnt"), Label("y", "flag")), Label("x", "toxic"))
     return close_program(catalog(spark, d, g), [up, back]).facts
@@ -327,12 +330,14 @@ def available_predictions(spark, d):
     return review.available(gamma_of(spark, d), gamma_of(spark, d).where("false"), prob_of(spark, d).where("alias = 'm2' and p >= 0.95"))
 
 
-_edges = "SELECT DISTINCT l_suppkey % 40 AS src, l_suppkey % 40 + 1 + l_partkey % 3 AS dst FROM lineitem WHERE l_orderkey % 50 = 0"
+_edges = "SELECT c_custkey AS src, 10000000 + c_nationkey AS dst FROM customer UNION SELECT 10000000 + n_nationkey, 20000000 + n_regionkey FROM nation UNION SELECT 30000000 + s_suppkey, 10000000 + s_nationkey FROM supplier"
 
 
 def _edge_frame(spark, d):
-    s = F.col("l_suppkey") % 40
-    return read(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(s.cast("long").alias("src"), (s + 1 + F.col("l_partkey") % 3).cast("long").alias("dst"), F.lit(False).alias("strict")).distinct()
+    edge = lambda df, a, b: df.select(a.cast("long").alias("src"), b.cast("long").alias("dst"), F.lit(False).alias("strict"))
+    c = edge(read(spark, d, "customer"), F.col("c_custkey"), 10000000 + F.col("c_nationkey"))
+    n = edge(read(spark, d, "nation"), 10000000 + F.col("n_nationkey"), 20000000 + F.col("n_regionkey"))
+    return c.unionByName(n).unionByName(edge(read(spark, d, "supplier"), 30000000 + F.col("s_suppkey"), 10000000 + F.col("s_nationkey"))).distinct()
 
 
 @query("subset_transitive_closure", "SELECT src, dst FROM r", recursive=f"r AS (SELECT src, dst FROM ({_edges}) UNION SELECT r.src, e.dst FROM r JOIN ({_edges}) e ON r.dst = e.src)")
@@ -340,17 +345,27 @@ def subset_transitive_closure(spark, d):
     return relations.close(_edge_frame(spark, d)).select("src", "dst")
 
 
-@query("subset_label_copy", "SELECT DISTINCT r.dst AS doc_id, g.label, 1 AS sign FROM r JOIN truth g ON g.doc_id = r.src UNION SELECT doc_id, label, sign FROM gamma", recursive=f"r AS (SELECT src, dst FROM ({_edges}) UNION SELECT r.src, e.dst FROM r JOIN ({_edges}) e ON r.dst = e.src)")
+_next = "SELECT * FROM (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS dst FROM documents) WHERE dst IS NOT NULL"
+
+
+def _copies(spark, d, strict: bool = False):
+    from pyspark.sql import Window
+
+    nxt = F.lead("doc_id").over(Window.partitionBy("text").orderBy("doc_id"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("src"), nxt.alias("dst"), F.lit(strict).alias("strict")).where("dst is not null")
+
+
+@query("subset_label_copy", "SELECT DISTINCT r.dst AS doc_id, g.label, 1 AS sign FROM r JOIN truth g ON g.doc_id = r.src UNION SELECT doc_id, label, sign FROM gamma", recursive=f"r AS (SELECT src, dst FROM ({_next}) UNION SELECT r.src, e.dst FROM r JOIN ({_next}) e ON r.dst = e.src)")
 def subset_label_copy(spark, d):
-    return relations.copy_labels(gamma_of(spark, d), relations.close(_edge_frame(spark, d)))
+    return relations.copy_labels(gamma_of(spark, d), relations.close(_copies(spark, d)))
 
 
-_cyc = "SELECT DISTINCT s_suppkey % 6 AS src, (s_suppkey + s_nationkey) % 6 AS dst FROM supplier"
+_cyc = "SELECT DISTINCT n_nationkey AS src, n_regionkey AS dst FROM nation"
 
 
 @query("strict_cycle_check", "SELECT DISTINCT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src UNION SELECT src, dst FROM r WHERE src = dst", recursive=f"r AS (SELECT src, dst FROM ({_cyc}) UNION SELECT r.src, e.dst FROM r JOIN ({_cyc}) e ON r.dst = e.src)")
 def strict_cycle_check(spark, d):
-    e = read(spark, d, "supplier").select((F.col("s_suppkey") % 6).cast("long").alias("src"), ((F.col("s_suppkey") + F.col("s_nationkey")) % 6).cast("long").alias("dst"), F.lit(True).alias("strict")).distinct()
+    e = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"), F.lit(True).alias("strict")).distinct()
     return relations.violations(relations.close(e), gamma_of(spark, d)).select("src", "dst")
 
 
@@ -484,16 +499,19 @@ def entropy_topk(spark, d):
     return patterns.top_by(_cont(spark, d), "label", [F.desc("tp"), F.col("pattern")], 3).select("pattern", "label")
 
 
-@query("selection_frequency_topk", "SELECT alias, count(*) AS picks FROM (SELECT doc_id, alias, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, alias) AS r FROM prob WHERE label = 'quality') WHERE r <= 2 GROUP BY 1 ORDER BY picks DESC, alias LIMIT 2")
+@query("selection_frequency_topk", "SELECT alias, count(*) AS picks FROM (SELECT doc_id, label, alias, row_number() OVER (PARTITION BY doc_id, label ORDER BY p DESC, alias) AS r FROM prob) WHERE r <= 2 GROUP BY 1 ORDER BY picks DESC, alias LIMIT 2")
 def selection_frequency_topk(spark, d):
-    top = patterns.top_by(prob_of(spark, d).where("label = 'quality'"), "doc_id", [F.desc("p"), F.col("alias")], 2)
-    return top.groupBy("alias").agg(F.count(F.lit(1)).alias("picks")).orderBy(F.desc("picks"), "alias").limit(2)
+    cells = prob_of(spark, d).withColumn("cell", F.struct("doc_id", "label"))
+    return patterns.frequent_picks(cells, "cell", "alias", [F.desc("p"), F.col("alias")], 2)
+
 
+_f = "CASE WHEN 2 * ({0}) + ({1}) + ({2}) = 0 THEN 0.0 ELSE 2.0 * ({0}) / (2 * ({0}) + ({1}) + ({2})) END::DOUBLE"
 
-@query("residual_shortlist")
+
+@query("residual_shortlist", f"WITH o AS (SELECT h.pattern, a.label, count(t.doc_id) AS tp, count(*) - count(t.doc_id) AS fp FROM hits h CROSS JOIN axis a LEFT JOIN pred p ON p.doc_id = h.doc_id AND p.label = a.label LEFT JOIN truth t ON t.doc_id = h.doc_id AND t.label = a.label WHERE p.doc_id IS NULL GROUP BY 1, 2), s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) AS k FROM per_label), g AS (SELECT o.pattern, o.label, o.tp, o.fp, round(0.8 * ({_f.format('l.tp + o.tp', 'l.fp + o.fp', 'l.fn - o.tp')} - {_f.format('l.tp', 'l.fp', 'l.fn')}) / s.k + 0.2 * ({_f.format('s.tp + o.tp', 's.fp + o.fp', 's.fn - o.tp')} - {_f.format('s.tp', 's.fp', 's.fn')}), 9)::DOUBLE AS gain, round(CASE WHEN o.tp + o.fp > 0 THEN o.tp / sqrt((o.tp + o.fp)::DOUBLE) ELSE 0 END, 9)::DOUBLE AS strength FROM o JOIN per_label l ON l.label = o.label CROSS JOIN s) SELECT pattern, label, tp, fp, gain, strength FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gain DESC, pattern) AS ra, row_number() OVER (PARTITION BY label ORDER BY strength DESC, pattern) AS rb FROM g) WHERE ra <= 4 OR rb <= 2")
 def residual_shortlist(spark, d):
-    gains = patterns.residual_gain(_hits(spark, d), pred_of(spark, d), truth_of(spark, d), docs_of(spark, d), axis_of(spark))
-    return patterns.shortlist(gains, 4).withColumns({"gain": F.round("gain", 9), "strength": F.round("strength", 9)})
+    gains = patterns.residual_gain(_hits(spark, d), pred_of(spark, d), truth_of(spark, d), docs_of(spark, d), axis_of(spark)).withColumn("gain", F.round("gain", 9))
+    return patterns.shortlist(gains, 4).withColumn("strength", F.round("strength", 9))
 
 
 @query("rule_precision_laplace", "SELECT pattern, count(*) AS support, count(*) FILTER (WHERE g.sign = 1) AS correct, round((count(*) FILTER (WHERE g.sign = 1) + 1) * 1.0 / (count(*) + 2), 9)::DOUBLE AS q FROM hits h JOIN gamma g ON g.doc_id = h.doc_id AND g.label = 'toxic' GROUP BY 1")
@@ -555,10 +573,9 @@ def feedback_weak_cells(spark, d):
     return review.weighted(w, "confidence", discount=0.5).withColumn("weight", F.round("weight", 9))
 
 
-@query("split_text_hash", "SELECT doc_id, CASE WHEN u < 200 THEN 'train' WHEN u < 230 THEN 'dev' ELSE 'test' END AS role FROM (SELECT doc_id, ('0x' || substr(sha256('s|' || sha256(lang || '/' || doc_id % 50)), 1, 2))::INT AS u FROM documents)")
+@query("split_text_hash", "SELECT doc_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'dev' ELSE 'test' END AS role FROM (SELECT doc_id, ('0x' || substr(sha256('s' || chr(0) || sha256(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'))), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM documents)")
 def split_text_hash(spark, d):
-    key = F.concat(F.col("lang"), F.lit("/"), (F.col("doc_id") % 50).cast("string"))
-    return read(spark, d, "documents").select("doc_id", splits.text_role(key, "s", 200, 30).alias("role"))
+    return read(spark, d, "documents").select("doc_id", splits.text_role(F.col("text"), "s", 0.8, 0.1).alias("role"))
 
 
 @query("split_group_hash", "WITH u AS (SELECT DISTINCT doc_id % 100 AS g FROM documents), r AS (SELECT g, row_number() OVER (ORDER BY sha256('[\"split\",\"rows\",0,\"' || g || '\"]')) AS k, count(*) OVER () AS n FROM u) SELECT doc_id, doc_id % 100 AS g, CASE WHEN k <= greatest(floor(n * 0.7), 1) THEN 'train' WHEN k <= greatest(floor(n * 0.7), 1) + greatest(floor(n * 0.1), 1) THEN 'dev' ELSE 'test' END AS role FROM documents JOIN r ON r.g = doc_id % 100")
@@ -587,17 +604,15 @@ def dedup_text_groups(spark, d):
     return read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("h")
 
 
-@query("union_find_components", "SELECT id, min(other) AS \"group\" FROM r GROUP BY 1", recursive="r AS (SELECT c_custkey AS id, c_custkey AS other FROM customer WHERE c_custkey % 7 = 0 UNION SELECT r.id, b.c_custkey FROM r JOIN customer a ON a.c_custkey = r.other JOIN customer b ON b.c_custkey % 7 = 0 AND (b.c_custkey // 40 = a.c_custkey // 40 OR b.c_custkey % 83 = a.c_custkey % 83))")
+@query("union_find_components", "SELECT id, min(other) AS \"group\" FROM r GROUP BY 1", recursive="r AS (SELECT doc_id AS id, doc_id AS other FROM docs UNION SELECT r.id, b.doc_id FROM r JOIN docs a ON a.doc_id = r.other JOIN docs b ON (b.ttl = a.ttl AND a.ttl <> '') OR (b.cnt = a.cnt AND a.cnt <> ''))")
 def union_find_components(spark, d):
-    c = read(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("long").alias("id"), F.floor(F.col("c_custkey") / 40).cast("string").alias("a"), (F.col("c_custkey") % 83).cast("string").alias("b"))
-    return splits.connected_groups(c, ["a", "b"], "id")
+    return splits.connected_groups(docs_of(spark, d).select(F.col("doc_id").alias("id"), "ttl", "cnt"), ["ttl", "cnt"], "id")
 
 
-@query("holdout_audit", "SELECT 0::BIGINT AS missing, 0::BIGINT AS unknown, count(*) AS repeated FROM documents WHERE doc_id % 10 = 0")
+@query("holdout_audit", "SELECT count(*) FILTER (WHERE n IS NULL) AS missing, count(*) FILTER (WHERE r IS NULL) AS unknown, count(*) FILTER (WHERE n > 1) AS repeated FROM (SELECT doc_id, 1 AS r FROM documents) a FULL JOIN (SELECT doc_id, count(DISTINCT part) AS n FROM (SELECT doc_id, 'a' AS part FROM labels UNION ALL SELECT vec_id, 'b' FROM embeddings) GROUP BY 1) b ON a.doc_id = b.doc_id")
 def holdout_audit(spark, d):
-    rows = read(spark, d, "documents").select("doc_id")
-    parts = rows.withColumn("part", F.lit("a")).unionByName(rows.where("doc_id % 10 = 0").withColumn("part", F.lit("b")))
-    return splits.holdout_audit(parts, rows, "doc_id")
+    parts = read(spark, d, "labels").select("doc_id", F.lit("a").alias("part")).unionByName(read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit("b").alias("part")))
+    return splits.holdout_audit(parts, read(spark, d, "documents"), "doc_id")
 
 
 @query("sentence_split", "SELECT doc_id, count(*) AS sentences FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(trim(cnt), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM docs) WHERE s <> '' GROUP BY 1")
@@ -605,14 +620,22 @@ def sentence_split(spark, d):
     return docs_of(spark, d).select("doc_id", F.size(T.sentences(F.col("cnt"))).cast("long").alias("sentences")).where("sentences > 0")
 
 
-@query("number_spans", "SELECT doc_id, len(regexp_extract_all(cnt, '[0-9]+(?:[.,:/-][0-9]+)*')) AS spans FROM docs")
+@query("number_spans", "SELECT doc_id, n AS place, s[n] AS span FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS n FROM (SELECT doc_id, regexp_extract_all(cnt, '\\b[0-9]+(?:[.,:/-][0-9]+)*(?:%|[A-Za-z]{1,3})?\\b') AS s FROM docs))")
 def number_spans(spark, d):
-    return docs_of(spark, d).select("doc_id", F.size(T.number_spans(F.col("cnt"))).cast("long").alias("spans"))
+    return docs_of(spark, d).select("doc_id", F.posexplode(T.number_spans(F.col("cnt"))).alias("place", "span")).select("doc_id", (F.col("place") + 1).cast("long").alias("place"), "span")
+
 
+_title = r"WITH t AS (SELECT doc_id, list_slice(string_split(regexp_replace(ttl, '(\p{L}+)', chr(1) || '\1' || chr(2), 'g'), chr(1)), 2, 100000) AS p FROM docs), u AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS i FROM t), w AS (SELECT doc_id, i, lower(split_part(x, chr(2), 1)) AS a, regexp_full_match(split_part(x, chr(2), 2), '\s+') AS g FROM u), l AS (SELECT *, lead(a) OVER v AS a2, lead(g) OVER v AS g2, lead(a, 2) OVER v AS a3 FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY i)), s AS (SELECT * FROM l WHERE length(a) >= 2 AND a NOT IN ('the', 'and'))"
 
-@query("title_ngrams")
+
+@query("title_ngrams", _title + " SELECT doc_id, ngram, count(*) AS n FROM (SELECT doc_id, a AS ngram FROM s UNION ALL SELECT doc_id, a || ' ' || a2 FROM s WHERE a2 IS NOT NULL AND g UNION ALL SELECT doc_id, a || ' ' || a2 || ' ' || a3 FROM s WHERE a3 IS NOT NULL AND g AND g2) GROUP BY 1, 2")
 def title_ngrams(spark, d):
-    return docs_of(spark, d).select("doc_id", F.explode(T.title_ngrams(F.col("ttl"))).alias("ngram"))
+    return docs_of(spark, d).select("doc_id", F.explode(T.title_terms(F.col("ttl"), ("the", "and"))).alias("ngram")).groupBy("doc_id", "ngram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("title_pairs", _title + ", n AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM s) SELECT DISTINCT doc_id, family, CASE WHEN family = 'Cooccur' THEN least(a, b) ELSE a END AS a, CASE WHEN family = 'Cooccur' THEN greatest(a, b) ELSE b END AS b FROM n CROSS JOIN (SELECT unnest(['Cooccur', 'Before']) AS family) WHERE b IS NOT NULL AND a <> b")
+def title_pairs(spark, d):
+    return docs_of(spark, d).select("doc_id", F.explode(T.title_pairs(F.col("ttl"), ("the", "and"))).alias("p")).select("doc_id", "p.*")
 
 
 @query("tfidf_top_terms", "WITH t AS (SELECT doc_id, lang AS cluster, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS token FROM documents), tf AS (SELECT doc_id, cluster, token, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT tf.cluster, token, round(sum(tf * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1)) / max(z.n), 6) AS score FROM tf JOIN df USING (token) JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) z ON z.lang = tf.cluster GROUP BY 1, 2) SELECT cluster, token, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, token) AS r FROM s) WHERE r <= 10")
@@ -631,9 +654,9 @@ def event_windows(spark, d):
     return windowed_counts(read(spark, d, "events"))
 
 
-@query("candidate_scores")
+@query("candidate_scores", "SELECT row_number() OVER (ORDER BY list_position(['worthless', 'idiot', 'scum', 'trash', 'the', 'and'], pattern))::INT - 1 AS rule_id, 'toxic' AS label, tp, fp, round(2.0 * tp / (tp + fp + pos), 9)::DOUBLE AS f1 FROM (SELECT pattern, count(*) FILTER (WHERE t.doc_id IS NOT NULL) AS tp, count(*) FILTER (WHERE t.doc_id IS NULL) AS fp, (SELECT count(*) FROM truth WHERE label = 'toxic') AS pos FROM hits h LEFT JOIN truth t ON t.doc_id = h.doc_id AND t.label = 'toxic' GROUP BY 1)")
 def candidate_scores(spark, d):
     from marlstone.operators.discovery import score_rules
 
     rules = [Rule((Doc("x"), Text("x", has(w))), Label("x", "toxic")) for w in PATTERNS]
-    return score_rules(catalog(spark, d), rules, truth_of(spark, d), axis_of(spark)).withColumn("f1", F.round("f1", 9))
+    return score_rules(catalog(spark, d), rules, truth_of(spark, d), axis_of(spark)).withColumn("f1", F.round("f1", 9))
\ No newline at end of file

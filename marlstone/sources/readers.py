@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import xml_field
 from marlstone.plans.rules import Rule, read_program, write_program
+from marlstone.plans.store import written
 
 DOCUMENT_JSON = "row_id string, text string, metadata map<string,string>, source string"
 ANSWER_JSON = "row_id string, labels array<string>, targets array<int>, provider string, provenance string"
 
 
 def csv_documents(spark: SparkSession, path: str, text: str, labels: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(documents, truth) of a CSV file with a text column and 0/1 columns, one a label. Documents are numbered by content hash."""
+    """(documents, truth) of a CSV file with a text column and 0/1 columns, one a label. Documents are numbered as they are read; equal texts are different documents."""
     schema = ", ".join([f"`{text}` string", *(f"`{x}` int" for x in labels)])
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path).withColumn("doc_id", F.xxhash64(text))
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+    raw = written(raw.withColumn("doc_id", F.monotonically_increasing_id()), "csv")  # read once: both tables have the same numbers
     stack = F.explode(F.filter(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"`{x}`").alias("y")) for x in labels]), lambda s: s["y"] == 1)).alias("s")
     return raw.select("doc_id", F.col(f"`{text}`").alias("cnt")), raw.select("doc_id", stack).select("doc_id", "s.label")
 
@@ -54,9 +56,60 @@ def answers(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
     return cells.select("row_id", F.col("c.labels").alias("label"), F.when(F.col("c.targets") == 1, 1).otherwise(-1).alias("sign"))
 
 
-def oracle_answers(truth: DataFrame, queries: DataFrame) -> DataFrame:
-    """The requested rows of a truth table and no others."""
-    return truth.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+def oracle_answers(truth: DataFrame, queries: DataFrame, labels: list[str] | None = None, budget: int | None = None, spent: int = 0) -> DataFrame:
+    """The requested rows of a truth table and no others. truth: doc_id, label (positives) or with sign.
+
+    With labels every cell of a requested row is answered, - where the truth has none. More requested rows than what is
+    left of the budget are an error, and none is answered.
+    """
+    asked = queries.select("doc_id").distinct()
+    if budget is not None and (n := asked.count()) > budget - spent:
+        raise ValueError(f"{n} rows are asked for; {budget - spent} are left")
+    known = truth.join(asked, "doc_id", "left_semi")
+    if labels is None:
+        return known
+    axis = F.explode(F.array(*map(F.lit, labels))).alias("label")
+    signed = known if "sign" in known.columns else known.withColumn("sign", F.lit(1))
+    return asked.select("doc_id", axis).join(signed.select("doc_id", "label", "sign"), ["doc_id", "label"], "left").select("doc_id", "label", F.coalesce("sign", F.lit(-1)).alias("sign"))
+
+
+def write_truth(answers: DataFrame, docs: DataFrame, labels: list[str], path: str) -> None:
+    """A truth table as long rows doc_id, label, target, observed: every cell of the axis, unobserved ones with target false."""
+    axis = F.explode(F.array(*map(F.lit, labels))).alias("label")
+    cells = docs.select("doc_id").distinct().select("doc_id", axis).join(answers.select("doc_id", "label", "sign").distinct(), ["doc_id", "label"], "left")
+    cells.select("doc_id", "label", F.coalesce(F.col("sign") > 0, F.lit(False)).alias("target"), F.col("sign").isNotNull().alias("observed")).write.mode("overwrite").parquet(path)
+
+
+def read_truth(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
+    """doc_id, label, sign of the observed cells; an undeclared label, or a target that is not observed, fails the read."""
+    raw = spark.read.parquet(path)
+    bad = ~F.col("label").isin(*labels) | (F.col("target") & ~F.col("observed"))
+    ok = F.when(bad, F.raise_error(F.concat(F.lit("bad truth cell "), F.col("label"))).cast("boolean")).otherwise(F.col("observed"))
+    return raw.where(ok).select("doc_id", "label", F.when(F.col("target"), 1).otherwise(-1).alias("sign"))
+
+
+def materialise(rows: DataFrame, truth: DataFrame, labels: list[str], path: str) -> DataFrame:
+    """Write rows (doc_id, cnt, role) and their truth by role under path; returns the quality report of the roles.
+
+    A repeated id, an empty text or an undeclared label is an error before anything is written.
+    """
+    empty = F.coalesce(F.trim("cnt"), F.lit("")) == ""
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_if(empty).alias("empty")).first()
+    if r["n"] != r["ids"] or r["empty"]:
+        raise ValueError(f"{r['n'] - r['ids']} repeated ids, {r['empty']} empty texts")
+    odd = truth.where(~F.col("label").isin(*labels)).select("label").first()
+    if odd:
+        raise ValueError(f"undeclared label {odd['label']!r}")
+    write_roles(rows, f"{path}/documents")
+    write_roles(truth.join(rows.select("doc_id", "role"), "doc_id"), f"{path}/truth")
+    return quality_report(rows)
+
+
+def export_closure(closure, path: str, proof: DataFrame | None = None) -> None:
+    """Facts as parquet, and the proof rows (operators.proof), if given, as compressed JSON."""
+    closure.facts.write.mode("overwrite").parquet(f"{path}/facts")
+    if proof is not None:
+        proof.write.mode("overwrite").option("compression", "gzip").json(f"{path}/proof")
 
 
 def read_rules(spark: SparkSession, path: str) -> tuple[list[str], list[Rule]]:

@@ -5,18 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from marlstone.operators.closure import close_program
-from marlstone.plans.compile import Catalog
+from marlstone.plans.compile import FACTS, Catalog
 from marlstone.plans.rules import Rule
 
 
 def label_stream(docs: DataFrame, gamma: DataFrame, rules: list[Rule], out: str, checkpoint: str, policy: str = "protect") -> StreamingQuery:
-    """Close the program over each micro-batch of documents and append its facts with the batch's number, so a replayed batch overwrites itself."""
+    """Close the program as documents arrive: each micro-batch's documents join those before, whose facts are roots of the new run.
+
+    out/documents and out/facts hold what each batch added, by its number; a batch that is run again starts from the
+    batches before it and overwrites its own. New documents only add facts, so what was written stays true for
+    programs without conflicts.
+    """
+    schema = docs.schema
+
     def each(batch: DataFrame, number: int) -> None:
-        roots = gamma.join(batch.select("doc_id"), "doc_id", "left_semi")
-        facts = close_program(Catalog(batch, roots), rules, policy).facts
-        facts.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+
+        def before(name: str, like: str | StructType) -> DataFrame:
+            if not number:
+                return spark.createDataFrame([], like)
+            kinds = like if isinstance(like, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.fields)
+            return spark.read.schema(kinds + ", batch int").parquet(f"{out}/{name}").where(F.col("batch") < number).drop("batch")
+
+        batch.write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+        own = spark.read.schema(schema).parquet(f"{out}/documents/batch={number}")
+        all_ = before("documents", schema).unionByName(own)
+        old = before("facts", FACTS)
+        closed = close_program(Catalog(all_, gamma.join(all_.select("doc_id"), "doc_id", "left_semi")), rules, policy, roots=old)
+        closed.facts.select("doc_id", "label", "sign").join(old, ["doc_id", "label", "sign"], "left_anti").write.mode("overwrite").parquet(f"{out}/facts/batch={number}")
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

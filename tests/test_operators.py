@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import discovery, review, splits
 from marlstone.plans.compile import Catalog
-from marlstone.plans.rules import Doc, Label, Pattern, Predicate, Rule, Text
+from marlstone.plans.rules import AttrEqual, Doc, Label, Pattern, Predicate, Rule, Text
 from marlstone.sources import readers
 from marlstone.streaming import ingest
 
@@ -24,15 +24,24 @@ def test_split_counts_and_groups(spark):
     assert g.where("n > 1").count() == 0
 
 
-def test_folds():
-    rows = [(str(i), {"a"} if i % 2 else {"a", "b"}) for i in range(20)] + [("r1", {"rare"}), ("r2", {"rare"})]
-    f = splits.stratified_folds(rows, 2)
-    assert sorted([*f.values()].count(k) for k in (0, 1)) == [11, 11] and f["r1"] != f["r2"]
+def test_folds(spark):
+    truth = spark.createDataFrame([(i, x) for i in range(40) for x in (("a",) if i % 2 else ("a", "b"))] + [(100, "rare"), (101, "rare")], "doc_id long, label string")
+    rows = truth.select("doc_id").distinct().unionByName(spark.range(200, 205).select(F.col("id").alias("doc_id")))
+    f = {r.doc_id: r.fold for r in splits.stratified_folds(truth, rows, 2).collect()}
+    assert len(f) == 47 and f[100] != f[101]
+    assert [sum(f[i] == k for i in range(40) if i % 2 == 0) for k in (0, 1)] == [10, 10]
+    g = splits.group_folds(spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 10).alias("g")), "g", 3)
+    assert g.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    assert sorted(r.n for r in g.groupBy("fold").agg(F.count_distinct("g").alias("n")).collect()) == [3, 3, 4]
 
 
-def test_coverage_sample(spark):
+def test_samples(spark):
     t = spark.createDataFrame([(i, "a") for i in range(30)] + [(100, "b"), (101, "b")], "doc_id long, label string")
-    assert {100, 101} <= set(splits.coverage_sample(t, 12, batch=4))
+    got = {r.doc_id for r in splits.coverage_sample(t, 12, batch=4).collect()}
+    assert {100, 101} <= got and len(got) == 12
+    p = t.withColumn("p", F.lit(0.5))
+    by = splits.dominant_sample(p, 16).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in by} == {"a": 15, "b": 1}
 
 
 def test_allocate_and_choose():
@@ -87,6 +96,9 @@ def test_csv_json_and_xml(spark, tmp_path):
     (tmp_path / "a.csv").write_text('abstract,x,y\n"one, ""two""",1,0\nthree,1,1\n')
     docs, truth = readers.csv_documents(spark, str(tmp_path / "a.csv"), "abstract", ["x", "y"])
     assert {r.cnt for r in docs.collect()} == {'one, "two"', "three"} and truth.count() == 3
+    (tmp_path / "same.csv").write_text("abstract,x\nsame,1\nsame,0\n")
+    docs, truth = readers.csv_documents(spark, str(tmp_path / "same.csv"), "abstract", ["x"])
+    assert docs.select("doc_id").distinct().count() == 2 and truth.count() == 1
     (tmp_path / "d.json").write_text(json.dumps({"row_id": "r", "text": "t", "metadata": {"title": "T", "b": " ", "a": "1"}, "source": "s"}))
     r = readers.json_documents(spark, str(tmp_path / "d.json")).first()
     assert (r.cnt, r.ttl, r.mtd) == ("t", "T", '{"a":"1","title":"T"}')
@@ -100,9 +112,31 @@ def test_rules_file(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "good" if i % 2 else "bad", "", "") for i in range(6)], "doc_id long, cnt string, ttl string, mtd string")
-    docs.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    """Rules that link documents fire across batches."""
+    docs = spark.createDataFrame([(i, "good" if i == 1 else "bad", f"t{i % 2}", "") for i in range(6)], "doc_id long, cnt string, ttl string, mtd string")
+    link = Rule((Doc("x"), Doc("y"), AttrEqual("x", "ttl", "y", "ttl"), Label("y", "L")), Label("x", "L"))
     gamma = spark.createDataFrame([], "doc_id long, label string, sign int")
-    ingest.label_stream(stream, gamma, [rule("good", "L")], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1, 3, 5}
+    for part in ("doc_id < 3", "doc_id >= 3"):
+        docs.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+        ingest.label_stream(stream, gamma, [rule("good", "L"), link], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out" / "facts")).collect()
+    assert sorted((r.batch, r.doc_id) for r in rows) == [(0, 1), (1, 3), (1, 5)]
+
+
+def test_materialise_and_truth(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "train"), (2, "b", "test"), (3, "b", "test")], "doc_id long, cnt string, role string")
+    truth = spark.createDataFrame([(1, "L", 1), (2, "L", -1)], "doc_id long, label string, sign int")
+    report = {r.role: (r.rows, r.repeated_text) for r in readers.materialise(rows, truth, ["L"], str(tmp_path / "m")).collect()}
+    assert report == {"train": (1, 0), "test": (2, 1)} and spark.read.parquet(str(tmp_path / "m" / "truth")).where("role = 'test'").count() == 1
+    for bad, t in ((rows.unionByName(rows), truth), (rows.withColumn("cnt", F.lit(" ")), truth), (rows, truth.withColumn("label", F.lit("other")))):
+        with pytest.raises(ValueError):
+            readers.materialise(bad, t, ["L"], str(tmp_path / "no"))
+    readers.write_truth(truth, rows, ["L", "M"], str(tmp_path / "t"))
+    assert {(r.doc_id, r.label, r.sign) for r in readers.read_truth(spark, str(tmp_path / "t"), ["L", "M"]).collect()} == {(1, "L", 1), (2, "L", -1)}
+    with pytest.raises(Exception, match="bad truth cell"):
+        readers.read_truth(spark, str(tmp_path / "t"), ["L"]).collect()
+    got = readers.oracle_answers(truth, rows.where("doc_id < 3"), ["L", "M"], budget=5, spent=3)
+    assert {(r.doc_id, r.label, r.sign) for r in got.collect()} == {(1, "L", 1), (1, "M", -1), (2, "L", -1), (2, "M", -1)}
+    with pytest.raises(ValueError):
+        readers.oracle_answers(truth, rows, ["L"], budget=5, spent=3)
