@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.plans.store import written
+
 #: From a text column to a map of label -> probability: built-in functions, or an Arrow UDF around a real model.
 Scorer = Callable[[Column], Column]
 
@@ -28,22 +30,22 @@ class Registry:
     def probabilities(self, docs: DataFrame, aliases: list[str] | None = None, text: str = "cnt") -> DataFrame:
         """doc_id, alias, label, p, is_static: every registered (or named) model on every document.
 
-        Equal texts are scored once: the scorers run over the distinct texts and the scores are joined back by the text's
-        hash and the text itself.
+        Equal texts are scored once: the scorers run over the distinct texts, their scores are written, and documents get
+        them by the text's SHA-256.
         """
         names = sorted(self.models) if aliases is None else aliases
         for a in names:
             if a not in self.models:
                 raise ValueError(f"unknown model {a}")
-        keyed = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t_")).withColumn("h_", F.xxhash64("t_"))
-        distinct = keyed.select("h_", "t_").distinct()
+        keyed = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t_")).withColumn("h_", F.sha2("t_", 256))
+        distinct = keyed.groupBy("h_").agg(F.first("t_").alias("t_"))
         made = []
         for a in names:
             scorer, labels = self.models[a]
             m = scorer(F.col("t_"))
             made += [F.struct(F.lit(a).alias("alias"), F.lit(x).alias("label"), m[x].cast("double").alias("p")) for x in labels]
-        scored = distinct.select("h_", "t_", F.array(*made).alias("s"))
-        out = keyed.join(scored, ["h_", "t_"]).select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.*")
+        scored = written(distinct.select("h_", F.array(*made).alias("s")), "scores")
+        out = keyed.select("doc_id", "h_").join(scored, "h_").select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.*")
         return out.withColumn("is_static", F.lit(False))
 
     def decisions(self, docs: DataFrame, cuts: dict[str, float], text: str = "cnt") -> DataFrame:
