@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import slices
+from marlstone.llm.common import bounded_batches, slices, trimmed
 
 DIM = 1 << 16
 
@@ -161,6 +161,7 @@ def fit(labelled: DataFrame, most_rows: int = 3000, most_langs: int = 1000, alph
     The bounded sample is learnt from in one task; the driver gets the model alone. More than most_langs
     languages are an error.
     """
+    bounded_batches(labelled.sparkSession)
     kinds = sorted((r["lang"], r["count"]) for r in labelled.groupBy("lang").count().limit(most_langs + 1).collect())
     langs = [k for k, _ in kinds]
     if len(langs) > most_langs:
@@ -179,7 +180,7 @@ def fit(labelled: DataFrame, most_rows: int = 3000, most_langs: int = 1000, alph
         table, bias, t = _learn(rows, len(number), alpha, beta, l1, l2, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias.tobytes()], pa.binary()), pa.array([t])], ["weights", "bias", "t"])
 
-    taken = labelled.where(F.col("h") < part).select("h", "lang", "text").mapInArrow(_counts, "h long, lang string, ids binary, tf binary")
+    taken = labelled.where(F.col("h") < part).select("h", "lang", "text").mapInArrow(trimmed(_counts), "h long, lang string, ids binary, tf binary")
     got = taken.repartition(1).mapInArrow(learn, "weights binary, bias binary, t double").first()
     k = len(langs)
     return Model(langs, np.frombuffer(got["weights"], np.float32).reshape(DIM, k + 1), np.frombuffer(got["bias"], np.float64), got["t"])
@@ -197,7 +198,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[
             names, score, _ = m.best(pc.fill_null(b.column("text_"), ""))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in kept), "lang_pred", "score"])
 
-    return docs.select(*carry, F.col(text_col).cast("string").alias("text_")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text_col).cast("string").alias("text_")).mapInArrow(trimmed(run), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 2, folds: int = 4, carry: tuple[str, ...] = (), **how) -> DataFrame:
@@ -237,4 +238,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names, score, seen = m.best(pc.fill_null(b.column(text_col), ""))
             yield b.filter(pa.array((names != "und") & (score >= least) & (seen >= known)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import done, hashes, mix, slices, text_of, words, written
+from marlstone.llm.common import bounded_batches, done, hashes, mix, slices, text_of, trimmed, words, written
 from marlstone.llm.graph import components
 
 _MASKS = np.random.default_rng(20).integers(1, 2**63, size=(256, 2), dtype=np.uint64) | np.uint64(1)
@@ -62,7 +62,7 @@ def signature(sets: list[np.ndarray], coords: int) -> np.ndarray:
 
 def _sign(width: int, coords: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=2 << 20):
             sets = shingles(b.column("text"), width)
             full = [s for s in sets if len(s)]
             sig = iter(signature(full, coords).view(np.int64) if full else ())
@@ -141,8 +141,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined by shuffle.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    signed = written(base.mapInArrow(_sign(width, coords), "doc_id long, th long, n_shingles long, set_key binary, sig array<bigint>"), "signed")
+    signed = written(base.mapInArrow(trimmed(_sign(width, coords)), "doc_id long, th long, n_shingles long, set_key binary, sig array<bigint>"), "signed")
     sets = signed.where("set_key is not null and doc_id is not null")
     # One row for each distinct set; copies need no comparison. The representative is the smallest id.
     classes = written(sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "th", "n_shingles")).alias("r"), F.count(F.lit(1)).alias("n")).select("set_key", F.col("r.doc_id").alias("rep"), "r.th", "r.n_shingles", "n"), "classes")
@@ -180,7 +181,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tasks = F.when(F.col("all") <= block, whole).otherwise(F.concat(same, above, below))
     texts = texts.select("rep", "text", F.explode(tasks).alias("x")).select("rep", "text", "x.task", "x.side")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = written(texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify(width, coords, matches, percent), "a long, b long"), "links")
+    links = written(texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(trimmed(_verify(width, coords, matches, percent)), "a long, b long"), "links")
     # An id that has several sets links their classes.
     several = sets.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
     of_id = sets.join(several, "doc_id", "left_semi").join(classes, "set_key").select("doc_id", "rep")

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import drop_path, mix, new_path, slices, text_of, written
+from marlstone.llm.common import bounded_batches, drop_path, mix, new_path, slices, text_of, trimmed, written
 
 #: Any blank of Unicode; two in a row keep a text from being cut at its spaces before encoding.
 _BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
@@ -234,9 +234,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, i
     of no node. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or new_path(spark, "token-store")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    made = base.mapInArrow(_rows(tokenizer_path, end_id, mean_bits, least, most), _DDL)
+    made = base.mapInArrow(trimmed(_rows(tokenizer_path, end_id, mean_bits, least, most)), _DDL)
     # Equal chunks of different tasks meet here, once a task at most; recipes are spread by their own key.
     first = F.row_number().over(Window.partitionBy("kind", "key").orderBy("doc_id"))
     made = made.withColumn("first", first).where("kind = 'recipe' or first = 1").drop("first")
