@@ -67,6 +67,52 @@ SENTENCES = (
     ("public-domain", r"(?:released|dedicated|placed|put) (?:in|into|to) the public domain", "domain"), ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", "redistribute"),
     ("lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e", "redistribute"), ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies", "verbatim"),
     ("proprietary", r"all rights reserved", "reserved"), ("proprietary", r"proprietary and confidential", "proprietary"), ("proprietary", r"unauthorized copying of this file", "unauthorized"), ("non-commercial", r"for non ?commercial use only", "commercial"), ("research-only", r"for research (?:purposes|use) only", "research"),
+    # Notices and clauses of license texts, by license.
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial"), ("mit", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell", "sublicense"),
+    ("mit-0", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided", "furnished"),
+    ("x11", r"except as contained in this notice the name of .{1,80}? shall not be used in advertising", "advertising"), ("isc", r"the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "disclaims"),
+    ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted", "hereby"), ("hpnd", r"not be used in advertising or publicity pertaining to distribution of the software without specific written prior permission", "publicity"),
+    ("bsd-2", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions"), ("bsd-2", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "redistributions"),
+    ("bsd-4", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising"), ("bsd", r"this software is provided by the (?:copyright holders?|regents|authors?)(?: and contributors)? as is and any express or implied warranties", "express"),
+    ("bsd", r"in no event shall the (?:copyright (?:holder|owner)|regents|authors?)(?: or contributors)? be liable for any direct indirect incidental special exemplary or consequential damages", "exemplary"), ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby"),
+    ("bsd-3-lbnl", r"you are under no obligation whatsoever to provide any bug fixes patches or upgrades to the features functionality or performance", "obligation"), ("bsd-3-clear", r"no express or implied licen[sc]es to any party s patent rights are granted by this licen[sc]e", "patent"),
+    ("apache-2", r"you may not use this file except in compliance with the licen[sc]e", "compliance"), ("apache-2", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis", "applicable"),
+    ("apache-2", r"licensed to the apache software foundation asf under one or more contributor licen[sc]e agreements", "apache"), ("apache-2", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e", "irrevocable"),
+    ("apache-2", r"the asf licenses this file to you under the apache licen[sc]e", "asf"), ("apache-2", r"http www apache org licen[sc]es licen[sc]e 2 0", "apache"), ("apache-1.1", r"this product includes software developed by the apache software foundation", "apache"), ("apache-1.1", r"products derived from this software may not be called apache", "apache"),
+    ("gpl", r"you should have received a copy of the gnu general public licen[sc]e along with (?:this program|this library|this software)", "gnu"), ("gpl", r"either version [123](?: 0)? of the licen[sc]e or at your option any later version", "option"), ("gpl-2", r"either version 2 of the licen[sc]e or at your option any later version", "option"),
+    ("gpl-3", r"either version 3 of the licen[sc]e or at your option any later version", "option"), ("gpl", r"this program is distributed in the hope that it will be useful but without any warranty", "hope"), ("gpl", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e", "merchantability"),
+    ("gpl-2", r"gnu general public licen[sc]e version 2 june 1991", "june"), ("gpl-3", r"gnu general public licen[sc]e version 3 29 june 2007", "june"), ("gpl-1", r"gnu general public licen[sc]e version 1 february 1989", "february"), ("gpl-2", r"free software foundation inc 5[19] (?:franklin street|temple place)", "foundation"),
+    ("gpl-2", r"the precise terms and conditions for copying distribution and modification follow", "precise"), ("gpl-3", r"the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works", "copyleft"), ("gpl-2-classpath", r"linking this library statically or dynamically with other modules is making a combined work based on this library", "statically"),
+    ("gpl-classpath", r"as a special exception the copyright holders of this library give you permission to link this library with independent modules", "exception"), ("gpl-openssl", r"permission to link the (?:code|program) (?:of portions of this program )?with the openssl library", "openssl"), ("gpl-font", r"this font does not by itself cause the resulting document to be covered by the gnu general public licen[sc]e", "font"),
+    ("gpl-bison", r"you may create a larger work that contains part or all of the bison parser skeleton", "bison"), ("gpl-autoconf", r"part of the output of autoconf when autoconf processes", "autoconf"), ("gcc-exception", r"gcc runtime library exception", "gcc"), ("linux-syscall", r"this copyright does not cover user programs that use kernel services by normal system calls", "kernel"),
+    ("lgpl", r"you should have received a copy of the gnu lesser general public licen[sc]e along with", "lesser"), ("lgpl-2.1", r"gnu lesser general public licen[sc]e version 2 1 february 1999", "february"), ("lgpl-2", r"gnu library general public licen[sc]e version 2 june 1991", "library"), ("lgpl-3", r"this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3", "incorporates"),
+    ("lgpl", r"this library is distributed in the hope that it will be useful but without any warranty", "hope"), ("lgpl", r"a work that uses the library in isolation is not a derivative work of the library", "derivative"), ("agpl-3", r"gnu affero general public licen[sc]e version 3 19 november 2007", "affero"), ("agpl-3", r"if your software can interact with users remotely through a computer network", "remotely"),
+    ("agpl", r"you should have received a copy of the gnu affero general public licen[sc]e along with", "affero"), ("agpl-3", r"remote network interaction use with the gnu general public licen[sc]e", "interaction"), ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", "documentation"),
+    ("gfdl-1.3", r"with no invariant sections no front cover texts and no back cover texts", "invariant"), ("mpl-2", r"this source code form is subject to the terms of the mozilla public licen[sc]e v(?:ersion)? ?2 0", "mozilla"), ("mpl-2", r"if a copy of the mpl was not distributed with this file you can obtain one at", "mpl"), ("mpl-2", r"incompatible with secondary licen[sc]es", "incompatible"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1", "mozilla"), ("mpl-1.1", r"alternatively the contents of this file may be used under the terms of either the gnu general public licen[sc]e version 2 or later", "alternatively"), ("npl-1.1", r"the contents of this file are subject to the netscape public licen[sc]e", "netscape"),
+    ("epl-1", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v(?:ersion)? ?1 0", "eclipse"), ("epl-2", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e (?:v(?:ersion)? ?)?2 0", "eclipse"), ("epl-2", r"this source code may also be made available under the following secondary licen[sc]es", "secondary"),
+    ("cpl-1", r"accompanying program is provided under the terms of this common public licen[sc]e", "common"), ("cddl-1", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", "development"), ("cddl-1", r"when distributing covered code include this cddl header", "cddl"), ("eupl-1.2", r"licensed under the eupl version 1 2 or as soon they will be approved by the european commission", "eupl"),
+    ("eupl", r"you may not use this work except in compliance with the licen[sc]e you may obtain a copy of the licen[sc]e at", "obtain"), ("osl-3", r"licensed under the open software licen[sc]e version 3 0", "open"), ("afl-3", r"licensed under the academic free licen[sc]e version 3 0", "academic"), ("artistic-1", r"the intent of this document is to state the conditions under which a package may be copied", "intent"),
+    ("artistic-2", r"this licen[sc]e establishes the terms under which a given free software package may be copied modified distributed and or redistributed", "establishes"), ("artistic", r"this is free software you can redistribute it and or modify it under the (?:same )?terms (?:as|of) (?:the )?(?:perl|artistic)", "redistribute"), ("perl", r"under the same terms as perl(?: 5)? itself", "perl"),
+    ("ruby", r"you can redistribute it and or modify it under either the terms of the 2 clause bsdl", "bsdl"), ("php-3", r"this product includes php software freely available from", "php"), ("php-3", r"this source file is subject to version 3 0?1? of the php licen[sc]e", "php"), ("python-2", r"python software foundation licen[sc]e version 2", "python"), ("python-2", r"psf is making python available to licensee on an as is basis", "psf"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "agreement"), ("zlib", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "alter"),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "misrepresented"), ("zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", "misrepresented"), ("libpng", r"this copy of the libpng notices is provided for your convenience", "libpng"), ("ijg", r"this software is based in part on the work of the independent jpeg group", "jpeg"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", "openssl"), ("ssleay", r"this product includes cryptographic software written by eric young", "cryptographic"), ("curl", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", "hereby"), ("bsl-1", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "organization"),
+    ("bsl-1", r"distributed under the boost software licen[sc]e version 1 0", "boost"), ("busl-1.1", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "licensor"), ("elastic-2", r"you may not provide the software to third parties as a hosted or managed service", "hosted"),
+    ("sspl-1", r"server side public licen[sc]e", "server"), ("commons-clause", r"the software is provided to you by the licensor under the licen[sc]e as defined below subject to the following condition", "licensor"), ("commons-clause", r"the grant of rights under the licen[sc]e will not include and the licen[sc]e does not grant to you the right to sell the software", "sell"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", "compile"), ("unlicense", r"in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest", "jurisdictions"), ("unlicense", r"for more information please refer to https? unlicense org", "unlicense"), ("wtfpl", r"you just do what the fuck you want to", "fuck"),
+    ("cc0-1", r"to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights", "waived"), ("cc0-1", r"the person who associated a work with this deed has dedicated the work to the public domain", "deed"), ("cc-by", r"this work is licensed under (?:the |a )?creative commons attribution [1-4] [05] (?:international|unported|generic)", "attribution"),
+    ("cc-by-sa", r"this work is licensed under (?:the |a )?creative commons attribution share ?alike", "alike"), ("cc-by-nc", r"this work is licensed under (?:the |a )?creative commons attribution non ?commercial [1-4]", "attribution"), ("cc-by-nc-sa", r"this work is licensed under (?:the |a )?creative commons attribution non ?commercial share ?alike", "alike"), ("cc-by-nc-nd", r"this work is licensed under (?:the |a )?creative commons attribution non ?commercial no ?deriv(?:ative)?s", "attribution"),
+    ("cc-by-nd", r"this work is licensed under (?:the |a )?creative commons attribution no ?deriv(?:ative)?s", "attribution"), ("cc-by", r"creativecommons org licen[sc]es by [1-4]", "creativecommons"), ("cc-by-sa", r"creativecommons org licen[sc]es by sa", "creativecommons"), ("cc-by-nc", r"creativecommons org licen[sc]es by nc [1-4]", "creativecommons"), ("cc-by-nc-sa", r"creativecommons org licen[sc]es by nc sa", "creativecommons"), ("cc0-1", r"creativecommons org publicdomain zero", "creativecommons"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font licen[sc]e version 1 1", "font"), ("ofl-1.1", r"the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself", "typefaces"), ("odbl", r"this (?:database|data set) is (?:made )?available under the open database licen[sc]e", "database"),
+    ("odc-by", r"made available under the open data commons attribution licen[sc]e", "commons"), ("pddl", r"made available under the public domain dedication and licen[sc]e", "dedication"), ("openmaptiles", r"openstreetmap contributors", "openstreetmap"), ("ogl-uk", r"contains public sector information licensed under the open government licen[sc]e", "government"), ("etalab-2", r"licence ouverte open licence", "ouverte"),
+    ("public-domain", r"this (?:work|file|code|software|text|book|image) is (?:hereby )?in the public domain", "domain"), ("public-domain", r"no copyright is claimed in the united states under title 17", "claimed"), ("public-domain", r"the author hereby disclaims copyright to this source code", "disclaims"), ("public-domain", r"project gutenberg ebook is for the use of anyone anywhere", "gutenberg"), ("blessing", r"may you do good and not evil may you find forgiveness for yourself", "forgiveness"),
+    ("json", r"the software shall be used for good not evil", "evil"), ("beerware", r"if we meet some day and you think this stuff is worth it you can buy me a beer", "beer"), ("ms-pl", r"microsoft public licen[sc]e ms pl", "microsoft"), ("ms-rl", r"microsoft reciprocal licen[sc]e", "reciprocal"), ("ncsa", r"university of illinois ncsa open source licen[sc]e", "ncsa"), ("llvm-exception", r"llvm exceptions? to the apache", "llvm"),
+    ("vim", r"there are no restrictions on distributing unmodified copies of vim", "vim"), ("tcl", r"the authors hereby grant permission to use copy modify distribute and licen[sc]e this software and its documentation for any purpose", "grant"), ("ibm-pl", r"ibm public licen[sc]e version 1", "ibm"), ("sun-bcl", r"binary code licen[sc]e agreement", "binary"), ("jdom", r"this software consists of voluntary contributions made by many individuals on behalf of the jdom project", "jdom"),
+    ("w3c", r"this work is distributed under the w3c software (?:notice and )?licen[sc]e", "w3c"), ("unicode", r"unicode inc licen[sc]e agreement data files and software", "unicode"), ("icu", r"provided that the above copyright notice s and this permission notice appear in all copies of the software", "appear"), ("xfree86", r"xfree86 project inc", "xfree86"), ("naist", r"use reproduction and distribution of this software is permitted any copy of this software", "reproduction"),
+    ("llama", r"llama [234](?: [0-9])? community licen[sc]e agreement", "community"), ("openrail", r"(?:creativeml|bigscience) (?:open )?rail(?:\+\+)? ?m? licen[sc]e", "rail"), ("gemma", r"gemma is provided under and subject to the gemma terms of use", "gemma"),
+    ("proprietary", r"this (?:software|document|file) (?:is|contains) (?:the )?(?:strictly )?confidential", "confidential"), ("proprietary", r"this (?:software|document|file) (?:is|contains) (?:the )?proprietary", "proprietary"), ("proprietary", r"(?:is a|contains) trade secrets? of", "secret"), ("proprietary", r"no part of this (?:publication|book|work|document) may be reproduced (?:stored )?", "reproduced"), ("proprietary", r"may not be (?:copied|reproduced|redistributed) without (?:the )?(?:prior |express |explicit )?(?:written )?permission", "permission"), ("proprietary", r"subject to the terms of (?:your|the) end user licen[sc]e agreement", "agreement"),
+    ("proprietary", r"reproduction in whole or in part without (?:written )?permission is prohibited", "prohibited"), ("proprietary", r"todos los derechos reservados", "derechos"), ("proprietary", r"tous droits reserves|tous droits r\u00e9serv\u00e9s", "droits"), ("proprietary", r"alle rechte vorbehalten", "rechte"), ("non-commercial", r"not for commercial use", "commercial"), ("non-commercial", r"for academic(?: and research)? (?:use|purposes) only", "academic"), ("non-commercial", r"for educational(?: and research)? (?:use|purposes) only", "educational"),
 )
 @dataclass(frozen=True)
 class Rule:
@@ -121,10 +167,21 @@ def detect(joined: str) -> list[tuple[int, int, Rule]]:
         if (all(w in there for w in rule.needs)) if rule.needs and rule.needs != ("licen",) else (loose and all(w in there for w in rule.needs)):
             found += [(m.start(), m.end(), rule) for m in pattern.finditer(joined)]
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
+    # Largest end of the kept detections that start at or before a place, in a tree of prefix maxima over the distinct starts.
+    at = {s: i + 1 for i, s in enumerate(sorted({s for s, _, _ in found}))}
+    tree = [0] * (len(at) + 1)
     kept: list[tuple[int, int, Rule]] = []
     for s, e, rule in found:
-        if not any(ks <= s and e <= ke for ks, ke, _ in kept):
+        i, far = at[s], 0
+        while i:
+            far = max(far, tree[i])
+            i &= i - 1
+        if far < e:
             kept.append((s, e, rule))
+            i = at[s]
+            while i < len(tree):
+                tree[i] = max(tree[i], e)
+                i += i & -i
     return kept
 
 
