@@ -9,9 +9,9 @@ limits are fixed counts, so the tree grows with the corpus.
 The tree is never held as a whole: runs of one to four words are rows of written tables, named by 64-bit hashes that
 NumPy and Spark's xxhash64 compute alike. Texts are cut into words once and written as slices of word hashes.
 What many tasks ask of one table (how often is this run, what does it add to a score) travels as packed hashes, dealt
-out by hash: a run that is very frequent is one entry of each task that has it, so no key is hot. A text's
-score is a sum over its runs (see `Tree.adds`). Bitmaps of hashes leave out runs that cannot be in a table, which
-saves traffic on small corpora and changes no result.
+out by hash: a run that is very frequent is one entry of each task that has it, so no key is hot. A text's score is a
+sum over its runs (see `Tree.adds`), added up where the table is, one length of runs at a time. Bitmaps of hashes
+leave out runs that cannot be in a table, which saves traffic on small corpora and changes no result.
 """
 
 from __future__ import annotations
@@ -346,34 +346,53 @@ def train(cut: DataFrame, least_context: int = 4, least_next: int = 2, gain: flo
     return tree, counts, n
 
 
-def asked(s: Slice, bits: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """The slice's distinct words and longer runs that may be in the table; by length, the places of runs and their numbers among those."""
-    out, keys, base = [(np.arange(len(s.at)), s.at.astype(np.int64))], [s.words], len(s.words)
-    for at, key in runs(s.tokens, s.counts, DEPTH + 1)[1:]:
-        at = at[maybe(bits, key[at])]
-        own, number = np.unique(key[at], return_inverse=True)
-        out.append((at, number + base))
-        keys.append(own)
-        base += len(own)
-    return np.concatenate(keys), out
+def _small(x: np.ndarray, most: int) -> bytes:
+    """x as 16-bit numbers if they fit, else as 32-bit ones; which of the two, tells the length."""
+    return x.astype(np.uint16 if most < 1 << 16 else np.uint32).tobytes()
 
 
-def _ask(shared, buckets: int):
+def _wide(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, np.uint16 if len(b) == 2 * n else np.uint32)
+
+
+ASK = ["bucket", "kind", "slice", "n", "keys", "each", "docs", "counts", "known", "base", "add"]
+ASK_DDL = "bucket int, kind int, slice long, n int, keys binary, each binary, docs binary, counts binary, known binary, base binary, add binary"
+
+
+def _ask(shared, size: int, buckets: int):
+    """Each slice's runs of `size` words that may be in the table, by bucket: the hashes, and in which documents of the slice each is and how often."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, s in _slices_of(batches):
-            keys, _ = asked(s, shared.value)
-            order, parts = _dealt(keys, buckets)
-            keys = keys[order]
-            for at in range(0, len(parts), 64):
-                some = parts[at:at + 64]
-                none = pa.nulls(len(some), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in some], pa.int32()), pa.array([1] * len(some), pa.int32()), pa.array([s.number] * len(some), pa.int64()), pa.array([keys[a:b].tobytes() for _, a, b in some], pa.binary()), none, none, none], TABLE)
+            at, key = runs(s.tokens, s.counts, size)[-1]
+            if size > 1:
+                at = at[maybe(shared.value, key[at])]
+            doc = np.repeat(np.arange(len(s.counts)), s.counts)[at]
+            key = key[at]
+            order = np.argsort(key, kind="stable")  # documents stay in order within a key
+            order = order[np.argsort(bucket_of(key[order], buckets), kind="stable")]
+            key, doc = key[order], doc[order]
+            if not len(key):
+                continue
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            pair = np.flatnonzero(new | np.concatenate([[True], doc[1:] != doc[:-1]]))
+            count = np.diff(np.append(pair, len(key)))
+            first = np.flatnonzero(new[pair])  # of each key among the pairs
+            each = np.diff(np.append(first, len(pair)))
+            key, doc = key[pair[first]], doc[pair]
+            bucket = bucket_of(key, buckets)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = np.append(cut[1:], len(key))
+            begin = np.append(first, len(pair))
+            rows = [(int(bucket[c]), 1, s.number, len(s.counts), key[c:e].tobytes(), *(_small(x, int(x.max())) for x in (each[c:e], doc[begin[c]:begin[e]], count[begin[c]:begin[e]])), None, None, None) for c, e in zip(cut.tolist(), ends.tolist(), strict=True)]
+            for k in range(0, len(rows), 64):
+                yield _rows(rows[k:k + 64])
 
     return run
 
 
-TABLE = ["bucket", "kind", "slice", "keys", "known", "base", "add"]
-TABLE_DDL = "bucket int, kind int, slice long, keys binary, known binary, base binary, add binary"
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ASK)
 
 
 def _table(buckets: int, most: int = 500_000):
@@ -386,7 +405,8 @@ def _table(buckets: int, most: int = 500_000):
             order, parts = _dealt(cols[0], buckets)
             cols = [c[order] for c in cols]
             for bucket, a, b in parts:
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), *(pa.array([c[a:b].tobytes()], pa.binary()) for c in cols)], TABLE)
+                key, known, base, add = (c[a:b].tobytes() for c in cols)
+                yield _rows([(bucket, 0, 0, 0, key, None, None, None, known, base, add)])
 
         for b in batches:
             held.append((b.column("key").to_numpy(), b.column("known").to_numpy().astype(np.uint8), b.column("base").to_numpy(), b.column("add").to_numpy()))
@@ -400,11 +420,11 @@ def _table(buckets: int, most: int = 500_000):
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """To each slice's question what the bucket's table has: which keys, which of them are words, and their sums. Sorted by bucket and kind: the table comes first."""
+    """To each slice's question what the bucket's table adds to each of its documents: known words, base and add. Sorted by bucket and kind: the table comes first."""
     now, parts, table = None, [], None
     kinds = (("keys", np.int64), ("known", np.uint8), ("base", np.float64), ("add", np.float64))
     for b in batches:
-        for i, (bucket, kind) in enumerate(zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), strict=True)):
+        for i, (bucket, kind, size) in enumerate(zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), b.column("n").to_pylist(), strict=True)):
             if bucket != now:
                 now, parts, table = bucket, [], None
             if kind == 0:
@@ -414,47 +434,54 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 table = [np.concatenate(v) for v in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for _, t in kinds]
                 order = np.argsort(table[0])
                 table, parts = [v[order] for v in table], []
+            if not len(table[0]):
+                continue
             keys = np.frombuffer(b.column("keys")[i].as_buffer(), np.int64)
             at = np.searchsorted(table[0], keys)
             at[at == len(table[0])] = 0
-            own = table[0][at] == keys if len(table[0]) else np.zeros(len(keys), bool)
-            at = at[own]
-            known = table[1][at] > 0
-            cols = (np.packbits(own), np.packbits(known), table[2][at][known], table[3][at])
-            yield pa.RecordBatch.from_arrays([b.column("slice").slice(i, 1), pa.array([bucket], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], ["slice", "bucket", "own", "known", "base", "add"])
+            each = _wide(b.column("each")[i].as_py(), len(keys)).astype(np.int64)
+            own = np.repeat(table[0][at] == keys, each)
+            if not own.any():
+                continue
+            at = np.repeat(at, each)[own]
+            pairs = int(each.sum())
+            doc, count = (_wide(b.column(c)[i].as_py(), pairs)[own] for c in ("docs", "counts"))
+            sums = [np.bincount(doc, v[at] * count, size).tobytes() for v in (table[1], table[2], table[3])]
+            yield pa.RecordBatch.from_arrays([b.column("slice").slice(i, 1), *(pa.array([x], pa.binary()) for x in sums)], ["slice", "known", "base", "add"])
 
 
-def _score(shared, buckets: int):
-    """Each document's sums from its slice's answers."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, i, s in _slices_of(batches):
-            keys, places = asked(s, shared.value)
-            order, parts = _dealt(keys, buckets)
-            value = np.zeros((3, len(keys)))
-            answers = b.column("answers")[i].values
-            got = {k: j for j, k in enumerate(answers.field("bucket").to_pylist())} if answers is not None else {}
-            of = lambda c, j, t: np.frombuffer(answers.field(c)[j].as_buffer(), t)
-            for bucket, at, to in parts:
-                if bucket not in got:
-                    continue
-                j = got[bucket]
-                own = order[at:to][np.unpackbits(of("own", j, np.uint8), count=to - at) > 0]
-                known = own[np.unpackbits(of("known", j, np.uint8), count=len(own)) > 0]
-                value[0, known] = 1
-                value[1, known] = of("base", j, np.float64)
-                value[2, own] = of("add", j, np.float64)
-            sums = [np.zeros(len(s.at)) for _ in value]
-            for at, number in places:
-                for total, v in zip(sums, value, strict=True):
-                    total[at] += v[number]
-            begin = np.cumsum(s.counts) - s.counts
-            known, base, add = (np.add.reduceat(x, begin) for x in sums)
+SUMS_DDL = "slice long, known binary, base binary, add binary"
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a slice from rows sorted by slice: the sums of its documents."""
+    now, sums = None, None
+    cols = ("known", "base", "add")
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in sums)], ["slice", *cols])
+    for b in batches:
+        for i, number in enumerate(b.column("slice").to_pylist()):
+            own = [np.frombuffer(b.column(c)[i].as_buffer(), np.float64) for c in cols]
+            if number != now:
+                if now is not None:
+                    yield row()
+                now, sums = number, own
+            else:
+                sums = [x + y for x, y in zip(sums, own, strict=True)]
+    if now is not None:
+        yield row()
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each slice with their sums."""
+    for b in batches:
+        for i in range(b.num_rows):
+            of = lambda c, t: np.frombuffer(b.column(c)[i].as_buffer(), t)  # noqa: E731, B023
+            ids, counts = of("ids", np.int64), of("counts", np.int64)
+            known, base, add = (of(c, np.float64) if b.column(c)[i].is_valid else np.zeros(len(ids)) for c in ("known", "base", "add"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.ids, mask=s.nulls), pa.array(s.held), pa.array(s.counts), pa.array(known.astype(np.int64)), pa.array(base), pa.array(add)],
+                [pa.array(ids, mask=of("nulls", bool)), pa.array(of("held", bool)), pa.array(counts), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(add)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base", "add"])
 
-    return run
-
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, **how) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, gain.
@@ -474,11 +501,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     table = written(tree.adds(), "adds")
     done(counts, *tree.steps, *tree.states)
     shared = spark.sparkContext.broadcast(bitmap(table.where("known = 0")))
-    questions = cut.mapInArrow(_ask(shared, buckets), TABLE_DDL).unionByName(table.mapInArrow(_table(buckets), TABLE_DDL))
-    answers = written(_dealt_rows(questions, buckets, "bucket kind").mapInArrow(_answer, "slice long, bucket int, own binary, known binary, base binary, add binary"), "answers")
+    sums = None
+    for size in range(1, DEPTH + 2):
+        questions = cut.mapInArrow(_ask(shared, size, buckets), ASK_DDL).unionByName(table.where("known = 1" if size == 1 else "known = 0").mapInArrow(_table(buckets), ASK_DDL))
+        answers = _dealt_rows(questions, buckets, "bucket kind").mapInArrow(_answer, SUMS_DDL)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        one = written(answers.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_add_up, SUMS_DDL), "sums")
+        sums = one if sums is None else sums.unionByName(one)
+    shared.destroy()
     done(table)
-    by_slice = answers.groupBy("slice").agg(F.collect_list(F.struct("bucket", "own", "known", "base", "add")).alias("answers"))
-    out = cut.join(by_slice, "slice", "left").mapInArrow(_score(shared, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, add double")
+    total = sums.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_add_up, SUMS_DDL)
+    out = cut.select("slice", "ids", "nulls", "held", "counts").join(total, "slice", "left").mapInArrow(_score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, add double")
     rate = F.col("n_tokens") * tree.rate
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (rate + F.col("base")).alias("base_score"),
