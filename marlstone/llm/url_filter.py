@@ -124,15 +124,16 @@ def boost(rows: DataFrame, names: list[str], trees: int = 12, depth: int = 3, bi
     return prior, grown
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, fit_rows: int = 20_000, suffixes: int = 1000, threshold: float = 0.5, **how) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, fit_rows: int = 20_000, few: int = 8 << 20, threshold: float = 0.5, **how) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, score (probability of block).
 
     Urls that a rule fits are the labelled ones; the trees learn from fit_rows of them or so, taken by hash,
     and judge the others: block from `threshold` on. A null url, or one without `://`, has an empty host
     and path. With no labelled url, or one kind only, the prior decides. Repeated rows are judged alike; an
-    empty table gives an empty result; other columns are ignored. Suffix statistics are kept for the
-    `suffixes` most frequent last labels of labelled hosts and first sections of paths, and are broadcast;
-    others have the overall rate, as a quarter of the rows to learn from do, so that the trees know the case.
+    empty table gives an empty result; other columns are ignored. Suffix statistics are kept for every last
+    label of labelled hosts and every first section of their paths; up to `few` bytes of them are broadcast, more
+    are joined by shuffle, whose large partitions adaptive execution splits. Values that no labelled url has get
+    the overall rate, as a quarter of the rows to learn from do, so that the trees know the case.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
@@ -145,16 +146,18 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     names = [*features(F.col("url"), F.col("host"), F.col("path"), F.lit(0.0), F.lit(0.0))]
 
     def rates(by: str) -> DataFrame:
-        """At most `suffixes` rows."""
-        k = kinds.groupBy(by).agg(F.sum("n").alias("n"), F.sum("y").alias("y")).orderBy(F.desc("n"), by).limit(suffixes)
-        return written(k.select(by, ((F.col("y") + 20 * overall) / (F.col("n") + 20)).alias(f"{by}_known")), by)
+        """Broadcast if small: a row is a string and a number."""
+        k = kinds.groupBy(by).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+        k = written(k.select(by, ((F.col("y") + 20 * overall) / (F.col("n") + 20)).alias(f"{by}_known")), by)
+        size = k.agg(F.coalesce(F.sum(F.octet_length(by) + 32), F.lit(0))).first()[0]
+        return F.broadcast(k) if size <= few else k
 
     tops = [rates("suffix"), rates("section")]
 
     def with_features(df: DataFrame, seen: Column | None = None) -> DataFrame:
         """seen: where false, the statistics are left out, as for a suffix that no labelled url has."""
         for by, top in zip(("suffix", "section"), tops, strict=True):
-            df = df.join(F.broadcast(top), by, "left")
+            df = df.join(top, by, "left")
         known = [F.coalesce(F.when(F.lit(True) if seen is None else seen, F.col(f"{by}_known")), F.lit(overall)) for by in ("suffix", "section")]
         return df.withColumns(features(F.col("url"), F.col("host"), F.col("path"), *known))
 
