@@ -45,6 +45,12 @@ def clashes(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*CELL).agg(F.count_distinct("sign").alias("n")).where("n > 1").select(*CELL)
 
 
+def new_clashes(delta: DataFrame, facts: DataFrame) -> DataFrame:
+    """Cells of the new facts whose other sign is a fact too: all clashes, if there was none before."""
+    other = delta.select(*CELL, (-F.col("sign")).cast("int").alias("sign"))
+    return other.join(facts.select(*CELL, "sign"), [*CELL, "sign"], "left_semi").select(*CELL).distinct()
+
+
 def close_program(cat: Catalog, rules: list[Rule], policy: str = "halt", unknown: DataFrame | None = None, roots: DataFrame | None = None, max_rounds: int = 100, first: set[int] | None = None) -> Closure:
     """Run the program to its fixpoint. roots: further facts that are not validated. unknown: cells that take no fact.
 
@@ -130,12 +136,12 @@ def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma:
         fired = fired.unionByName(found.withColumn("round", F.lit(n)))
         facts = written(facts.unionByName(delta), "facts")
         if policy.startswith("retain"):
-            bad = clashes(facts)
+            bad = new_clashes(delta, facts)
             if not bad.isEmpty():
                 unknown = written(unknown.unionByName(bad).distinct(), "unknown")
                 facts = written(facts.join(unknown, CELL, "left_anti"), "facts")
                 delta = delta.join(unknown, CELL, "left_anti")
-        elif not clashes(facts).isEmpty():
+        elif not new_clashes(delta, facts).isEmpty():
             return state("conflict", n)
         if related and not violations(edges, facts, n_labels).isEmpty():
             return state("conflict", n)
