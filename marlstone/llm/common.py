@@ -71,12 +71,14 @@ def done(*tables: DataFrame) -> None:
         free_shuffles(tables[0].sparkSession)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose plans are finished."""
+def free_shuffles(spark: SparkSession, wait: float = 0.0) -> None:
+    """Let Spark's cleaner drop shuffle files whose plans are finished; it works beside us, so give it `wait` seconds."""
     import gc
+    import time
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(wait)
 
 
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:

@@ -326,7 +326,8 @@ def train(cut: DataFrame, least_context: int = 4, least_next: int = 2, gain: flo
         found = written(_dealt_rows(packed, buckets).mapInArrow(_often(least_next), "key long, x long, w long, c long"), "runs")
         if shared is not None:
             shared.destroy()
-        free_shuffles(spark)
+        del packed
+        free_shuffles(spark, 2.0)
         # A run's context and its suffix are at least as frequent as it is, so both are in the table before.
         up = F.col("w") if depth == 1 else F.xxhash64("x_up", "w")
         rows = found.join(contexts, "x").withColumn("up", up).join(before.select(F.col("key").alias("up"), F.col("lp").alias("q")), "up")
@@ -508,6 +509,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         one = written(answers.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_add_up, SUMS_DDL), "sums")
         sums = one if sums is None else sums.unionByName(one)
+        del questions, answers
+        free_shuffles(spark, 2.0)  # one length's questions are the most that lies on disk
     shared.destroy()
     done(table)
     total = sums.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_add_up, SUMS_DDL)
