@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, near_dedup, suffix_dedup, suffix_tree_lm, token_store, url_filter
+from marlstone.llm import (
+    centroids,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    language_id,
+    license_scan,
+    mixing,
+    near_dedup,
+    quality_rules,
+    suffix_dedup,
+    suffix_tree_lm,
+    token_store,
+    url_filter,
+)
 
 #: Where the tokenizer's file is; not part of the repository.
 TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -60,6 +74,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_suffix_tree_lm": op2_suffix_tree_lm,
@@ -71,8 +97,12 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_centroids": op11_centroids,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
