@@ -5,7 +5,9 @@ protect     a derivation opposite to a validated fact is blocked and counted; ot
 quarantine  clashing cells become unknown, and the run starts again from the roots without them
 retain      clashing cells become unknown, what was derived from them stays
 retain_protect  the same, but validated facts win as in protect
-Each round is one action over all rules whose premises changed, written to the shared folder.
+Each round is one action over all rules whose premises changed: a rule with label premises reads the last round's new
+facts in one of them, and only what the round adds is written to the shared folder. Label-set relations are held by
+components and group nodes, see plans.relation.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.relations import close, copy_labels, infeasible, violations
-from marlstone.plans.compile import EDGES, FACTS, Catalog, fire
+from marlstone.operators.relations import infeasible, violations
+from marlstone.plans.compile import FACTS, Catalog, fire, fire_blocks, fire_new
+from marlstone.plans.relation import EDGES, GROUPS, Relation, block_edges, group_nodes, relate, stars
 from marlstone.plans.rules import ML, Label, LabelCompare, Rule
 from marlstone.plans.store import written
 
@@ -31,11 +34,16 @@ class Closure:
     status: str
     rounds: int
     facts: DataFrame
-    edges: DataFrame | None
+    relation: Relation | None
     unknown: DataFrame
     blocked: DataFrame
     firings: DataFrame
 
+    @property
+    def edges(self) -> DataFrame | None:
+        """The closed relation in pairs (src, dst, strict), if there is one. As many rows as there are pairs; relation holds it by components."""
+        return self.relation and self.relation.pairs()
+
     def predictions(self) -> DataFrame:
         neg = self.facts.where("sign < 0").select(*CELL)
         return self.facts.where("sign > 0").select(*CELL).join(neg, CELL, "left_anti")
@@ -68,8 +76,11 @@ def close_program(cat: Catalog, rules: list[Rule], policy: str = "halt", unknown
     if policy in ("quarantine", "retain", "retain_protect"):
         unknown = unknown.unionByName(clashes(start)).distinct()
     restarts = 0
+    # Rules without label premises conclude the same in every restart.
+    free = [(i, r) for i, r in enumerate(rules) if isinstance(r.head, Label) and not r.reads()] if policy == "quarantine" else []
+    fixed = {i: written(fire(r, cat, gamma), "free") for i, r in free}
     while True:
-        out = _run(cat, rules, policy, start, gamma, unknown, related, max_rounds, first)
+        out = _run(cat, rules, policy, start, gamma, unknown, related, max_rounds, first, fixed)
         if policy != "quarantine" or out.status != "conflict":
             return out
         bad = clashes(out.facts)
@@ -82,70 +93,142 @@ def close_program(cat: Catalog, rules: list[Rule], policy: str = "halt", unknown
             return out
 
 
-def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma: DataFrame, unknown: DataFrame, related: bool, max_rounds: int, first: set[int] | None = None) -> Closure:
+class _Facts:
+    """Facts in rounds: each round's are appended, none is written again, but for merging when there are many rounds and when cells go."""
+
+    def __init__(self, first: DataFrame, most: int = 8):
+        self.parts, self.most = [first], most
+
+    @property
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    @property
+    def old(self) -> DataFrame:
+        """Without the last round's."""
+        return reduce(DataFrame.unionByName, self.parts[:-1])
+
+    def append(self, delta: DataFrame) -> None:
+        if len(self.parts) >= self.most:
+            self.parts = [written(self.all, "facts")]
+        self.parts.append(delta)
+
+    def drop(self, unknown: DataFrame) -> None:
+        """Without the unknown cells, the last round's kept apart."""
+        last = self.parts[-1].join(unknown, CELL, "left_anti")
+        self.parts = [written(self.old.join(unknown, CELL, "left_anti"), "facts"), written(last, "facts")]
+
+
+class _Order:
+    """The relation as rules add to it."""
+
+    def __init__(self, cat: Catalog, rules: list[Rule], careful: bool):
+        self.cat, self.spark = cat, cat.docs.sparkSession
+        heads = {r.head.op for r in rules if isinstance(r.head, LabelCompare)}
+        asked = {a.op for r in rules for a in r.body if isinstance(a, LabelCompare)}
+        inclusions = cat.relations is not None or bool(heads - {"eq"})
+        # Hop by hop, labels would not pass cells that take no fact; and order is asked for by strict inclusions and by premises.
+        self.ordered = cat.relations is not None or "strict_subset" in heads or bool(asked - {"eq"}) or (inclusions and bool(asked)) or (inclusions and careful)
+        self.strict = "strict_subset" in heads or (cat.relations is not None and not cat.relations.where("strict").isEmpty())
+        self.equal: DataFrame | None = None
+        self.edges = cat.relations.select("src", "dst", "strict") if cat.relations is not None else self.spark.createDataFrame([], EDGES)
+        self.nodes: dict[int, DataFrame] = {}
+        self.now = relate(self.spark, None, self.edges, self.ordered)
+
+    def add(self, todo: list[tuple[int, Rule]], facts: DataFrame, n: int) -> bool:
+        """The heads of the rules; tells whether the relation changed."""
+        equal, edges = ([] if self.equal is None else [self.equal]), [self.edges]
+        for i, r in todo:
+            sides = fire_blocks(r, self.cat, facts, self.now)
+            if sides is None:
+                pairs = fire(r, self.cat, facts, self.now)
+                if r.head.op == "eq":
+                    equal.append(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+                else:
+                    edges.append(pairs)
+                continue
+            left, right = (written(s, "side") for s in sides)
+            if r.head.op == "eq":
+                equal.append(stars(left, right))
+            else:
+                known = self.nodes.get(i, self.spark.createDataFrame([], "value string, node bigint"))
+                self.nodes[i] = group_nodes(left, right, known, n)
+                edges.append(block_edges(left, right, self.nodes[i], r.head.op == "strict_subset"))
+        self.equal = written(reduce(DataFrame.unionByName, equal).distinct(), "equal") if equal else None
+        self.edges = written(reduce(DataFrame.unionByName, edges).distinct(), "edges")
+        before, self.now = self.now, relate(self.spark, self.equal, self.edges, self.ordered)
+        return not (self.now.comps.exceptAll(before.comps).isEmpty() and self.now.links.exceptAll(before.links).isEmpty())
+
+    def broken(self, facts: DataFrame, n_labels: int | None) -> bool:
+        return self.strict and not violations(self.now.pairs(), facts, n_labels).isEmpty()
+
+
+def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma: DataFrame, unknown: DataFrame, related: bool, max_rounds: int, first: set[int] | None = None, fixed: dict | None = None) -> Closure:
     spark = cat.docs.sparkSession
+    fact = [*CELL, "sign"]
     opposite = gamma.select("doc_id", "label", (-F.col("sign")).cast("int").alias("sign"))
-    facts = written(start.join(unknown, CELL, "left_anti"), "facts")
-    edges = close(cat.relations.select("src", "dst", "strict")) if cat.relations is not None else spark.createDataFrame([], EDGES)
-    edges = written(edges, "edges") if related else None
+    careful = policy != "halt" or not unknown.isEmpty()
+    order = _Order(cat, rules, careful) if related else None
+    of_docs = lambda df: df.where(F.col("doc_id") >= GROUPS)
+    begin = start.join(unknown, CELL, "left_anti")
     if related:
-        facts = written(copy_labels(facts, edges).join(unknown, CELL, "left_anti"), "facts")
-    empty = spark.createDataFrame([], FACTS)
+        begin = begin.unionByName(order.now.copies(begin).join(unknown, CELL, "left_anti")).distinct()
+    facts = _Facts(written(begin.select(*fact), "facts"))
     fired = spark.createDataFrame([], "rule_id int, round int, " + FACTS)
     n_labels = len(cat.labels) if cat.labels else None
-    blocked = empty
-    state = lambda status, n: Closure(status, n, facts, edges, unknown, blocked.distinct(), fired)
-    if policy in ("halt", "protect", "quarantine") and not clashes(facts).isEmpty():
+    blocked = spark.createDataFrame([], FACTS)
+    memo: dict = {}  # text filters of rules that fire again
+
+    def state(status: str, n: int) -> Closure:
+        return Closure(status, n, of_docs(facts.all), order and order.now, unknown, blocked.distinct(), of_docs(fired))
+
+    if policy in ("halt", "protect", "quarantine") and not clashes(facts.all).isEmpty():
         return state("conflict", 0)
-    if related and not violations(edges, facts, n_labels).isEmpty():
+    if related and order.broken(facts.all, n_labels):
         return state("conflict", 0)
     delta: DataFrame | None = None
     changed: set[str] | None = None  # None: all rules run
     for n in range(1, max_rounds + 1):
         todo = [(i, r) for i, r in enumerate(rules) if (first is None or i in first if changed is None else r.reads() & changed)]
         label_rules = [(i, r) for i, r in todo if isinstance(r.head, Label)]
-        edge_rules = [(i, r) for i, r in todo if isinstance(r.head, LabelCompare)]
         parts = []
         for i, r in label_rules:
-            premises = [a for a in r.body if isinstance(a, Label)]
-            # With one label premise and no relation only the new facts can add anything.
-            source = delta if delta is not None and len(premises) == 1 and "=" not in r.reads() else facts
-            parts.append(fire(r, cat, source, edges).select(F.lit(i).alias("rule_id"), "doc_id", "label", "sign"))
-        new_edges = None
-        if edge_rules:
-            got = reduce(DataFrame.unionByName, [fire(r, cat, facts, edges) for _, r in edge_rules])
-            grown = written(close(edges.unionByName(got).distinct()), "edges")
-            new_edges = not grown.exceptAll(edges).isEmpty()
-            edges = grown
-        found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "rule_id int, " + FACTS)
+            if changed is None or ("=" in changed and "=" in r.reads()):
+                found = [fixed[i] if fixed and i in fixed else fire(r, cat, facts.all, order and order.now)]
+            else:
+                found = fire_new(r, cat, facts.old, delta, changed, order and order.now, memo)
+            parts += [f.select(F.lit(i).alias("rule_id"), *fact) for f in found]
+        grown = bool(related) and order.add([(i, r) for i, r in todo if isinstance(r.head, LabelCompare)], facts.all, n) if any(isinstance(r.head, LabelCompare) for _, r in todo) else False
         if related:
-            copied = copy_labels(facts, edges).join(facts, [*CELL, "sign"], "left_anti")
-            found = found.unionByName(copied.select(F.lit(-1).alias("rule_id"), "doc_id", "label", "sign"))
-        found = found.groupBy("doc_id", "label", "sign").agg(F.min("rule_id").alias("rule_id")).join(unknown, CELL, "left_anti").join(facts, [*CELL, "sign"], "left_anti")
-        found = written(found.select("rule_id", "doc_id", "label", "sign"), "found")
+            moved = order.now.copies(facts.all if grown or delta is None else delta)
+            parts.append(moved.select(F.lit(-1).alias("rule_id"), *fact))
+        found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "rule_id int, " + FACTS)
+        known = facts.all if related else facts.all.where(F.col("label").isin(sorted({r.head.label for _, r in label_rules})))
+        found = found.groupBy(*fact).agg(F.min("rule_id").alias("rule_id")).join(unknown, CELL, "left_anti").join(known, fact, "left_anti")
+        found = written(found.select("rule_id", *fact), "found")
         if policy in ("protect", "retain_protect"):
-            stopped = found.join(opposite, [*CELL, "sign"], "left_semi").select("doc_id", "label", "sign")
+            stopped = found.join(opposite, fact, "left_semi").select(*fact)
             blocked = written(blocked.unionByName(stopped).distinct(), "blocked")
-            found = found.join(opposite, [*CELL, "sign"], "left_anti").select("rule_id", "doc_id", "label", "sign")
+            found = found.join(opposite, fact, "left_anti").select("rule_id", *fact)
         names = [r["label"] for r in found.select("label").distinct().collect()]  # the program's labels at most
-        if not names and not new_edges:
-            if related and cat.labels and not edges.where("strict").isEmpty() and not infeasible(edges, facts, cat.labels).isEmpty():
+        if not names and not grown:
+            if related and cat.labels and order.strict and not infeasible(order.now.pairs(), of_docs(facts.all), cat.labels).isEmpty():
                 return state("conflict", n)
             return state("fixpoint", n)
-        delta = found.select("doc_id", "label", "sign")
+        delta = found.select(*fact)
         fired = fired.unionByName(found.withColumn("round", F.lit(n)))
-        facts = written(facts.unionByName(delta), "facts")
+        facts.append(delta)
         if policy.startswith("retain"):
-            bad = new_clashes(delta, facts)
+            bad = new_clashes(delta, facts.all)
             if not bad.isEmpty():
                 unknown = written(unknown.unionByName(bad).distinct(), "unknown")
-                facts = written(facts.join(unknown, CELL, "left_anti"), "facts")
-                delta = delta.join(unknown, CELL, "left_anti")
-        elif not new_clashes(delta, facts).isEmpty():
+                facts.drop(unknown)
+                delta = facts.parts[-1]
+        elif not new_clashes(delta, facts.all).isEmpty():
             return state("conflict", n)
-        if related and not violations(edges, facts, n_labels).isEmpty():
+        if related and order.broken(of_docs(facts.all), n_labels):
             return state("conflict", n)
-        changed = {*names} | ({"="} if new_edges else set())
+        changed = {*names} | ({"="} if grown else set())
     return state("max_rounds", max_rounds)
 
 
@@ -160,7 +243,7 @@ def insert_roots(cat: Catalog, rules: list[Rule], before: Closure, added: DataFr
 def extend(cat: Catalog, rules: list[Rule], before: Closure, candidate: Rule, policy: str = "halt") -> Closure:
     """The closure of rules and one more, from the fixpoint of rules: only the candidate runs at first, then what reads its conclusions."""
     grown = [*rules, candidate]
-    if before.status != "fixpoint" or before.edges is not None:
+    if before.status != "fixpoint" or before.relation is not None:
         return close_program(cat, grown, policy)
     return close_program(cat, grown, policy, unknown=before.unknown, roots=before.facts, first={len(rules)})
 
@@ -172,7 +255,7 @@ def withdraw(old: Catalog, new: Catalog, rules: list[Rule], before: Closure, pol
     roots). What is left is rooted again and the program runs from there, which brings back what has another
     derivation and what the new probabilities add. Runs with a conflict, unknown cells or relations start anew.
     """
-    if before.status != "fixpoint" or before.edges is not None or not before.unknown.isEmpty():
+    if before.status != "fixpoint" or before.relation is not None or not before.unknown.isEmpty():
         return close_program(new, rules, policy, unknown=before.unknown)
     fact = [*CELL, "sign"]
     roots = old.gamma.select(*CELL, F.col("sign").cast("int").alias("sign"))

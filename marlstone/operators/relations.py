@@ -5,23 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.plans.store import written
-
-
-def close(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Transitive closure; a path is strict if one of its edges is. Path lengths double each round."""
-    now = written(edges.where("src <> dst or strict").groupBy("src", "dst").agg(F.max("strict").alias("strict")), "closure")
-    size = None
-    for _ in range(rounds):
-        a, b = now.alias("a"), now.alias("b")
-        two = a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", (F.col("a.strict") | F.col("b.strict")).alias("strict"))
-        after = written(now.unionByName(two).where("src <> dst or strict").groupBy("src", "dst").agg(F.max("strict").alias("strict")), "closure")
-        grown = after.agg(F.count(F.lit(1)), F.count_if("strict")).first()
-        now = after
-        if grown == size:
-            return now
-        size = grown
-    raise RuntimeError(f"the relation is not closed after {rounds} rounds")
+from marlstone.plans.relation import close  # noqa: F401  part of this module's functions
 
 
 def copy_labels(facts: DataFrame, edges: DataFrame) -> DataFrame:

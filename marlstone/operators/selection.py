@@ -93,94 +93,81 @@ def signed_groups(baseline: DataFrame, groups: dict[str, DataFrame], truth: Data
     return out
 
 
+def _distinct_masks(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """hits over docs, of patterns with equal masks only the first by name."""
+    h = hits.select("doc_id", "pattern").distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return written(h.join(duplicate_masks(h).where("pattern = first"), "pattern", "left_semi"), "masks")
+
+
+def _per_label(h: DataFrame, corr: DataFrame, taken: DataFrame, most: int) -> DataFrame:
+    """label, pattern, place: each label's `most` best patterns that are not taken. corr: pattern, label, mcc, s, side; taken: pattern, label, side.
+
+    A pattern is worth |mcc| * sqrt(novel / support), novel counting its documents that no pattern taken for the label with
+    the same side (sign of the correlation) covers. Ties: |mcc|, support, name.
+    """
+    covered = h.join(F.broadcast(taken), "pattern").select("label", "side", "doc_id").distinct()
+    seen = h.join(F.broadcast(corr.select("pattern", "label", "side")), "pattern").join(covered, ["label", "side", "doc_id"], "left_semi")
+    left = corr.join(seen.groupBy("pattern", "label").agg(F.count(F.lit(1)).alias("seen")), ["pattern", "label"], "left").join(taken.select("pattern").distinct(), "pattern", "left_anti")
+    worth = F.abs("mcc") * F.sqrt((F.col("s") - F.coalesce("seen", F.lit(0))) / F.greatest("s", F.lit(1)))
+    best = Window.partitionBy("label").orderBy(F.desc(F.round(worth, 12)), F.desc(F.round(F.abs("mcc"), 12)), F.desc("s"), "pattern")
+    return left.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select("label", "pattern", "side", "place")
+
+
 def balanced_greedy(hits: DataFrame, truth: DataFrame, docs: DataFrame, quota: int) -> list[tuple[str, str | None]]:
     """(pattern, label it was taken for or None): diverse patterns by correlation with labels.
 
-    Three quarters of the quota go to the labels in turn: the unused pattern of largest |MCC| * sqrt(novel / support),
-    novel counting documents that patterns taken for this label and sign have not covered. The rest goes to patterns that
-    cover most uncovered documents. Ties: |MCC| (largest of any label in the rest), support, name. Of patterns with
-    equal masks the first by name is kept.
+    Three quarters of the quota go to the labels in rounds, in which each label takes its best pattern (see _per_label); where
+    labels want the same, the first by name has it. The rest covers documents that no taken pattern covers, most first;
+    ties: largest |mcc| of any label, support, name. Of patterns with equal masks the first by name stands for all. A round
+    is one job: labels do not see each other's covers, so as many ranks a label as there are labels settle it.
     """
-    h = hits.select("doc_id", "pattern").distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    h = written(h.join(duplicate_masks(h).where("pattern = first"), "pattern", "left_semi"), "masks")
-    table = mcc(contingency(h, truth, docs)).select("pattern", "label", "mcc", "s").collect()  # patterns times labels
-    corr = {(r["pattern"], r["label"]): r["mcc"] for r in table}
-    support = {r["pattern"]: r["s"] for r in table}
-    axis, used = sorted({r["label"] for r in table}), []
-    cover: dict[tuple, list[str]] = {}
-
-    def novel(taken: list[str]) -> dict[str, int]:
-        if not taken:
-            return support
-        covered = h.where(F.col("pattern").isin(taken)).select("doc_id").distinct()
-        return {r["pattern"]: r["n"] for r in h.join(covered, "doc_id", "left_anti").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    fresh: dict[tuple, dict[str, int]] = {}
-    out: list[tuple[str, str | None]] = []
-    for turn in range(math.ceil(quota * 0.75)):
-        if not axis:
+    spark, h = hits.sparkSession, _distinct_masks(hits, docs)
+    corr = written(mcc(contingency(h, truth, docs)).select("pattern", "label", "mcc", "s", (F.col("mcc") >= 0).alias("side")), "correlations")
+    names = sorted(r["label"] for r in corr.select("label").distinct().collect())
+    shared = math.ceil(0.75 * quota)
+    picks: list[tuple[str, str, bool]] = []
+    while names and len(picks) < shared:
+        taken = spark.createDataFrame(picks, "pattern string, label string, side boolean")
+        ranks = _per_label(h, corr, taken, len(names)).orderBy("label", "place").collect()  # labels squared at most
+        if not ranks:
             break
-        label = axis[turn % len(axis)]
-        options = []
-        for sign in (False, True):
-            key = (label, sign)
-            if key not in fresh:
-                fresh[key] = novel(cover.get(key, []))
-            for p in support:
-                if p not in used and (corr[p, label] >= 0) == sign:
-                    c = abs(corr[p, label])
-                    options.append((-c * math.sqrt(fresh[key].get(p, 0) / max(1, support[p])), -c, -support[p], p, key))
-        if not options:
+        for label in names[: shared - len(picks)]:
+            free = next(((r["pattern"], label, r["side"]) for r in ranks if r["label"] == label and all(r["pattern"] != p for p, _, _ in picks)), None)
+            picks += [free] if free else []
+    out: list[tuple[str, str | None]] = [(p, label) for p, label, _ in picks]
+    strongest = corr.groupBy("pattern").agg(F.max(F.round(F.abs("mcc"), 12)).alias("c"), F.max("s").alias("s"))
+    while len(out) < quota:
+        taken = spark.createDataFrame([(p,) for p, _ in out], "pattern string")
+        fresh = h.join(h.join(F.broadcast(taken), "pattern", "left_semi").select("doc_id").distinct(), "doc_id", "left_anti").groupBy("pattern").agg(F.count(F.lit(1)).alias("fresh"))
+        left = strongest.join(F.broadcast(taken), "pattern", "left_anti").join(fresh, "pattern", "left").na.fill(0, ["fresh"])
+        best = left.orderBy(F.desc("fresh"), F.desc("c"), F.desc("s"), "pattern").first()
+        if best is None:
             break
-        *_, p, key = min(options)
-        used.append(p)
-        out.append((p, label))
-        cover.setdefault(key, []).append(p)
-        fresh.pop(key)
-    most = {p: max(abs(corr[p, x]) for x in axis) for p in support}
-    while len(out) < quota and len(used) < len(support):
-        n = novel(used)
-        p = min((p for p in support if p not in used), key=lambda p: (-n.get(p, 0), -most[p], -support[p], p))
-        used.append(p)
-        out.append((p, None))
+        out.append((best["pattern"], None))
     return out
 
 
-def capped_information(hits: DataFrame, families: dict[str, str], truth: DataFrame, docs: DataFrame, budget: int, per_label: int | None = None, share: float = 0.5) -> list[tuple[str, str | None]]:
-    """(pattern, label or None): each label's best patterns by mutual information, then the best of any label, until the budget is full.
+def capped_information(hits: DataFrame, families: DataFrame, truth: DataFrame, docs: DataFrame, budget: int, per_label: int | None = None, share: float = 0.5) -> DataFrame:
+    """place, pattern, label (for which it is in; null for a filler), mi: patterns by mutual information under caps.
 
-    A label gets max(2, min(32, budget / (2 labels))) patterns of positive information at most, a family a
-    `share` of the budget, rounded up. Ties: support, name. Patterns with equal masks count once.
+    First come each label's best patterns of positive information, max(2, min(32, budget / (2 labels))) a label or `per_label`,
+    labels by name (a pattern that is among those of several labels stands with the first); then all others by their best
+    information. Along that list a family (families: pattern, family) keeps its first `share` of the budget, rounded up,
+    and the list ends with the budget. Ties: support, name. Of patterns with equal masks the first by name stands for all.
     """
-    h = hits.select("doc_id", "pattern").distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    h = h.join(duplicate_masks(h).where("pattern = first"), "pattern", "left_semi")
-    table = mutual_information(contingency(h, truth, docs)).select("pattern", "label", F.round("mi", 12).alias("mi"), "s").collect()
-    axis = sorted({r["label"] for r in table})
-    each = per_label or max(2, min(32, budget // (2 * max(1, len(axis)))))
+    h = _distinct_masks(hits, docs)
+    table = mutual_information(contingency(h, truth, docs)).select("pattern", "label", F.round("mi", 12).alias("mi"), "s")
+    labels = table.agg(F.count_distinct("label").alias("k"))
+    each = F.lit(per_label) if per_label else F.greatest(F.lit(2), F.least(F.lit(32), F.floor(F.lit(budget) / (2 * F.greatest("k", F.lit(1))))))
+    own = Window.partitionBy("label").orderBy(F.desc("mi"), F.desc("s"), "pattern")
+    ranked = table.withColumn("r", F.row_number().over(own)).crossJoin(F.broadcast(labels))  # one row
+    wanted = F.when((F.col("mi") > 0) & (F.col("r") <= each), F.struct("label", "r", "mi"))
+    listed = ranked.groupBy("pattern").agg(F.min(wanted).alias("w"), F.max(F.struct("mi", "s")).alias("best")).join(families.select("pattern", "family"), "pattern")
+    along = (F.col("w").isNull(), F.col("w.label"), F.col("w.r"), F.desc("best.mi"), F.desc("best.s"), F.col("pattern"))
     cap = max(1, math.ceil(share * budget))
-    out: dict[str, str | None] = {}
-    count: dict[str, int] = {}
-
-    def take(p: str, label: str | None) -> bool:
-        f = families[p]
-        if p in out or count.get(f, 0) >= cap or len(out) >= budget:
-            return False
-        out[p] = label
-        count[f] = count.get(f, 0) + 1
-        return True
-
-    for label in axis:
-        taken = 0
-        for r in sorted((r for r in table if r["label"] == label and r["mi"] > 0), key=lambda r: (-r["mi"], -r["s"], r["pattern"])):
-            if taken >= each:
-                break
-            taken += take(r["pattern"], label)
-    best: dict[str, tuple] = {}
-    for r in table:
-        best[r["pattern"]] = max(best.get(r["pattern"], (-1.0, 0)), (r["mi"], r["s"]))
-    for p in sorted(best, key=lambda p: (-best[p][0], -best[p][1], p)):
-        take(p, None)
-    return [*out.items()]
+    kept = listed.withColumn("in_family", F.row_number().over(Window.partitionBy("family").orderBy(*along))).where(F.col("in_family") <= cap).orderBy(*along).limit(budget)
+    # At most `budget` rows from here on.
+    return kept.withColumn("place", F.row_number().over(Window.orderBy(*along))).select("place", "pattern", F.col("w.label").alias("label"), F.coalesce("w.mi", "best.mi").alias("mi"))
 
 
 def candidate_votes(utility: DataFrame, clusters: DataFrame, k: int) -> DataFrame:

@@ -211,11 +211,17 @@ def balanced_greedy(spark, d):
     return spark.createDataFrame([(i, *g) for i, g in enumerate(got)], "step int, pattern string, label string")
 
 
-@query("capped_information")
+_mi_cells = " + ".join(
+    f"CASE WHEN {j} <= 0 THEN 0 ELSE {j}::DOUBLE / n * ln({j}::DOUBLE * n / (({x})::DOUBLE * ({y}))) END"
+    for j, x, y in (("tp", "s", "pos"), ("(s - tp)", "s", "n - pos"), ("(pos - tp)", "n - s", "pos"), ("(n - s - pos + tp)", "n - s", "n - pos")))
+
+
+@query("capped_information", f"WITH i AS (SELECT pattern, label, s, round(greatest({_mi_cells}, 0.0), 12) AS mi FROM cont), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mi DESC, s DESC, pattern) AS r FROM i), w AS (SELECT pattern, label, r, mi FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY label, r) AS k FROM r WHERE mi > 0 AND r <= 2) WHERE k = 1), b AS (SELECT pattern, mi, s FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY mi DESC, s DESC) AS k FROM i) WHERE k = 1), l AS (SELECT b.pattern, CASE WHEN length(b.pattern) > 4 THEN 'long' ELSE 'short' END AS family, w.label, coalesce(w.mi, b.mi) AS mi, row_number() OVER (ORDER BY w.label IS NULL, w.label, w.r, b.mi DESC, b.s DESC, b.pattern) AS k FROM b LEFT JOIN w ON w.pattern = b.pattern), f AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY k) AS c FROM l) SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS place, pattern, label, round(mi, 9) AS mi FROM (SELECT * FROM f WHERE c <= 2 ORDER BY k LIMIT 4)")
 def capped_information(spark, d):
-    families = {p: "long" if len(p) > 4 else "short" for p in ("worthless", "idiot", "scum", "trash", "the", "and")}
-    got = selection.capped_information(_hits(spark, d), families, truth_of(spark, d), read(spark, d, "labels"), 4)
-    return spark.createDataFrame([(i, *g) for i, g in enumerate(got)], "step int, pattern string, label string")
+    hits = _hits(spark, d)
+    families = hits.select("pattern").distinct().withColumn("family", F.when(F.length("pattern") > 4, "long").otherwise("short"))
+    got = selection.capped_information(hits, families, truth_of(spark, d), read(spark, d, "labels"), 4)
+    return got.select("place", "pattern", "label", F.round("mi", 9).alias("mi"))
 
 
 _f8 = "(0.8 * avg(CASE WHEN 2 * {0}tp + {0}fp + {0}fn = 0 THEN 0 ELSE 2.0 * {0}tp / (2 * {0}tp + {0}fp + {0}fn) END) + 0.2 * 2.0 * sum({0}tp) / (2 * sum({0}tp) + sum({0}fp) + sum({0}fn)))"

@@ -11,6 +11,7 @@ from marlstone import cli
 from marlstone.functions import text as T
 from marlstone.models import Registry
 from marlstone.operators import joins, loop, quality, review, selection
+from marlstone.operators.patterns import contingency, mutual_information
 from marlstone.plans.compile import Catalog
 from marlstone.plans.rules import ML, Doc, Label, Rule, write_program
 
@@ -55,31 +56,43 @@ def mcc(s, pos, tp, n=40):
 
 
 def test_balanced_greedy(world):
+    """What the contract says of each pick, looked up in sets."""
     hits, truth, h, t, docs, _ = world
-    pool = {p: s for p, s in hits.items() if p != "p5"}
-    corr = {(p, k): mcc(len(s), len(truth[k]), len(s & truth[k])) for p, s in pool.items() for k in truth}
-    want, cover = [], {}
-    for turn in range(3):  # three quarters of four
-        k = "xy"[turn % 2]
-        def rank(p):
-            sign = corr[p, k] >= 0
-            return (-abs(corr[p, k]) * math.sqrt(len(pool[p] - cover.get((k, sign), set())) / len(pool[p])), -abs(corr[p, k]), -len(pool[p]), p)
-        p = min((p for p in pool if p not in [w[0] for w in want]), key=rank)
-        cover.setdefault((k, corr[p, k] >= 0), set()).update(pool[p])
-        want.append((p, k))
-    done = set().union(*(pool[p] for p, _ in want))
-    rest = [p for p in pool if p not in [w[0] for w in want]]
-    want.append((min(rest, key=lambda p: (-len(pool[p] - done), -max(abs(corr[p, k]) for k in truth), -len(pool[p]), p)), None))
-    assert selection.balanced_greedy(h, t, docs, 4) == want
-
-
-def test_capped_information(world):
+    names = sorted(set(hits) - {"p5"})  # p5 has p2's mask
+    corr = {(p, k): round(mcc(len(hits[p]), len(truth[k]), len(hits[p] & truth[k])), 12) for p in names for k in truth}
+    for quota in (1, 4, 5):
+        got = selection.balanced_greedy(h, t, docs, quota)
+        assert len(got) == len({p for p, _ in got}) == quota
+        shared = math.ceil(0.75 * quota)
+        assert [k for _, k in got] == ["xy"[i % 2] for i in range(shared)] + [None] * (quota - shared)
+        for i, (p, k) in enumerate(got):
+            before = got[:i]
+            free = [q for q in names if q not in {b[0] for b in before}]
+            if k is None:
+                gone = {d for q, _ in before for d in hits[q]}
+                worth = {q: (len(hits[q] - gone), max(abs(corr[q, x]) for x in truth), len(hits[q])) for q in free}
+            else:
+                gone = {s: {d for q, x in before if x == k and (corr[q, k] >= 0) == s for d in hits[q]} for s in (True, False)}
+                worth = {q: (round(abs(corr[q, k]) * math.sqrt(len(hits[q] - gone[corr[q, k] >= 0]) / len(hits[q])), 12), abs(corr[q, k]), len(hits[q])) for q in free}
+            assert worth[p] == max(worth.values()) and p == min(q for q in free if worth[q] == worth[p])
+
+
+def test_capped_information(world, spark):
     _, _, h, t, docs, _ = world
-    families = {f"p{i}": "even" if i % 2 == 0 else "odd" for i in range(6)}
-    got = selection.capped_information(h, families, t, docs, 4)
-    assert len(got) == len({p for p, _ in got}) and "p5" not in [p for p, _ in got]
-    assert max([families[p] for p, _ in got].count(f) for f in ("even", "odd")) <= 2
-    assert selection.capped_information(h, dict.fromkeys(families, "one"), t, docs, 4, share=0.25)[0][1] == "x"
+    family = {f"p{i}": "even" if i % 2 == 0 else "odd" for i in range(6)}
+    table = lambda f: spark.createDataFrame([*f.items()], "pattern string, family string")
+    rows = selection.capped_information(h, table(family), t, docs, 4).orderBy("place").collect()
+    got = [r.pattern for r in rows]
+    assert [r.place for r in rows] == [1, 2, 3, 4] and len(set(got)) == 4 and "p5" not in got  # p5 has p2's mask
+    assert sum(family[p] == "even" for p in got) == 2  # half of the budget
+    mi = {(r.pattern, r.label): r.mi for r in mutual_information(contingency(h, t, docs)).collect()}
+    best = lambda k: sorted((p for p in family if p != "p5"), key=lambda p: -mi[p, k])[:2]
+    assert [r.pattern for r in rows if r.label == "x"] == best("x")
+    assert {r.pattern for r in rows if r.label == "y"} <= set(best("y"))
+    one = selection.capped_information(h, table(dict.fromkeys(family, "one")), t, docs, 4, share=0.25).collect()
+    assert len(one) == 1 and one[0].label == "x" and one[0].pattern == best("x")[0]
+    assert selection.capped_information(h, table(dict.fromkeys(family, "one")), t, docs, 20, share=1.0).count() == 5
+
 
 
 def test_signed_groups(spark, world):
