@@ -54,7 +54,8 @@ def nearest(x: np.ndarray, scale: int, centroids: list[list[int]]) -> tuple[np.n
     most = max((abs(c) for row in centroids for c in row), default=0)
     height = np.abs(v).max(axis=1)
     # (|x| + |c|)^2 bounds |x|^2, 2|x.c|, |c|^2 and every partial sum of them.
-    safe = dim * (height + float(most)) ** 2 < EXACT
+    with np.errstate(over="ignore"):
+        safe = dim * (height + (float(most) if most < EXACT else np.inf)) ** 2 < EXACT
     label, dist = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.float64)
     at = np.flatnonzero(safe)
     if len(at):
@@ -181,3 +182,28 @@ def cluster(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"])
 
     return kept.mapInArrow(trimmed(assign), schema)
+
+
+_ASSIGN = """
+a{k} AS MATERIALIZED (
+  SELECT vec_id, v, arg_min(cluster, d * 1000 + cluster) AS cluster, min(d) AS distance
+  FROM (SELECT vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept, c{k}) GROUP BY vec_id, v)"""
+_MOVE = """
+m{k} AS (
+  SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{k}, range(1, 65) r(i) GROUP BY cluster, i) GROUP BY cluster),
+c{n} AS MATERIALIZED (
+  SELECT c{k}.cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} ON c{k}.cluster = m{k}.cluster)"""
+
+#: Three rounds and the last assignment in SQL, for unique ids and sums that a long holds.
+ORACLE = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS cluster, v AS c FROM kept ORDER BY 1 LIMIT 16),""" + ",".join(
+    _ASSIGN.format(k=k) + "," + _MOVE.format(k=k, n=k + 1) for k in range(3)) + "," + _ASSIGN.format(k=3) + """
+SELECT vec_id, CAST(a3.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY a3.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON a3.cluster = c3.cluster
+"""

@@ -163,3 +163,31 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_i
     ordered, _ = plan(docs, rules, sample, id_col=id_col, text_col=text_col)
     first = F.when(base_failed(), F.lit("base")).otherwise(cascade(ordered))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), first.isNull().alias("kept"))
+
+
+#: The rules in SQL; windows are counted as rows.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (
+  SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 4)),
+twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 3) o(k) GROUP BY r),
+m AS (
+  SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered ON w.r = covered.r),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         10 * n_symbols > n_words OR word_chars > 12 * n_words OR 2 * word_chars < 5 * n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)
+         OR 100 * n_repeat_words > 40 * n_words OR 10 * (length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g'))) > 4 * word_chars
+         OR 10 * (length(t) - length(regexp_replace(t, '\p{L}', '', 'g'))) < 6 * word_chars OR 10 * (length(t) - length(regexp_replace(t, '[!?]', '', 'g'))) > 2 * n_words
+         OR (n_lines >= 4 AND 10 * len(list_filter(string_split(t, chr(10)), lambda x: ends_with(x, '...') OR ends_with(x, '…'))) > 3 * n_lines) AS bad FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM judged
+"""

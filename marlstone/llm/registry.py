@@ -104,5 +104,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op11_centroids": centroids.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_quality_rules": quality_rules.ORACLE,
 }
