@@ -22,7 +22,7 @@ from marlstone.plans.rules import ML, Doc, Label, LabelCompare, Rule, Text
 from marlstone.plans.store import written
 
 FACT = [*CELL, "sign"]
-OWN = "run int, doc_id bigint, label string, sign int"
+OWN = "run bigint, doc_id bigint, label string, sign int"
 
 
 @dataclass
@@ -99,17 +99,55 @@ def close_batch(cat: Catalog, prefix: list[Rule], candidates: list[Rule], base:
         raise ValueError(f"candidates are not tried in batches under {policy}")
     if base.status != "fixpoint" or base.relation is not None or any(isinstance(a, LabelCompare) for r in (*prefix, *candidates) for a in (*r.body, r.head)):
         raise ValueError("a batch needs a prefix at its fixpoint, and rules without label-set relations")
+    return _close_all(cat, prefix, [[c] for c in candidates], base, policy, max_rounds)
+
+
+def close_programs(cat: Catalog, programs: list[list[Rule]], policy: str = "halt", max_rounds: int = 100) -> Batch:
+    """The closures of whole programs, numbered as they are. A rule of several programs is evaluated once for all of them."""
+    if any(isinstance(a, LabelCompare) for p in programs for r in p for a in (*r.body, r.head)):
+        raise ValueError("programs with label-set relations are closed one by one")
+    return _close_all(cat, [], programs, close_program(cat, [], policy), policy, max_rounds)
+
+
+def _close_all(cat: Catalog, prefix: list[Rule], own: list[list[Rule]], base: Closure, policy: str, max_rounds: int) -> Batch:
+    spark = cat.docs.sparkSession
+    runs_of: dict[Rule, list[int]] = {}
+    for i, rules in enumerate(own):
+        for r in dict.fromkeys(rules):
+            runs_of.setdefault(r, []).append(i)
+    shared = base.facts.select(*FACT)
+    numbered = list(runs_of)
+    plain = {k: r for k, r in enumerate(numbered) if one_variable(r)}
+    parts = [fire_unary(cat, plain, shared).withColumnRenamed("run", "rule")] if plain else []
+    parts += [fire(r, cat, shared).select(F.lit(k).alias("rule"), *FACT) for k, r in enumerate(numbered) if k not in plain]
+    if parts:
+        # A row a rule, with the runs that have it.
+        has = spark.createDataFrame([(k, runs_of[r]) for k, r in enumerate(numbered)], "rule int, runs array<bigint>")
+        parts = [reduce(DataFrame.unionByName, parts).join(F.broadcast(has), "rule").select(F.explode("runs").alias("run"), *FACT)]
+    runs = spark.createDataFrame([(i,) for i in range(len(own))], "run long")
+    return _spread(cat, prefix, runs_of, base, runs, parts, policy, max_rounds)
+
+
+def close_hypotheses(cat: Catalog, rules: list[Rule], base: Closure, hypotheses: DataFrame, policy: str = "halt", max_rounds: int = 100) -> Batch:
+    """The closures of the program with one further fact each. hypotheses: run (a long), doc_id, label, sign. base: the program's closure, a fixpoint."""
+    if policy not in ("halt", "protect") or base.status != "fixpoint" or base.relation is not None:
+        raise ValueError("hypotheses need a program at its fixpoint without label-set relations, under halt or protect")
+    seeds = hypotheses.select(F.col("run").cast("long").alias("run"), *FACT)
+    return _spread(cat, rules, {}, base, seeds.select("run").distinct(), [seeds], policy, max_rounds)
+
+
+def _spread(cat: Catalog, rules: list[Rule], own_rules: dict[Rule, list[int]], base: Closure, runs: DataFrame, parts: list[DataFrame], policy: str, max_rounds: int) -> Batch:
+    """All runs to their fixpoints from the first conclusions in parts. rules hold in all runs, own_rules in the runs that they have."""
     spark = cat.docs.sparkSession
     shared = base.facts.select(*FACT)
     opposite = cat.gamma.select("doc_id", "label", (-F.col("sign")).cast("int").alias("sign")).distinct()
-    plain = {i: r for i, r in enumerate(candidates) if one_variable(r)}
-    parts = [fire_unary(cat, plain, shared)] if plain else []
-    parts += [fire(r, cat, shared).select(F.lit(i).alias("run"), *FACT) for i, r in enumerate(candidates) if i not in plain]
     none = spark.createDataFrame([], OWN)
-    own, old, conflicts, rounds = none, none, spark.createDataFrame([], "run int"), 0
+    own, old, conflicts, rounds = none, none, spark.createDataFrame([], "run long"), 0
+    changed: set[str] = set()
+    delta = none
     while rounds < max_rounds:
-        found = reduce(DataFrame.unionByName, parts).distinct() if parts else none
-        found = found.join(base.unknown, CELL, "left_anti").join(shared, FACT, "left_anti").join(own, ["run", *FACT], "left_anti")
+        found = reduce(DataFrame.unionByName, parts) if parts else none
+        found = found.select(F.col("run").cast("long").alias("run"), *FACT).distinct().join(base.unknown, CELL, "left_anti").join(shared, FACT, "left_anti").join(own, ["run", *FACT], "left_anti")
         if policy == "protect":
             found = found.join(opposite, FACT, "left_anti")
         delta = written(found.select("run", *FACT), "found")
@@ -122,21 +160,40 @@ def close_batch(cat: Catalog, prefix: list[Rule], candidates: list[Rule], base:
         bad = other.join(shared, FACT, "left_semi").select("run").unionByName(other.join(own, ["run", *FACT], "left_semi").select("run")).distinct()
         bad = written(bad, "conflicts")
         conflicts = conflicts.unionByName(bad)
-        delta = delta.join(F.broadcast(bad), "run", "left_anti")  # runs are candidates: a bounded number
-        parts = [f for r in prefix if r.reads() & changed for f in fire_runs(r, cat, shared, old, delta, changed)]
-        for i, r in enumerate(candidates):
+        delta = delta.join(bad, "run", "left_anti").select("run", *FACT)
+        parts = [f for r in rules if r.reads() & changed for f in fire_runs(r, cat, shared, old, delta, changed)]
+        for r, some in own_rules.items():
             if r.reads() & changed:
-                mine = lambda df: df.where(F.col("run") == i)  # noqa: E731, B023
-                parts += fire_runs(r, cat, shared, mine(old), mine(delta), changed)
+                mine = F.col("run").isin(some)
+                parts += fire_runs(r, cat, shared, old.where(mine), delta.where(mine), changed)
         if rounds % 8 == 0:
             own = written(own, "own")
-    runs = spark.createDataFrame([(i,) for i in range(len(candidates))], "run int")
-    late = delta.select("run").distinct().withColumn("late", F.lit(True)) if changed else spark.createDataFrame([], "run int, late boolean")
-    status = runs.join(F.broadcast(conflicts.withColumn("bad", F.lit(True)).distinct()), "run", "left").join(late, "run", "left")
+    late = delta.select("run").distinct().withColumn("late", F.lit(True)) if changed else spark.createDataFrame([], "run long, late boolean")
+    status = runs.join(conflicts.withColumn("bad", F.lit(True)).distinct(), "run", "left").join(late, "run", "left")
     status = status.select("run", F.when(F.col("bad"), "conflict").when(F.col("late"), "max_rounds").otherwise("fixpoint").alias("status"))
     return Batch(shared, own, status, rounds)
 
 
+def influence(cat: Catalog, rules: list[Rule], base: Closure, hypotheses: DataFrame, policy: str = "halt") -> DataFrame:
+    """doc_id, label, status, reached of hypothetical positive facts (doc_id, label): how many documents without any predicted label get one.
+
+    All hypotheses are one fixpoint, however many hops their consequences take; what they derive is held a hypothesis, so
+    they are meant to be the pending rows that are ranked, not the whole table against groups of millions. reached is null in a conflict.
+    """
+    asked = written(hypotheses.select(*CELL).distinct().withColumn("run", F.monotonically_increasing_id()), "hypotheses")
+    b = close_hypotheses(cat, rules, base, asked.select("run", *CELL, F.lit(1).alias("sign")), policy)
+    covered = base.predictions().select("doc_id").distinct()
+    reached = b.own.where("sign > 0").join(covered, "doc_id", "left_anti").groupBy("run").agg(F.count_distinct("doc_id").alias("n"))
+    out = asked.join(b.status, "run").join(reached, "run", "left")
+    return out.select(*CELL, "status", F.when(F.col("status") != "conflict", F.coalesce("n", F.lit(0))).alias("reached"))
+
+
+def influence_rank(cat: Catalog, rules: list[Rule], base: Closure, rows: DataFrame, labels: DataFrame, policy: str = "halt") -> DataFrame:
+    """doc_id, influence: the mean over labels of what a row would reach if the label were true there; a label in conflict counts 0."""
+    each = influence(cat, rules, base, rows.select("doc_id").distinct().crossJoin(F.broadcast(labels.select("label").distinct())), policy)  # labels
+    return each.groupBy("doc_id").agg(F.avg(F.coalesce("reached", F.lit(0)).cast("double")).alias("influence"))
+
+
 def batch_scores(batch: Batch, truth: DataFrame, labels: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """run, status, macro_f1, micro_f1, gain (of macro F1 over the shared facts) of each run's predictions; no scores unless it is a fixpoint.
 
@@ -161,7 +218,7 @@ def standalone(cat: Catalog, rules: list[Rule], truth: DataFrame, labels: DataFr
     denies of its label against the documents without it; -1 for a conflict."""
     base = close_program(cat, [], policy)
     batch = close_batch(cat, [], rules, base, policy)
-    signs = cat.docs.sparkSession.createDataFrame([(i, r.head.label, r.head.sign) for i, r in enumerate(rules)], "run int, label string, sign int")
+    signs = cat.docs.sparkSession.createDataFrame([(i, r.head.label, r.head.sign) for i, r in enumerate(rules)], "run long, label string, sign int")
     s = batch_scores(batch, truth, labels, docs).join(F.broadcast(signs), "run")
     pool = (cat.docs if docs is None else docs).select("doc_id").distinct()
     wanted = signs.where("sign < 0").select("label").distinct()
@@ -173,7 +230,7 @@ def standalone(cat: Catalog, rules: list[Rule], truth: DataFrame, labels: DataFr
     count = denied.join(pos.withColumn("t", F.lit(1)), CELL, "left").groupBy("run").agg(F.count_if(F.col("t").isNull()).alias("tn"), F.count("t").alias("wrong"))
     s = s.join(absent, "label", "left").join(count, "run", "left").na.fill(0, ["tn", "wrong"])
     negative = f1(F.col("tn"), F.col("wrong"), F.col("absent") - F.col("tn"))
-    return s.select(F.col("run").alias("rule_id"), "status", F.when(F.col("status") != "fixpoint", -1.0).when(F.col("sign") < 0, negative).otherwise(F.col("macro_f1")).alias("score"))
+    return s.select(F.col("run").cast("int").alias("rule_id"), "status", F.when(F.col("status") != "fixpoint", -1.0).when(F.col("sign") < 0, negative).otherwise(F.col("macro_f1")).alias("score"))
 
 
 @dataclass

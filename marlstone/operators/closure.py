@@ -240,6 +240,57 @@ def insert_roots(cat: Catalog, rules: list[Rule], before: Closure, added: DataFr
     return close_program(grown, rules, policy, unknown=before.unknown, roots=before.facts)
 
 
+@dataclass
+class Step:
+    """What new documents and roots add to a closed program: added (doc_id, label, sign), roots among them."""
+
+    status: str
+    rounds: int
+    added: DataFrame
+
+
+def advance(cat: Catalog, rules: list[Rule], old: DataFrame, docs: DataFrame | None = None, roots: DataFrame | None = None, policy: str = "halt", max_rounds: int = 100) -> Step:
+    """The closure after new documents and roots, by deltas only.
+
+    old: the facts of the closure before, under halt or protect, without label-set relations. cat: the catalog with all
+    documents and validated facts, new ones too. docs: the new documents, as in cat; roots: new facts. In the first round a rule
+    runs once for each of its variables, which then ranges over the new documents, and once for each premise that has new facts.
+    """
+    if policy not in ("halt", "protect") or any(isinstance(a, LabelCompare) for r in rules for a in (*r.body, r.head)):
+        raise ValueError("deltas are for halt and protect, and for rules without label-set relations")
+    spark, fact, memo = cat.docs.sparkSession, [*CELL, "sign"], {}
+    opposite = cat.gamma.select("doc_id", "label", (-F.col("sign")).cast("int").alias("sign")).distinct()
+    old = old.select(*fact)
+    first = cat.gamma.select("doc_id", "label", F.col("sign").cast("int").alias("sign")) if roots is None else roots.select("doc_id", "label", F.col("sign").cast("int").alias("sign"))
+    delta = written(first.distinct().join(old, fact, "left_anti"), "delta")
+    facts = _Facts(old)
+    facts.append(delta)
+    changed = {r["label"] for r in delta.select("label").distinct().collect()}  # the program's labels at most
+    if not new_clashes(delta, facts.all).isEmpty():
+        return Step("conflict", 0, delta)
+    added = [delta]
+    for n in range(1, max_rounds + 1):
+        parts = [f for r in rules if r.reads() & changed for f in fire_new(r, cat, facts.old, delta, changed, None, memo)]
+        if n == 1 and docs is not None:
+            parts += [fire(r, cat, facts.all, ranges={v: docs}) for r in rules for v in r.bound]
+        if not parts:
+            break
+        found = reduce(DataFrame.unionByName, [p.select(*fact) for p in parts]).distinct()
+        if policy == "protect":
+            found = found.join(opposite, fact, "left_anti")
+        delta = written(found.join(facts.all, fact, "left_anti"), "delta")
+        changed = {r["label"] for r in delta.select("label").distinct().collect()}
+        if not changed:
+            break
+        facts.append(delta)
+        added.append(delta)
+        if not new_clashes(delta, facts.all).isEmpty():
+            return Step("conflict", n, reduce(DataFrame.unionByName, added))
+    else:
+        return Step("max_rounds", max_rounds, reduce(DataFrame.unionByName, added))
+    return Step("fixpoint", n, reduce(DataFrame.unionByName, added))
+
+
 def extend(cat: Catalog, rules: list[Rule], before: Closure, candidate: Rule, policy: str = "halt") -> Closure:
     """The closure of rules and one more, from the fixpoint of rules: only the candidate runs at first, then what reads its conclusions."""
     grown = [*rules, candidate]
@@ -259,7 +310,6 @@ def withdraw(old: Catalog, new: Catalog, rules: list[Rule], before: Closure, pol
         return close_program(new, rules, policy, unknown=before.unknown)
     fact = [*CELL, "sign"]
     roots = old.gamma.select(*CELL, F.col("sign").cast("int").alias("sign"))
-    heads = lambda cat, facts, some: [fire(r, cat, facts).select(*fact) for r in some if isinstance(r.head, Label)]
     model = [r for r in rules if any(isinstance(a, ML) for a in r.body)]
     gone = None
     for r in model:  # a fact goes if the rule concluded it and does not any more
@@ -269,22 +319,40 @@ def withdraw(old: Catalog, new: Catalog, rules: list[Rule], before: Closure, pol
     if gone is None:
         return close_program(new, rules, policy, roots=before.facts)
     gone = written(gone.join(roots, fact, "left_anti").distinct(), "gone")
+    gone = _descendants(old, rules, before.facts, gone, roots)
+    left = written(before.facts.select(*fact).join(gone, fact, "left_anti"), "left")
+    return close_program(new, rules, policy, roots=left)
+
+
+def _descendants(cat: Catalog, rules: list[Rule], facts: DataFrame, gone: DataFrame, roots: DataFrame) -> DataFrame:
+    """gone and all facts (but roots) that some rule can conclude from them, step by step: over-deletion."""
+    fact = [*CELL, "sign"]
     front = gone
     while not front.isEmpty():
-        left = before.facts.select(*fact).join(gone, fact, "left_anti")
         touched = {r["label"] for r in front.select("label").distinct().collect()}
-        parts = []
-        for r in (r for r in rules if r.reads() & touched):
-            if sum(isinstance(a, Label) for a in r.body) == 1:
-                parts += heads(old, front, [r])
-            else:
-                parts += [h.join(k, fact, "left_anti") for h, k in zip(heads(old, before.facts, [r]), heads(old, left, [r]), strict=True)]
+        parts = [h.select(*fact) for r in rules if isinstance(r.head, Label) and r.reads() & touched for h in fire_new(r, cat, facts, front, touched)]
         if not parts:
             break
-        front = written(reduce(DataFrame.unionByName, parts).distinct().join(before.facts, fact, "left_semi").join(roots, fact, "left_anti").join(gone, fact, "left_anti"), "front")
+        front = reduce(DataFrame.unionByName, parts).distinct().join(facts, fact, "left_semi").join(roots, fact, "left_anti").join(gone, fact, "left_anti")
+        front = written(front, "front")
         gone = written(gone.unionByName(front), "gone")
+    return gone
+
+
+def hide(cat: Catalog, rules: list[Rule], before: Closure, cells: DataFrame, policy: str = "halt") -> Closure:
+    """The view of a closure in which cells (doc_id, label) are unknown: their facts go, roots too, and what rests on nothing else.
+
+    What has another derivation stays: descendants of the hidden facts are deleted and derived again from what is left.
+    """
+    if before.status != "fixpoint" or before.relation is not None:
+        return close_program(cat, rules, policy, unknown=before.unknown.unionByName(cells.select(*CELL)))
+    fact, hidden = [*CELL, "sign"], cells.select(*CELL).distinct()
+    unknown = before.unknown.unionByName(hidden).distinct()
+    roots = cat.gamma.select(*CELL, F.col("sign").cast("int").alias("sign")).distinct().join(unknown, CELL, "left_anti")
+    gone = written(before.facts.select(*fact).join(hidden, CELL, "left_semi"), "gone")
+    gone = _descendants(cat, rules, before.facts.select(*fact), gone, roots)
     left = written(before.facts.select(*fact).join(gone, fact, "left_anti"), "left")
-    return close_program(new, rules, policy, roots=left)
+    return close_program(cat, rules, policy, unknown=unknown, roots=left)
 
 
 def local_check(cat: Catalog, rules: list[Rule], seeds: DataFrame, depth: int = 2, policy: str = "halt") -> Closure:

@@ -8,10 +8,11 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators import batch
 from marlstone.operators.closure import close_program
 from marlstone.operators.metrics import confusion, f1, macro_micro
 from marlstone.plans.compile import Catalog, fire
-from marlstone.plans.rules import Label, Rule
+from marlstone.plans.rules import Label, LabelCompare, Rule
 
 
 def score_rules(cat: Catalog, rules: list[Rule], truth: DataFrame, labels: DataFrame) -> DataFrame:
@@ -36,11 +37,17 @@ def program_score(cat: Catalog, rules: list[Rule], truth: DataFrame, labels: Dat
     return {"macro": r["macro_f1"], "micro": r["micro_f1"]}
 
 
-def admit(cat: Catalog, candidates: list[Rule], scores: list[float], truth: DataFrame, labels: DataFrame, epsilon: float = 0.0, policy: str = "halt") -> list[int]:
-    """Candidates by score (ties by number); one is taken if the closure with it is a fixpoint and macro F1 rises by more than epsilon."""
+def admit(cat: Catalog, candidates: list[Rule], scores: list[float], truth: DataFrame, labels: DataFrame, epsilon: float = 0.0, policy: str = "halt", size: int = 32) -> list[int]:
+    """Candidates by score (ties by number); one is taken if the closure with it is a fixpoint and macro F1 rises by more than epsilon.
+
+    Closed in batches (see operators.batch); one by one under policies, or with rules, that batches do not know.
+    """
+    order = sorted(range(len(candidates)), key=lambda k: (-scores[k], k))
+    if policy in ("halt", "protect") and cat.relations is None and not any(isinstance(a, LabelCompare) for r in candidates for a in (*r.body, r.head)):
+        return batch.admit(cat, candidates, order, truth, labels, epsilon=epsilon, policy=policy, size=size).taken
     taken: list[int] = []
     best = (program_score(cat, [], truth, labels, policy) or {"macro": 0.0})["macro"]
-    for i in sorted(range(len(candidates)), key=lambda k: (-scores[k], k)):
+    for i in order:
         s = program_score(cat, [candidates[k] for k in (*taken, i)], truth, labels, policy)
         if s and s["macro"] > best + epsilon:
             taken.append(i)
@@ -84,22 +91,31 @@ def propose(history: list[tuple[tuple[int, ...], float]], size: int, samples: in
     return max(draws, key=lambda v: (ratio(v), v))
 
 
-def choose(programs: list[dict], base: dict, tolerance: float = 0.002) -> dict:
-    """Of programs not below the base by more than the tolerance, the largest (diversity, macro, micro, -rules)."""
-    ok = [p for p in programs if p["micro"] >= base["micro"] - tolerance and p["macro"] >= base["macro"] - tolerance] or [base]
-    return max(ok, key=lambda p: (p.get("diversity", 0), p["macro"], p["micro"], -p.get("rules", 0)))
+def choose(programs: list[dict], base: dict, macro_tolerance: float = 0.0, micro_tolerance: float = 0.002, first: str = "diversity") -> dict:
+    """Of programs whose macro and micro F1 are not below the base's by more than their tolerances, the best.
+
+    first: diversity (number of families with facts of their own) before macro F1, or macro before diversity; micro F1 and fewer rules follow.
+    """
+    if first not in ("diversity", "macro"):
+        raise ValueError(f"unknown order {first}")
+    near = 1e-12
+    ok = [p for p in programs if p["macro"] >= base["macro"] - macro_tolerance - near and p["micro"] >= base["micro"] - micro_tolerance - near] or [base]
+    wide = lambda p: (p.get("diversity", 0), p["macro"], p["micro"])
+    deep = lambda p: (p["macro"], p["micro"], p.get("diversity", 0))
+    return max(ok, key=lambda p: (*(wide if first == "diversity" else deep)(p), -p.get("rules", 0)))
 
 
-def allocate(gains: dict[str, float], supports: dict[str, int], budget: int, least: int = 8) -> dict[str, int]:
-    """Budget by .6 residual F1 and .4 square-root support, at least `least` each, largest remainders first."""
-    names = sorted(gains)
-    g, s = sum(gains.values()) or 1.0, sum(math.sqrt(supports[n]) for n in names) or 1.0
+def allocate(f1s: dict[str, float], supports: dict[str, int], budget: int, least: int = 8) -> dict[str, int]:
+    """Trials a label: `least` each; of the others six tenths by what its F1 leaves to gain plus .1, four by the root of its training
+    documents and one. Largest remainders first, then the order of the labels."""
+    names = list(f1s)
     free = budget - least * len(names)
     if free < 0:
         raise ValueError("the budget is too small")
-    share = {n: free * (0.6 * gains[n] / g + 0.4 * math.sqrt(supports[n]) / s) for n in names}
+    need, root = {n: 0.1 + 1 - f1s[n] for n in names}, {n: math.sqrt(supports[n] + 1) for n in names}
+    share = {n: free * (0.6 * need[n] / sum(need.values()) + 0.4 * root[n] / sum(root.values())) for n in names}
     out = {n: least + math.floor(share[n]) for n in names}
-    for n in sorted(names, key=lambda n: (-(share[n] % 1), n))[: budget - sum(out.values())]:
+    for n in sorted(names, key=lambda n: -(share[n] - math.floor(share[n])))[: budget - sum(out.values())]:
         out[n] += 1
     return out
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import review
 from marlstone.operators.closure import Closure, close_program
 from marlstone.operators.metrics import f1
+from marlstone.operators.quality import label_cardinality
 from marlstone.plans.compile import Catalog
 from marlstone.plans.rules import ML, Doc, Label, Rule
 from marlstone.plans.store import written
@@ -116,6 +117,30 @@ def residual_cuts(cells: DataFrame, positive: list[float], negative: list[float]
     return g.groupBy("label").agg(F.max_by(F.struct("gain", "pos_cut", "neg_cut"), order).alias("b")).select("label", "b.*")
 
 
+def joint_cuts(cells: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The rows of residual_cuts that are kept in a pass over the labels by gain (ties by name), with place: one is kept if micro F1 over all labels,
+    with those kept before, does not fall.
+
+    The pass folds one row a label.
+    """
+    known = cells.join(F.broadcast(cuts.select("label", "pos_cut", "neg_cut")), "label", "left")  # a row a label
+    p = F.col("p").cast("double")
+    new = F.when(F.col("old"), F.coalesce(~(p <= F.col("neg_cut")), F.lit(True))).otherwise(F.coalesce(p >= F.col("pos_cut"), F.lit(False)))
+    count = lambda pred, name: [F.count_if(pred & F.col("target")).alias(f"tp{name}"), F.count_if(pred & ~F.col("target")).alias(f"fp{name}"), F.count_if(~pred & F.col("target")).alias(f"fn{name}")]
+    per = known.groupBy("label").agg(*count(F.col("old"), ""), *count(new, "_")).join(cuts, "label", "left")
+    total = per.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.array_sort(F.collect_list(F.when(F.col("gain").isNotNull(), F.struct(
+        (-F.round("gain", 12)).alias("order"), "label", *[(F.col(f"{c}_") - F.col(c)).alias(c) for c in ("tp", "fp", "fn")])))).alias("changes"))
+    start = F.struct("tp", "fp", "fn", F.array().cast("array<string>").alias("kept"))
+
+    def step(a, x):
+        after = {c: a[c] + x[c] for c in ("tp", "fp", "fn")}
+        good = f1(after["tp"], after["fp"], after["fn"]) >= f1(a["tp"], a["fp"], a["fn"]) - 1e-12
+        return F.struct(*[F.when(good, after[c]).otherwise(a[c]).alias(c) for c in after], F.when(good, F.concat(a["kept"], F.array(x["label"]))).otherwise(a["kept"]).alias("kept"))
+
+    kept = total.select(F.posexplode(F.aggregate("changes", start, step)["kept"]).alias("place", "label"))
+    return cuts.join(F.broadcast(kept), "label").select(*cuts.columns, "place")
+
+
 def residual_rules(rules: list[Rule], cuts: dict[str, tuple[float, float | None]], alias: str) -> list[Rule]:
     """rules and, for each label, a rule that adds absent cells of high probability and one that denies present cells of low probability.
 
@@ -193,14 +218,15 @@ class Loop:
     rounds: list[Round]
 
 
-def label_loop(cat: Catalog, rules: list[Rule], labels: DataFrame, probs: DataFrame, answer: Callable[[DataFrame], DataFrame], budget: int, batch: int,
-               train: DataFrame | None = None, policy: str = "retain_protect", cut: float = 0.5, max_rounds: int = 20, retrain: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Loop:
+def label_loop(cat: Catalog, rules: list[Rule], labels: DataFrame, probs: DataFrame, answer: Callable[[DataFrame], DataFrame], budget: int, batch: int | None = None,
+               train: DataFrame | None = None, policy: str = "retain_protect", cut: float = 0.5, max_rounds: int = 20, retrain: Callable[[DataFrame, DataFrame], DataFrame] | None = None, weighting: str = "uniform") -> Loop:
     """Rounds of closure, review ranking, answers and closure again, until every document is resolved or the budget is spent.
 
     answer: documents (doc_id) -> their cells (doc_id, label, sign). Answers become validated facts. retrain: (batch of
-    feedback cells, probs) -> new probabilities, applied after each round. Only counts reach the driver.
+    feedback cells, probs) -> new probabilities, applied after each round; a cell has the weight that review.weighted gives it (`weighting`: uniform or confidence). batch: documents
+    a round, else 1 % of the documents that are pending at first, and 32 at least. Only counts reach the driver.
     """
-    gamma, log, spent = cat.gamma, [], 0
+    gamma, log, spent, initial = cat.gamma, [], 0, None
     rows = cat.docs if train is None else train
     cuts = labels.select("label", F.lit(cut).alias("cut"))
     while True:
@@ -210,6 +236,7 @@ def label_loop(cat: Catalog, rules: list[Rule], labels: DataFrame, probs: DataFr
             return Loop(closure.status, closure, gamma, log)
         open_ = written(review.pending(rows, closure.predictions(), closure.unknown, gamma.groupBy("doc_id").agg(F.count_distinct("label").alias("n")).where(F.col("n") == labels.count()).select("doc_id")), "pending")
         n = open_.count()
+        initial = n if initial is None else initial
         log.append(Round(len(log), 0, n, closure.facts.count()))
         if not n:
             return Loop("all_documents_resolved", closure, gamma, log)
@@ -223,8 +250,9 @@ def label_loop(cat: Catalog, rules: list[Rule], labels: DataFrame, probs: DataFr
         cells = axis.join(flag(closure.predictions(), "pos"), CELL, "left").join(flag(closure.unknown, "unknown"), CELL, "left").join(flag(gamma, "trusted"), CELL, "left")
         cells = cells.join(probs.groupBy(*CELL).agg(F.avg(F.col("p").cast("double")).alias("p")), CELL, "left").na.fill(False, ["pos", "unknown", "trusted"]).na.fill(0.0, ["p"]).join(cuts, "label")
         cells = cells.withColumn("disagrees", F.col("pos") & (F.col("p") < F.col("cut")))
-        size = review.batch_size(batch, n, min(batch, budget - spent))
-        asked = written(review.rank_review(review.evidence_scores(open_, cells, 1.0), unanswered, size).select("doc_id"), "asked")
+        size = review.batch_size(initial, n, budget - spent, batch)
+        usual = label_cardinality(gamma, labels, rows).first()["cardinality"] or 1.0
+        asked = written(review.rank_review(review.evidence_scores(open_, cells, usual), unanswered, size).select("doc_id"), "asked")
         k = asked.count()
         if not k:
             return Loop("no_eligible_uncovered_documents", closure, gamma, log)
@@ -232,5 +260,5 @@ def label_loop(cat: Catalog, rules: list[Rule], labels: DataFrame, probs: DataFr
         log[-1].asked = k
         gamma = written(gamma.select(*CELL, "sign").unionByName(answer(asked).select(*CELL, F.col("sign").cast("int").alias("sign"))).distinct(), "gamma")
         if retrain is not None:
-            weak = review.weak_cells(closure.facts, probs, cuts, gamma, rows).withColumn("weight", F.lit(1.0))
+            weak = review.weighted(review.weak_cells(closure.facts, probs, cuts, gamma, rows), weighting)
             probs = written(retrain(weak, probs), "probs")

@@ -102,3 +102,46 @@ def holds(proof: DataFrame, facts: DataFrame) -> DataFrame:
     p = proof.withColumn("row", F.xxhash64(*FACT, "rule_id"))
     broken = p.select("row", F.explode("premises").alias("p")).select("row", "p.*").join(facts.select(*FACT).distinct(), FACT, "left_anti").select("row").distinct().withColumn("broken", F.lit(True))
     return p.join(broken, "row", "left").withColumn("valid", F.col("broken").isNull()).drop("row", "broken")
+
+
+def support_counts(cat: Catalog, rules: list[Rule], facts: DataFrame) -> DataFrame:
+    """doc_id, label, sign, rule_id, ways: of each fact all that supports it, a row a rule, ways being its valuations over the facts; roots have rule_id -1 and 1.
+
+    facts: a fixpoint's (doc_id, label, sign). Valuations are counted, not listed: a variable beside the head's is reduced to its
+    number of valuations a key, so a group of equal attributes makes no pairs. The bodies are those that witnesses() traces.
+    """
+    roots = cat.gamma.select(*CELL, F.col("sign").cast("int").alias("sign")).distinct()
+    parts = [roots.join(facts.select(*FACT), FACT, "left_semi").select(*FACT, F.lit(-1).alias("rule_id"), F.lit(1).cast("decimal(38,0)").alias("ways"))]
+    for i, rule in enumerate(rules):
+        if any(isinstance(a, LabelCompare) for a in (*rule.body, rule.head)):
+            raise ValueError("premises of rules over label-set relations are not traced")
+        links = [a for a in rule.body if isinstance(a, AttrEqual) and a.left_var != a.right_var]
+        frames = {}
+        for v in rule.bound:
+            own = Rule(tuple(a for a in rule.body if {*_vars(a)} == {v}), Label(v, rule.head.label))
+            keys = sorted({column(x) for a in links for w, x in ((a.left_var, a.left_attr), (a.right_var, a.right_attr)) if w == v})
+            df = fire(own, cat, facts).select("doc_id").join(cat.docs.select("doc_id", *keys), "doc_id")
+            for k in keys:
+                df = df.where(F.col(k).isNotNull() & (F.col(k) != ""))
+            frames[v] = df.withColumn("ways", F.lit(1).cast("decimal(38,0)"))
+        live, head = set(rule.bound), rule.head.var
+        while len(live) > 1:
+            near = {v: {w for a in links for w in _vars(a) if v in _vars(a) and w != v and w in live} for v in live}
+            leaf = next((v for v in sorted(live - {head}) if len(near[v]) <= 1), None)
+            if leaf is None:
+                raise ValueError("the body's links are not a tree")
+            live.discard(leaf)
+            total = F.sum("ways").cast("decimal(38,0)").alias("more")
+            if near[leaf]:
+                u = near[leaf].pop()
+                pairs = [(column(a.left_attr), column(a.right_attr)) if a.left_var == leaf else (column(a.right_attr), column(a.left_attr)) for a in links if {*_vars(a)} == {leaf, u}]
+                reduced = frames[leaf].groupBy(*[F.col(p).alias(f"key{k}") for k, (p, _) in enumerate(pairs)]).agg(total)
+                joined = frames[u].join(reduced, [F.col(q) == F.col(f"key{k}") for k, (_, q) in enumerate(pairs)]).drop(*[f"key{k}" for k in range(len(pairs))])
+            else:
+                u = head
+                joined = frames[u].crossJoin(F.broadcast(frames[leaf].agg(total).where("more is not null")))  # one row
+            frames[u] = joined.withColumn("ways", (F.col("ways") * F.col("more")).cast("decimal(38,0)")).drop("more")
+        out = frames[head].groupBy("doc_id").agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))
+        out = out.select("doc_id", F.lit(rule.head.label).alias("label"), F.lit(rule.head.sign).alias("sign"), F.lit(i).alias("rule_id"), "ways")
+        parts.append(out.join(facts.select(*FACT), FACT, "left_semi"))
+    return reduce(DataFrame.unionByName, parts)

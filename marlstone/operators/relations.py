@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,56 +35,118 @@ def no_witness(edges: DataFrame, facts: DataFrame, n_labels: int) -> DataFrame:
     return used.where(F.col("n") >= n_labels).select("src", "dst")
 
 
-def feasible(pos: set[tuple[int, str]], neg: set[tuple[int, str]], edges: list[tuple[int, int, bool]], labels: list[str], most: int = 20) -> bool:
-    """Whether some completion has src's labels within dst's for all edges, and fewer for strict ones. Driver-side, small components only.
+@dataclass(frozen=True)
+class Feasibility:
+    """holds: whether a completion exists. witness: for each strict edge a label that makes it strict, if so; else reason and the edges or cell it rests on."""
+
+    holds: bool
+    witness: dict[tuple[int, int], str] | None = None
+    reason: str | None = None
+    rests_on: tuple = ()
+
 
-    The least completion is the closure of pos; a strict edge needs a label that is in the target and not in
-    the source, found by search over the open cells; more than `most` open cells raise an error.
+def complete(pos: set[tuple[int, str]], neg: set[tuple[int, str]], edges: list[tuple[int, int, bool]], labels: list[str], most: int = 200_000) -> Feasibility:
+    """Whether some completion has src's labels within dst's for all edges, and fewer for strict ones.
+
+    A label can make several strict edges strict at once unless the target of one lies within the source of another (or is it):
+    it would have to be there and not there. All else that a label can or cannot do, the facts fix edge by edge. So strict edges
+    are to be given labels from lists, and edges in line with each other different ones. Labels are given by unit propagation,
+    then by branching over an edge with the shortest list; labels on whose lists no edge differs are tried once. Lines longer
+    than all their lists together prove that there is no completion (the certificate `line`); `most` branches are an error.
     """
-    docs = sorted({d for d, _ in pos | neg} | {x for s, t, _ in edges for x in (s, t)})
-    have = {d: {x for e, x in pos if e == d} for d in docs}
-    bar = {d: {x for e, x in neg if e == d} for d in docs}
-
-    def settle(h: dict[int, set[str]]) -> bool:
-        moved = True
-        while moved:
-            moved = False
-            for s, t, _ in edges:
-                if not h[s] <= h[t]:
-                    h[t] |= h[s]
-                    moved = True
-        return not any(h[d] & bar[d] for d in docs)
-
-    if not settle(have):
-        return False
-    cells = [(d, x) for d in docs for x in labels if x not in have[d] and x not in bar[d]]
-    bad = lambda h: [e for e in edges if e[2] and not h[e[0]] < h[e[1]]]
-    if not bad(have):
-        return True
-    if len(cells) > most:
-        raise ValueError(f"{len(cells)} open cells; at most {most} are searched")
-
-    def search(h: dict[int, set[str]]) -> bool:
-        left = bad(h)
+    nodes = {d for d, _ in pos | neg} | {x for s, t, _ in edges for x in (s, t)}
+    up: dict[int, set[int]] = {}
+    above: dict[int, list[int]] = {}
+    for s, t, _ in edges:
+        above.setdefault(s, []).append(t)
+    for d in nodes:
+        seen, todo = {d}, [d]
+        while todo:
+            for t in above.get(todo.pop(), ()):
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        up[d] = seen
+    have = {(t, x) for d, x in pos for t in up[d]}
+    if have & neg:
+        return Feasibility(False, reason="denied", rests_on=(min(have & neg),))
+    barred = {x: {d for d in nodes if any((t, x) in neg for t in up[d])} for x in labels}
+    strict = sorted({(s, t) for s, t, k in edges if k})
+    for e in strict:
+        if e[0] in up[e[1]]:
+            return Feasibility(False, reason="cycle", rests_on=(e,))
+    lists = {e: {x for x in labels if (e[0], x) not in have and e[1] not in barred[x]} for e in strict}
+    line = {e: {f for f in strict if f[0] in up[e[1]]} for e in strict}  # f is further up
+    apart = {e: line[e] | {f for f in strict if e in line[f]} for e in strict}
+    alike: dict[frozenset, list[str]] = {}
+    for x in labels:
+        alike.setdefault(frozenset(e for e in strict if x in lists[e]), []).append(x)
+    branches = 0
+
+    def longest(left: dict) -> list[tuple[int, int]]:
+        """A longest line among the edges that have no label yet."""
+        best: dict[tuple[int, int], list] = {}
+        for e in sorted(left, key=lambda e: len(line[e])):
+            best[e] = [e, *max((best[f] for f in line[e] if f in left and f in best), key=len, default=[])]
+        return max(best.values(), key=len, default=[])
+
+    def finish(given: dict, last: list) -> dict:
+        given = dict(given)
+        for e, options in reversed(last):
+            given[e] = min(options - {given[f] for f in apart[e] if f in given})
+        return given
+
+    def search(left: dict[tuple[int, int], set[str]], given: dict[tuple[int, int], str]) -> Feasibility:
+        nonlocal branches
+        left, given = {e: set(x) for e, x in left.items()}, dict(given)
+        while True:
+            empty = next((e for e, x in left.items() if not x), None)
+            if empty is not None:
+                return Feasibility(False, reason="no_label", rests_on=(empty,))
+            unit = next((e for e, x in left.items() if len(x) == 1), None)
+            if unit is None:
+                break
+            x = given[unit] = left.pop(unit).pop()
+            for f in apart[unit]:
+                if f in left:
+                    left[f].discard(x)
+        # An edge with more labels on its list than edges that it must differ from is given one of them at the end.
+        last = []
+        while (easy := next((e for e in left if len(left[e]) > len(apart[e] & left.keys())), None)) is not None:
+            last.append((easy, left.pop(easy)))
         if not left:
-            return True
-        _, t, _ = left[0]
-        for x in labels:
-            if x not in h[t] and x not in bar[t]:
-                g = {d: set(v) for d, v in h.items()}
-                g[t].add(x)
-                if settle(g) and search(g):
-                    return True
-        return False
-
-    return search(have)
+            return Feasibility(True, witness=finish(given, last))
+        row = longest(left)
+        if len(row) > len(set().union(*(left[e] for e in row))):
+            return Feasibility(False, reason="line", rests_on=tuple(row))
+        e = min(left, key=lambda e: (len(left[e]), -len(apart[e] & left.keys()), e))
+        result, tried = None, set()
+        for x in sorted(left[e]):
+            kind = next(i for i, names in enumerate(alike.values()) if x in names)
+            fresh = x not in given.values()
+            if fresh and kind in tried:
+                continue  # a label like one that was tried, and used by no edge as that one was
+            tried |= {kind} if fresh else set()
+            branches += 1
+            if branches > most:
+                raise RuntimeError(f"undecided after {most} branches")
+            result = search({f: ({x} if f == e else left[f]) for f in left}, given)
+            if result.holds:
+                return Feasibility(True, witness=finish(result.witness, last))
+        return Feasibility(False, reason="search", rests_on=tuple(sorted(left))) if result is None or len(left[e]) > 1 else result
+
+    return search(lists, {})
+
+
+def feasible(pos: set[tuple[int, str]], neg: set[tuple[int, str]], edges: list[tuple[int, int, bool]], labels: list[str]) -> bool:
+    return complete(pos, neg, edges, labels).holds
 
 
 def infeasible(edges: DataFrame, facts: DataFrame, labels: tuple[str, ...], most_edges: int = 10_000) -> DataFrame:
-    """v: the documents of groups of linked documents, with a strict edge, whose strict inclusions no completion of the facts can meet.
+    """v, reason: the documents of groups of linked documents, with a strict edge, whose strict inclusions no completion of the facts can meet.
 
-    Each group is one row of a group's edges and facts and is searched where it is; a group of more than
-    `most_edges` edges is an error, as the search is exponential.
+    Each group is one row of a group's edges and facts and is decided where it is (see complete); a group of more than
+    `most_edges` edges is an error.
     """
     import pandas as pd
 
@@ -104,7 +168,9 @@ def infeasible(edges: DataFrame, facts: DataFrame, labels: tuple[str, ...], most
         got = [(x["src"], x["dst"], x["strict"]) for x in part["edge"] if x is not None]
         have = [x for x in part["fact"] if x is not None]
         pos, neg = ({(x["doc_id"], x["label"]) for x in have if x["sign"] == s} for s in (1, -1))
-        ok = feasible(pos, neg, got, list(labels))
-        return pd.DataFrame({"v": [] if ok else sorted({v for a, b, _ in got for v in (a, b)})}, dtype="int64")
+        found = complete(pos, neg, got, list(labels))
+        docs = [] if found.holds else sorted({v for a, b, _ in got for v in (a, b)})
+        return pd.DataFrame({"v": pd.Series(docs, dtype="int64"), "reason": pd.Series([found.reason] * len(docs), dtype="object")})
 
-    return rows.unionByName(own).groupBy("group").applyInPandas(check, "v long") if labels else spark.createDataFrame([], "v long")
+    kind = "v long, reason string"
+    return rows.unionByName(own).groupBy("group").applyInPandas(check, kind) if labels else spark.createDataFrame([], kind)

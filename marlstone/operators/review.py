@@ -80,8 +80,9 @@ def rank_review(scores: DataFrame, unanswered: DataFrame, limit: int, audit: flo
     return both.unionByName(short).withColumn("o", order).orderBy("o", "doc_id").limit(limit).drop("o")
 
 
-def batch_size(initial: int, eligible: int, budget: int) -> int:
-    return min(max(32, -(-initial // 100)), eligible, budget)
+def batch_size(initial: int, eligible: int, budget: int, fixed: int | None = None) -> int:
+    """How many documents to ask for: `fixed`, or 1 % of the initial pool and 32 at least; not more than are eligible or the budget has left."""
+    return min(max(32, -(-initial // 100)) if fixed is None else fixed, eligible, budget)
 
 
 def weak_cells(logic: DataFrame, probs: DataFrame, cuts: DataFrame, gamma: DataFrame, train: DataFrame) -> DataFrame:
@@ -129,14 +130,6 @@ def lineage(cat, rules: list, q: dict[int, float], policy: str = "halt") -> Data
     return out
 
 
-def residual_thresholds(scores: DataFrame, grid: list[float], least: int = 5, loss: float = 0.1) -> DataFrame:
-    """label, cut: the largest removal cut b whose removals (p <= b of present cells) are at least `least` with at most `loss` true ones. scores: label, p, target."""
-    cuts = F.array(*map(F.lit, sorted(grid)))
-    e = scores.select("label", "p", "target", F.explode(cuts).alias("cut")).where(F.col("p") <= F.col("cut"))
-    n = e.groupBy("label", "cut").agg(F.count(F.lit(1)).alias("removed"), F.sum("target").alias("lost"))
-    return n.where((F.col("removed") >= least) & (F.col("lost") <= loss * F.col("removed"))).groupBy("label").agg(F.max("cut").alias("cut"))
-
-
 def gate(before: dict, after: dict) -> bool:
     """A change is taken if neither F1 falls and their sum rises."""
     return after["macro"] >= before["macro"] and after["micro"] >= before["micro"] and after["macro"] + after["micro"] > before["macro"] + before["micro"]

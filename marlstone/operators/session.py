@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.closure import Closure, close_program
+from marlstone.operators.closure import Closure, advance, close_program
 from marlstone.plans.compile import Catalog, fire
 from marlstone.plans.rules import Label, LabelCompare, Rule, rule_to
+from marlstone.plans.store import dropped, written
 
 
 def rule_key(rule: Rule) -> str:
@@ -61,6 +64,86 @@ class Session:
         return c
 
 
+@dataclass
+class Fork:
+    """A change that is closed but not in the log. status: fixpoint, conflict or max_rounds."""
+
+    parent: int
+    origin: str
+    status: str
+    rounds: int
+    docs: DataFrame | None
+    roots: DataFrame
+    added: DataFrame
+
+
+class FactLog:
+    """A closed program's facts in versions, each holding what it added: documents, roots and what followed from them.
+
+    A fork closes a change on top of a version by deltas and leaves the log as it is; commit appends it, rollback removes its
+    tables. revert goes back to an older version. Policies are halt and protect, without label-set relations.
+    """
+
+    def __init__(self, cat: Catalog, rules: list[Rule], policy: str = "halt"):
+        first = close_program(cat, rules, policy)
+        if first.status != "fixpoint" or first.relation is not None or policy not in ("halt", "protect"):
+            raise ValueError(f"a log starts at a fixpoint without label-set relations, under halt or protect; this is {first.status}")
+        self.cat, self.rules, self.policy = cat, rules, policy
+        roots = cat.gamma.select("doc_id", "label", F.col("sign").cast("int").alias("sign")).distinct()
+        self.log = [Fork(-1, "start", "fixpoint", first.rounds, None, roots, written(first.facts.select("doc_id", "label", "sign"), "version"))]
+
+    @property
+    def head(self) -> int:
+        return len(self.log) - 1
+
+    def _until(self, version: int | None) -> list[Fork]:
+        return self.log[: (self.head if version is None else version) + 1]
+
+    def catalog(self, version: int | None = None) -> Catalog:
+        """The documents and validated facts of a version."""
+        past = self._until(version)[1:]
+        docs = reduce(DataFrame.unionByName, [f.docs for f in past if f.docs is not None], self.cat.docs)
+        return replace(self.cat, docs=docs, gamma=reduce(DataFrame.unionByName, [f.roots for f in self._until(version)]).distinct())
+
+    def facts(self, version: int | None = None) -> DataFrame:
+        """doc_id, label, sign, version in which the fact came, and that version's origin."""
+        return reduce(DataFrame.unionByName, [f.added.select("doc_id", "label", "sign", F.lit(i).alias("version"), F.lit(f.origin).alias("origin")) for i, f in enumerate(self._until(version))])
+
+    def fork(self, roots: DataFrame | None = None, docs: DataFrame | None = None, origin: str = "", model_prob: DataFrame | None = None) -> Fork:
+        """Close further validated facts and documents, with their model probabilities, on the head."""
+        now = self.catalog()
+        fact = ["doc_id", "label", "sign"]
+        new = now.gamma.where("false") if roots is None else roots.select("doc_id", "label", F.col("sign").cast("int").alias("sign")).distinct()
+        new = written(new.join(now.gamma, fact, "left_anti"), "roots")
+        docs = None if docs is None else written(docs, "docs")
+        grown = replace(now, docs=now.docs if docs is None else now.docs.unionByName(docs), gamma=now.gamma.unionByName(new))
+        if model_prob is not None:
+            grown = replace(grown, model_prob=model_prob if now.model_prob is None else now.model_prob.unionByName(model_prob))
+        step = advance(grown, self.rules, self.facts().select(*fact), docs, new, self.policy)
+        return Fork(self.head, origin, step.status, step.rounds, docs, new, written(step.added, "version"))
+
+    def commit(self, fork: Fork) -> int:
+        """The fork as the next version. A fork that is no fixpoint, or was made on another version than the head, is not taken."""
+        if fork.status != "fixpoint":
+            raise ValueError(f"a {fork.status} is not committed")
+        if fork.parent != self.head:
+            raise ValueError(f"the fork is of version {fork.parent}, the head is {self.head}")
+        self.log.append(fork)
+        return self.head
+
+    def rollback(self, fork: Fork) -> None:
+        """Remove what a fork has written. The log never held it."""
+        if any(f is fork for f in self.log):
+            raise ValueError("the fork was committed; revert goes back")
+        dropped(*[t for t in (fork.docs, fork.roots, fork.added) if t is not None])
+
+    def revert(self, version: int) -> None:
+        """Go back to an older version; later ones are removed."""
+        late, self.log = self.log[version + 1 :], self.log[: version + 1]
+        for f in late:
+            dropped(*[t for t in (f.docs, f.roots, f.added) if t is not None])
+
+
 def never_fires(cat: Catalog, rules: list[Rule]) -> list[int]:
     """Rules whose body, without its label premises and relations, no documents satisfy: whatever is derived, they add nothing."""
     out = []

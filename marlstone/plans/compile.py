@@ -51,7 +51,8 @@ def as_relation(cat: Catalog, edges: Relation | DataFrame | None) -> Relation:
     return Relation(spark.createDataFrame([], COMPS), edges if edges is not None else spark.createDataFrame([], EDGES), settled=False)
 
 
-def fire(rule: Rule, cat: Catalog, facts: DataFrame | None, edges: Relation | DataFrame | None = None, sources: dict[int, DataFrame] | None = None, memo: dict | None = None) -> DataFrame:
+def fire(rule: Rule, cat: Catalog, facts: DataFrame | None, edges: Relation | DataFrame | None = None, sources: dict[int, DataFrame] | None = None, memo: dict | None = None,
+         ranges: dict[str, DataFrame] | None = None) -> DataFrame:
     """The distinct head facts of all valuations, without a test against known ones; for a head on label sets, the pairs.
 
     Filters of each variable come first; label and model premises are semi-joins; a variable that only has to
@@ -59,8 +60,9 @@ def fire(rule: Rule, cat: Catalog, facts: DataFrame | None, edges: Relation | Da
     sources: the facts that a label premise reads, by its place in the body, in place of `facts`. If some have a
     column `run`, they are the facts of several runs at once: a valuation takes them from one run, which is a column of the result.
     memo: keeps the documents that pass the text filters of a variable as a table, for rules that fire again.
+    ranges: the documents that a variable ranges over, in place of all.
     """
-    body = _Body(rule, cat, facts, edges, sources, memo)
+    body = _Body(rule, cat, facts, edges, sources, memo, ranges)
     out = body.joined()
     run = body.run_of(out)
     more = [F.col(run).alias("run")] if run else []
@@ -101,7 +103,7 @@ def fire_blocks(rule: Rule, cat: Catalog, facts: DataFrame, edges: Relation | Da
 class _Body:
     """The variables of a body as frames, and how they are joined."""
 
-    def __init__(self, rule: Rule, cat: Catalog, facts: DataFrame | None, edges: Relation | DataFrame | None, sources: dict[int, DataFrame] | None, memo: dict | None = None):
+    def __init__(self, rule: Rule, cat: Catalog, facts: DataFrame | None, edges: Relation | DataFrame | None, sources: dict[int, DataFrame] | None, memo: dict | None = None, ranges: dict[str, DataFrame] | None = None):
         self.rule, self.cat = rule, cat
         self.links = [a for a in rule.body if isinstance(a, AttrEqual | LabelCompare) and a.left_var != a.right_var]
         compared = {w for a in rule.body if isinstance(a, LabelCompare) for w in variables(a)}
@@ -113,7 +115,7 @@ class _Body:
                 needs[a.left_var].add(a.left_attr)
                 needs[a.right_var].add(a.right_attr)
         for v in rule.bound:
-            df = cat.docs
+            df = (ranges or {}).get(v, cat.docs)
             for a in rule.body:
                 if isinstance(a, Text) and a.var == v:
                     df = df.where(predicate(a.predicate, F.col(column(a.predicate.attr)), _there(cat.docs, a.predicate.attr)))

@@ -44,13 +44,6 @@ def test_samples(spark):
     assert {r.label: r["count"] for r in by} == {"a": 15, "b": 1}
 
 
-def test_allocate_and_choose():
-    got = discovery.allocate({"a": 3.0, "b": 1.0}, {"a": 100, "b": 25}, 60)
-    assert sum(got.values()) == 60 and got["a"] > got["b"] >= 8
-    base = {"macro": 0.5, "micro": 0.5}
-    assert discovery.choose([{"macro": 0.6, "micro": 0.4}, {"macro": 0.55, "micro": 0.5}], base)["macro"] == 0.55
-
-
 def test_proposals_follow_good_vectors():
     h = [((1, 0, 1), 1.0)] * 5 + [((0, 1, 0), 0.0)] * 15
     assert discovery.propose(h, 3) == (1, 0, 1)

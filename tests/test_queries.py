@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from marlstone import registry
+from marlstone import registry, registry_discovery, registry_learning  # noqa: F401  the others register more queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,6 +29,51 @@ def test_against_sql(spark, duck, name):
     assert rows(registry.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(registry.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() > 0
+def _ranked(df):
+    """Numbered steps from the first, with scores that do not fall."""
+    r = df.orderBy("step").collect()
+    return [x.step for x in r] == list(range(len(r))) and r
+
+
+def _greedy_patterns(df):
+    r = _ranked(df)
+    return r and [x.macro_f1 for x in r] == sorted(x.macro_f1 for x in r) and len({(x.pattern, x.label) for x in r}) == len(r) <= 3
+
+
+def _balanced(df):
+    r = _ranked(df)
+    return r and len({x.pattern for x in r}) == len(r) == 4 and [x.label is None for x in r] == [False] * 3 + [True]
+
+
+def _offsets(df):
+    titles = {x.doc_id: x.text.split("\n")[0] for x in registry.read(df.sparkSession, DATA, "documents").where("text is not null").collect()}
+    r = df.collect()
+    return r and all(titles[x.doc_id][x.start : x.end].lower() == x.term for x in r if " " not in x.term)
+
+
+def _loop(df):
+    r = df.orderBy("round").collect()
+    return [x.round for x in r] == list(range(len(r))) and sum(x.asked for x in r) <= 64 and {x.status for x in r} <= {"all_documents_resolved", "label_budget_exhausted", "no_eligible_uncovered_documents"}
+
+
+def _staged(df):
+    r = _ranked(df)
+    return r and all(x.value > 0 for x in r) and [x.grow for x in r] == sorted(x.grow for x in r) and [x.prune for x in r] == sorted(x.prune for x in r)
+
+
+def _joint(df):
+    r = df.collect()
+    return all(x.gain > 0 for x in r) and sorted(x.place for x in r) == list(range(len(r)))
+
+
+#: Queries without SQL, and what holds of their results.
+PROPERTIES = {"greedy_patterns": _greedy_patterns, "balanced_greedy": _balanced, "term_offsets": _offsets, "label_loop": _loop, "staged_discovery": _staged, "joint_cuts": _joint}
+
+
+def test_every_query_is_tested():
+    assert set(registry.QUERIES) == set(registry.ORACLE_SQL) | set(PROPERTIES)
+
+
+@pytest.mark.parametrize("name", sorted(PROPERTIES))
+def test_property(spark, name):
+    assert PROPERTIES[name](registry.QUERIES[name](spark, DATA))
