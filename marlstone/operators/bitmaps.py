@@ -15,7 +15,7 @@ def pack(rows: DataFrame, *keys: str) -> DataFrame:
 def unpack(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, doc_id of rows (keys, block, bits)."""
     places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("shiftright", F.col("bits"), k).bitwiseAND(F.lit(1)) == 1)
-    return rows.select(*keys, "block", F.explode(places).alias("k")).select(*keys, (F.col("block") * 64 + F.col("k")).alias("doc_id"))
+    return rows.select(*keys, "block", F.explode(places).alias("place_")).select(*keys, (F.col("block") * 64 + F.col("place_")).alias("doc_id"))
 
 
 def both(a: Column, b: Column) -> Column:
