@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -12,7 +13,8 @@ from marlstone.operators import batch
 from marlstone.operators.closure import close_program
 from marlstone.operators.metrics import confusion, f1, macro_micro
 from marlstone.plans.compile import Catalog, fire
-from marlstone.plans.rules import Label, LabelCompare, Rule
+from marlstone.operators.session import rule_key
+from marlstone.plans.rules import Label, LabelCompare, Rule, rule_from
 
 
 def score_rules(cat: Catalog, rules: list[Rule], truth: DataFrame, labels: DataFrame) -> DataFrame:
@@ -55,6 +57,30 @@ def admit(cat: Catalog, candidates: list[Rule], scores: list[float], truth: Data
     return taken
 
 
+def refilter(cat: Catalog, pool: DataFrame, truth: DataFrame, labels: DataFrame, floor: float = 0.0, policy: str = "halt", size: int = 32) -> tuple[list[Rule], DataFrame]:
+    """Admit a stored pool of tried rules anew. pool: rule (JSON), score, trial. Returns the admitted rules, in order, and a report: trial, rule_key, score, reason.
+
+    Of a rule that was tried several times the best score counts, then the first trial. Rules are taken by score if macro F1 rises by more than `floor`.
+    reason: admitted, no_gain, repeated, or unreadable for JSON that is no rule.
+    """
+    rows, first, why = pool.orderBy(F.desc("score"), "trial").collect(), {}, []  # trials of a search, a bounded number
+    for r in rows:
+        try:
+            rule = rule_from(json.loads(r["rule"]))
+        except (ValueError, KeyError, TypeError):
+            why.append((r["trial"], None, r["score"], "unreadable"))
+            continue
+        key = rule_key(rule)
+        if key in first:
+            why.append((r["trial"], key, r["score"], "repeated"))
+        else:
+            first[key] = (rule, r["score"], r["trial"])
+    rules = [r for r, *_ in first.values()]
+    taken = admit(cat, rules, [s for _, s, _ in first.values()], truth, labels, floor, policy, size)
+    why += [(t, k, s, "admitted" if i in taken else "no_gain") for i, (k, (_, s, t)) in enumerate(first.items())]
+    return [rules[i] for i in taken], pool.sparkSession.createDataFrame(why, "trial long, rule_key string, score double, reason string")
+
+
 def prune(cat: Catalog, rules: list[Rule], truth: DataFrame, labels: DataFrame, policy: str = "halt") -> list[Rule]:
     """Drop rules, last first, as long as neither F1 falls."""
     kept = list(rules)

@@ -12,6 +12,7 @@ from marlstone.operators import review
 from marlstone.operators.closure import Closure, close_program
 from marlstone.operators.metrics import f1
 from marlstone.operators.quality import label_cardinality
+from marlstone.operators.splits import smallest
 from marlstone.plans.compile import Catalog
 from marlstone.plans.rules import ML, Doc, Label, Rule
 from marlstone.plans.store import written
@@ -85,8 +86,7 @@ def limit_rows(batch: DataFrame, fresh: DataFrame, most: int, seed: str = "rows"
     n = must.count()
     if n > most:
         raise ValueError("the row budget cannot hold the newly verified documents")
-    h = F.sha2(F.concat(F.lit(seed + "|"), F.col("doc_id").cast("string")), 256)
-    rest = active.join(must, "doc_id", "left_anti").withColumn("h", h).orderBy("h").limit(most - n).select("doc_id")
+    rest = smallest(active.join(must, "doc_id", "left_anti"), "doc_id", most - n, seed + "|")
     return batch.join(must.unionByName(rest), "doc_id", "left_semi")
 
 
@@ -188,6 +188,26 @@ def correction_cuts(scores: DataFrame, grid: list[float], precision: float = 0.9
     return ok.groupBy("label").agg(F.min_by(F.struct("cut", "n", "hits"), "cut").alias("b")).select("label", "b.*")
 
 
+def denial_cuts(scores: DataFrame, grid: list[float], low: float = 0.5, precision: float = 0.9, support: int = 5, gain: int = 1) -> DataFrame:
+    """context, label, cut, n, false: negative cuts within contexts of low precision.
+
+    scores: context, label, p, target of cells that the program affirms, by a static context (a rule, a guard, a source). In a context whose cells of a label are
+    right in less than `low` of the cases, the largest cut is taken below which (p <= cut) there are `support` cells or more, of which a share `precision`
+    and at least `gain` more than are lost are false.
+    """
+    weak = scores.groupBy("context", "label").agg(F.avg(F.col("target").cast("double")).alias("q")).where(F.col("q") < low).select("context", "label")
+    cuts = F.array(*map(F.lit, sorted(grid)))
+    # A cell counts at the smallest cut that it reaches; sums over the grid come from these rows.
+    reach = F.size(F.filter(cuts, lambda c: F.col("p").cast("double") > c))
+    at = scores.join(weak, ["context", "label"], "left_semi").where(reach < len(grid)).groupBy("context", "label", reach.alias("k")).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("target").cast("long")).alias("t"))
+    upto = Window.partitionBy("context", "label").orderBy("k")
+    run = at.withColumn("n", F.sum("m").over(upto)).withColumn("hits", F.sum("t").over(upto)).withColumn("next", F.coalesce(F.lead("k").over(upto), F.lit(len(grid))))
+    # Up to the next cut at which a cell is added the sums stay; the largest such cut stands for all.
+    run = run.withColumn("false", F.col("n") - F.col("hits")).withColumn("cut", F.get(cuts, F.col("next") - 1))
+    ok = run.where((F.col("n") >= support) & (F.col("false") >= precision * F.col("n")) & (F.col("false") - F.col("hits") >= gain))
+    return ok.groupBy("context", "label").agg(F.max_by(F.struct("cut", "n", "false"), "cut").alias("b")).select("context", "label", "b.*")
+
+
 def joint_gate(before: dict, after: dict, fn_share: float = 0.0, completeness_loss: float = 0.0) -> bool:
     """Whether a change of model and output is taken: no macro, micro F1 or average precision of either falls, false negatives and
     completeness stay within their tolerances, and something rises. Keys: aux_macro, aux_micro, aux_ap, macro, micro, ap, fn, completeness."""

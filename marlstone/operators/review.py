@@ -13,6 +13,12 @@ def arbitrate(unknown: DataFrame, probs: DataFrame, kappa: float) -> DataFrame:
     return unknown.select(*CELL).distinct().join(probs.select(*CELL, F.col("p").cast("double").alias("p")), CELL).select(*CELL, F.when(F.col("p") >= kappa, 1).otherwise(-1).alias("sign"))
 
 
+def arbitrate_cells(unknown: DataFrame, probs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The same with a cut a label (label, cut)."""
+    x = unknown.select(*CELL).distinct().join(probs.select(*CELL, F.col("p").cast("double").alias("p")), CELL).join(cuts.select("label", "cut"), "label")
+    return x.select(*CELL, F.when(F.col("p") >= F.col("cut"), 1).otherwise(-1).alias("sign"))
+
+
 def undecided(docs: DataFrame, labels: DataFrame, *known: DataFrame) -> DataFrame:
     """Cells of the whole axis that none of the known tables has. labels is a bounded axis and is broadcast."""
     cells = docs.select("doc_id").distinct().crossJoin(F.broadcast(labels.select("label").distinct()))

@@ -196,9 +196,11 @@ def best_subsets(utility: DataFrame, clusters: DataFrame, k: int, most: int = 10
     return near.groupBy("cluster").agg(F.min("models").alias("models"))
 
 
-def vote_oracle(votes: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+def vote_oracle(votes: DataFrame, truth: DataFrame, k: int, most: int = 100_000) -> DataFrame:
     """doc_id, models, correct: the k models whose majority is right on most labels of the document; ties by names. votes: doc_id, label, alias, vote (boolean)."""
     aliases = sorted(r["alias"] for r in votes.select("alias").distinct().collect())
+    if math.comb(len(aliases), k) > most:
+        raise ValueError(f"more than {most} sets of models")
     sets = F.array(*[F.array(*map(F.lit, c)) for c in itertools.combinations(aliases, k)])
     cell = votes.groupBy(*CELL).agg(F.collect_set(F.when(F.col("vote"), F.col("alias"))).alias("yes")).join(truth.select(*CELL, F.lit(True).alias("t")), CELL, "left")
     e = cell.select("doc_id", "yes", F.coalesce("t", F.lit(False)).alias("t"), F.explode(sets).alias("models"))

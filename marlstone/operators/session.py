@@ -57,7 +57,11 @@ class Session:
         start = max((k for k in self.kept if key[: len(k)] == k and self.kept[k].status == "fixpoint"), key=len, default=()) if monotone else ()
         self.runs += 1
         if start:
-            c = close_program(self.cat, rules, self.policy, roots=self.kept[start].facts, first=set(range(len(start), len(rules))))
+            base = self.kept[start]
+            c = close_program(self.cat, rules, self.policy, roots=base.facts, first=set(range(len(start), len(rules))))
+            # The prefix's firings and blocked facts are part of the closure; its rounds came first.
+            c.firings = base.firings.unionByName(c.firings.withColumn("round", F.col("round") + base.rounds))
+            c.blocked, c.rounds = base.blocked.unionByName(c.blocked).distinct(), base.rounds + c.rounds
         else:
             c = close_program(self.cat, rules, self.policy)
         self.kept[key] = c

@@ -38,15 +38,26 @@ def text_role(text: Column, seed: str, train: float, dev: float) -> Column:
     return F.when(u < train, "train").when(u < train + dev, "dev").otherwise("test")
 
 
+def smallest(rows: DataFrame, key: str, n: int, tag: str) -> DataFrame:
+    """The n rows of smallest SHA-256 of tag and key, however large n is: the prefix of the n-th hash comes from counts by prefix, and only rows of
+    that prefix are ranked. Rows of one key share a hash; which of them are taken where n cuts between them is not defined."""
+    h = rows.withColumn("h_", F.sha2(F.concat(F.lit(tag), F.col(key).cast("string")), 256)).withColumn("b_", F.substring("h_", 1, 4))
+    sizes = h.groupBy("b_").agg(F.count(F.lit(1)).alias("c"))  # 65,536 rows at most
+    before = sizes.select("b_", "c", F.coalesce(F.sum("c").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_")).where(F.col("before_") < n)
+    within = h.join(F.broadcast(before), "b_")
+    whole = within.where(F.col("before_") + F.col("c") <= n)
+    last = within.where(F.col("before_") + F.col("c") > n).withColumn("r_", F.row_number().over(Window.partitionBy("b_").orderBy("h_"))).where(F.col("before_") + F.col("r_") <= n)
+    return whole.select(*rows.columns).unionByName(last.select(*rows.columns))
+
+
 def stable_cap(rows: DataFrame, key: str, cap: int, namespace: str = "cap") -> DataFrame:
-    return rows.withColumn("h", F.sha2(F.concat(F.lit(namespace + "|"), F.col(key).cast("string")), 256)).orderBy("h").limit(cap).drop("h")
+    return smallest(rows, key, cap, namespace + "|")
 
 
 def known_rows(rows: DataFrame, key: str, num: int, den: int, dataset: str = "d", seed: int = 0) -> DataFrame:
     """The ceil(n num / den) rows of smallest hash."""
     n = rows.count()
-    h = F.sha2(F.concat(F.lit(f"select|{dataset}|known|{seed}|"), F.col(key).cast("string")), 256)
-    return rows.withColumn("h", h).orderBy("h").limit(-(-n * num // den)).drop("h")
+    return smallest(rows, key, -(-n * num // den), f"select|{dataset}|known|{seed}|")
 
 
 def group_folds(rows: DataFrame, group: str, folds: int, seed: int = 0) -> DataFrame:
@@ -125,16 +136,20 @@ def coverage_sample(truth: DataFrame, n: int, batch: int | None = None) -> DataF
 
 
 def stratified_folds(truth: DataFrame, rows: DataFrame, folds: int, seed: int = 0) -> DataFrame:
-    """doc_id, fold: multilabel folds. Documents are grouped by their rarest label (none last) and dealt in turn within it, in the order
-    of their other labels and a hash, from a fold that the label's hash names; every fold has its share of each rarest label within one."""
+    """doc_id, fold: multilabel folds. Documents are put in order of their rarest label (none last), their label set and a hash, and dealt in turn.
+
+    So fold sizes differ by one at most, as do the folds' shares of each rarest label and of each label set. Ranks come from counts by hash
+    prefix and a rank inside each; no task orders all documents.
+    """
     count = truth.select("doc_id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("c"))
     per = truth.select("doc_id", "label").distinct().join(count, "label").groupBy("doc_id").agg(F.min(F.struct("c", "label")).alias("rare"), F.array_join(F.array_sort(F.collect_set("label")), "|").alias("all"))
-    x = rows.select("doc_id").distinct().join(per, "doc_id", "left").select("doc_id", F.coalesce("rare.label", F.lit("")).alias("rare"), F.coalesce("all", F.lit("")).alias("all"))
+    x = rows.select("doc_id").distinct().join(per, "doc_id", "left").select("doc_id", F.coalesce("rare.c", F.lit(1 << 62)).alias("n"), F.coalesce("rare.label", F.lit("")).alias("rare"), F.coalesce("all", F.lit("")).alias("all"))
     h = F.sha2(F.concat(F.lit(f"{seed}|"), F.col("doc_id").cast("string")), 256)
     x = x.withColumn("h", h).withColumn("b", F.substring("h", 1, 2))
-    # Documents of one rarest label and label set are ranked by hash prefix, then inside the prefix.
-    sizes = x.groupBy("rare", "all", "b").agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("rare").orderBy("all", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    sizes = x.groupBy("n", "rare", "all", "b").agg(F.count(F.lit(1)).alias("c"))
+    labels = sizes.groupBy("n", "rare").agg(F.sum("c").alias("c"))  # a row a label
+    start = labels.select("rare", F.coalesce(F.sum("c").over(Window.orderBy("n", "rare").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("rare").orderBy("all", "b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("inside", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(F.broadcast(start), "rare").select("rare", "all", "b", (F.col("inside") + F.col("start")).alias("before"))
     place = F.col("before") + F.row_number().over(Window.partitionBy("rare", "all", "b").orderBy("h", "doc_id")) - 1
-    start = F.pmod(F.xxhash64("rare", F.lit(seed)), F.lit(folds))
-    return x.join(before, ["rare", "all", "b"]).select("doc_id", ((place + start) % folds).cast("int").alias("fold"))
+    return x.join(before, ["rare", "all", "b"]).select("doc_id", (place % folds).cast("int").alias("fold"))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import json
 from itertools import combinations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import analytic, batch, enumeration, relations, space, staged
+from marlstone.operators import analytic, batch, discovery, enumeration, learning, relations, reliability, space, staged
 from marlstone.operators.closure import close_program, hide
+from marlstone.operators.loop import denial_cuts as loop_denials
 from marlstone.operators.loop import joint_cuts, residual_cuts
 from marlstone.operators.proof import support_counts
-from marlstone.operators.session import FactLog
-from marlstone.plans.rules import ML, AttrEqual, Doc, Label, LabelCompare, Rule, Text
-from marlstone.registry import GRID, SQL, axis_of, catalog, docs_of, gamma_of, has, query, read, scores_of, truth_of
+from marlstone.operators.session import FactLog, rule_key
+from marlstone.plans.rules import ML, AttrEqual, Doc, Label, LabelCompare, Rule, Text, rule_to
+from marlstone.registry import GRID, axis_of, catalog, docs_of, gamma_of, has, query, read, scores_of, truth_of
 
 WORDS = ("worthless", "idiot", "scum", "trash", "the", "and")
 
@@ -250,3 +251,52 @@ def infeasible_chains(spark, d):
     rows = docs_of(spark, d).where("mtd_source is not null").where(F.col("cnt").rlike(has("worthless").pattern.java())).select("doc_id", "mtd_source")
     edges = rows.withColumn("dst", F.lead("doc_id").over(w)).where("dst is not null").select(F.col("doc_id").alias("src"), "dst", F.lit(True).alias("strict"))
     return relations.infeasible(edges, gamma_of(spark, d), ("quality", "toxic")).select("v")
+
+
+# --- the loop that learns -------------------------------------------------------------------------------------------
+
+
+@query("learning_loop")
+def learned(spark, d):
+    """The rounds of the loop that learns: a fifth of the labelled documents calibrates, the answers of the others are asked for."""
+    answers = gamma_of(spark, d)
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    held, rest = answers.where(fold == 0), read(spark, d, "labels").where(fold != 0).select("doc_id")
+    probs = catalog(spark, d).model_prob.where("alias = 'm1'")
+    rule = Rule((Doc("x"), ML("x", "m1", "quality", 0.6)), Label("x", "quality"))
+    got = learning.learning_loop(_empty(spark, d), [rule], axis_of(spark), probs, lambda asked: answers.join(asked, "doc_id", "left_semi"), 64, held, train=rest, how=learning.Settings(batch=32))
+    return spark.createDataFrame([(i, e.kind, e.kept, e.n, e.pending, e.macro, got.status) for i, e in enumerate(got.events)], "step int, kind string, kept boolean, n int, pending int, macro_f1 double, status string")
+
+
+# --- reliability, refiltering, denials ------------------------------------------------------------------------------
+
+_dig = "regexp_replace(lower(trim(cnt)), '\\s+', ' ', 'g')"
+
+
+@query("rule_reliability", f"WITH train AS (SELECT doc_id FROM docs WHERE mtd_lang = 'en'), ok AS (SELECT g.* FROM gamma g JOIN docs d ON d.doc_id = g.doc_id WHERE g.doc_id NOT IN (SELECT doc_id FROM train) AND {_dig} NOT IN (SELECT {_dig} FROM docs WHERE doc_id IN (SELECT doc_id FROM train) AND cnt IS NOT NULL)), i AS (SELECT unnest(['worthless', 'idiot', 'scum', 'trash', 'the', 'and']) AS pattern) SELECT i.pattern, count(g.doc_id) AS support, count(g.doc_id) FILTER (WHERE g.sign = 1) AS correct, round((count(g.doc_id) FILTER (WHERE g.sign = 1) + 1) / (count(g.doc_id) + 2)::DOUBLE, 9) AS q, (SELECT count(DISTINCT doc_id) FROM ok) AS rows FROM i LEFT JOIN hits h ON h.pattern = i.pattern LEFT JOIN ok g ON g.doc_id = h.doc_id AND g.label = 'toxic' GROUP BY i.pattern")
+def rule_reliability(spark, d):
+    """Word rules counted on labelled documents of other languages than the one trained on, and of other texts."""
+    cat, rules = _empty(spark, d), _word_rules()
+    got = reliability.estimate(cat, rules, close_program(cat, []), gamma_of(spark, d), docs_of(spark, d).where("mtd_lang = 'en'"))
+    names = spark.createDataFrame([(rule_key(r), w) for r, w in zip(rules, WORDS, strict=True)], "rule_key string, pattern string")
+    return got.join(names, "rule_key").select("pattern", "support", "correct", F.round("q", 9).alias("q"), "rows")
+
+
+_den = "SELECT h.pattern AS context, g.label, p.p, (g.sign = 1)::INT AS t FROM hits h JOIN gamma g ON g.doc_id = h.doc_id JOIN prob p ON p.doc_id = g.doc_id AND p.label = g.label AND p.alias = 'm1'"
+
+
+@query("denial_cuts", f"WITH c AS ({_den}), w AS (SELECT context, label FROM c GROUP BY 1, 2 HAVING avg(t) < 0.9), n AS (SELECT c.context, c.label, g.cut, count(*) AS n, count(*) FILTER (WHERE t = 0) AS f FROM c JOIN w ON w.context = c.context AND w.label = c.label JOIN grid g ON c.p <= g.cut GROUP BY 1, 2, 3) SELECT context, label, max(cut) AS cut, arg_max(n, cut) AS n, arg_max(f, cut) AS \"false\" FROM n WHERE n >= 3 AND f >= 0.15 * n AND f - (n - f) >= -500 GROUP BY 1, 2")
+def denial_cuts(spark, d):
+    """Where the words affirm too much: negative cuts of the model inside each word's documents (with loose floors, so that some hold)."""
+    hits = spark.createDataFrame([], "doc_id long, pattern string")
+    for w in WORDS:
+        hits = hits.unionByName(docs_of(spark, d).where(F.col("cnt").rlike(has(w).pattern.java())).select("doc_id", F.lit(w).alias("pattern")))
+    cells = scores_of(spark, d).join(hits, "doc_id").select(F.col("pattern").alias("context"), "label", "p", "target")
+    return loop_denials(cells, GRID, 0.9, 0.15, 3, -500)
+
+
+@query("refiltered_pool")
+def refiltered_pool(spark, d):
+    """A stored pool of word rules, each tried twice, and a row that is no rule, admitted anew."""
+    pool = spark.createDataFrame([(json.dumps(rule_to(r)), k / 10, 2 * k + j) for k, r in enumerate(_word_rules()) for j in (0, 1)] + [("{}", 1.0, 99)], "rule string, score double, trial long")
+    return discovery.refilter(_empty(spark, d), pool, truth_of(spark, d), axis_of(spark))[1]

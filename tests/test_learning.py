@@ -1,6 +1,7 @@
 """Selection, quality, the labeling loop, models and the command line against plain versions."""
 
 import itertools
+import json
 import math
 import random
 
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from marlstone import cli
 from marlstone.functions import text as T
 from marlstone.models import Registry
-from marlstone.operators import joins, loop, quality, review, selection
+from marlstone.operators import joins, learning, loop, quality, review, selection, splits
 from marlstone.operators.patterns import contingency, mutual_information
 from marlstone.plans.compile import Catalog
-from marlstone.plans.rules import ML, Doc, Label, Rule, write_program
+from marlstone.plans.rules import ML, Doc, Label, Rule, rule_to, write_program
 
 
 @pytest.fixture(scope="module")
@@ -256,5 +257,175 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["discover", *base, "--out", d("chosen")], spark) == {"candidates": 2, "taken": [0]}
     got = cli.main(["label", *base, "--budget", "6", "--out", d("answers")], spark)
     assert got["status"] == "all_documents_resolved" and got["macro_f1"] == 1.0
-    with pytest.raises(SystemExit):
-        cli.main(["evaluate", *base[:-2]], spark)
+    got = cli.main(["learn", *base, "--budget", "6", "--batch", "2", "--out", d("learned")], spark)
+    assert got["status"] == "all_documents_resolved" and got["events"][0]["kind"] == "start"
+    assert cli.main(["patterns", *base, "--least", "0.5", "--out", d("patterns")], spark)["patterns"]["match accepted"] == 1
+    assert cli.main(["starts", *base, "--count", "2", "--out", d("starts")], spark) == {"starts": 1}
+    assert spark.read.parquet(d("starts")).first().f1 == 1.0
+    assert cli.main(["stage", *base, "--out", d("staged")], spark) == {"steps": ["union"], "rules": 1}
+    pool = [(json.dumps(rule_to(r)), 1.0 - i, i) for i, r in enumerate((*rules, rules[0]))]
+    spark.createDataFrame(pool, "rule string, score double, trial long").write.parquet(d("pool"))
+    assert cli.main(["refilter", *base, "--pool", d("pool")], spark) == {"taken": 1, "reasons": {"admitted": 1, "no_gain": 1, "repeated": 1}}
+    assert cli.main(["prove", *base, "--out", d("proof")], spark) == {"status": "fixpoint", "proofs": 3}
+    assert cli.main(["influence", *base, "--out", d("influence")], spark) == {"status": "fixpoint", "pending": 3, "most": [0, 1, 2]}
+    for bad in (["evaluate", *base[:-2]], ["stage", *base[:-2]], ["refilter", *base], ["starts", *base[:4], *base[6:]]):
+        with pytest.raises(SystemExit):
+            cli.main(bad, spark)
+
+
+# --- the loop that learns -----------------------------------------------------------------------------------------------
+
+
+def test_arbitration_of_several_models(spark):
+    unknown = spark.createDataFrame([(1, "x"), (2, "x")], "doc_id long, label string")
+    cuts = spark.createDataFrame([(a, "x", 0.5) for a in "ab"], "alias string, label string, cut double")
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, alias string, label string, p double")
+    both = [(1, "a", "x", 0.5), (1, "b", "x", 0.9), (2, "a", "x", 0.1), (2, "b", "x", 0.4)]
+    assert {tuple(r) for r in learning.arbitrate_models(unknown, rows(*both), ("a", "b"), cuts).collect()} == {(1, "x", 1), (2, "x", -1)}
+    for bad in (both[:3], [*both[:3], (2, "b", "x", 0.6)]):  # a model is missing; models differ
+        with pytest.raises(ValueError, match="cell 2"):
+            learning.arbitrate_models(unknown, rows(*bad), ("a", "b"), cuts)
+
+
+def test_prior_shift(spark):
+    probs = spark.createDataFrame([(1, "m", "x", 0.2, False), (2, "m", "x", 0.4, False), (3, "m", "y", 0.3, False), (4, "m", "x", 1.0, False)], "doc_id long, alias string, label string, p double, is_static boolean")
+    cells = spark.createDataFrame([(1, "x", 1, 1.0), (2, "x", 1, 0.5)], "doc_id long, label string, target int, weight double")
+    got = {r.doc_id: r.p for r in learning.prior_shift(cells, probs).collect()}
+    b = math.log(2.5 / 1.4) - math.log(1.0 / (1 + 0.8 + 0.3))
+    move = lambda p: 1 / (1 + math.exp(-(math.log(p / (1 - p)) + b)))
+    assert got[1] == pytest.approx(move(0.2)) and got[2] == pytest.approx(move(0.4)) and got[3] == 0.3 and got[4] == 1.0
+
+
+def _taught(spark, shift):
+    """Ninety documents; x holds from 0.5 of a hidden value on, the model's odds are off by `shift`; the last thirty calibrate."""
+    rnd = random.Random(11)
+    hidden = [rnd.random() * 0.98 + 0.01 for _ in range(90)]
+    p = [1 / (1 + math.exp(-(math.log(h / (1 - h)) - shift))) for h in hidden]
+    docs = spark.createDataFrame([(i, "t", "", "") for i in range(90)], "doc_id long, cnt string, ttl string, mtd string")
+    probs = spark.createDataFrame([(i, "m", "x", p[i], False) for i in range(90)], "doc_id long, alias string, label string, p double, is_static boolean")
+    signed = spark.createDataFrame([(i, "x", 1 if h >= 0.5 else -1) for i, h in enumerate(hidden)], "doc_id long, label string, sign int")
+    return hidden, docs, probs, signed
+
+
+def test_learning_loop(spark):
+    """Answers teach the model what it underrates; refinement that helps on the calibration documents is kept, and the budget holds."""
+    hidden, docs, probs, signed = _taught(spark, 1.2)
+    axis, gamma = spark.createDataFrame([("x",)], "label string"), spark.createDataFrame([], "doc_id long, label string, sign int")
+    rule = Rule((Doc("d"), ML("d", "m", "x", 0.5)), Label("d", "x"))
+    asked: list[int] = []
+
+    def answer(batch):
+        asked.extend(r.doc_id for r in batch.collect())
+        return signed.join(batch, "doc_id", "left_semi")
+
+    out = learning.learning_loop(Catalog(docs, gamma), [rule], axis, probs, answer, 24, signed.where("doc_id >= 60"), how=learning.Settings(batch=12, sure=2.0))
+    assert out.status == "label_budget_exhausted" and len(asked) == len(set(asked)) == 24 and max(asked) < 60
+    kinds = [e.kind for e in out.events]
+    assert kinds[0] == "start" and kinds.count("ask") == 2 and any(e.kind == "refine" and e.kept for e in out.events)
+    assert out.events[-1].macro > out.events[0].macro + 0.05
+    scores = [e.macro for e in out.events if e.kept]
+    assert all(b >= a - 1e-12 for a, b in itertools.pairwise(scores))  # on documents that are never asked
+    right = {i for i, h in enumerate(hidden) if h >= 0.5}
+    got = {r.doc_id for r in out.outcome.predictions.collect()}
+    assert {i for i in asked if i in right} <= got and not got & {i for i in asked if i not in right}
+
+
+def test_learning_loop_without_work(spark):
+    """A model that is right needs no answers; without a budget nothing is asked; a trainer that does harm is not followed."""
+    hidden, docs, probs, signed = _taught(spark, 0.0)
+    axis = spark.createDataFrame([("x",)], "label string")
+    rule = Rule((Doc("d"), ML("d", "m", "x", 0.5)), Label("d", "x"))
+    gamma = signed.where("doc_id < 60")
+    out = learning.learning_loop(Catalog(docs, gamma), [rule], axis, probs, lambda b: signed, 10, signed.where("doc_id >= 60"), how=learning.Settings(sure=2.0))
+    assert out.status == "all_documents_resolved" and [e.kind for e in out.events] == ["start"]
+    harm = lambda cells, old: old.withColumn("p", F.lit(0.0))
+    less = Catalog(docs, signed.where("doc_id < 10"))
+    out = learning.learning_loop(less, [rule, Rule((Doc("d"), ML("d", "m", "x", 0.4)), Label("d", "x"))], axis, probs, lambda b: signed, 0, signed.where("doc_id >= 60"), retrain=harm, how=learning.Settings(sure=2.0))
+    assert out.status == "label_budget_exhausted"
+    assert [(e.kind, e.kept) for e in out.events] == [("start", True), ("refine", False)] and out.probs.where("p > 0").count() == 90
+
+
+def test_learning_loop_residual_and_kappa(spark):
+    """Cuts fitted on the answers correct the rest, once, if the calibration documents agree."""
+    _, docs, probs, signed = _taught(spark, 1.2)
+    axis, gamma = spark.createDataFrame([("x",)], "label string"), spark.createDataFrame([], "doc_id long, label string, sign int")
+    rule = Rule((Doc("d"), ML("d", "m", "x", 0.5)), Label("d", "x"))
+    keep = lambda cells, old: old
+    how = learning.Settings(batch=20, sure=2.0, residual=True, calibrate_kappa=True)
+    out = learning.learning_loop(Catalog(docs, gamma), [rule], axis, probs, lambda b: signed.join(b, "doc_id", "left_semi"), 40, signed.where("doc_id >= 60"), train=docs, retrain=keep, how=how)
+    taken = [e for e in out.events if e.kind == "residual" and e.kept]
+    assert len(taken) <= 1 and len(out.rules) >= 1 + len(taken)
+    assert out.events[-1].macro >= out.events[0].macro
+
+
+def test_session_keeps_firings(spark):
+    from test_closure import Garden, said
+
+    from marlstone.operators.proof import proof_rows
+    from marlstone.operators.session import Session
+
+    g = Garden([("dry", "north"), ("bud", "north")])
+    one, two = Rule((Doc("x"), said("dry")), Label("x", "wilts")), Rule((Doc("x"), Label("x", "wilts")), Label("x", "sleeps"))
+    s = Session(g.catalog(spark))
+    s.close([one])
+    c = s.close([one, two])
+    rows = {(r.doc_id, r.label): (r.rule_id, r.round) for r in proof_rows(s.cat, [one, two], c).collect()}
+    assert s.runs == 2 and rows == {(0, "wilts"): (0, 1), (0, "sleeps"): (1, 1 + s.close([one]).rounds)}
+
+
+def test_smallest_by_hash(spark):
+    import hashlib
+
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("h"))
+    order = sorted(range(500), key=lambda i: hashlib.sha256(f"t|{i}".encode()).hexdigest())
+    for n in (0, 1, 37, 500, 600):
+        assert {r.doc_id for r in splits.smallest(rows, "doc_id", n, "t|").collect()} == set(order[:n])
+    assert splits.random_sample(rows, "doc_id", 7).count() == 7
+
+
+def test_reliability(spark, tmp_path):
+    """Copies of training texts do not count; a changed program is counted where it changed; a table of other answers is refused."""
+    from test_closure import Garden, said
+
+    from marlstone.operators import reliability
+    from marlstone.operators.closure import close_program
+    from marlstone.operators.session import rule_key
+
+    g = Garden([("dry leaf", ""), ("Dry  LEAF", ""), ("dry bud", ""), ("dry", ""), ("bud", "")])
+    cat = g.catalog(spark)
+    one, two = Rule((Doc("x"), said("dry")), Label("x", "wilts")), Rule((Doc("x"), Label("x", "wilts")), Label("x", "sleeps", "neg"))
+    answers = spark.createDataFrame([(i, "wilts", s) for i, s in ((0, 1), (1, 1), (2, 1), (3, -1), (4, -1))] + [(2, "sleeps", -1)], "doc_id long, label string, sign int")
+    training = spark.createDataFrame([(0,)], "doc_id long")
+    table = reliability.estimate(cat, [one, two], close_program(cat, [one, two]), answers, training)
+    got = {r.rule_key: r for r in table.collect()}
+    assert (got[rule_key(one)].support, got[rule_key(one)].correct, got[rule_key(one)].rows) == (2, 1, 3)  # 2 and 3; 0 trains, 1 is its copy
+    assert got[rule_key(one)].q == 0.5 and (got[rule_key(two)].support, got[rule_key(two)].correct) == (1, 1)
+    reliability.save(table, str(tmp_path / "r"))
+    old = reliability.load(spark, str(tmp_path / "r"))
+    three = Rule((Doc("x"), said("bud")), Label("x", "wilts"))
+    new = reliability.refresh(old, cat, [one, three], close_program(cat, [one, three]), answers, training)
+    assert {r.rule_key: (r.support, r.correct) for r in new.collect()} == {rule_key(one): (2, 1), rule_key(three): (2, 1)}
+    with pytest.raises(ValueError):
+        reliability.load(spark, str(tmp_path / "r"), "other")
+    more = reliability.refresh(old, cat, [one], close_program(cat, [one]), answers.where("doc_id <> 3"), training).collect()
+    assert [(r.support, r.correct) for r in more] == [(1, 1)]
+
+
+def test_denial_cuts(spark):
+    rnd = random.Random(21)
+    rows = [(c, x, round(rnd.random(), 2), int(rnd.random() < q)) for c, x, q in (("a", "x", 0.2), ("a", "y", 0.9), ("b", "x", 0.4)) for _ in range(40)]
+    grid = [0.1, 0.3, 0.5, 0.7, 0.9]
+    df = spark.createDataFrame(rows, "context string, label string, p double, target int")
+    for low, precision, support, gain in ((0.5, 0.7, 5, 1), (0.95, 0.6, 3, 2), (0.5, 0.99, 5, 1)):
+        want = set()
+        for key in {r[:2] for r in rows}:
+            mine = [r for r in rows if r[:2] == key]
+            if sum(r[3] for r in mine) / len(mine) < low:
+                fits = []
+                for cut in grid:
+                    n = [r for r in mine if r[2] <= cut]
+                    false = sum(1 - r[3] for r in n)
+                    if len(n) >= support and false >= precision * len(n) and false - (len(n) - false) >= gain:
+                        fits.append((*key, cut, len(n), false))
+                want |= {max(fits, key=lambda f: f[2])} if fits else set()
+        assert {tuple(r) for r in loop.denial_cuts(df, grid, low, precision, support, gain).collect()} == want

@@ -66,8 +66,19 @@ def _joint(df):
     return all(x.gain > 0 for x in r) and sorted(x.place for x in r) == list(range(len(r)))
 
 
+def _learned(df):
+    r = _ranked(df)
+    return r and sum(x.n for x in r if x.kind == "ask") <= 64 and r[0].kind == "start" and len({x.status for x in r}) == 1
+
+
+def _refiltered(df):
+    r = df.collect()
+    why = [x.reason for x in r]
+    return len(r) == 13 and why.count("repeated") == 6 and why.count("unreadable") == 1 and why.count("admitted") >= 1
+
+
 #: Queries without SQL, and what holds of their results.
-PROPERTIES = {"greedy_patterns": _greedy_patterns, "balanced_greedy": _balanced, "term_offsets": _offsets, "label_loop": _loop, "staged_discovery": _staged, "joint_cuts": _joint}
+PROPERTIES = {"greedy_patterns": _greedy_patterns, "balanced_greedy": _balanced, "term_offsets": _offsets, "label_loop": _loop, "staged_discovery": _staged, "joint_cuts": _joint, "learning_loop": _learned, "refiltered_pool": _refiltered}
 
 
 def test_every_query_is_tested():
