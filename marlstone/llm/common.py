@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -73,10 +75,8 @@ def done(*tables: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession, wait: float = 0.0) -> None:
     """Let Spark's cleaner drop shuffle files whose plans are finished; it works beside us, so give it `wait` seconds."""
-    import gc
-    import time
-
     gc.collect()
+    give_back()  # the driver's matrices of finished steps
     spark.sparkContext._jvm.System.gc()
     time.sleep(wait)
 
@@ -88,14 +88,21 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def trimmed(run):
-    """run, giving memory that its batches needed back to the system when a task ends: workers are used again."""
+    """run, giving memory back to the system when a task begins (broadcasts of earlier stages) and ends (its batches): workers are used again."""
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
+        give_back()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return inner
 

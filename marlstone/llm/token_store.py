@@ -32,7 +32,7 @@ from marlstone.llm.common import bounded_batches, drop_path, mix, new_path, slic
 #: Any blank of Unicode; two in a row keep a text from being cut at its spaces before encoding.
 _BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 _TOKENIZERS: dict[str, _Encoder] = {}
-CACHE_WORDS = 150_000  # of each of the two generations of the cache
+CACHE_WORDS = 75_000  # of each of the two generations of the cache
 FAN = 1024
 #: The byte-level pre-tokenizer's own pattern, and its characters for the 256 bytes. Fixed values.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -198,7 +198,7 @@ _DDL = "kind string, key binary, doc_id long, n long, crc long, width int, keys
 def _rows(path: str, end_id: int, mean_bits: int, least: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in slices(batches, most=8 << 20):
+        for b in slices(batches, most=2 << 20):
             ids, counts = encode(b.column("text"), path, end_id)
             ids = ids.astype("<u4")
             out: dict[str, list] = {f: [] for f in _ROWS.names}
