@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.plans.rules import Predicate
+from marlstone.plans.rules import Pattern, Predicate
 
 _COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
@@ -16,17 +16,23 @@ def present(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+def _like(c: Column, p: Pattern) -> Column:
+    """Whether p matches; texts without the string that every match holds are told by a search for it, which costs far less."""
+    like = F.regexp_like(c, F.lit(p.java()))
+    return like if p.literal() is None else F.contains(c, F.lit(p.literal())) & like
+
+
 def predicate(p: Predicate, c: Column, there: Column | None = None) -> Column:
     """Whether the attribute c satisfies p. A missing attribute satisfies nothing, not even a negated match."""
     there = present(c) if there is None else there
     first = F.lit(p.pattern.java())
     if p.type == "match":
-        held = F.regexp_like(c, first)
+        held = _like(c, p.pattern)
         held = ~held if p.negate else held
     elif p.type == "freq":
         held = _COMPARE[p.op](F.regexp_count(c, first).cast("double"), F.lit(float(p.eta)))
     elif p.type == "cooccur":
-        held = F.regexp_like(c, first) & F.regexp_like(c, F.lit(p.other.java()))
+        held = _like(c, p.pattern) & _like(c, p.other)
     else:
         a, b = F.regexp_instr(c, first), F.regexp_instr(c, F.lit(p.other.java()))
         held = (a > 0) & (b > 0) & (a < b)

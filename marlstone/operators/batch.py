@@ -56,9 +56,10 @@ def fire_unary(cat: Catalog, rules: dict[int, Rule], facts: DataFrame) -> DataFr
         own = [a.predicate for a in r.body if isinstance(a, Text)]
         if own:
             holds = reduce(lambda a, b: a & b, [predicate(p, F.col(column(p.attr)), _there(cat.docs, p.attr)) & _there(cat.docs, p.attr) for p in own])
-            texts.append(F.when(holds, F.struct(F.lit(i).alias("run"), F.lit(len(own)).alias("n"))))
-    if texts:
-        met.append(cat.docs.select("doc_id", F.explode(F.filter(F.array(*texts), lambda x: x.isNotNull())).alias("m")).select("m.run", "doc_id", "m.n").distinct())
+            texts += [F.lit(i), F.lit(len(own)), holds]
+    if texts:  # a stack, as in patterns.masks
+        stacked = cat.docs.select("doc_id", F.stack(F.lit(len(texts) // 3), *texts).alias("run", "n", "holds"))
+        met.append(stacked.where("holds").select("run", "doc_id", "n").distinct())
     models = [(i, a.alias, a.label, float(a.eta), None if a.upper is None else float(a.upper), not a.dynamic, k) for i, r in rules.items() for k, a in enumerate(r.body) if isinstance(a, ML)]
     if models:
         asked = spark.createDataFrame(models, "run int, alias string, label string, low double, high double, is_static boolean, k int")

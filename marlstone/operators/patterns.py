@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.plans.store import written
+
 
 def masks(docs: DataFrame, text: str, patterns: dict[str, Column]) -> DataFrame:
-    """doc_id, pattern, n (count or 0/1) in one scan, a row for each document and pattern with n > 0. patterns: name -> column."""
-    made = F.array(*[F.struct(F.lit(k).alias("pattern"), v.cast("long").alias("n")) for k, v in patterns.items()])
-    return docs.select("doc_id", F.explode(F.filter(made, lambda x: x["n"] > 0)).alias("m")).select("doc_id", "m.pattern", "m.n")
+    """doc_id, pattern, n (count or 0/1) in one scan, a row for each document and pattern with n > 0. patterns: name -> column.
+
+    Rows come from a stack: an exploded array would be tested for emptiness first, and every pattern matched again.
+    """
+    made = [c for k, v in patterns.items() for c in (F.lit(k), v.cast("long"))]
+    return docs.select("doc_id", F.stack(F.lit(len(patterns)), *made).alias("pattern", "n")).where("n > 0")
 
 
 def contingency(hits: DataFrame, truth: DataFrame, docs: DataFrame) -> DataFrame:
     """pattern, label, n, s (support), pos, tp, over the documents of docs. hits: doc_id, pattern; truth: doc_id, label."""
     n = docs.select("doc_id").distinct()
-    h = hits.select("doc_id", "pattern").distinct().join(n, "doc_id", "left_semi")
+    h = written(hits.select("doc_id", "pattern").distinct().join(n, "doc_id", "left_semi"), "hits")  # two counts, one scan of the texts
     t = truth.select("doc_id", "label").distinct().join(n, "doc_id", "left_semi")
     s, pos = h.groupBy("pattern").agg(F.count(F.lit(1)).alias("s")), t.groupBy("label").agg(F.count(F.lit(1)).alias("pos"))
     tp = h.join(t, "doc_id").groupBy("pattern", "label").agg(F.count(F.lit(1)).alias("tp"))
@@ -42,7 +47,7 @@ def mutual_information(c: DataFrame) -> DataFrame:
 
 def label_entropy(hits: DataFrame, truth: DataFrame) -> DataFrame:
     """pattern, entropy: -sum of P ln P over labels, P the share of the pattern's documents with the label (not normalised over labels)."""
-    s = hits.select("doc_id", "pattern").distinct()
+    s = written(hits.select("doc_id", "pattern").distinct(), "hits")  # two counts, one scan of the texts
     n = s.groupBy("pattern").agg(F.count(F.lit(1)).alias("s"))
     tp = s.join(truth.select("doc_id", "label").distinct(), "doc_id").groupBy("pattern", "label").agg(F.count(F.lit(1)).alias("tp"))
     p = F.col("tp") / F.col("s")

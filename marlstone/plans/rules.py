@@ -16,6 +16,8 @@ RELATIONS = ("eq", "subset", "strict_subset")
 TEXT_ATTRS = ("cnt", "ttl", "mtd")
 PREDICATES = {"match": "MatchPredicate", "freq": "FreqPredicate", "cooccur": "CooccurPredicate", "before": "BeforePredicate"}
 FLAG_BITS = {re.IGNORECASE.value: "i", re.MULTILINE.value: "m", re.DOTALL.value: "s"}
+#: A word as it stands, or between bounds as in (^|[^a-z])word([^a-z]|$) and \bword\b.
+LITERAL = re.compile(r"(?:\(\^\|\[\^[A-Za-z0-9_-]+\]\)|\\b)?([A-Za-z0-9_]+)(?:\(\[\^[A-Za-z0-9_-]+\]\|\$\)|\\b)?")
 NAMED = re.compile(r"mtd\.[A-Za-z_][A-Za-z_0-9]*")
 
 
@@ -28,6 +30,11 @@ class Pattern:
         """The pattern for Java: Unicode classes as in Python, and the flags inline."""
         return "(?" + "".join(c for bit, c in FLAG_BITS.items() if self.flags & bit) + "U)" + self.raw
 
+    def literal(self) -> str | None:
+        """A string that every match holds: that of a plain word, with or without bounds. None if case is ignored, and for all other patterns."""
+        found = LITERAL.fullmatch(self.raw)
+        return found[1] if found and not self.flags & re.IGNORECASE.value else None
+
 
 @dataclass(frozen=True)
 class Predicate:

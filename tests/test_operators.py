@@ -133,3 +133,21 @@ def test_materialise_and_truth(spark, tmp_path):
     assert {(r.doc_id, r.label, r.sign) for r in got.collect()} == {(1, "L", 1), (1, "M", -1), (2, "L", -1), (2, "M", -1)}
     with pytest.raises(ValueError):
         readers.oracle_answers(truth, rows, ["L"], budget=5, spent=3)
+
+
+def test_masks_match_each_pattern_once(spark):
+    """Also where the text has the word only inside others, or not at all: the search before the match changes nothing."""
+    import re
+
+    from marlstone.functions.text import predicate
+    from marlstone.operators.patterns import masks
+    from marlstone.plans.rules import Pattern, Predicate
+    from marlstone.registry import word
+
+    raws = {"bounded": word("the"), "plain": Pattern("the"), "edges": Pattern(r"\bthe\b"), "case": Pattern("the", re.IGNORECASE), "other": Pattern("t.e"), "digit": Pattern(r"\d")}
+    texts = ["the", "other", "a the b", "The end", "", None, "breathe the", "t1e", "_the", "the\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, cnt string")
+    m = masks(docs, "cnt", {k: predicate(Predicate("match", "cnt", p), F.col("cnt")) for k, p in raws.items()})
+    want = {(i, k, 1) for i, t in enumerate(texts) if t for k, p in raws.items() if re.search(p.raw, t, re.I if k == "case" else 0)}
+    assert {tuple(r) for r in m.collect()} == want
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == len(raws)
