@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.plans.relation import close  # noqa: F401  part of this module's functions
+from marlstone.plans.store import written
 
 
 def copy_labels(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,6 +18,35 @@ def copy_labels(facts: DataFrame, edges: DataFrame) -> DataFrame:
     return facts.select("doc_id", "label", "sign").unionByName(moved).distinct()
 
 
+def carry(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """As copy_labels over the closure of edges (src, dst), which is never made: a row a document and label.
+
+    If every document has one way in at most, each takes the labels of the document that stands 1, 2, 4, ... steps before it;
+    else new labels go one step on in each round.
+    """
+    e = written(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    have = written(facts.where("sign > 0").select("doc_id", "label").distinct(), "have")
+    if e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        at, n = e.select(F.col("dst").alias("doc_id"), F.col("src").alias("up")), have.count()
+        while True:
+            moved = at.join(have.withColumnRenamed("doc_id", "up"), "up").select("doc_id", "label")
+            have, before = written(have.unionByName(moved).distinct(), "have"), n
+            n = have.count()
+            if n == before:
+                break
+            at = written(at.join(at.select(F.col("doc_id").alias("up"), F.col("up").alias("next")), "up").select("doc_id", F.col("next").alias("up")), "up")
+    else:
+        new, parts = have, [have]
+        while True:
+            found = e.join(new.withColumnRenamed("doc_id", "src"), "src").select(F.col("dst").alias("doc_id"), "label").distinct()
+            new = written(found.join(reduce(DataFrame.unionByName, parts), ["doc_id", "label"], "left_anti"), "new")
+            if new.isEmpty():
+                break
+            parts = [*parts, new] if len(parts) < 8 else [written(reduce(DataFrame.unionByName, [*parts, new]), "have")]
+        have = reduce(DataFrame.unionByName, parts)
+    return facts.select("doc_id", "label", "sign").unionByName(have.withColumn("sign", F.lit(1))).distinct()
+
+
 def violations(edges: DataFrame, facts: DataFrame, n_labels: int | None = None) -> DataFrame:
     """src, dst, reason: strict edges with a way back, and strict edges that no label can make strict (if n_labels is given)."""
     strict = edges.where("strict").select("src", "dst").distinct()

@@ -43,6 +43,7 @@ def greedy_patterns(hits: DataFrame, truth: DataFrame, docs: DataFrame, labels:
     All candidates of a step are scored in one job. With `prefilter` only that many of the best pairs of the first step
     go on, an approximation: the others are judged against the empty start alone.
     """
+    hits = written(hits.select("doc_id", "pattern").distinct(), "hits")  # every step reads them
     n = labels.count()
     have = truth.where("false").select(*CELL)
     macro = 0.0

@@ -17,6 +17,7 @@ from marlstone.operators import joins, metrics, patterns, relations, review, spl
 from marlstone.operators.closure import clashes, close_program, influence
 from marlstone.plans.compile import Catalog
 from marlstone.plans.rules import ML, AttrEqual, Doc, Label, Pattern, Predicate, Rule, Text
+from marlstone.plans.store import written
 from marlstone.sources.readers import documents
 from marlstone.streaming.ingest import windowed_counts
 
@@ -351,13 +352,13 @@ _next = "SELECT * FROM (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY te
 def _copies(spark, d, strict: bool = False):
     from pyspark.sql import Window
 
-    nxt = F.lead("doc_id").over(Window.partitionBy("text").orderBy("doc_id"))
-    return read(spark, d, "documents").select(F.col("doc_id").alias("src"), nxt.alias("dst"), F.lit(strict).alias("strict")).where("dst is not null")
+    nxt = F.lead("doc_id").over(Window.partitionBy("h").orderBy("doc_id"))
+    return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")).select(F.col("doc_id").alias("src"), nxt.alias("dst"), F.lit(strict).alias("strict")).where("dst is not null")
 
 
 @query("subset_label_copy", "SELECT DISTINCT r.dst AS doc_id, g.label, 1 AS sign FROM r JOIN truth g ON g.doc_id = r.src UNION SELECT doc_id, label, sign FROM gamma", recursive=f"r AS (SELECT src, dst FROM ({_next}) UNION SELECT r.src, e.dst FROM r JOIN ({_next}) e ON r.dst = e.src)")
 def subset_label_copy(spark, d):
-    return relations.copy_labels(gamma_of(spark, d), relations.close(_copies(spark, d)))
+    return relations.carry(gamma_of(spark, d), _copies(spark, d))
 
 
 _cyc = "SELECT DISTINCT n_nationkey AS src, n_regionkey AS dst FROM nation"
@@ -522,7 +523,8 @@ def rule_precision_laplace(spark, d):
 
 @query("direct_rule_weight", "WITH q AS (SELECT pattern, (count(*) FILTER (WHERE toxic = 1) + 1) * 1.0 / (count(*) + 2) AS q FROM hits h JOIN labels l USING (doc_id) GROUP BY 1) SELECT doc_id, label, sign, round(weight, 9)::DOUBLE AS weight FROM (SELECT doc_id, 'toxic' AS label, 1 AS sign, max(q) AS weight FROM hits JOIN q USING (pattern) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1 UNION ALL SELECT doc_id, label, sign, 1.0 FROM gamma)")
 def direct_rule_weight(spark, d):
-    c = _hits(spark, d).select(F.col("pattern").alias("rule_id"), "doc_id", F.lit("toxic").alias("label"), F.lit(1).alias("sign"))
+    hits = written(_hits(spark, d), "hits")  # for the precision and the facts
+    c = hits.select(F.col("pattern").alias("rule_id"), "doc_id", F.lit("toxic").alias("label"), F.lit(1).alias("sign"))
     g = gamma_of(spark, d)
     return review.direct_weights(c, review.rule_precision(c, g), g).withColumn("weight", F.round("weight", 9))
 
