@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.plans.relation import components
 from marlstone.plans.store import written
 
 
@@ -157,11 +158,10 @@ def equal_components(edges: DataFrame) -> DataFrame:
 
     An equality closure of n documents has n squared edges; this has n rows, and copy_equal works on it.
     """
-    from marlstone.operators.splits import connected_groups
-
-    by = lambda c: F.concat(F.lit("v"), F.col(c).cast("string"))
-    ends = edges.select(F.col("src").alias("id"), by("src").alias("a"), by("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("id"), by("dst").alias("a"), by("dst").alias("b")))
-    return connected_groups(ends, ["a", "b"], "id").select(F.col("id").alias("doc_id"), F.col("group").alias("component")).distinct()
+    pairs = written(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), "equal")
+    found = components(pairs).select(F.col("node").alias("doc_id"), F.col("comp").alias("component"))
+    alone = pairs.where("a = b").select(F.col("a").alias("doc_id")).distinct().join(found, "doc_id", "left_anti")
+    return found.unionByName(alone.select("doc_id", F.col("doc_id").alias("component")))
 
 
 def copy_equal(facts: DataFrame, components: DataFrame) -> DataFrame:

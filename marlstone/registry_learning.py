@@ -85,7 +85,10 @@ def strict_closure_status(spark, d):
 
 @query("equal_component_copy", "SELECT DISTINCT b.doc_id, g.label, 1 AS sign FROM truth g JOIN docs a ON a.doc_id = g.doc_id JOIN docs b ON b.cnt = a.cnt AND a.cnt <> '' UNION SELECT doc_id, label, sign FROM gamma")
 def equal_component_copy(spark, d):
-    return joins.copy_equal(gamma_of(spark, d), joins.equal_components(_copies(spark, d)))
+    texts = read(spark, d, "documents").where("text <> ''").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = texts.groupBy("h").agg(F.min("doc_id").alias("src"))
+    equal = texts.join(first, "h").select("src", F.col("doc_id").alias("dst")).where("src <> dst")
+    return joins.copy_equal(gamma_of(spark, d), joins.equal_components(equal))
 
 
 @query("final_proof", "SELECT 'fixpoint' AS status, 0::BIGINT AS only_kept, 0::BIGINT AS only_again, (SELECT count(*) FROM r) AS same, true AS equal", recursive=_good.format(_q.format("m1")))
