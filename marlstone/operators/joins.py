@@ -44,7 +44,7 @@ def _similarities(vectors: DataFrame, queries: DataFrame, least: float, k: int |
     """Cosines of a stated set of query vectors against all vectors, a block of queries at a time, by Arrow batches.
 
     Each block of at most `block` queries is broadcast: its size is bounded whatever the tables hold. With k,
-    each batch keeps a query's k best, which loses none of the k best overall. Vectors with a scope meet those of their own.
+    each task keeps a query's k best, which loses none of the k best overall. Vectors with a scope meet those of their own.
     """
     import numpy as np
     import pyarrow as pa
@@ -64,22 +64,37 @@ def _similarities(vectors: DataFrame, queries: DataFrame, least: float, k: int |
 
         def run(batches, shared=shared):
             ids, q, scopes = shared.value
+            step = max(1, 500_000 // len(ids))  # rows at a time, so that a matrix has about half a million cells
+            best_j, best_id, best_sim = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            worst = np.full(len(ids), least)  # a query's k-th best so far
+
+            def batch(j, own, sim):
+                return pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(own), pa.array(sim)], ["x", "y", "sim"])
+
             for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column("id").to_numpy()
-                sims = np.stack(b.column("v").to_pylist()) @ q.T
-                sims[own[:, None] == ids[None, :]] = -2.0
-                if scopes is not None:
-                    sims[b.column("scope").to_numpy()[:, None] != scopes[None, :]] = -2.0
-                hit = np.round(sims, 9) >= least
-                if k is not None and len(own) > k:
-                    order = np.lexsort((np.broadcast_to(own[:, None], sims.shape), -np.round(sims, 9)), axis=0)[:k]
-                    top = np.zeros_like(hit)
-                    np.put_along_axis(top, order, True, axis=0)
-                    hit &= top
-                i, j = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(own[i]), pa.array(np.round(sims[i, j], 9))], ["x", "y", "sim"])
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    own, v = part.column("id").to_numpy(), part.column("v")
+                    if v.null_count:
+                        raise ValueError("a vector is null")
+                    sims = np.round(v.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) @ q.T, 9)
+                    sims[own[:, None] == ids[None, :]] = -2.0
+                    if scopes is not None:
+                        sims[part.column("scope").to_numpy()[:, None] != scopes[None, :]] = -2.0
+                    i, j = np.nonzero(sims >= worst)
+                    if k is None:
+                        yield batch(j, own[i], sims[i, j])
+                        continue
+                    if not len(i):
+                        continue
+                    js, ys, ss = np.concatenate([best_j, j]), np.concatenate([best_id, own[i]]), np.concatenate([best_sim, sims[i, j]])
+                    order = np.lexsort((ys, -ss, js))
+                    js, ys, ss = js[order], ys[order], ss[order]
+                    rank = np.arange(len(js)) - np.searchsorted(js, js)
+                    best_j, best_id, best_sim = js[rank < k], ys[rank < k], ss[rank < k]
+                    worst[js[rank == k - 1]] = ss[rank == k - 1]
+            if k is not None and len(best_j):
+                yield batch(best_j, best_id, best_sim)
 
         found = vectors.select("id", "v", *scope).mapInArrow(run, "x long, y long, sim double")
         out = found if out is None else out.unionByName(found)

@@ -151,3 +151,50 @@ def test_masks_match_each_pattern_once(spark):
     want = {(i, k, 1) for i, t in enumerate(texts) if t for k, p in raws.items() if re.search(p.raw, t, re.I if k == "case" else 0)}
     assert {tuple(r) for r in m.collect()} == want
     assert m._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == len(raws)
+
+
+def test_labels_are_carried_without_pairs(spark, monkeypatch):
+    """Along a chain of 100, where several ways lead in, and round a cycle; the closure, which has the pairs, is never made."""
+    from marlstone.operators import relations
+
+    want = relations.copy_labels
+    graphs = {"chain": [(i, i + 1) for i in range(100)], "ways": [(1, 3), (2, 3), (3, 4), (4, 5), (9, 5), (5, 5)], "cycle": [(1, 2), (2, 3), (3, 1), (3, 4)]}
+    facts = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (9, "a", 1), (3, "b", -1), (77, "c", 1)], "doc_id long, label string, sign int")
+    frames = {k: spark.createDataFrame([(*e, False) for e in g], "src long, dst long, strict boolean") for k, g in graphs.items()}
+    closed = {k: {tuple(r) for r in want(facts, relations.close(e)).collect()} for k, e in frames.items()}
+    monkeypatch.setattr(relations, "close", None)
+    for k, e in frames.items():
+        got = [tuple(r) for r in relations.carry(facts, e).collect()]
+        assert len(got) == len(set(got)) and set(got) == closed[k]
+
+
+def test_empty_and_null_texts_are_not_copies(spark, tmp_path):
+    from marlstone import registry_learning  # noqa: F401  it registers the query
+    from marlstone.operators import joins
+    from marlstone.registry import QUERIES
+
+    spark.createDataFrame([(1, "x"), (2, "x"), (3, ""), (4, ""), (5, None), (6, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id for r in QUERIES["equal_component_copy"](spark, str(tmp_path)).collect() if r.label == "quality"}
+    assert got == {1, 2, 3, 5}
+    edges = spark.createDataFrame([(4, 3), (3, 9), (7, 8), (5, 5)], "src long, dst long")
+    assert {tuple(r) for r in joins.equal_components(edges).collect()} == {(3, 3), (4, 3), (9, 3), (7, 7), (8, 7), (5, 5)}
+
+
+def test_neighbours_over_many_slices(spark):
+    """1,000 queries and vectors with many ties: a task goes through its rows some 500 at a time and keeps the k best across them."""
+    import numpy as np
+
+    from marlstone.operators import joins
+
+    v = np.random.default_rng(0).integers(-2, 3, (1000, 4)).astype(float)
+    df = spark.createDataFrame([(i, x.tolist(), str(i % 3)) for i, x in enumerate(v)], "id long, e array<double>, scope string")
+    unit = joins.unit_vectors(df, "id", "e").join(df.select("id", "scope"), "id").repartition(2)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    u = v / np.where(n > 0, n, 1)
+    sims = np.round(u @ u.T, 9)
+    sims[np.arange(1000)[:, None] % 3 != np.arange(1000) % 3] = -2
+    np.fill_diagonal(sims, -2)
+    want = {(i, int(j)) for i in range(1000) for j in np.lexsort((np.arange(1000), -sims[i]))[:4]}
+    assert {(r.x, r.y) for r in joins.top_k(unit, unit, 4).collect()} == want
+    assert {(r.x, r.sources) for r in joins.similarity_quorum(unit, unit, 0.9, 2).collect()} == {(i, int(c)) for i, c in enumerate((sims >= 0.9).sum(1)) if c >= 2}
