@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.plans.relation import close  # noqa: F401  part of this module's functions
+from marlstone.plans.relation import close, components  # noqa: F401  close is part of this module's functions
 from marlstone.plans.store import written
 
 
@@ -173,21 +173,42 @@ def feasible(pos: set[tuple[int, str]], neg: set[tuple[int, str]], edges: list[t
     return complete(pos, neg, edges, labels).holds
 
 
+def long_lines(edges: DataFrame, n: int) -> DataFrame:
+    """doc_id: documents that a path of more than n strict edges leads to, round a cycle too. n labels cannot part such a line."""
+    e = edges.select("src", "dst", "strict").distinct()
+    strict, loose = e.where("strict"), e.where("not strict and src <> dst")
+    mixed = not loose.isEmpty()
+    at = strict.select(F.col("dst").alias("doc_id")).distinct()
+    for _ in range(n):
+        at = written(at, "line")
+        front = at
+        while mixed and not front.isEmpty():
+            step = loose.join(front.withColumnRenamed("doc_id", "src"), "src").select(F.col("dst").alias("doc_id")).distinct()
+            front = written(step.join(at, "doc_id", "left_anti"), "front")
+            at = written(at.unionByName(front), "line")
+        if at.isEmpty():
+            break
+        at = strict.join(at.withColumnRenamed("doc_id", "src"), "src").select(F.col("dst").alias("doc_id")).distinct()
+    return written(at, "line")
+
+
 def infeasible(edges: DataFrame, facts: DataFrame, labels: tuple[str, ...], most_edges: int = 10_000) -> DataFrame:
     """v, reason: the documents of groups of linked documents, with a strict edge, whose strict inclusions no completion of the facts can meet.
 
-    Each group is one row of a group's edges and facts and is decided where it is (see complete); a group of more than
-    `most_edges` edges is an error.
+    A line of more strict edges than labels decides its group, of any size, by joins (reason `line`). Each other group is one row of
+    its edges and facts and is decided where it is (see complete); one of more than `most_edges` edges is an error.
     """
     import pandas as pd
 
-    from marlstone.operators.splits import connected_groups
-
     spark = edges.sparkSession
-    e = edges.select("src", "dst", "strict").distinct()
-    by_src, by_dst = F.concat(F.lit("v"), F.col("src").cast("string")), F.concat(F.lit("v"), F.col("dst").cast("string"))
-    ends = e.select(F.col("src").alias("id"), by_src.alias("a"), by_dst.alias("b")).unionByName(e.select(F.col("dst").alias("id"), by_dst.alias("a"), by_dst.alias("b")))
-    group = connected_groups(ends, ["a", "b"], "id").distinct()
+    e = written(edges.select("src", "dst", "strict").distinct(), "edges")
+    group = written(components(e.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "group").select(F.col("node").alias("id"), F.col("comp").alias("group"))
+    alone = e.where("src = dst").select(F.col("src").alias("id")).distinct().join(group, "id", "left_anti")
+    group = group.unionByName(alone.select("id", F.col("id").alias("group")))
+    lines = long_lines(e, len(labels)).join(group.withColumnRenamed("id", "doc_id"), "doc_id").select("group").distinct()
+    lines = written(lines, "lines")
+    told = group.join(lines, "group", "left_semi").select(F.col("id").alias("v"), F.lit("line").alias("reason"))
+    group = group.join(lines, "group", "left_anti")
     of = e.join(group.select(F.col("id").alias("src"), "group"), "src")
     bad = of.groupBy("group").agg(F.max("strict").alias("s"), F.count(F.lit(1)).alias("n")).where("s")
     if not bad.where(F.col("n") > most_edges).isEmpty():
@@ -204,4 +225,4 @@ def infeasible(edges: DataFrame, facts: DataFrame, labels: tuple[str, ...], most
         return pd.DataFrame({"v": pd.Series(docs, dtype="int64"), "reason": pd.Series([found.reason] * len(docs), dtype="object")})
 
     kind = "v long, reason string"
-    return rows.unionByName(own).groupBy("group").applyInPandas(check, kind) if labels else spark.createDataFrame([], kind)
+    return told.unionByName(rows.unionByName(own).groupBy("group").applyInPandas(check, kind)) if labels else spark.createDataFrame([], kind)

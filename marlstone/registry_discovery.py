@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import predicate
 from marlstone.operators import analytic, batch, discovery, enumeration, learning, relations, reliability, space, staged
 from marlstone.operators.closure import close_program, hide
 from marlstone.operators.loop import denial_cuts as loop_denials
@@ -248,7 +249,7 @@ def infeasible_chains(spark, d):
     """Strict chains of documents of a source with a word: what no completion of the answers can meet. A label can part a chain once, so two
     labels allow two steps."""
     w = Window.partitionBy("mtd_source").orderBy("doc_id")
-    rows = docs_of(spark, d).where("mtd_source is not null").where(F.col("cnt").rlike(has("worthless").pattern.java())).select("doc_id", "mtd_source")
+    rows = docs_of(spark, d).where("mtd_source is not null").where(predicate(has("worthless"), F.col("cnt"))).select("doc_id", "mtd_source")
     edges = rows.withColumn("dst", F.lead("doc_id").over(w)).where("dst is not null").select(F.col("doc_id").alias("src"), "dst", F.lit(True).alias("strict"))
     return relations.infeasible(edges, gamma_of(spark, d), ("quality", "toxic")).select("v")
 

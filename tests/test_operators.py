@@ -198,3 +198,27 @@ def test_neighbours_over_many_slices(spark):
     want = {(i, int(j)) for i in range(1000) for j in np.lexsort((np.arange(1000), -sims[i]))[:4]}
     assert {(r.x, r.y) for r in joins.top_k(unit, unit, 4).collect()} == want
     assert {(r.x, r.sources) for r in joins.similarity_quorum(unit, unit, 0.9, 2).collect()} == {(i, int(c)) for i, c in enumerate((sims >= 0.9).sum(1)) if c >= 2}
+
+
+def test_long_chains_are_infeasible_whatever_their_size(spark):
+    """A chain of more edges than a group may have is told by its length; short ones and a loose chain are decided as before."""
+    from marlstone.operators import relations
+
+    edges = [(i, i + 1, True) for i in range(60)] + [(100, 101, True), (101, 102, True)] + [(200, 201, True), (201, 202, False), (202, 203, True), (203, 204, True)]
+    edges += [(300, 301, True), (301, 300, False)] + [(400, 400, True), (500, 501, False)]
+    e = spark.createDataFrame(edges, "src long, dst long, strict boolean")
+    none = spark.createDataFrame([], "doc_id long, label string, sign int")
+    got = {r.v for r in relations.infeasible(e, none, ("a", "b"), most_edges=10).collect()}
+    assert got == {*range(61), *range(200, 205), 300, 301, 400}
+    assert {r.v for r in relations.infeasible(e.where("src >= 100 and src < 300"), none, ("a", "b", "c")).collect()} == set()
+
+
+def test_given_conflict_is_found_without_the_closure(spark, monkeypatch):
+    from marlstone.operators import closure
+    from marlstone.plans import relation
+
+    monkeypatch.setattr(relation, "close", None)
+    docs = spark.createDataFrame([(i, "x", "x", "") for i in range(4)], "doc_id long, cnt string, ttl string, mtd string")
+    gamma = spark.createDataFrame([(0, "a", 1), (1, "a", -1)], "doc_id long, label string, sign int")
+    chain = spark.createDataFrame([(0, 1, True), (1, 2, True), (2, 3, True)], "src long, dst long, strict boolean")
+    assert closure.close_program(Catalog(docs, gamma, None, chain, ("a", "b")), []).status == "conflict"
