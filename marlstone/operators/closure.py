@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.relations import infeasible, violations
 from marlstone.plans.compile import FACTS, Catalog, fire, fire_blocks, fire_new
-from marlstone.plans.relation import EDGES, GROUPS, Relation, block_edges, group_nodes, relate, stars
+from marlstone.plans.relation import COMPS, EDGES, GROUPS, Relation, block_edges, group_nodes, relate, stars
 from marlstone.plans.rules import ML, Label, LabelCompare, Rule
 from marlstone.plans.store import written
 
@@ -168,6 +168,14 @@ def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma:
     fact = [*CELL, "sign"]
     opposite = gamma.select("doc_id", "label", (-F.col("sign")).cast("int").alias("sign"))
     careful = policy != "halt" or not unknown.isEmpty()
+    n_labels = len(cat.labels) if cat.labels else None
+    if policy == "halt" and cat.relations is not None:  # what the given inclusions alone contradict needs no closure of them
+        given = Relation(spark.createDataFrame([], COMPS), cat.relations.select("src", "dst", "strict"), closed=False, settled=False)
+        known = start.join(unknown, CELL, "left_anti").select(*fact)
+        known = written(known.unionByName(given.copies(known).join(unknown, CELL, "left_anti")).distinct(), "facts")
+        if not clashes(known).isEmpty() or not violations(given.links, known, n_labels).isEmpty():
+            empty = spark.createDataFrame([], FACTS)
+            return Closure("conflict", 0, known, given, unknown, empty, spark.createDataFrame([], "rule_id int, round int, " + FACTS))
     order = _Order(cat, rules, careful) if related else None
     of_docs = lambda df: df.where(F.col("doc_id") >= GROUPS)
     begin = start.join(unknown, CELL, "left_anti")
@@ -175,7 +183,6 @@ def _run(cat: Catalog, rules: list[Rule], policy: str, start: DataFrame, gamma:
         begin = begin.unionByName(order.now.copies(begin).join(unknown, CELL, "left_anti")).distinct()
     facts = _Facts(written(begin.select(*fact), "facts"))
     fired = spark.createDataFrame([], "rule_id int, round int, " + FACTS)
-    n_labels = len(cat.labels) if cat.labels else None
     blocked = spark.createDataFrame([], FACTS)
     memo: dict = {}  # text filters of rules that fire again
 
