@@ -224,3 +224,24 @@ def test_large_equal_group(spark):
     assert c.status == "fixpoint"
     assert {(r.label, r["count"]) for r in c.facts.groupBy("label").count().collect()} == {("wilts", n), ("blooms", n + n // 2)}
     assert c.relation.comps.count() <= n + n // 2 and c.relation.links.count() <= 2
+
+
+def test_separable_candidates_are_closed_once(spark):
+    """Candidates that read no facts: a batch for each block and none for a rule taken, and the same verdicts as one by one, clashes too."""
+    rnd = random.Random(77)
+    plants = [(" ".join(rnd.sample(["dry", "bud", "red", "leaf", "wet"], 2)), rnd.choice("abcdefgh")) for _ in range(30)]
+    g = Garden(plants, {(0, "wilts"): 1})
+    copy = Rule((Doc("x"), Doc("y"), AttrEqual("x", "mtd.bed", "y", "mtd.bed"), Label("y", "wilts"), said("leaf")), Label("x", "wilts"))
+    candidates = [Rule((Doc("x"), said(w)), Label("x", s, p)) for w, s, p in (("dry", "wilts", "pos"), ("bud", "wilts", "neg"), ("red", "blooms", "pos"), ("leaf", "wilts", "pos"), ("wet", "blooms", "pos"), ("dry", "blooms", "neg"))]
+    cat, labels = g.catalog(spark), spark.createDataFrame([(s,) for s in STATES], "label string")
+    truth = spark.createDataFrame([(i, "wilts" if "dry" in w else "blooms") for i, (w, _) in enumerate(plants) if "leaf" not in w], "doc_id long, label string")
+    taken, best, trace = [], program_score(cat, [copy], truth, labels)["macro"], []
+    for i in (3, 0, 1, 2, 5, 4):
+        s = program_score(cat, [copy, *[candidates[k] for k in (*taken, i)]], truth, labels)
+        if s and s["macro"] > best + 1e-12:
+            taken, best = [*taken, i], s["macro"]
+        trace.append((i, i in taken, pytest.approx(best)))
+    for size in (2, 50):
+        got = admit(cat, candidates, [3, 0, 1, 2, 5, 4], truth, labels, [copy], epsilon=1e-12, size=size)
+        assert got.taken == taken and got.trace == trace and got.runs == -(-6 // size) < len(taken) + 6 // size
+        assert facts(got.closure) == g.run([copy, *[candidates[i] for i in taken]], "halt")[1]
