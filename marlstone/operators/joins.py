@@ -9,15 +9,33 @@ from marlstone.plans.relation import components
 from marlstone.plans.store import written
 
 
-def attribute_pairs(docs: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
-    """x, y for all pairs (self pairs too) with left attribute = right attribute for every key pair; missing never matches."""
+def attribute_pairs(docs: DataFrame, keys: list[tuple[str, str]], most: int = 4096) -> DataFrame:
+    """x, y for all pairs (self pairs too) with left attribute = right attribute for every key pair; missing never matches.
+
+    The left documents of a group of more than `most` are cut into parts of about as many by a hash of the id, and each part meets all right
+    ones in a task of its own: the pairs of a large group are made by many tasks, and none holds more of it than a part.
+    """
     ok = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-    left, right = docs, docs
-    for a, b in keys:
-        left, right = left.where(ok(a)), right.where(ok(b))
-    left = left.select(F.col("doc_id").alias("x"), *[F.col(a).alias(f"k{i}") for i, (a, _) in enumerate(keys)])
-    right = right.select(F.col("doc_id").alias("y"), *[F.col(b).alias(f"k{i}") for i, (_, b) in enumerate(keys)])
-    return left.join(right, [f"k{i}" for i in range(len(keys))]).select("x", "y")
+    names = [f"k{i}" for i in range(len(keys))]
+
+    def side(n: int, name: str) -> DataFrame:
+        rows = docs
+        for pair in keys:
+            rows = rows.where(ok(pair[n]))
+        rows = rows.select(F.col("doc_id").alias(name), *[F.col(pair[n]).alias(k) for pair, k in zip(keys, names, strict=True)])
+        return rows.withColumn("group", F.xxhash64(*names))  # groups that share a hash share their number of parts, nothing else
+
+    left, right = side(0, "x"), side(1, "y")
+    large = left.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("group", F.ceil(F.col("n") / most).alias("parts"))
+    large = F.broadcast(large)  # a row for each `most` documents at most
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(large, "group", "left").select("x", *names, F.pmod(F.xxhash64("x"), parts).alias("part"))
+    right = right.join(large, "group", "left").select("y", *names, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    spark = docs.sparkSession
+    # Few rows make many pairs, so the number of tasks does not go by bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    dealt = lambda rows: rows.repartition(tasks, *names, "part")
+    return dealt(right).join(dealt(left), [*names, "part"]).select("x", "y")
 
 
 def group_reach(docs: DataFrame, active: DataFrame, key: str) -> DataFrame:

@@ -153,6 +153,21 @@ def test_masks_match_each_pattern_once(spark):
     assert m._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == len(raws)
 
 
+def test_pairs_of_a_large_group_are_made_by_many_tasks(spark):
+    from marlstone.operators.joins import attribute_pairs
+
+    ids = [*range(600), 7, 7, None]
+    docs = spark.createDataFrame([(i, "same", "") for i in ids] + [(1000, "a", "same"), (1001, "b", "a"), (1002, None, "b"), (1003, "", "")], "doc_id long, ttl string, cnt string")
+    pairs = lambda df: sorted(map(str, df.collect()))
+    ok = [r for r in docs.collect() if r.ttl]
+    got = attribute_pairs(docs, [("ttl", "ttl")], most=50)
+    assert pairs(got.select("x", "y")) == sorted(f"Row(x={a.doc_id}, y={b.doc_id})" for a in ok for b in ok if a.ttl == b.ttl)
+    each = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(each) > 5 and max(each) < sum(each) / 3
+    want = sorted(f"Row(x={a.doc_id}, y={b.doc_id})" for a in ok for b in docs.collect() if b.cnt and a.ttl == b.cnt)
+    assert len(want) == 605 and pairs(attribute_pairs(docs, [("ttl", "cnt")], most=50)) == want
+
+
 def test_labels_are_carried_without_pairs(spark, monkeypatch):
     """Along a chain of 100, where several ways lead in, and round a cycle; the closure, which has the pairs, is never made."""
     from marlstone.operators import relations
