@@ -17,8 +17,10 @@ def present(c: Column) -> Column:
 
 
 def _like(c: Column, p: Pattern) -> Column:
-    """Whether p matches; texts without the string that every match holds are told by a search for it, which costs far less."""
-    like = F.regexp_like(c, F.lit(p.java()))
+    """Whether p matches; texts without the string that every match holds are told by a search for it, which costs far less, and a plain word
+    is looked for from its first letter on, not from whatever may stand before it."""
+    word = p.word()
+    like = F.regexp_like(c, F.lit(p.java() if word is None else word))
     return like if p.literal() is None else F.contains(c, F.lit(p.literal())) & like
 
 

@@ -18,6 +18,8 @@ PREDICATES = {"match": "MatchPredicate", "freq": "FreqPredicate", "cooccur": "Co
 FLAG_BITS = {re.IGNORECASE.value: "i", re.MULTILINE.value: "m", re.DOTALL.value: "s"}
 #: A word as it stands, or between bounds as in (^|[^a-z])word([^a-z]|$) and \bword\b.
 LITERAL = re.compile(r"(?:\(\^\|\[\^[A-Za-z0-9_-]+\]\)|\\b)?([A-Za-z0-9_]+)(?:\(\[\^[A-Za-z0-9_-]+\]\|\$\)|\\b)?")
+#: A word between the ends of the text or characters outside two classes.
+WORD = re.compile(r"\(\^\|\[\^([A-Za-z0-9_-]+)\]\)([A-Za-z0-9_]+)\(\[\^([A-Za-z0-9_-]+)\]\|\$\)")
 NAMED = re.compile(r"mtd\.[A-Za-z_][A-Za-z_0-9]*")
 
 
@@ -35,6 +37,14 @@ class Pattern:
         found = LITERAL.fullmatch(self.raw)
         return found[1] if found and not self.flags & re.IGNORECASE.value else None
 
+    def word(self) -> str | None:
+        """A pattern for Java that matches in the same texts, but begins with the word's letters; None if this is not a word that is bounded by classes of characters."""
+        found = WORD.fullmatch(self.raw)
+        if not found or self.flags & re.IGNORECASE.value:
+            return None
+        left, text, right = found.groups()
+        return f"{text}(?<![{left}]{text})(?![{right}])"
+
 
 @dataclass(frozen=True)
 class Predicate:

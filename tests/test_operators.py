@@ -153,6 +153,24 @@ def test_masks_match_each_pattern_once(spark):
     assert m._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == len(raws)
 
 
+def test_words_are_found_from_their_letters(spark):
+    """A bounded word is matched from its first letter on, in the same texts as the pattern itself, whatever its classes."""
+    import itertools
+    import re
+
+    from marlstone.functions.text import predicate
+    from marlstone.operators.patterns import masks
+    from marlstone.plans.rules import Pattern, Predicate
+    from marlstone.registry import word
+
+    raws = {"one": word("aa"), "two": Pattern("(^|[^a])aa([^b-]|$)"), "lines": Pattern("(^|[^A-Za-z0-9_])aa([^A-Za-z0-9_]|$)", re.MULTILINE), "left": Pattern("(^|[^b])aa"), "case": Pattern("(^|[^a])aa([^b]|$)", re.IGNORECASE)}
+    texts = ["".join(x) for n in range(6) for x in itertools.product("ab-\n", repeat=n)] + ["aa", "\U0001f600aa", "aa\U0001f600", "\u00e9aa\u00e9", "aa\r\n", "aaa aa", "AA"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, cnt string")
+    m = masks(docs, "cnt", {k: predicate(Predicate("match", "cnt", p), F.col("cnt")) for k, p in raws.items()})
+    assert {tuple(r) for r in m.collect()} == {(i, k, 1) for i, t in enumerate(texts) if t for k, p in raws.items() if re.search(p.raw, t, p.flags)}
+    assert "aa(?<!" in str(predicate(Predicate("match", "cnt", raws["one"]), F.col("cnt"))) and raws["left"].word() is None and raws["case"].word() is None
+
+
 def test_pairs_of_a_large_group_are_made_by_many_tasks(spark):
     from marlstone.operators.joins import attribute_pairs
 
