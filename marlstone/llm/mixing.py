@@ -43,7 +43,8 @@ def multipliers(cells: DataFrame, sources: DataFrame, cap: float, steps: int = 4
     """Solve the dual for each source: add rate_log, the l of exp(l * size / mean), to sources.
 
     Newton on the logarithm of the words that a multiplier gives, kept inside a bracket by bisection. Each
-    round is one aggregation of the histogram by source; three rounds go into a written table.
+    round is one join and one aggregation of the histogram by source, which carries the source's own values
+    along, so that a plan is as long as its rounds; three rounds go into a written table.
     """
     span = 60.0
     mean = cells.groupBy("key").agg((F.sum("words") / F.sum("n")).alias("mean"))
@@ -54,9 +55,8 @@ def multipliers(cells: DataFrame, sources: DataFrame, cap: float, steps: int = 4
         x = F.col("l") * F.col("size") / F.col("mean")
         rate = F.least(F.lit(cap), F.exp(F.least(x, F.lit(700.0))))
         free = F.when(F.exp(F.least(x, F.lit(700.0))) < cap, rate * F.col("size") / F.col("mean")).otherwise(0.0)
-        sums = cells.select("key", "size", "words").join(now.select("key", "l", "mean"), "key").groupBy("key").agg(
-            F.sum(F.col("words") * rate).alias("g"), F.sum(F.col("words") * free).alias("slope"))
-        s = now.join(sums, "key")
+        own = [F.first(c).alias(c) for c in now.columns if c != "key"]  # one value a source
+        s = cells.select("key", "size", "words").join(now, "key").groupBy("key").agg(*own, F.sum(F.col("words") * rate).alias("g"), F.sum(F.col("words") * free).alias("slope"))
         above = F.col("g") > F.col("target")
         low, high = F.when(above, F.col("low")).otherwise(F.col("l")), F.when(above, F.col("l")).otherwise(F.col("high"))
         s = s.withColumn("low", low).withColumn("high", high)
@@ -88,7 +88,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     place = F.row_number().over(Window.orderBy("key")) - 1
     sources = cells.groupBy("key").agg(F.sum("words").alias("source_size"))
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")))
-    solved = written(multipliers(cells, targets_of(sources, cap, share), cap), "sources")
+    targets = written(targets_of(sources, cap, share), "targets")
+    solved = written(multipliers(cells, targets, cap), "sources")
     x = F.least(F.col("rate_log") * F.col("size") / F.col("mean"), F.lit(700.0))
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("target") <= 0, 0.0).when(F.col("rate_log").isNull(), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(x)))
     rated = cells.join(solved, "key").withColumn("rate", rate)

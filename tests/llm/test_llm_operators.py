@@ -104,6 +104,20 @@ def test_mixing(docs, rows, empty):
     assert mixing.mixed(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).columns == docs.columns
 
 
+def test_mixing_plans_are_short(docs, monkeypatch):
+    """A plan has each of its rounds once, not one copy more for each round after it."""
+    joins = {}
+
+    def written(df, name):
+        joins[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return real(df, name)
+
+    real = mixing.written
+    monkeypatch.setattr(mixing, "written", written)
+    mixing.mix(docs)
+    assert joins["dual"] <= 5 and joins["sources"] <= 5
+
+
 def sliced(docs):
     return suffix_tree_lm.sliced(docs.select("doc_id", F.lit(False).alias("held_out"), "text"))
 
