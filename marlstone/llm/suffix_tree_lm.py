@@ -26,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import done, free_shuffles, hashes, slices, text_of, words, written
+from marlstone.llm.common import bounded_batches, done, free_shuffles, hashes, slices, text_of, trimmed, words, written
 
 END = np.uint64(0x5EED)
 DEPTH, BITS, PAGE = 3, 26, 14
+#: A task's runs are packed in so many passes.
+PASSES = 8
 #: Of xxHash64, as Spark computes it for longs.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 SLICES = "slice long, ids binary, nulls binary, held binary, counts binary, words binary, at binary"
@@ -68,7 +70,7 @@ def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sliced(docs: DataFrame) -> DataFrame:
     """The written slices of docs (doc_id long, held_out boolean, text)."""
-    return written(docs.mapInArrow(_slice, SLICES), "slices")
+    return written(docs.mapInArrow(trimmed(_slice), SLICES), "slices")
 
 
 @dataclass
@@ -252,12 +254,15 @@ def _count_runs(shared, size: int, buckets: int, most: int = 3_000_000):
         held: list[tuple[np.ndarray, ...]] = []
 
         def packed() -> Iterator[pa.RecordBatch]:
-            key, x, w, c = (np.concatenate(v) for v in zip(*held, strict=True))
-            _, c, x, w = _sums(key, c, x, w)
-            order, parts = _dealt(follow(x, w), buckets)
-            x, w, c = x[order], w[order], c[order].astype(np.int32)
-            for bucket, at, to in parts:
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([v[at:to].tobytes()], pa.binary()) for v in (x, w, c))], ["bucket", "x", "w", "c"])
+            # A few buckets at a time, so that what is sorted and copied stays small beside what is held.
+            group = [(bucket_of(v[0], buckets) % PASSES).astype(np.uint8) for v in held]
+            for g in range(min(PASSES, buckets)):
+                own = [np.flatnonzero(x == g) for x in group]
+                key, c, x, w = _sums(*(np.concatenate([v[k][i] for v, i in zip(held, own, strict=True)]) for k in (0, 3, 1, 2)))
+                c = c.astype(np.int32)
+                order, parts = _dealt(key, buckets)
+                for bucket, at, to in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([v[order[at:to]].tobytes()], pa.binary()) for v in (x, w, c))], ["bucket", "x", "w", "c"])
 
         for _, _, s in _slices_of(batches):
             h, counts = s.training()
@@ -268,7 +273,7 @@ def _count_runs(shared, size: int, buckets: int, most: int = 3_000_000):
                 at = at[maybe(shared.value, x[at - 1])]
             own, first, c = np.unique(key[at], return_index=True, return_counts=True)
             at = at[first]
-            held.append((own, x[at - 1], h[at], c))
+            held.append((own, x[at - 1], h[at], c.astype(np.int32)))
             if sum(len(v[0]) for v in held) > most:
                 yield from packed()
                 held = []
@@ -308,7 +313,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], *kinds: tuple[str, type]) -> I
 def train(cut: DataFrame, least_context: int = 4, least_next: int = 2, gain: float = 0.01, discount: float = 0.75, per_bucket: int = 3_000_000) -> tuple[Tree, DataFrame, int]:
     """Learn from the training documents of slices. Returns the tree, the table of counts (key, c) of all words and the number of tokens."""
     spark = cut.sparkSession
-    counts = written(cut.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
+    counts = written(cut.mapInArrow(trimmed(_count_words), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
     free_shuffles(spark)
     r = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = r["n"], r["v"]
@@ -322,8 +327,8 @@ def train(cut: DataFrame, least_context: int = 4, least_next: int = 2, gain: flo
             break
         # Nearly every word is a context; of longer runs few are.
         shared = spark.sparkContext.broadcast(bitmap(contexts.select(F.col("x").alias("key")))) if depth > 1 else None
-        packed = cut.mapInArrow(_count_runs(shared, depth + 1, buckets), "bucket int, x binary, w binary, c binary")
-        found = written(_dealt_rows(packed, buckets).mapInArrow(_often(least_next), "key long, x long, w long, c long"), "runs")
+        packed = cut.mapInArrow(trimmed(_count_runs(shared, depth + 1, buckets)), "bucket int, x binary, w binary, c binary")
+        found = written(_dealt_rows(packed, buckets).mapInArrow(trimmed(_often(least_next)), "key long, x long, w long, c long"), "runs")
         if shared is not None:
             shared.destroy()
         del packed
@@ -494,6 +499,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)  # a slice is a row of some MB
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(crc % folds == fold, F.lit(True)).alias("held_out"), text_of(docs, text_col).alias("text"))
     cut = sliced(base)
@@ -504,8 +510,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     shared = spark.sparkContext.broadcast(bitmap(table.where("known = 0")))
     sums = None
     for size in range(1, DEPTH + 2):
-        questions = cut.mapInArrow(_ask(shared, size, buckets), ASK_DDL).unionByName(table.where("known = 1" if size == 1 else "known = 0").mapInArrow(_table(buckets), ASK_DDL))
-        answers = _dealt_rows(questions, buckets, "bucket kind").mapInArrow(_answer, SUMS_DDL)
+        questions = cut.mapInArrow(trimmed(_ask(shared, size, buckets)), ASK_DDL).unionByName(table.where("known = 1" if size == 1 else "known = 0").mapInArrow(trimmed(_table(buckets)), ASK_DDL))
+        answers = _dealt_rows(questions, buckets, "bucket kind").mapInArrow(trimmed(_answer), SUMS_DDL)
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         one = written(answers.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_add_up, SUMS_DDL), "sums")
         sums = one if sums is None else sums.unionByName(one)

@@ -118,6 +118,33 @@ def test_mixing_plans_are_short(docs, monkeypatch):
     assert joins["dual"] <= 5 and joins["sources"] <= 5
 
 
+def test_runs_are_packed_a_few_buckets_at_a_time(monkeypatch):
+    """What is sorted and copied at once is a part of the runs that a task holds; the counts are those of all its slices."""
+    rng, most, real, buckets = np.random.default_rng(3), 0, suffix_tree_lm._sums, 40
+    tokens = [rng.integers(1, 400, 20_000) for _ in range(6)]
+
+    def sums(keys, *more):
+        nonlocal most
+        most = max(most, len(keys))
+        return real(keys, *more)
+
+    def part(k, t):
+        own, at = np.unique(t, return_inverse=True)
+        cols = (np.array([k]), np.array([False]), np.array([False]), np.array([len(t)]), own, at.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], ["slice", "ids", "nulls", "held", "counts", "words", "at"])
+
+    monkeypatch.setattr(suffix_tree_lm, "_sums", sums)
+    got = Counter()
+    for b in suffix_tree_lm._count_runs(None, 2, buckets)(iter([part(k, t) for k, t in enumerate(tokens)])):
+        x, w, c = (np.frombuffer(b.column(n)[0].as_buffer(), d) for n, d in (("x", np.int64), ("w", np.int64), ("c", np.int32)))
+        assert set(suffix_tree_lm.bucket_of(suffix_tree_lm.follow(x, w), buckets).tolist()) == {b.column("bucket")[0].as_py()}
+        for k in zip(x.tolist(), w.tolist(), c.tolist(), strict=True):
+            got[k[:2]] += k[2]
+    assert got == Counter(p for t in tokens for p in zip(t[:-1].tolist(), t[1:].tolist(), strict=True))
+    held = sum(len(set(zip(t[:-1].tolist(), t[1:].tolist(), strict=True))) for t in tokens)
+    assert most < held / 4
+
+
 def sliced(docs):
     return suffix_tree_lm.sliced(docs.select("doc_id", F.lit(False).alias("held_out"), "text"))
 
