@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,13 @@ class Catalog:
     model_prob: DataFrame | None = None
     relations: DataFrame | None = None
     labels: tuple[str, ...] | None = None
+    keys: DataFrame | None = None
+
+    def with_keys(self, rules: list[Rule]) -> Catalog:
+        """With the attributes that the rules compare as a written table (keys: doc_id and these), so that rounds of a closure do not read the texts again."""
+        names = {column(x) for r in rules for a in r.body if isinstance(a, AttrEqual) for x in (a.left_attr, a.right_attr)}
+        names |= {n for x in names if (n := f"{x}__present") in self.docs.columns}
+        return replace(self, keys=written(self.docs.select("doc_id", *sorted(names)), "keys")) if names else self
 
 
 def column(attr: str) -> str:
@@ -115,7 +122,9 @@ class _Body:
                 needs[a.left_var].add(a.left_attr)
                 needs[a.right_var].add(a.right_attr)
         for v in rule.bound:
-            df = (ranges or {}).get(v, cat.docs)
+            own = [a for a in rule.body if isinstance(a, AttrEqual) and a.left_var == a.right_var == v]
+            reads = {*needs[v], *(x for a in own for x in (a.left_attr, a.right_attr)), *(a.predicate.attr for a in rule.body if isinstance(a, Text) and a.var == v)}
+            df = (ranges or {}).get(v, cat.keys if cat.keys is not None and {column(x) for x in reads} <= set(cat.keys.columns) else cat.docs)
             for a in rule.body:
                 if isinstance(a, Text) and a.var == v:
                     df = df.where(predicate(a.predicate, F.col(column(a.predicate.attr)), _there(cat.docs, a.predicate.attr)))

@@ -10,7 +10,7 @@ from test_closure import POLICIES, STATES, Garden, cells, facts, random_garden,
 from marlstone.operators.batch import admit, batch_scores, close_batch, one_variable, standalone
 from marlstone.operators.closure import close_program
 from marlstone.operators.discovery import program_score
-from marlstone.plans.compile import fire, fire_blocks, fire_new
+from marlstone.plans.compile import Catalog, fire, fire_blocks, fire_new
 from marlstone.plans.rules import ML, AttrEqual, Doc, Label, LabelCompare, Rule
 
 
@@ -67,6 +67,21 @@ def positive(rnd, n):
     return [*random_rules(rnd, n, ("pos", "pos", "neg")), *joined_rules(rnd, n // 2)]
 
 
+def test_compared_attributes_are_read_from_a_table_of_their_own(spark):
+    """With keys a rule that compares attributes does not read the texts; rules on texts do, and all conclude the same."""
+    docs = spark.createDataFrame([(0, "bud", "a"), (1, "leaf", "a"), (2, "bud", ""), (3, "x", None), (4, "y", "b")], "doc_id long, cnt string, ttl string").withColumn("cnt", F.concat("cnt", F.lit("!")))
+    cat = Catalog(docs, spark.createDataFrame([(0, "wilts", 1), (2, "wilts", 1)], "doc_id long, label string, sign int"))
+    same = AttrEqual("x", "ttl", "y", "ttl")
+    copy = Rule((Doc("x"), Doc("y"), same, Label("y", "wilts")), Label("x", "wilts"))
+    text = Rule((Doc("x"), Doc("y"), same, said("leaf"), Label("y", "wilts")), Label("x", "grows"))
+    keyed = cat.with_keys([copy, text])
+    assert keyed.keys.columns == ["doc_id", "ttl"] and cat.with_keys([Rule((Doc("x"), said("bud")), Label("x", "wilts"))]).keys is None
+    for rule, want in ((copy, {(0, "wilts", 1), (1, "wilts", 1)}), (text, {(1, "grows", 1)})):
+        assert {tuple(r) for r in fire(rule, keyed, cat.gamma).collect()} == {tuple(r) for r in fire(rule, cat, cat.gamma).collect()} == want
+    plan = fire(copy, keyed, cat.gamma)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 2 and "cnt" not in plan
+
+
 @pytest.mark.parametrize("seed, policy", [(0, "halt"), (1, "protect"), (2, "halt"), (3, "protect")])
 def test_batch_is_as_single_runs(spark, seed, policy):
     rnd = random.Random(700 + seed)
