@@ -124,21 +124,117 @@ def similarity_quorum(vectors: DataFrame, queries: DataFrame, threshold: float,
     return _similarities(vectors, queries, threshold, None).groupBy("x").agg(F.count_distinct("y").alias("sources")).where(F.col("sources") >= quorum)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, mode: str = "directed", least: float = -1.0) -> DataFrame:
+def _all_nearest(vectors: DataFrame, least: float, k: int, most: int = 32768) -> DataFrame:
+    """x, y, sim, nine (sim to nine digits, which ranks): the k best of all others (of its scope, if vectors have one) for each vector, from each
+    block that it meets; the k best of all are among them.
+
+    Vectors are dealt into blocks of about `most` at most by a hash of the id, and each pair of blocks is one group: a task holds two blocks, whatever
+    the table holds, and their cosines are taken once for both sides.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    scope = [F.col("scope").cast("string")] if "scope" in vectors.columns else [F.lit("").alias("scope")]
+    v = vectors.select("id", "v", *scope).where("scope is not null")
+    sizes = v.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    # About as many groups as four a core, unless blocks would be too large or too small for it.
+    cells = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+    cores = spark.sparkContext.defaultParallelism
+    size = int(min(most, max(512, (cells / (8 * cores)) ** 0.5)))
+    parts = F.ceil(F.col("n") / size)
+    own = v.join(sizes.select("scope", parts.alias("parts")), "scope").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pairs = met.select("scope", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"), "id", "v")
+
+    def better(best, at, ids, sims, turned=False):
+        """Puts the k best of ids, which come in rising order from call to call, into the rows `at` of best. turned: sims has a column for each of them."""
+        worst, have, best_id, best_sim, best_nine = (x[at] for x in best)  # views
+        bound = worst
+        if not have.any() and len(ids) >= k:
+            sims, turned = (np.ascontiguousarray(sims.T), False) if turned else (sims, False)
+            bound = np.maximum(worst, np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k] - 1e-9)
+        cells = np.flatnonzero(sims > (bound[None, :] if turned else bound[:, None]))
+        s = sims.ravel()[cells]
+        nine = np.round(s, 9)
+        i, j = np.divmod(cells, sims.shape[1])
+        i, j = (j, i) if turned else (i, j)
+        good = (nine >= least) & (nine > np.where(have[i] == k, best_nine[i, k - 1], -3.0))  # of equal ones the smaller id is there already
+        if not good.any():
+            return
+        i, j, s, nine = i[good], j[good], s[good], nine[good]
+        rows = np.unique(i)
+        kept = np.arange(k) < have[rows, None]
+        r, y = np.concatenate([np.repeat(rows, have[rows]), i]), np.concatenate([best_id[rows][kept], ids[j]])
+        s, nine = np.concatenate([best_sim[rows][kept], s]), np.concatenate([best_nine[rows][kept], nine])
+        order = np.lexsort((y, -nine, r))
+        r = r[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        order, r, rank = order[rank < k], r[rank < k], rank[rank < k]
+        best_id[r, rank], best_sim[r, rank], best_nine[r, rank] = y[order], s[order], nine[order]
+        have[r] = rank + 1  # a row's last rank stays
+        last = rank == k - 1
+        worst[r[last]] = nine[order][last] + 4e-10  # what is rounded to more is above this
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        v = group.column("v")
+        if v.null_count:
+            raise ValueError("a vector is null")
+        ids, second = group.column("id").to_numpy(), group.column("second").to_numpy()
+        v = v.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        odd = not np.isfinite(v).all()
+        sides = []
+        for side in (False, True):
+            at = np.flatnonzero(second == side)
+            at = at[np.argsort(ids[at], kind="stable")]
+            best = np.full(len(at), least - 1e-9), np.zeros(len(at), np.int64), np.zeros((len(at), k), np.int64), np.zeros((len(at), k)), np.zeros((len(at), k))
+            sides.append((ids[at], v[at], best))
+        (x, vx, best_x), (y, vy, best_y) = sides
+        alone = key[1] == key[2]  # a block with itself
+        if alone:
+            y, vy = x, vx
+        for a in range(0, len(x), 2048):  # parts of half a million cells
+            for b in range(0, len(y), 256):
+                rows, cols = slice(a, a + 2048), slice(b, b + 256)
+                sims = vx[rows] @ vy[cols].T
+                if odd:
+                    sims[~np.isfinite(sims)] = -2.0
+                if alone:
+                    sims[x[rows, None] == y[None, cols]] = -2.0
+                else:
+                    better(best_y, cols, x[rows], sims, turned=True)
+                better(best_x, rows, y[cols], sims)
+        out = [(np.repeat(i, have), *(c[np.arange(k) < have[:, None]] for c in best)) for i, _, (_, have, *best) in sides]
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["x", "y", "sim", "nine"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * cores)  # few rows make much work, so the number does not go by bytes
+    return pairs.repartition(tasks, "scope", "a", "b").groupBy("scope", "a", "b").applyInArrow(run, "x long, y long, sim double, nine double")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame | None, k: int, mode: str = "directed", least: float = -1.0) -> DataFrame:
     """x, y, sim: the k nearest of each query, ties to the smaller id. mode: directed, mutual (x is among y's k nearest too) or symmetric_union.
 
-    A column `scope` in both tables keeps neighbours to the query's own scope.
+    Without queries all vectors are queries, and sim is not rounded. A column `scope` in both tables keeps neighbours to the query's own scope.
     """
     w = Window.partitionBy("x").orderBy(F.desc("sim"), "y")
-    near = _similarities(vectors, queries, least, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("x", "y", "sim")
+    if queries is None:
+        found, w = _all_nearest(vectors, least, k), Window.partitionBy("x").orderBy(F.desc("nine"), "y")
+    else:
+        found = _similarities(vectors, queries, least, k)
+    near = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("x", "y", "sim")
     if mode == "directed":
         return near
-    back = near.select(F.col("y").alias("x"), F.col("x").alias("y"), "sim")
     if mode == "mutual":
         other = written(near, "near")
-        theirs = _similarities(vectors, vectors.join(other.select(F.col("y").alias("id")).distinct(), "id", "left_semi"), least, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        if queries is None:
+            theirs = other
+        else:
+            theirs = _similarities(vectors, vectors.join(other.select(F.col("y").alias("id")).distinct(), "id", "left_semi"), least, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         return other.join(theirs.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_semi")
     if mode == "symmetric_union":
+        if queries is None:
+            near = written(near, "near")  # read twice
+        back = near.select(F.col("y").alias("x"), F.col("x").alias("y"), "sim")
         return near.unionByName(back).groupBy("x", "y").agg(F.max("sim").alias("sim"))
     raise ValueError(f"unknown mode {mode}")
 

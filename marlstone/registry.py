@@ -225,12 +225,13 @@ def knn_directed(spark, d):
     return joins.top_k(*_vec(spark, d), 5).withColumn("sim", F.round("sim", 6))
 
 
-_theirs = _near.replace("WHERE a.vec_id % 100 = 0", "").replace("a.vec_id <> b.vec_id", "a.vec_id <> b.vec_id")
+_all_near = _near.replace(" WHERE a.vec_id % 100 = 0", "")  # of every vector
 
 
-@query("knn_mutual", f"SELECT n.x, n.y, n.sim FROM ({_near}) n JOIN ({_theirs}) m ON n.x = m.y AND n.y = m.x")
+@query("knn_mutual", f"SELECT n.x, n.y, n.sim FROM ({_all_near}) n JOIN ({_all_near}) m ON n.x = m.y AND n.y = m.x")
 def knn_mutual(spark, d):
-    return joins.top_k(*_vec(spark, d), 5, "mutual").withColumn("sim", F.round("sim", 6))
+    v, _ = _vec(spark, d)
+    return joins.top_k(v, None, 5, "mutual").withColumn("sim", F.round("sim", 6))
 
 
 @query("knn_union", f"SELECT x, y, max(sim) AS sim FROM (SELECT x, y, sim FROM ({_near}) UNION ALL SELECT y, x, sim FROM ({_near})) GROUP BY 1, 2")

@@ -233,6 +233,46 @@ def test_neighbours_over_many_slices(spark):
     assert {(r.x, r.sources) for r in joins.similarity_quorum(unit, unit, 0.9, 2).collect()} == {(i, int(c)) for i, c in enumerate((sims >= 0.9).sum(1)) if c >= 2}
 
 
+def test_nearest_of_all_vectors(spark):
+    """Without queries every vector is one, in blocks that meet in pairs: copies (ties to the smaller id), a zero vector, and scopes."""
+    import numpy as np
+
+    from marlstone.operators import joins
+
+    rnd, n = np.random.default_rng(4), 400
+    v = rnd.standard_normal((n, 8)).astype(np.float32)
+    v[::4], v[7] = v[0], 0
+    rows = spark.createDataFrame([(int(i) * 3 - 50, v[i].tolist(), str(i % 3)) for i in rnd.permutation(n)], "id long, e array<float>, scope string")
+    unit = joins.unit_vectors(rows, "id", "e")
+    w = v.astype(float) / np.maximum(np.sqrt((v.astype(float) ** 2).sum(1, keepdims=True)), 1e-30)
+    sims = w @ w.T
+    np.fill_diagonal(sims, -2)
+
+    def best(sims):
+        return {(i * 3 - 50, int(j) * 3 - 50) for i in range(n) for j in np.lexsort((np.arange(n), -np.round(sims[i], 9)))[:5]}
+
+    want = best(sims)
+    for most in (30, 5000):
+        found = [(r.x, r.y) for r in joins._all_nearest(unit, -1.0, 5, most).collect()]
+        assert len(found) == len(set(found)) and want <= set(found)
+    near = joins.top_k(unit, None, 5).collect()
+    assert {(r.x, r.y) for r in near} == want and len(near) == len(want)
+    assert max(abs(r.sim - sims[(r.x + 50) // 3, (r.y + 50) // 3]) for r in near) < 1e-12
+    assert {(r.x, r.y) for r in joins.top_k(unit, None, 5, "mutual").collect()} == {(x, y) for x, y in want if (y, x) in want}
+    assert {(r.x, r.y) for r in joins.top_k(unit, None, 5, "symmetric_union").collect()} == want | {(y, x) for x, y in want}
+    sims[np.arange(n)[:, None] % 3 != np.arange(n) % 3] = -2
+    assert {(r.x, r.y) for r in joins.top_k(unit.join(rows.select("id", "scope"), "id"), None, 5).collect()} == best(sims)
+    assert joins.top_k(unit.where("false"), None, 5).count() == 0
+
+
+def test_knn_mutual_reads_all_vectors(spark):
+    """A pair is mutual from either side, so it is there from both."""
+    from marlstone import registry
+
+    got = {(r.x, r.y) for r in registry.QUERIES["knn_mutual"](spark, "/root/testdata/sf0.001").collect()}
+    assert got and got == {(y, x) for x, y in got}
+
+
 def test_long_chains_are_infeasible_whatever_their_size(spark):
     """A chain of more edges than a group may have is told by its length; short ones and a loose chain are decided as before."""
     from marlstone.operators import relations
