@@ -53,9 +53,9 @@ def set_groups(members: DataFrame, sources: DataFrame, least: int = 1) -> DataFr
 
 def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, v scaled to length 1; zero vectors stay zero."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.select(F.col(id_col).alias("id"), F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v).alias("v"))
+    v = vectors.select(F.col(id_col).alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"))
+    v = v.select("id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))  # a column, or it would be taken again for each component
+    return v.select("id", F.when(F.col("norm") > 0, F.transform("v", lambda x: x / F.col("norm"))).otherwise(F.col("v")).alias("v"))
 
 
 def _similarities(vectors: DataFrame, queries: DataFrame, least: float, k: int | None, block: int = 4096):
@@ -135,15 +135,20 @@ def _all_nearest(vectors: DataFrame, least: float, k: int, most: int = 32768) ->
     import pyarrow as pa
 
     spark = vectors.sparkSession
-    scope = [F.col("scope").cast("string")] if "scope" in vectors.columns else [F.lit("").alias("scope")]
-    v = vectors.select("id", "v", *scope).where("scope is not null")
-    sizes = v.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    if "scope" in vectors.columns:
+        v = vectors.where("scope is not null").select("id", "v", F.col("scope").cast("string"))
+        sizes = v.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+        cells = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+        v = v.join(sizes, "scope")
+    else:
+        n = vectors.count()
+        cells = n * n
+        v = vectors.select("id", "v", F.lit("").alias("scope"), F.lit(n).alias("n"))
     # About as many groups as four a core, unless blocks would be too large or too small for it.
-    cells = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
     cores = spark.sparkContext.defaultParallelism
     size = int(min(most, max(512, (cells / (8 * cores)) ** 0.5)))
     parts = F.ceil(F.col("n") / size)
-    own = v.join(sizes.select("scope", parts.alias("parts")), "scope").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    own = v.select("id", "v", "scope", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).alias("own"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     pairs = met.select("scope", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"), "id", "v")
 

@@ -273,6 +273,14 @@ def test_knn_mutual_reads_all_vectors(spark):
     assert got and got == {(y, x) for x, y in got}
 
 
+def test_knn_sources_reads_all_vectors(spark):
+    """Documents that are not divisible by 100 have neighbours with labels too."""
+    from marlstone import registry, registry_learning  # noqa: F401  registers the query
+
+    ids = {r.doc_id for r in registry.QUERIES["knn_sources"](spark, "/root/testdata/sf0.001").collect()}
+    assert any(i % 100 for i in ids)
+
+
 def test_long_chains_are_infeasible_whatever_their_size(spark):
     """A chain of more edges than a group may have is told by its length; short ones and a loose chain are decided as before."""
     from marlstone.operators import relations
