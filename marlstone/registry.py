@@ -234,9 +234,10 @@ def knn_mutual(spark, d):
     return joins.top_k(v, None, 5, "mutual").withColumn("sim", F.round("sim", 6))
 
 
-@query("knn_union", f"SELECT x, y, max(sim) AS sim FROM (SELECT x, y, sim FROM ({_near}) UNION ALL SELECT y, x, sim FROM ({_near})) GROUP BY 1, 2")
+@query("knn_union", f"SELECT x, y, max(sim) AS sim FROM (SELECT x, y, sim FROM ({_all_near}) UNION ALL SELECT y, x, sim FROM ({_all_near})) GROUP BY 1, 2")
 def knn_union(spark, d):
-    return joins.top_k(*_vec(spark, d), 5, "symmetric_union").withColumn("sim", F.round("sim", 6))
+    v, _ = _vec(spark, d)
+    return joins.top_k(v, None, 5, "symmetric_union").withColumn("sim", F.round("sim", 6))
 
 
 @query("sim_threshold_quorum", "SELECT a.vec_id AS x, count(*) AS sources FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0.2 GROUP BY 1 HAVING count(*) >= 2")

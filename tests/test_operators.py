@@ -281,6 +281,16 @@ def test_knn_sources_reads_all_vectors(spark):
     assert any(i % 100 for i in ids)
 
 
+def test_knn_union_reads_all_vectors(spark):
+    """Every vector has its own nearest among the links, in both directions."""
+    from marlstone import registry
+
+    d = "/root/testdata/sf0.001"
+    got = {(r.x, r.y) for r in registry.QUERIES["knn_union"](spark, d).collect()}
+    ids = {r.vec_id for r in registry.read(spark, d, "embeddings").collect()}
+    assert got == {(y, x) for x, y in got} and all(sum(x == i for x, _ in got) >= 5 for i in ids)
+
+
 def test_long_chains_are_infeasible_whatever_their_size(spark):
     """A chain of more edges than a group may have is told by its length; short ones and a loose chain are decided as before."""
     from marlstone.operators import relations
