@@ -58,6 +58,27 @@ def test_large_benchmark(spark):
     assert len(want) >= 900 and got == want, (len(want), len(want - got), len(got - want))
 
 
+def test_spaces_hold_their_passages_whole(spark):
+    """Products in the space are those of the whole TF-IDF vectors, whatever the documents are; a sample of them once took a part of the space."""
+    rnd, np = random.Random(12), decontaminate.np
+    vocab = [_words(rnd, 1) for _ in range(900)]
+    make = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    items = [make(rnd.randint(17, 60)) for _ in range(190)]
+    items += [f"{t} {vocab[0]}" for t in items[:20]]  # passages that differ in a word
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, make(200)) for i in range(300)], "doc_id long, text string")
+    windows = [decontaminate._terms(decontaminate.pa.array([make(16) + " " + items[i][:60]]))[0] for i in range(50)]
+    indexes = decontaminate.build_index(docs, bench)
+    assert len(indexes) == 2
+    for x in indexes:
+        passages = [decontaminate._terms(decontaminate.pa.array([items[i]]))[0] for i in x.item]
+        dense = lambda t, x=x: np.bincount(t, minlength=decontaminate.DIM) * x.idf
+        space = lambda t, x=x: x.basis[x.number[t]].sum(axis=0)
+        whole = np.array([[dense(w) @ dense(p) / np.linalg.norm(dense(p)) for p in passages] for w in windows])
+        assert np.abs(np.array([space(w) for w in windows]) @ x.latent.T - whole).max() < 1e-2 * whole.max() / 100
+        assert all(abs(np.linalg.norm(space(p)) / n - 1) < 1e-4 for p, n in zip(passages, x.length, strict=True))
+
+
 def test_passages_are_ruled_out_by_their_words():
     """The subsequence is only sought where the words in common could make up the share that is asked for, which loses nothing."""
     rnd, np = random.Random(5), decontaminate.np
